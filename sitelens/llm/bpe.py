@@ -21,12 +21,13 @@ import codecs
 import hashlib
 import json
 import re
-import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
@@ -47,14 +48,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
-def _category(first: str) -> str:
-    """Body of a character class: all code points whose general category starts with ``first``."""
-    flags = np.fromiter((unicodedata.category(chr(c))[0] == first for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
-    edges = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2))
-
-
 @lru_cache(maxsize=1)
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next free one from 256 on."""
@@ -98,13 +91,12 @@ class ByteBpe:
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         kinds = [n["type"] for n in (spec["normalizer"] or {"normalizers": []})["normalizers"]]
         self.folds = "Lowercase" in kinds
-        letters, numbers = _category("L"), _category("N")
-        other = f"[^{_SPACE}{letters}{numbers}]+"
+        letters, numbers, other = r"\p{L}", r"\p{N}", rf"[^{_SPACE}\p{{L}}\p{{N}}]+"
         if self.folds:
             pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|{other}"
         else:
             pattern = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?{other}|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-        self._pieces = re.compile(pattern).findall
+        self._pieces = regex.compile(pattern).findall
         alphabet = byte_alphabet()
         self.first = [vocab.get(c, -1) for c in alphabet]
         self.last = [vocab.get(c + suffix, -1) for c in alphabet] if suffix else self.first
@@ -162,7 +154,7 @@ class ByteBpe:
             yield from self._merge(ids)
 
     def _encode_piece(self, piece: str) -> bytes:
-        return np.fromiter((i for i in self.stream(piece.encode()) if i >= 0), "<u4").tobytes()
+        return array("I", [i for i in self.stream(piece.encode()) if i >= 0]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

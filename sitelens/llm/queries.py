@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, simhash
+from . import bpe, langid, quality, simhash
 from .common import table
 
 
@@ -22,11 +22,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by the streaming transducer and decoded again, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip_digest(F.col("text")).alias("d"))
+    return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface rules and the verdict of the likelihood ratio, one row per document."""
     out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_language_id, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_language_id, op6_bpe, op8_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

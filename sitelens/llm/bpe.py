@@ -236,25 +236,29 @@ def decode(ids: Column, tokenizer: str = WORD_BPE) -> Column:
     return run(ids)
 
 
-_DIGEST = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+_DIGEST = StructType([StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
 
-def round_trip_digest(text: Column, tokenizer: str = WORD_BPE) -> Column:
-    """(n_tokens, ids_sha256, decoded_sha256): a text encoded, its ids decoded, both hashed as they come."""
+def round_trip(text: Column, tokenizer: str = WORD_BPE, keep_ids: bool = True) -> Column:
+    """(ids, n_tokens, ids_sha256, decoded_sha256): a text encoded, its ids decoded, both hashed as they come.
+
+    Without ``keep_ids`` the ids stay null: only the digests leave the worker.
+    """
 
     @F.arrow_udf(_DIGEST)
     def run(texts: pa.Array) -> pa.Array:
         own = load(tokenizer)
-        n, a, b = [], [], []
+        kept, n, a, b = [], [], [], []
         for t in texts.to_pylist():
             ids = own.encode(t)
             decoded = hashlib.sha256()
             for chunk in own.decode_chunks(ids):
                 decoded.update(chunk.encode())
+            kept.append(ids if keep_ids else None)
             n.append(len(ids) // 4)
             a.append(hashlib.sha256(ids).hexdigest())
             b.append(decoded.hexdigest())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(text)
 

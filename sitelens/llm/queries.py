@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, simhash
+from . import bpe, htmltext, langid, mixing, quality, simhash
 from .common import table
 
 
@@ -22,9 +22,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents replicated to flattened source shares and shuffled globally."""
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", "text", "n_copies", "copy_no", "place")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by the streaming transducer and decoded again, as digests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip_digest(F.col("text")).alias("d"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), keep_ids=False).alias("d"))
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
@@ -34,5 +46,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_language_id, op6_bpe, op8_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op8_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.MIX_SQL}

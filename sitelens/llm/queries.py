@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, mixing, quality, simhash
-from .common import table
+from . import bpe, htmltext, langid, mixing, quality, shards, simhash
+from .common import shared_dir, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Arrivals that op2_shards appends, one after the other.
+ARRIVALS = 4
+
+
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in arrivals, compacted after each, and read back from the last version."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, shared_dir(spark, "shards"))
+    for k in range(ARRIVALS):
+        store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        store.compact()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the folds that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -46,5 +60,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op8_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op8_quality_rules)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_shards": "SELECT doc_id, lang, source, n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
+    "op5_mixing": mixing.MIX_SQL,
+}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as bytes and as SQL/Java classes.
 SPACES = " \t\n\x0b\x0c\r"
@@ -49,3 +51,35 @@ def remove(spark: SparkSession, path: str) -> None:
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     """Shuffle width: the session's, never under ``at_least``."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished, unreferenced stages now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
+    """At most ``parts`` - 1 ascending values that cut a column into ranges of like size."""
+    if parts < 2:
+        return []
+    shares = [k / parts for k in range(1, parts)]
+    return sorted(set(df.select(F.percentile_approx(column, shares, 20 * parts)).first()[0] or []))
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are at or below a value, by binary search; null: 0."""
+    if not bounds:
+        return F.lit(0)
+    cuts = F.array(*(F.lit(b) for b in bounds))
+
+    def halve(cuts: Column, s: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        open_ = s["lo"] < s["hi"]
+        below = open_ & (F.get(cuts, middle) <= value)
+        return F.struct(F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~below, middle).otherwise(s["hi"]).alias("hi"))
+
+    first = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    found = F.get(F.transform(F.array(cuts), lambda c: F.aggregate(steps, first, lambda s, _: halve(c, s), lambda s: s["lo"])), F.lit(0))
+    return F.when(value.isNull(), 0).otherwise(found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, minhash, mixing, quality, shards, simhash
+from . import bpe, htmltext, langid, minhash, mixing, quality, shards, simhash, tokenfile
 from .common import shared_dir, table
 
 
@@ -60,12 +60,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, written as range-coded files in doc_id order and read back."""
+    path = shared_dir(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    return tokenfile.read(spark, path)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return minhash.edit_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op8_quality_rules, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op8_quality_rules, op9_token_files, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {
     "op2_shards": "SELECT doc_id, lang, source, n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "op5_mixing": mixing.MIX_SQL,

@@ -119,4 +119,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """All rows and columns of ``docs`` with the surface counts, ``llr``, ``base_failed`` and ``kept``."""
     weights = bucket_weights(docs if fit_on is None else fit_on, trusted_ids(labels))
     out = surface_rules(score(docs, weights))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("llr"), F.lit(float("-inf"))) >= threshold))
+    verdict = ~F.col("base_failed") & (F.coalesce(F.col("llr"), F.lit(float("-inf"))) >= threshold)
+    # The row number makes this projection a barrier: a filter on ``kept`` would otherwise be
+    # pushed below it and repeat the nested array expressions for every element.
+    return out.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, verdict))

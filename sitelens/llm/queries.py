@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, minhash, mixing, quality, shards, simhash, tokenfile
+from . import bpe, htmltext, katz, langid, minhash, mixing, quality, shards, simhash, tokenfile
 from .common import shared_dir, table
 
 
@@ -54,6 +54,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and Katz scores of every text, learned from the folds that are not held out."""
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface rules and the verdict of the likelihood ratio, one row per document."""
     out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -72,7 +77,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edit_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op8_quality_rules, op9_token_files, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op7_katz, op8_quality_rules, op9_token_files, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {
     "op2_shards": "SELECT doc_id, lang, source, n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "op5_mixing": mixing.MIX_SQL,

@@ -245,7 +245,8 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     found = near_duplicates(docs, radius).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     found = materialise(found, "kept")
-    stay = docs.join(found.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # by shuffle at every size, so that a small run tells what a large one will move
+    stay = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     if not found.filter("_rows > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id"])
     nameless = docs.filter(F.col("doc_id").isNull())

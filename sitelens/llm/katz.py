@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions_for, release
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 #: Counts up to this one get Good-Turing discounts.
 GT_MAX = 5
+#: Hash ranges that a task owns; it has one in memory at a time.
+RANGES_PER_TASK = 2
 #: Ranges of the second word over which a hot context is spread.
 SALTS = 64
 
@@ -431,17 +433,18 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = partitions_for(spark)
+    ranges = RANGES_PER_TASK * parts
     texts = docs.select("doc_id", (held_out() if held is None else held).alias("held_out"), "text")
 
-    words = materialise(_deal(texts.mapInArrow(_word_requests(parts), _MESSAGE), parts).mapInArrow(_word_owner(max(4096, 4 * parts)), _MESSAGE), "word-counts")
+    words = materialise(_deal(texts.mapInArrow(_word_requests(ranges), _MESSAGE), parts).mapInArrow(_word_owner(max(4096, 4 * ranges)), _MESSAGE), "word-counts")
     release(spark)
     totals = [struct.unpack("<qq", bytes(r["data"])) for r in words.filter(F.col("kind") == TOTALS).select("data").collect()]
     unigrams = Unigrams(sum(t for t, _ in totals), sum(v for _, v in totals))
     heavy = [unpack(bytes(r["data"])) for r in words.filter(F.col("kind") == HEAVY).select("data").collect()]
-    # at most 4 * parts words can have that share of all tokens; so can START
-    hot = np.array([START, *(w for ws, cs in heavy for w, c in zip(ws, cs, strict=True) if int(c) * 4 * parts >= max(unigrams.tokens, 1))], _U)
+    # at most 4 * ranges words can have that share of all tokens; so can START
+    hot = np.array([START, *(w for ws, cs in heavy for w, c in zip(ws, cs, strict=True) if int(c) * 4 * ranges >= max(unigrams.tokens, 1))], _U)
 
-    bigrams = materialise(_deal(texts.mapInArrow(_bigram_requests(parts, hot), _MESSAGE), parts).mapInArrow(_bigram_owner(parts), _MESSAGE), "bigram-counts")
+    bigrams = materialise(_deal(texts.mapInArrow(_bigram_requests(ranges, hot), _MESSAGE), parts).mapInArrow(_bigram_owner(ranges), _MESSAGE), "bigram-counts")
     release(spark)
     n = np.zeros(GT_MAX + 1, np.int64)
     for r in bigrams.filter(F.col("kind") == COUNTS_OF_COUNTS).select("data").collect():
@@ -450,7 +453,7 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
     answers = words.filter(F.col("kind") == WORD_COUNTS).union(bigrams.filter(F.col("kind") == BIGRAM_COUNTS))
     met = _deal(texts.mapInArrow(_payloads, _MESSAGE).union(answers), parts)
-    scored = materialise(met.mapInArrow(_score(unigrams, discounts, parts, hot), _SCORED), "scored")
+    scored = materialise(met.mapInArrow(_score(unigrams, discounts, ranges, hot), _SCORED), "scored")
     release(spark)
 
     after = scored.filter(F.col("after").isNotNull()).select(F.lit(SEEN_AFTER).alias("kind"), "to", F.lit(-1).cast("long").alias("sender"), F.col("after").alias("data"))

@@ -37,7 +37,9 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK = 4096
 #: Blocks coded in lockstep; bounds the memory of a task.
-LANES = 2048
+LANES = 1024
+#: Characters given to the tokenizer at once.
+ENCODE_CHARS = 1 << 19
 MAGIC = b"CMR1"
 _HEADER = struct.Struct("<4sIII")  # magic, ids, CRC-32 of the ids, payload bytes
 
@@ -300,20 +302,31 @@ def _files(name: str):
                 table = struct.pack("<I", len(index)) + nulls + np.array([(d or 0, n) for d, n in index], "<i8").tobytes()
                 yield row([-1], [table], [sum(n for _, n in index)])
 
-        for batch in batches:
-            files, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            coded = tokenizer.encode_batch_fast(batch.column(2).to_pylist(), add_special_tokens=False)
-            for f, d, e in zip(files, docs, coded, strict=True):
-                if f != file:
-                    if file is not None:
-                        yield from blocks(True)
-                    file, index, ids, held, part = f, [], [], 0, 0
-                own = np.array([*e.ids, END_ID], np.uint32)
-                index.append((d, len(own)))
-                ids.append(own)
-                held += len(own)
-                if held >= BLOCK * LANES:
-                    yield from blocks(False)
+        def encoded():
+            """Rows with their ids, a few texts at a time: the library's encodings are many times a text's size."""
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                at = 0
+                while at < len(columns[2]):
+                    size, end = 0, at
+                    while end < len(columns[2]) and (end == at or size + len(columns[2][end]) <= ENCODE_CHARS):
+                        size += len(columns[2][end])
+                        end += 1
+                    coded = tokenizer.encode_batch_fast(columns[2][at:end], add_special_tokens=False)
+                    yield from zip(columns[0][at:end], columns[1][at:end], (e.ids for e in coded), strict=True)
+                    at = end
+
+        for f, d, e in encoded():
+            if f != file:
+                if file is not None:
+                    yield from blocks(True)
+                file, index, ids, held, part = f, [], [], 0, 0
+            own = np.array([*e, END_ID], np.uint32)
+            index.append((d, len(own)))
+            ids.append(own)
+            held += len(own)
+            if held >= BLOCK * LANES:
+                yield from blocks(False)
         if file is not None:
             yield from blocks(True)
 

@@ -188,7 +188,8 @@ def bspline(z: Column, low: float, high: float, knots: int, degree: int) -> list
     t = [low + step * i for i in range(-degree, knots + degree)]
     v = F.least(F.greatest(z, F.lit(low)), F.lit(high))
     last = degree + knots - 2  # the interval that holds the upper end
-    basis = [F.when((v >= t[i]) & ((v < t[i + 1]) if i != last else (v <= t[i + 1])), 1.0).otherwise(0.0) for i in range(len(t) - 1)]
+    inside = lambda i: (v >= t[i]) & ((v < t[i + 1]) if i < last else (v <= t[i + 1]))
+    basis = [F.when(inside(i), 1.0).otherwise(0.0) if i <= last else F.lit(0.0) for i in range(len(t) - 1)]
     for d in range(1, degree + 1):
         basis = [(v - t[i]) / (t[i + d] - t[i]) * basis[i] + (t[i + d + 1] - v) / (t[i + d + 1] - t[i + 1]) * basis[i + 1] for i in range(len(basis) - 1)]
     return basis

@@ -133,9 +133,9 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 # -- filters and projections ------------------------------------------------------------------
 
 
-@query("region_filter", _with("fx_specimen") + "SELECT orderkey, line, lon, lat, region FROM fx_specimen WHERE lon BETWEEN 112 AND 134 AND lat BETWEEN 36 AND 50 AND regexp_matches(region, '(?i)china|united|an$')")
+@query("region_filter", _with("fx_specimen") + "SELECT orderkey, line, lon, lat, region FROM fx_specimen WHERE lon BETWEEN 112 AND 134 AND lat BETWEEN 36 AND 50 AND regexp_matches(region, '(?i)nation_1|_2$')")
 def _(spark, d):
-    return enrich.filter_region(_specimens(spark, d), (112, 36, 134, 50), ["china", "united", "an$"]).select("orderkey", "line", "lon", "lat", "region")
+    return enrich.filter_region(_specimens(spark, d), (112, 36, 134, 50), ["nation_1", "_2$"]).select("orderkey", "line", "lon", "lat", "region")
 
 
 @query("quality_filter", _with("fx_specimen") + "SELECT orderkey, line, cn FROM fx_specimen WHERE (cn IS NULL OR cn BETWEEN 2.9e0 AND 3.6e0) AND d13c_coll IS NOT NULL AND d15n_coll IS NOT NULL")

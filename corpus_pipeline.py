@@ -10,17 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import bpe, langid, mixing, quality, simhash
-from sitelens.llm.common import remove, shared_dir, table
+from sitelens.llm.common import packed, remove, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
+    return quality.quality_rules(packed(docs, "doc_id", "text"), table(spark, sf_dir, "labels")).filter("kept").select("document.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a clear margin."""
-    return langid.identify(docs, docs.filter(~langid.held_out())).filter("accepted").select(docs.columns)
+    return langid.identify(packed(docs, "text"), docs.filter(~langid.held_out())).filter("accepted").select("document.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated to the target source shares, in random order."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix_rows(docs).select("document.*")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

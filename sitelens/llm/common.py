@@ -83,3 +83,8 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
     found = F.get(F.transform(F.array(cuts), lambda c: F.aggregate(steps, first, lambda s, _: halve(c, s), lambda s: s["lo"])), F.lit(0))
     return F.when(value.isNull(), 0).otherwise(found)
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns beside ``document``, a struct of all columns: no computed name can clash with an extra one."""
+    return docs.select(*needed, F.struct(*docs.columns).alias("document"))

@@ -10,6 +10,7 @@ unless they are mostly links.
 
 Defined results: null, empty and text-less pages give empty text and 0
 characters; unclosed tags end at the page's end; repeated rows each give theirs.
+Extra columns pass through, those named like a computed one are replaced.
 """
 
 from __future__ import annotations

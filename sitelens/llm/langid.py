@@ -9,7 +9,8 @@ language with more training documents, then to the first by name.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and are not accepted; with nothing to learn from every text is ``und``; repeated
-rows are each classified; rows with null lang are never learned from.
+rows are each classified; rows with null lang are never learned from.  Extra
+columns pass through, those named like a computed one are replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ upper 16 bits each, in hex; likeness is the share of equal places.
 ``similar`` joins signature bands in Spark and verifies candidates by the exact
 Jaccard similarity of their shingle sets.
 
-Defined results: null is an empty text; texts without words share one signature;
+Defined results: null is an empty text; texts without words share one signature and are alike;
 rows of one doc_id follow each other by text, null doc_ids come last; a single
 row is its own next document; extra columns are ignored.
 """
@@ -223,27 +223,35 @@ def _shingle_sets(text: pa.Array) -> pa.Array:
     return pa.array([np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds, bounds[1:], strict=False)], pa.list_(pa.int64()))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def similar(docs: DataFrame, least: float = MIN_JACCARD) -> DataFrame:
     """(doc_id, class_id) of every row: documents linked by a verified Jaccard similarity of ``least`` or more.
 
-    Equal texts are one class member from the start.  Different texts that share
-    a band are candidates; each pair is verified once, by shingle sets that are
-    fetched for candidates only.  Band buckets are joined with themselves on
-    distinct texts, so copies never multiply pairs.
+    Equal texts are one node.  In a bucket of equal bands each node is verified
+    against the bucket's first; nodes that pass are connected through it.  Only
+    those that fail are compared with all others of the bucket, so a large group
+    of near copies gives as many pairs as it has nodes, and no link that matters
+    is lost.  Shingle sets are made for nodes that share a band only.
     """
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    texts = keyed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    bands = materialise(texts.select("node", F.explode(_band_keys(F.col("text"))).alias("band")), "bands")
-    pairs = bands.alias("x").join(bands.alias("y"), "band").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = materialise(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialise(texts.join(wanted, "node", "left_semi").select("node", _shingle_sets(F.col("text")).alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.filter(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    roots = connected_components(links)
-    first = keyed.groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = first.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = materialise(keyed.select("doc_id", "node", _band_keys(F.col("text")).alias("keys")), "marked")
+    first = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
+    bands = materialise(marked.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("band")), "bands")
+    centres = bands.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "a")
+    spokes = materialise(bands.join(centres, "band").filter("node <> a").select("band", "a", F.col("node").alias("b")), "spokes")
+    wanted = spokes.select(F.col("a").alias("node")).union(spokes.select("b")).distinct()
+    sets = materialise(keyed.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", _shingle_sets(F.col("text")).alias("s")), "sets")
+    near = materialise(_verified(spokes.select("a", "b").distinct(), sets, least), "near")
+    apart = spokes.join(near, ["a", "b"], "left_anti").select("band", F.col("b").alias("x"))
+    others = apart.join(bands, "band").filter("x <> node").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    links = near.union(_verified(others, sets, least))
+    rooted = first.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     named = rooted.join(ids, "root").select("node", "class_id")
-    return keyed.select("doc_id", "node").join(named, "node", "left").select("doc_id", "class_id")
+    return marked.select("doc_id", "node").join(named, "node", "left").select("doc_id", "class_id")

@@ -64,20 +64,28 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     return sized.select("source", "size", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
-    """Copies of documents in a random global order, with rate, n_copies, copy_no and place.
+def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
+    """(document, rate, n_copies, copy_no, place): copies of documents, each a struct of all its columns, in a random global order.
 
     ``place`` orders the copies of one partition; partitions are dealt by its hash.
     """
-    rates = source_rates(docs, weights, total, power).select(F.col("source").alias("_source"), "rate", poisson_steps(F.col("rate")).alias("_steps"))
+    rates = source_rates(docs, weights, total, power).select("source", "rate", poisson_steps(F.col("rate")).alias("steps"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    u = uniform(F.col("doc_id"), seed=seed) / F.lit(float(16**13))
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col("_source")), "left")
-    counted = joined.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_steps", lambda c: c <= F.col("_u"))))
-    copies = counted.filter("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    placed = copies.withColumn("place", uniform(F.col("doc_id"), F.col("copy_no"), seed=seed + 1)).drop("_source", "_steps", "_u")
-    return placed.repartition(partitions_for(docs.sparkSession), "place").sortWithinPartitions("place", "doc_id", "copy_no")
+    whole = docs.select(F.struct(*docs.columns).alias("document"))
+    joined = whole.join(rates, F.col("document.source").eqNullSafe(F.col("source")), "left")
+    drawn = joined.withColumn("u", uniform(F.col("document.doc_id"), seed=seed) / F.lit(float(16**13))).filter(F.get("steps", F.lit(0)) <= F.col("u"))
+    counted = drawn.withColumn("n_copies", F.size(F.filter("steps", lambda c: c <= F.col("u"))))
+    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    placed = copies.select("document", "rate", "n_copies", "copy_no", uniform(F.col("document.doc_id"), F.col("copy_no"), seed=seed + 1).alias("place"))
+    return placed.repartition(partitions_for(docs.sparkSession), "place").sortWithinPartitions("place", F.col("document.doc_id"), "copy_no")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``mix_rows`` with the documents' columns spread out; a column named like a computed one is replaced."""
+    computed = ("rate", "n_copies", "copy_no", "place")
+    kept = [c for c in docs.columns if c.lower() not in computed]
+    return mix_rows(docs, **options).select(*(F.col("document")[c].alias(c) for c in kept), *computed)
 
 
 #: The same in DuckDB's SQL, for the query with default parameters.

@@ -9,7 +9,8 @@ many repeated word windows) are computed beside it.
 Defined results: null text has no words, fails the surface rules and is not
 kept; repeated rows are each scored; with no trusted document at all both
 multinomials are flat, every ratio is 0 and only the surface rules decide.
-Extra columns pass through untouched.
+Extra columns pass through; those named like a computed column are replaced, and
+names that begin with an underscore are reserved.
 """
 
 from __future__ import annotations

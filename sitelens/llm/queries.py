@@ -61,7 +61,7 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface rules and the verdict of the likelihood ratio, one row per document."""
-    out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
@@ -77,7 +77,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edit_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op7_katz, op8_quality_rules, op9_token_files, op10_minhash)}
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document by signature bands and verified Jaccard similarity."""
+    return minhash.similar(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op7_katz, op8_quality_rules, op9_token_files, op10_minhash, similar_documents)}
 ORACLE_SQL: dict[str, str] = {
     "op2_shards": "SELECT doc_id, lang, source, n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "op5_mixing": mixing.MIX_SQL,

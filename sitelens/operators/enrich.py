@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import ALL_ANIMALS, ALL_TAXA, COORD_QUALITY, HUMAN_TAXON, NO_QUALITY, PERIODS, REGION_CENTROIDS, ZONES, first_case, period_order
-from ..functions.text import normalised_site, taxon_group, with_human
+from ..functions.text import any_of, normalised_site, taxon_group, with_human
 from ..schema import no_nan
 
 #: A lookup side is broadcast up to this many rows and joined by shuffle beyond.
@@ -91,13 +91,19 @@ def any_midpoint() -> Column:
 
 
 def period_by_date(mid: Column, periods=PERIODS) -> Column:
-    return first_case(((mid <= p.bp_start) & (mid > p.bp_end), p.key) for p in periods)
+    """First period that holds a date: one comparison for each bound, from the oldest on."""
+    bounds = sorted({float(b) for p in periods for b in (p.bp_start, p.bp_end)}, reverse=True)
+    out = F.when(mid > bounds[0], F.lit(None).cast("string"))
+    for older, younger in zip(bounds, bounds[1:], strict=False):
+        holds = next((p.key for p in periods if younger >= p.bp_end and older <= p.bp_start), None)
+        out = out.when(mid > younger, F.lit(holds).cast("string"))
+    return out
 
 
 def period_by_culture(culture: Column, periods=PERIODS) -> Column:
     """First period one of whose keywords the culture contains."""
     s = F.lower(F.coalesce(culture, F.lit("")))
-    return first_case((reduce(Column.__or__, (s.contains(k) for k in p.keywords)), p.key) for p in periods if p.keywords)
+    return first_case((s.rlike(any_of(p.keywords)), p.key) for p in periods if p.keywords)
 
 
 def assign_period(df: DataFrame, periods=PERIODS, culture: str = "culture", out: str = "period") -> DataFrame:

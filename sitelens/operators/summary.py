@@ -88,38 +88,42 @@ def continuous_runs(table: DataFrame, min_periods: int = 2) -> DataFrame:
     return runs.select("zone", F.concat_ws(",", F.transform("p", lambda x: x["period"])).alias("periods"), F.size("p").alias("run_length")).filter(F.col("run_length") >= min_periods)
 
 
-def adjacent_changes(df: DataFrame, value: str, min_n: int = 3, test: bool = True) -> DataFrame:
-    """Change of a value between consecutive periods inside a zone, with a Mann-Whitney test.
+def _counted(df: DataFrame, value: str) -> DataFrame:
+    """(zone, period, v, c): rows of each distinct value; what the tests below are built on, so they scan once."""
+    known = df.select("zone", "period", F.col(value).alias("v")).filter(F.col("zone").isNotNull() & F.col("period").isNotNull() & F.col("v").isNotNull())
+    return known.groupBy("zone", "period", "v").agg(F.count(F.lit(1)).alias("c"))
 
-    Rows are counted by distinct value before they are ranked, so ranking windows
-    hold values, not rows.
-    """
-    rows = df.filter(F.col("zone").isNotNull() & F.col(value).isNotNull()).withColumn("o", period_rank(F.col("period"))).filter(F.col("o").isNotNull())
-    cells = rows.groupBy("zone", "o").agg(F.first("period").alias("period"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+
+def _midranks(pooled: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds _rank to distinct values with their counts _c: windows hold values, not rows."""
+    w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return pooled.withColumn("_rank", F.sum("_c").over(w) - F.col("_c") + (F.col("_c") + 1) / 2)
+
+
+def adjacent_changes(df: DataFrame, value: str, min_n: int = 3, test: bool = True) -> DataFrame:
+    """Change of a value between consecutive periods inside a zone, with a Mann-Whitney test."""
+    counted = _counted(df, value).withColumn("o", period_rank(F.col("period"))).filter(F.col("o").isNotNull())
+    cells = counted.groupBy("zone", "o", "period").agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
     a, b = cells.alias("a"), cells.alias("b")
     pairs = a.join(b, (F.col("a.zone") == F.col("b.zone")) & (F.col("a.o") + 1 == F.col("b.o"))).filter((F.col("a.n") >= min_n) & (F.col("b.n") >= min_n))
     out = pairs.select(F.col("a.zone").alias("zone"), F.col("a.o").alias("o"), F.col("a.period").alias("from_period"), F.col("b.period").alias("to_period"), F.col("a.n").alias("from_n"), F.col("b.n").alias("to_n"), F.col("a.mean").alias("from_mean"), F.col("b.mean").alias("to_mean"), (F.col("b.mean") - F.col("a.mean")).alias("delta"))
     if not test:
         return out.drop("o")
-    counted = rows.groupBy("zone", "o", value).agg(F.count(F.lit(1)).alias("c"))
-    both = counted.select("zone", "o", value, F.col("c").alias("first"), F.lit(0).cast("long").alias("second")).union(counted.select("zone", F.col("o") - 1, value, F.lit(0).cast("long"), "c"))
-    pooled = both.groupBy("zone", "o", value).agg(F.sum("first").alias("first"), F.sum("second").alias("second")).withColumn("_c", F.col("first") + F.col("second"))
-    w = Window.partitionBy("zone", "o").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = pooled.withColumn("_rank", F.sum("_c").over(w) - F.col("_c") + (F.col("_c") + 1) / 2)
-    sums = ranks.groupBy("zone", "o").agg(F.sum(F.col("first") * F.col("_rank")).alias("_r"), F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
+    # a value counts as a later one for the period before and as an earlier one for its own
+    sides = F.explode(F.array(F.struct(F.col("o").alias("o"), F.col("c").alias("first")), F.struct((F.col("o") - 1).alias("o"), F.lit(0).cast("long").alias("first"))))
+    both = counted.select("zone", "v", "c", sides.alias("s")).groupBy("zone", F.col("s.o").alias("o"), "v").agg(F.sum("s.first").alias("first"), F.sum("c").alias("_c"))
+    sums = _midranks(both, ["zone", "o"]).groupBy("zone", "o").agg(F.sum(F.col("first") * F.col("_rank")).alias("_r"), F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
     tested = out.join(sums, ["zone", "o"]).withColumn("u", F.col("_r") - F.col("from_n") * (F.col("from_n") + 1) / 2)
     return tested.withColumn("p", mann_whitney(F.col("u"), F.col("from_n"), F.col("to_n"), F.col("ties"))).drop("o", "_r")
 
 
 def kruskal(df: DataFrame, value: str, min_n: int = 4) -> DataFrame:
     """Kruskal-Wallis over the periods of each zone that have ``min_n`` values or more; labels are in order of name."""
-    rows = df.filter(F.col("zone").isNotNull() & F.col("period").isNotNull() & F.col(value).isNotNull())
-    groups = rows.groupBy("zone", "period").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
-    counted = rows.groupBy("zone", "period", value).agg(F.count(F.lit(1)).alias("c")).join(groups, ["zone", "period"])
-    pooled = counted.groupBy("zone", value).agg(F.sum("c").alias("_c"))
-    w = Window.partitionBy("zone").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = pooled.withColumn("_rank", F.sum("_c").over(w) - F.col("_c") + (F.col("_c") + 1) / 2)
-    sums = counted.join(ranks, ["zone", value]).groupBy("zone", "period").agg(F.sum(F.col("c") * F.col("_rank")).alias("r"), F.first("n").alias("n"))
+    every = _counted(df, value)
+    groups = every.groupBy("zone", "period").agg(F.sum("c").alias("n")).filter(F.col("n") >= min_n)
+    counted = every.join(groups, ["zone", "period"])
+    ranks = _midranks(counted.groupBy("zone", "v").agg(F.sum("c").alias("_c")), ["zone"])
+    sums = counted.join(ranks, ["zone", "v"]).groupBy("zone", "period").agg(F.sum(F.col("c") * F.col("_rank")).alias("r"), F.first("n").alias("n"))
     ties = ranks.groupBy("zone").agg(F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
     total = sums.groupBy("zone").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.pow("r", F.lit(2)) / F.col("n")).alias("q"), F.array_join(F.array_sort(F.collect_list("period")), ", ").alias("periods"))
     n = F.col("n").cast("double")

@@ -35,16 +35,16 @@ from .common import partitions_for, range_bounds, range_of, release
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
-BLOCK = 4096
+BLOCK = 1024
 #: Blocks coded in lockstep; bounds the memory of a task.
-LANES = 1024
+LANES = 4096
 #: Characters given to the tokenizer at once.
 ENCODE_CHARS = 1 << 19
 MAGIC = b"CMR1"
 _HEADER = struct.Struct("<4sIII")  # magic, ids, CRC-32 of the ids, payload bytes
 
 _U = np.uint64
-_SLOTS = 4096
+_SLOTS = 1024
 _CLASSES = 64
 _REFRESH = 32
 _RATE = 4

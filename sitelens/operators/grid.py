@@ -110,8 +110,9 @@ def thin_by_cell(points: DataFrame, order: str) -> DataFrame:
 
 
 def presence_matrix(points: DataFrame, cells: DataFrame, grid: Grid, bands: list[str], order: str = "site") -> DataFrame:
-    """Band values at points, one point for each cell."""
-    return thin_by_cell(extract(points, cells, grid, bands), order)
+    """Band values at points, one point for each cell; x and y are the cell's centre."""
+    thinned = thin_by_cell(extract(points, cells, grid, bands), order)
+    return thinned.withColumns({"x": grid.x(F.col("col")), "y": grid.y(F.col("row"))})
 
 
 def hash_rank(seed: int, *keys: str) -> Column:

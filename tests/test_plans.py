@@ -45,3 +45,32 @@ def test_stream(spark, sf, tmp_path):
     got = {(r["zone"], r["period"]): r["n"] for r in spark.table("stream_counts").collect()}
     batch = ingest.zone_period_counts(ingest.enrich_stream(spark.read.parquet(str(tmp_path / "in"))))
     assert got == {(r["zone"], r["period"]): r["n"] for r in batch.collect()} and got
+
+
+def test_plot_tables(spark, sf):
+    from sitelens.plans import plots
+
+    data = enrich.assign_zone(enrich.assign_period(queries._specimens(spark, sf)))
+    assert plots.time_series(data).count() > 0 and plots.zone_trajectories(data, "d13C_coll").count() > 0
+    assert plots.niche_ellipses(data, ["taxon_group"]).count() % 100 == 0
+    assert plots.biplot(data).columns == ["group", "x", "y"] and plots.site_map(data).count() > 0 and plots.zone_taxon_biplot(data).count() > 0
+    assert plots.suitability_map(queries._cells(spark, sf), "elev").agg(F.max("scaled")).first()[0] == 1.0
+
+
+def test_scenario_study(spark, sf):
+    cells = queries._cells(spark, sf)
+    sites = queries._sites(spark, sf)
+    out = study.scenario_study(sites, {"lgm": cells.withColumn("bio1", F.col("bio1") - 3), "mid": cells, "current": cells}, queries.GRID, ["bio1", "bio12"], model="bioclim")
+    assert out["change"].count() == 2 and out["extrapolation"].count() == 3
+    threshold = out["threshold"].first()[0]
+    moved = study.dispersal_study(out["surfaces"], "mid", "current", None, threshold, steps=1)
+    assert moved.filter("step = 0").count() > 0
+    presence = queries._thinned(spark, sf)
+    assert study.spatial_cv(presence, queries._background(spark, sf), ["bio1", "bio12"], folds=2, method="checkerboard", block=10.0).count() > 0
+
+
+def test_command_line(capsys):
+    from sitelens.__main__ import main
+
+    main(["template"])
+    assert "자료" in capsys.readouterr().out

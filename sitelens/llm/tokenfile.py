@@ -2,11 +2,11 @@
 
 Ids are cut into blocks of BLOCK ids.  Each block starts from an empty model and
 carries its length and a CRC-32 of its ids, so any block decodes alone and a
-damaged one is found.  An id is coded in up to four steps: is it what followed
-the last two ids before (order 2), else what followed the last id (order 1), and
-else by an adaptive order-0 distribution over classes of ids (the position of
-the highest bit and the two bits below it) and the bits that are left.  Hit
-probabilities mix two adaptive estimates by a learned weight.  All arithmetic is
+damaged one is found.  One range-coding step tells whether an id is what
+followed the last two ids before (order 2), else what followed the last id
+(order 1), or else its class in an adaptive order-0 distribution (the position
+of the highest bit and the two bits below it); a second step has the bits that
+are left.  Hit probabilities mix two adaptive estimates by a learned weight.  All arithmetic is
 on integers, so files decode alike everywhere.
 
 Blocks are coded in lockstep, one numpy lane each.  ``write`` stores rows of
@@ -64,6 +64,14 @@ def _from_class(cls: np.ndarray, low: np.ndarray) -> np.ndarray:
     return ((4 + (cls & 3)) << left) + low - 4
 
 
+def _class_share(first, second, bounds, cls):
+    """(start, width) of a class in what both guesses leave of 2**32; never empty, as its bounds are 16 apart or more."""
+    row = np.arange(len(cls))
+    left = _U(1 << 32) - first - second
+    low, high = (bounds[row, c].astype(_U) * left >> _U(16) for c in (cls, cls + 1))
+    return first + second + low, high - low
+
+
 class _Encoder:
     """64-bit range coders, one per lane, that emit 16-bit words and carry into what they emitted."""
 
@@ -80,12 +88,13 @@ class _Encoder:
             self._carry(lanes[over])
         spread = unit * width
         small = np.flatnonzero(spread < _U(1 << 48))
-        if len(small):
+        while len(small):
             at = lanes[small]
             self.out[at, self.size[at]] = (moved[small] >> _U(48)).astype(np.uint16)
             self.size[at] += 1
             moved[small] <<= _U(16)
             spread[small] <<= _U(16)
+            small = small[spread[small] < _U(1 << 48)]
         self.low[lanes], self.range[lanes] = moved, spread
 
     def _carry(self, lanes):
@@ -95,17 +104,14 @@ class _Encoder:
             on = self.out[lanes, at] == 0
             lanes, at = lanes[on], at[on] - 1
 
-    def bit(self, lanes, p, bit):
-        """p: chance of a one, of 2**16."""
-        p = p.astype(_U)
-        self._step(lanes, np.where(bit, _U(0), p), self.range[lanes] >> _U(16), np.where(bit, p, _U(_ONE) - p))
-        return bit
-
-    def symbol(self, lanes, bounds, symbol):
-        row = np.arange(len(lanes))
-        start = bounds[row, symbol].astype(_U)
-        self._step(lanes, start, self.range[lanes] >> _U(16), bounds[row, symbol + 1].astype(_U) - start)
-        return symbol
+    def choose(self, lanes, first, second, bounds, hit2, hit1, cls):
+        """One of: the first guess, the second, or a class; shares of 2**32 each."""
+        rest = np.flatnonzero(~(hit2 | hit1))
+        start, width = np.where(hit2, _U(0), first), np.where(hit2, first, second)
+        if len(rest):
+            start[rest], width[rest] = _class_share(first[rest], second[rest], bounds[lanes[rest]], cls)
+        self._step(lanes, start, self.range[lanes] >> _U(32), width)
+        return hit2, hit1, rest, cls
 
     def plain(self, lanes, bits, value):
         self._step(lanes, value.astype(_U), self.range[lanes] >> bits.astype(_U), np.ones(len(lanes), _U))
@@ -137,27 +143,30 @@ class _Decoder:
     def _step(self, lanes, start, unit, width):
         above, spread = self.above[lanes] - unit * start, unit * width
         small = np.flatnonzero(spread < _U(1 << 48))
-        if len(small):
+        while len(small):
             at = lanes[small]
             above[small] = above[small] << _U(16) | self.words[at, self.at[at]].astype(_U)
             self.at[at] += 1
             spread[small] <<= _U(16)
+            small = small[spread[small] < _U(1 << 48)]
         self.above[lanes], self.range[lanes] = above, spread
 
-    def bit(self, lanes, p, _):
-        p, unit = p.astype(_U), self.range[lanes] >> _U(16)
-        bit = self.above[lanes] < unit * p
-        self._step(lanes, np.where(bit, _U(0), p), unit, np.where(bit, p, _U(_ONE) - p))
-        return bit
-
-    def symbol(self, lanes, bounds, _):
-        unit = self.range[lanes] >> _U(16)
-        place = np.minimum(self.above[lanes] // unit, _U(_ONE - 1)).astype(np.uint32)
-        symbol = (bounds[:, 1:] <= place[:, None]).sum(axis=1)
-        row = np.arange(len(lanes))
-        start = bounds[row, symbol].astype(_U)
-        self._step(lanes, start, unit, bounds[row, symbol + 1].astype(_U) - start)
-        return symbol
+    def choose(self, lanes, first, second, bounds, *_):
+        unit = self.range[lanes] >> _U(32)
+        place = np.minimum(self.above[lanes] // unit, _U((1 << 32) - 1))
+        hit2 = place < first
+        hit1 = ~hit2 & (place < first + second)
+        rest = np.flatnonzero(~(hit2 | hit1))
+        start, width = np.where(hit2, _U(0), first), np.where(hit2, first, second)
+        cls = None
+        if len(rest):
+            a, b, own = first[rest], second[rest], bounds[lanes[rest]]
+            # the bounds, scaled as _class_share does, that lie at or below the place
+            most = ((place[rest] - a - b + _U(1) << _U(16)) - _U(1)) // (_U(1 << 32) - a - b)
+            cls = np.count_nonzero(own[:, 1:] <= most.astype(np.uint32)[:, None], axis=1)
+            start[rest], width[rest] = _class_share(a, b, own, cls)
+        self._step(lanes, start, unit, width)
+        return hit2, hit1, rest, cls
 
     def plain(self, lanes, bits, _):
         unit = self.range[lanes] >> bits.astype(_U)
@@ -167,64 +176,81 @@ class _Decoder:
 
 
 class _Mix:
-    """Chance of a hit: two adaptive estimates, by confidence alone and with a second context, and a weight per lane."""
+    """Chance of a hit: two adaptive estimates, by confidence alone and with a second context, and a weight per lane.
+
+    Tables are flat; ``at`` is a lane's place times the row's width.
+    """
 
     def __init__(self, lanes: int):
-        self.narrow, self.wide, self.weight = np.full((lanes, 8), 1 << 14, np.int32), np.full((lanes, 64), 1 << 14, np.int32), np.full(lanes, 128, np.int32)
+        self.narrow, self.wide, self.weight = np.full(lanes * 8, 1 << 14, np.int32), np.full(lanes * 64, 1 << 14, np.int32), np.full(lanes, 128, np.int32)
 
-    def code(self, coder, lanes, sure, beside, bit):
-        first, second, w = self.narrow[lanes, sure], self.wide[lanes, sure * 8 + beside], self.weight[lanes]
-        p = np.clip((first * (256 - w) + second * w) >> 8, 64, _ONE - 64)
-        bit = coder.bit(lanes, p, bit)
-        goal = np.where(bit, _ONE - 1, 0)
-        self.narrow[lanes, sure] = first + ((goal - first) >> _RATE)
-        self.wide[lanes, sure * 8 + beside] = second + ((goal - second) >> _RATE)
-        self.weight[lanes] = np.clip(w + np.where((second > first) == bit, 2, -2), 0, 256)
-        return bit
+    def chance(self, lanes, sure, beside):
+        """(chance of 2**16, what ``learn`` needs)."""
+        i = lanes * 8 + sure
+        j = i * 8 + beside
+        first, second, w = self.narrow[i], self.wide[j], self.weight[lanes]
+        p = np.minimum(np.maximum((first * (256 - w) + second * w) >> 8, 64), _ONE - 64)
+        return p.astype(_U), (lanes, i, j, first, second, w)
+
+    def learn(self, seen, hit, among=None):
+        lanes, i, j, first, second, w = seen if among is None else (v[among] for v in seen)
+        goal = hit.astype(np.int32) * (_ONE - 1)
+        self.narrow[i] = first + ((goal - first) >> _RATE)
+        self.wide[j] = second + ((goal - second) >> _RATE)
+        self.weight[lanes] = np.minimum(np.maximum(w + ((second > first) == hit) * 4 - 2, 0), 256)
 
 
 def _run(coder, lengths: np.ndarray, ids: np.ndarray, known: bool) -> None:
     """The model over all lanes in lockstep; with ``known`` it codes ``ids``, else it fills them in."""
     lanes, steps = ids.shape
-    next2, next1 = np.zeros((lanes, _SLOTS), np.int32), np.zeros((lanes, _SLOTS), np.int32)
-    sure2, sure1 = np.zeros((lanes, _SLOTS), np.int8), np.zeros((lanes, _SLOTS), np.int8)
+    guesses = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
+    sures = [np.zeros(lanes * _SLOTS, np.int8) for _ in range(2)]
     mix2, mix1 = _Mix(lanes), _Mix(lanes)
     counts = np.ones((lanes, _CLASSES), np.int64)
     bounds = np.zeros((lanes, _CLASSES + 1), np.uint32)
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    on = np.arange(lanes)
+    columns = np.ascontiguousarray(ids.T) if known else None
     for t in range(steps):
         if t % _REFRESH == 0:
             summed = np.cumsum(counts, axis=1)
-            bounds[:, 1:] = summed * (_ONE - _CLASSES) // summed[:, -1:] + np.arange(1, _CLASSES + 1)
-        on = np.flatnonzero(lengths > t)
-        x = ids[on, t] if known else None
-        pa_, pb = a[on], b[on]
-        slot1 = pb * 40503 >> 4 & (_SLOTS - 1)
-        slot2 = ((pa_ * 25717 + pb * 40503) >> 3) & (_SLOTS - 1)
-        guess2, guess1 = next2[on, slot2], next1[on, slot1]
-        c2, c1 = sure2[on, slot2].astype(np.int64), sure1[on, slot1].astype(np.int64)
+            bounds[:, 1:] = summed * (_ONE - 16 * _CLASSES) // summed[:, -1:] + 16 * np.arange(1, _CLASSES + 1)
+        going = lengths[on] > t
+        if not going.all():
+            on, a, b = on[going], a[going], b[going]
+        x = columns[t][on] if known else None
+        base = on * _SLOTS
+        at1 = base + (b * 40503 >> 4 & (_SLOTS - 1))
+        at2 = base + (a * 25717 + b * 40503 >> 3 & (_SLOTS - 1))
+        guess2, guess1 = guesses[0][at2], guesses[1][at1]
+        c2, c1 = sures[0][at2].astype(np.int64), sures[1][at1].astype(np.int64)
         same = (guess2 == guess1) & (c2 > 0)
-        hit2 = mix2.code(coder, on, c2, np.minimum(c1, 3) * 2 + same, x == guess2 if known else None)
-        got = np.where(hit2, guess2, -1).astype(np.int64)
-        rest = np.flatnonzero(~hit2)
-        if len(rest):
-            hit1 = mix1.code(coder, on[rest], c1[rest], np.minimum(c2[rest], 3) * 2 + same[rest], x[rest] == guess1[rest] if known else None)
-            got[rest[hit1]] = guess1[rest[hit1]]
-            rest = rest[~hit1]
+        p2, seen2 = mix2.chance(on, c2, np.minimum(c1, 3) * 2 + same)
+        p1, seen1 = mix1.chance(on, c1, np.minimum(c2, 3) * 2 + same)
+        first = p2 << _U(16)
+        second = (_U(1 << 32) - first) * p1 >> _U(16)
+        hit2 = hit1 = cls = low = None
+        if known:
+            hit2 = x == guess2
+            hit1 = ~hit2 & (x == guess1)
+            cls, left, low = _classes(x[~(hit2 | hit1)])
+        hit2, hit1, rest, cls = coder.choose(on, first, second, bounds, hit2, hit1, cls)
+        got = np.where(hit2, guess2, guess1).astype(np.int64)
         if len(rest):
             own = on[rest]
-            cls, left, low = _classes(x[rest]) if known else (None, None, None)
-            cls = coder.symbol(own, bounds[own], cls)
             low = coder.plain(own, cls >> 2, low)
             got[rest] = _from_class(cls, low.astype(np.int64))
             counts[own, cls] += 24
+        mix2.learn(seen2, hit2)
+        missed = np.flatnonzero(~hit2)
+        mix1.learn(seen1, hit1[missed], missed)
         if not known:
             ids[on, t] = got
-        for guess, table, sure, slot, c in ((guess2, next2, sure2, slot2, c2), (guess1, next1, sure1, slot1, c1)):
+        for k, (guess, at, c) in enumerate(((guess2, at2, c2), (guess1, at1, c1))):
             right = guess == got
-            sure[on, slot] = np.where(right, np.minimum(c + 1, 7), np.where(c > 2, c >> 1, 1))
-            table[on, slot] = np.where(right | (c > 2), guess, got)
-        a[on], b[on] = pb, got
+            sures[k][at] = np.where(right, np.minimum(c + 1, 7), np.where(c > 2, c >> 1, 1))
+            guesses[k][at] = np.where(right | (c > 2), guess, got)
+        a, b = b, got
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:

@@ -135,7 +135,7 @@ def sample_background(cells: DataFrame, n: int, bands: list[str], seed: int = 42
 
 
 def resample(source: DataFrame, source_grid: Grid, target: Grid, band: str, method: str = "bilinear", divisor: float = 1.0) -> DataFrame:
-    """(row, col, value) of a band on another grid of the same system: nearest, bilinear or average."""
+    """(row, col, value) of a band on another grid of the same system: nearest, bilinear, cubic or average."""
     if source_grid.crs != target.crs:
         raise ValueError("grids of different systems need a projection library")
     spark = source.sparkSession
@@ -149,18 +149,28 @@ def resample(source: DataFrame, source_grid: Grid, target: Grid, band: str, meth
     if method == "nearest":
         near = at.withColumns({"_r": F.floor("_fr").cast("int"), "_c": F.floor("_fc").cast("int")})
         return near.join(known, ["_r", "_c"], "left").select("row", "col", (F.col("v") / divisor).alias("value"))
-    if method != "bilinear":
-        raise ValueError(f"method must be nearest, bilinear or average, not {method!r}")
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    if method not in ("bilinear", "cubic"):
+        raise ValueError(f"method must be nearest, bilinear, cubic or average, not {method!r}")
+    reach = (0, 1) if method == "bilinear" else (-1, 0, 1, 2)
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach)))
     spread = at.withColumns({"_r0": F.floor(F.col("_fr") - 0.5).cast("int"), "_c0": F.floor(F.col("_fc") - 0.5).cast("int")}).withColumn("_k", corner)
-    wr = F.col("_fr") - 0.5 - F.col("_r0")
-    wc = F.col("_fc") - 0.5 - F.col("_c0")
-    weight = F.when(F.col("_k.i") == 1, wr).otherwise(1 - wr) * F.when(F.col("_k.j") == 1, wc).otherwise(1 - wc)
+    kernel = _linear if method == "bilinear" else _cubic
+    away = lambda f, c0, k: F.abs(F.col(f) - 0.5 - F.col(c0) - F.col(k))
+    weight = kernel(away("_fr", "_r0", "_k.i")) * kernel(away("_fc", "_c0", "_k.j"))
     near = spread.select("row", "col", (F.col("_r0") + F.col("_k.i")).alias("_r"), (F.col("_c0") + F.col("_k.j")).alias("_c"), weight.alias("w"))
     found = near.join(known, ["_r", "_c"], "left").withColumn("w", F.when(F.col("v").isNotNull(), F.col("w")))
     return found.groupBy("row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0.0)) / divisor).alias("value"))
 
 
+def _linear(d: Column) -> Column:
+    return F.greatest(1 - d, F.lit(0.0))
+
+
+def _cubic(d: Column) -> Column:
+    """Cubic convolution with a = -1/2."""
+    return F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
+
+
 def stack_slices(slices: dict[str, DataFrame]) -> DataFrame:
     """Cell tables of several times as one, with the column ``slice``."""
     return reduce(lambda a, b: a.unionByName(b), (cells.withColumn("slice", F.lit(name)) for name, cells in slices.items()))

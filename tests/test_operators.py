@@ -287,3 +287,34 @@ def test_empty_tables(spark):
     assert summary.zone_period_table(dated, ["d13C_coll"]).count() == 0
     assert summary.adjacent_changes(dated, "d13C_coll").count() == 0
     assert enrich.inherit_period(dated).count() == 0
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic", "average"])
+def test_resampling_keeps_a_plane(spark, cells, method):
+    plane = cells.withColumn("v", 2 * F.col("x") + 3 * F.col("y"))
+    target = grid.Grid(a=0.5, c=3.0, e=-0.5, f=7.0, height=6, width=8)
+    for r in grid.resample(plane, GRID, target, "v", method).collect():
+        x, y = 3.0 + (r["col"] + 0.5) * 0.5, 7.0 - (r["row"] + 0.5) * 0.5
+        exact = 2 * x + 3 * y
+        if method in ("bilinear", "cubic"):
+            assert abs(r["value"] - exact) < 1e-9
+        elif r["value"] is not None:
+            assert abs(r["value"] - exact) <= 2.5
+    with pytest.raises(ValueError):
+        grid.resample(plane, GRID, target, "v", "magic")
+
+
+def test_mahalanobis_against_numpy(spark, cells):
+    x = np.array([[r["b1"], r["b2"]] for r in cells.collect()])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    s, n = np.cov(z.T, bias=True), len(z)
+    mu = np.trace(s) / 2
+    noise = (((z[:, :, None] * z[:, None, :] - s) ** 2).sum() / n**2) / 2
+    norm = ((s - mu * np.eye(2)) ** 2).sum() / 2
+    k = min(noise, norm) / norm
+    precision = np.linalg.pinv((1 - k) * s + k * mu * np.eye(2))
+    m = models.Mahalanobis().fit(cells, cells, ["b1", "b2"])
+    assert np.allclose(m.precision, precision)
+    r = m.predict(cells).first()
+    q = (np.array([r["b1"], r["b2"]]) - x.mean(axis=0)) / x.std(axis=0)
+    assert abs(r["score"] - math.exp(-q @ precision @ q / 2)) < 1e-9

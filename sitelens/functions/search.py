@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reference distributions up to this many values travel as literals in the plan.
+#: Reference distributions up to this many values travel as literals in the plan; larger ones are joined.
 MAX_REFERENCE = 50_000
 
 
@@ -46,3 +46,23 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], ranges: int
     own = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = placed.join(F.broadcast(offsets), "_range")
     return out.withColumns({o: F.sum(c).over(own) + F.col(f"_b_{o}") for o, c in sums.items()}).drop("_range", *(f"_b_{o}" for o in sums))
+
+
+def ranks(df: DataFrame, column: str, reference: DataFrame, ref_column: str | None = None, below: str = "below", upto: str = "upto", most: int = MAX_REFERENCE) -> DataFrame:
+    """Adds how many reference values are less than, and at or below, ``column`` (null where it is).
+
+    A bounded reference is searched as a sorted literal.  A larger one is counted
+    by distinct value, added up over value ranges together with the values asked
+    for, and joined back on the value.
+    """
+    ref = reference.select(F.col(ref_column or column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    value = F.col(column).cast("double")
+    if ref.limit(most + 1).count() <= most:
+        known = sorted(r[0] for r in ref.collect())
+        a, n = array_of(known), len(known)
+        return df.withColumns({below: position(value, a, n, right=False), upto: position(value, a, n)})
+    counted = ref.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    asked = df.select(value.alias("_v")).filter(F.col("_v").isNotNull()).distinct().withColumn("_c", F.lit(0).cast("long"))
+    every = counted.unionByName(asked).groupBy("_v").agg(F.sum("_c").alias("_c"))
+    table = running_totals(every, "_v", {upto: "_c"}).select("_v", (F.col(upto) - F.col("_c")).alias(below), upto)
+    return df.join(table, value == F.col("_v"), "left").drop("_v")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sites travel to the cells as one array; beyond this many a surface is refused.
-MAX_SITES = 20_000
+from ..shared import materialise
+
+#: Up to so many sites travel to the cells as one array; more are met by tiles.
+MAX_SITES = 5_000
 
 
 def _nearest(sites: list[tuple], k: int, kx: float, ky: float) -> Column:
@@ -23,13 +25,41 @@ def _nearest(sites: list[tuple], k: int, kx: float, ky: float) -> Column:
     return F.slice(F.sort_array(F.transform(table, measured)), 1, k)
 
 
-def _collect_sites(points: DataFrame, value: str) -> list[tuple]:
-    rows = points.filter(F.col(value).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("site", "lon", "lat", value).limit(MAX_SITES + 1).collect()
-    if len(rows) > MAX_SITES:
-        raise ValueError(f"more than {MAX_SITES} sites; aggregate them to a coarser key first")
-    if len(rows) < 2:
-        raise ValueError("a surface needs two sites with values")
-    return sorted(tuple(r) for r in rows)
+def _nearest_by_tiles(cells: DataFrame, sites: DataFrame, k: int, kx: float, ky: float, extent: tuple[float, float, float, float], n: int) -> DataFrame:
+    """Cells with the same ``_near``, for any number of sites: an equi-join on tiles that hold about k sites each.
+
+    A cell looks at the tiles around its own, up to a ring.  It is done when its
+    k-th site is nearer than anything beyond the ring can be; the others look
+    twice as far, so each round has fewer cells.
+    """
+    x0, y0, x1, y1 = extent
+    side = max(math.sqrt(max((x1 - x0) / kx, 1e-9) * max((y1 - y0) / ky, 1e-9) * k / n), 1e-9)
+    tile = lambda v, unit, start: F.floor((v - start) / unit / side).cast("long")
+    placed = sites.select("site", F.col("lon").alias("_sx"), F.col("lat").alias("_sy"), F.col("v"), tile(F.col("lon"), kx, x0).alias("_ti"), tile(F.col("lat"), ky, y0).alias("_tj"))
+    placed = materialise(placed, "sites")
+    left = materialise(cells.withColumns({"_ci": tile(F.col("x"), kx, x0), "_cj": tile(F.col("y"), ky, y0)}), "cells")
+    keys, ring, done = ["row", "col"], 1, []
+    far = left.agg(*(f(F.abs(c)) for c in ("_ci", "_cj") for f in (F.max,)), F.lit(0)).first()
+    most = max(int(far[0] or 0), int(far[1] or 0), math.ceil((x1 - x0) / kx / side), math.ceil((y1 - y0) / ky / side)) * 2 + 1
+    while True:
+        steps = F.sequence(F.lit(-ring), F.lit(ring))
+        probes = left.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)).withColumns({"_ti": F.col("_ci") + F.col("_i"), "_tj": F.col("_cj") + F.col("_j")})
+        met = probes.join(placed, ["_ti", "_tj"])
+        dx, dy = (F.col("x") - F.col("_sx")) / kx, (F.col("y") - F.col("_sy")) / ky
+        met = met.withColumn("_d", F.sqrt(dx * dx + dy * dy))
+        best = met.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_d", "site"))).filter(F.col("_rn") <= k)
+        near = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_d").alias("d"), "site", "v"))).alias("_near"))
+        sure = near.filter((F.size("_near") == k) & (F.get("_near", F.size("_near") - 1)["d"] <= ring * side)) if ring < most else near
+        found = materialise(left.join(sure, keys), "near")
+        done.append(found)
+        left = materialise(left.join(found.select(keys), keys, "left_anti"), "cells")
+        if ring >= most or left.isEmpty():
+            break
+        ring = min(2 * ring, most)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select(*cells.columns, "_near")
 
 
 def idw(cells: DataFrame, points: DataFrame, value: str = "value", power: float = 2.0, k: int = 6, kilometres: bool = True, max_distance: float | None = 250.0) -> DataFrame:
@@ -38,13 +68,20 @@ def idw(cells: DataFrame, points: DataFrame, value: str = "value", power: float
     In kilometres longitudes shrink with the mean latitude of the sites;
     otherwise distances are in degrees.
     """
-    sites = _collect_sites(points, value)
+    sites = points.filter(F.col(value).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("site", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col(value).cast("double").alias("v"))
+    facts = sites.agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), *(f(c) for f in (F.min, F.max) for c in ("lon", "lat"))).first()
+    n = facts["n"]
+    if n < 2:
+        raise ValueError("a surface needs two sites with values")
     if kilometres:
-        mean_lat = math.fsum(s[2] for s in sites) / len(sites)
-        kx, ky, least = 1 / (111.32 * max(math.cos(math.radians(mean_lat)), 0.1)), 1 / 110.57, 1e-6
+        kx, ky, least = 1 / (111.32 * max(math.cos(math.radians(facts["lat"])), 0.1)), 1 / 110.57, 1e-6
     else:
         kx, ky, least = 1.0, 1.0, 1e-12
-    near = cells.withColumn("_near", _nearest(sites, min(k, len(sites)), kx, ky))
+    k = min(k, n)
+    if n <= MAX_SITES:
+        near = cells.withColumn("_near", _nearest(sorted(tuple(r) for r in sites.collect()), k, kx, ky))
+    else:
+        near = _nearest_by_tiles(cells, sites, k, kx, ky, tuple(facts)[2:], n)
     weight = lambda n: 1 / F.pow(F.greatest(n["d"], F.lit(least)), F.lit(power))
     total = lambda f: F.aggregate("_near", F.lit(0.0), lambda a, n: a + f(n))
     mean = total(lambda n: weight(n) * n["v"]) / total(weight)

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import MODEL_MIN_SITES
-from ..functions.search import array_of, position
+from ..functions.search import ranks
 from ..functions.stats import chi2_sf
 from . import maxent
-from .scenario import reference_values
+from .scenario import complete
 from .validate import auc, kmeans_folds, nearest_centre, rank_normalise, tss
 
 
@@ -21,27 +21,25 @@ from .validate import auc, kmeans_folds, nearest_centre, rank_normalise, tss
 class Bioclim:
     """Percentile envelope: twice the distance of a value's rank from the nearer end, least over the bands."""
 
-    refs: dict[str, list[float]] | None = None
+    reference: DataFrame | None = None
+    rows: int = 0
 
     def fit(self, presence: DataFrame, background: DataFrame, bands: list[str]) -> Bioclim:
-        self.refs = reference_values(presence, bands)
+        self.reference = presence.select(*bands).dropna()
+        self.rows = self.reference.count()
+        if not self.rows:
+            raise ValueError("no presence has a value in every band")
         return self
 
     def predict(self, df: DataFrame, out: str = "score") -> DataFrame:
-        each = []
-        for b, ref in self.refs.items():
-            n, a, v = len(ref), array_of(ref), F.col(b).cast("double")
-            f = (position(v, a, n, right=False) + position(v, a, n)) / F.lit(2.0 * n)
+        bands, scored, each = self.reference.columns, df, []
+        for i, b in enumerate(bands):
+            scored = ranks(scored, b, self.reference, below=f"_b{i}", upto=f"_u{i}")
+            f = (F.col(f"_b{i}") + F.col(f"_u{i}")) / F.lit(2.0 * self.rows)
             each.append(2 * F.least(f, 1 - f))
         least = F.least(*each) if len(each) > 1 else each[0]
-        return df.withColumn(out, F.when(_all_set(self.refs), F.least(F.greatest(least, F.lit(0.0)), F.lit(1.0))))
-
-
-def _all_set(bands) -> Column:
-    ok = F.lit(True)
-    for b in bands:
-        ok = ok & F.col(b).isNotNull()
-    return ok
+        bounded = F.least(F.greatest(least, F.lit(0.0)), F.lit(1.0))
+        return scored.withColumn(out, F.when(complete(bands), bounded)).select(*df.columns, out)
 
 
 def moments(df: DataFrame, bands: list[str]) -> tuple[int, np.ndarray, np.ndarray]:

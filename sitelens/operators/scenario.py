@@ -2,44 +2,41 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import CLIMATE_SLICES, CURRENT_BP, DIRECTIONS, PALEO_SLICES, SCALE10_BIOS, first_case
-from ..functions.search import MAX_REFERENCE, array_of, position
+from ..functions.search import ranks
+from ..shared import shared_dir
 from .grid import Grid, cell_area_km2
 
 
-def reference_values(reference: DataFrame, bands: list[str]) -> dict[str, list[float]]:
-    """Sorted values of each band of a bounded reference sample."""
-    rows = reference.select(*bands).dropna().limit(MAX_REFERENCE + 1).collect()
-    if len(rows) > MAX_REFERENCE:
-        raise ValueError(f"a reference has {MAX_REFERENCE} rows at most; sample it first")
-    if not rows:
-        raise ValueError("the reference is empty")
-    return {b: sorted(float(r[b]) for r in rows) for b in bands}
-
-
-def similarity(value: Column, ref: list[float]) -> Column:
-    """Four-branch environmental similarity of one band: negative outside the reference's range."""
-    low, high = ref[0], ref[-1]
-    span = (high - low) or 1.0
-    f = position(value, array_of(ref), len(ref)) / F.lit(float(len(ref))) * 100
-    return F.when(f == 0, (value - low) / span * 100).when(f <= 50, 2 * f).when(f < 100, 2 * (100 - f)).otherwise((high - value) / span * 100)
+def complete(bands: list[str]) -> Column:
+    """Whether every band has a value."""
+    ok = F.lit(True)
+    for b in bands:
+        ok = ok & F.col(b).isNotNull()
+    return ok
 
 
 def mess(cells: DataFrame, reference: DataFrame, bands: list[str]) -> DataFrame:
-    """Adds ``mess``, the least similarity over the bands; null unless every band has a value."""
-    refs = reference_values(reference, bands)
-    each = {f"_s{i}": similarity(F.col(b).cast("double"), refs[b]) for i, b in enumerate(bands)}
-    out = cells.withColumns(each)
-    least = F.least(*(F.col(c) for c in each)) if len(each) > 1 else F.col("_s0")
-    whole = F.lit(True)
-    for b in bands:
-        whole = whole & F.col(b).isNotNull()
-    return out.withColumn("mess", F.when(whole, least)).drop(*each)
+    """Adds ``mess``, the least four-branch similarity to a reference over the bands; null unless every band has a value.
+
+    It is negative where a band lies outside the reference's range.
+    """
+    ref = reference.select(*(F.col(b).cast("double").alias(b) for b in bands)).dropna()
+    ends = ref.agg(F.count(F.lit(1)).alias("n"), *(f(b).alias(f"{k}{i}") for i, b in enumerate(bands) for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    if not ends["n"]:
+        raise ValueError("the reference is empty")
+    out, each = cells, []
+    for i, b in enumerate(bands):
+        low, high = ends[f"lo{i}"], ends[f"hi{i}"]
+        span = (high - low) or 1.0
+        out = ranks(out, b, ref, below=f"_b{i}", upto=f"_u{i}")
+        f, v = F.col(f"_u{i}") / F.lit(float(ends["n"])) * 100, F.col(b).cast("double")
+        each.append(F.when(f == 0, (v - low) / span * 100).when(f <= 50, 2 * f).when(f < 100, 2 * (100 - f)).otherwise((high - v) / span * 100))
+    least = F.least(*each) if len(each) > 1 else each[0]
+    return out.withColumn("mess", F.when(complete(bands), least)).drop(*(f"_{k}{i}" for i in range(len(bands)) for k in "bu"))
 
 
 def extrapolated_share(cells: DataFrame) -> DataFrame:
@@ -130,8 +127,7 @@ def dispersal(surface_a: DataFrame, surface_b: DataFrame, start: DataFrame, step
     shared folder; only occupied cells are carried on.
     """
     spark = surface_a.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{base.rstrip('/')}/dispersal-{uuid.uuid4().hex}"
+    root = shared_dir(spark, "dispersal")
     field = surface_a.select("row", "col", F.col("value").alias("a")).join(surface_b.select("row", "col", F.col("value").alias("b")), ["row", "col"], "full")
     field.write.parquet(f"{root}/field")
     field = spark.read.parquet(f"{root}/field")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.search import MAX_REFERENCE, array_of, position, running_totals
+from ..functions.search import ranks, running_totals
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -54,11 +54,11 @@ def tss(scored: DataFrame, score: str = "score", label: str = "label", quantiles
 
 
 def rank_normalise(scored: DataFrame, reference: DataFrame, score: str = "score", out: str = "rank") -> DataFrame:
-    """Share of a bounded reference distribution at or below each score."""
-    ref = sorted(float(r[0]) for r in reference.select(score).dropna().limit(MAX_REFERENCE + 1).collect())
-    if not ref or len(ref) > MAX_REFERENCE:
-        raise ValueError(f"a reference has 1 to {MAX_REFERENCE} scores")
-    return scored.withColumn(out, position(F.col(score).cast("double"), array_of(ref), len(ref)) / F.lit(float(len(ref))))
+    """Share of a reference distribution at or below each score."""
+    n = reference.filter(F.col(score).isNotNull()).count()
+    if not n:
+        raise ValueError("the reference has no scores")
+    return ranks(scored, score, reference, below="_below", upto="_upto").withColumn(out, F.col("_upto") / F.lit(float(n))).drop("_below", "_upto")
 
 
 def checkerboard(x: Column, y: Column, block: float, folds: int) -> Column:

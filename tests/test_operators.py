@@ -241,7 +241,7 @@ def test_bsplines_sum_to_one(spark):
 
 def test_compare_and_ensemble(spark, cells):
     presence = cells.filter("b1 between 12 and 24 and b2 < 8")
-    table = {r["model"]: r for r in models.compare_models(presence, cells, ["b1", "b2"], ["bioclim", "brt"], folds=2).collect()}
+    table = {r["model"]: r for r in models.compare_models(presence, cells, ["b1", "b2"], ["bioclim", "mahalanobis"], folds=2).collect()}
     assert table["bioclim"]["train_auc"] > 0.5
     fitted = models.Bioclim().fit(presence, cells, ["b1", "b2"])
     predicted = fitted.predict(cells).select("row", "col", "score")
@@ -318,3 +318,22 @@ def test_mahalanobis_against_numpy(spark, cells):
     r = m.predict(cells).first()
     q = (np.array([r["b1"], r["b2"]]) - x.mean(axis=0)) / x.std(axis=0)
     assert abs(r["score"] - math.exp(-q @ precision @ q / 2)) < 1e-9
+
+
+def test_tiles_find_the_same_neighbours(spark, cells, monkeypatch):
+    rng = np.random.default_rng(6)
+    clustered = np.r_[rng.normal((2, 2), 0.4, (60, 2)), rng.random((25, 2)) * 12]
+    sites = spark.createDataFrame([(f"s{i:03}", float(a), float(b), float(i % 9)) for i, (a, b) in enumerate(clustered)], "site string, lon double, lat double, value double")
+    take = lambda: {(r["row"], r["col"]): (r["value"], r["support"]) for r in isoscape.idw(cells, sites, max_distance=None).collect()}
+    whole = take()
+    monkeypatch.setattr(isoscape, "MAX_SITES", 0)
+    tiled = take()
+    assert tiled.keys() == whole.keys() and all(np.allclose(tiled[c], whole[c]) for c in whole)
+
+
+def test_ranks_by_join(spark, cells):
+    from sitelens.functions.search import ranks
+
+    ref = cells.filter("b1 < 20")
+    pick = lambda most: sorted((r["row"], r["col"], r["below"], r["upto"]) for r in ranks(cells, "b2", ref, most=most).collect())
+    assert pick(10**6) == pick(0)

@@ -237,7 +237,9 @@ def similar(docs: DataFrame, least: float = MIN_JACCARD) -> DataFrame:
     against the bucket's first; nodes that pass are connected through it.  Only
     those that fail are compared with all others of the bucket, so a large group
     of near copies gives as many pairs as it has nodes, and no link that matters
-    is lost.  Shingle sets are made for nodes that share a band only.
+    is lost.  Shingle sets are made for nodes that share a band only.  Where a
+    large group's members share bands but stay below ``least``, the second round
+    compares them pair by pair; such a corpus needs more rows in a band.
     """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     marked = materialise(keyed.select("doc_id", "node", _band_keys(F.col("text")).alias("keys")), "marked")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES
+from .common import SPACE_CLASS
 
 #: Buckets of the hashed n-gram space; also the bound of the weight vector.
 BUCKETS = 1 << 16
@@ -31,26 +31,24 @@ THRESHOLD = -0.6
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Fixed by the contract.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+#: A character of a word, and one that is none.
+WORD_CLASS, SPACE_ONE = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 
 #: Runs of letters or digits, and runs of anything else that is not white space.
 PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def _repeat_words(hashes: Column) -> Column:
     """Words covered by 5-word windows that occur twice or more.
 
     Windows are sorted by (hash, place); equal neighbours are repeats.  Their
     places, in order, cover min(5, gap to the next) words each, the last one 5.
     """
-    ranked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     same = lambda s, x, i, step: F.coalesce(F.get(s, i + step)["h"] == x["h"], F.lit(False))
     repeats = F.transform(F.array(ranked), lambda s: F.filter(s, lambda x, i: ((i > 0) & same(s, x, F.greatest(i, F.lit(1)), -1)) | same(s, x, i, 1)))
-    places = F.transform(repeats, lambda s: F.array_sort(F.transform(s, lambda x: x["i"])))
+    places = F.transform(repeats, lambda s: F.sort_array(F.transform(s, lambda x: x["i"])))
     widths = F.transform(places, lambda s: F.transform(s, lambda p, i: F.least(F.coalesce(F.get(s, i + 1) - p, F.lit(5)), F.lit(5))))
     return F.aggregate(F.flatten(widths), F.lit(0).cast("long"), lambda a, w: a + w)
 
@@ -59,22 +57,24 @@ def surface_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_words", F.filter(F.split(t, SPACE_CLASS), lambda w: w != ""))
+    # words are hashed once; a window's hash is that of five word hashes
+    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     window = F.transform(
-        F.slice(F.col("_words"), 1, F.greatest(F.size("_words") - 4, F.lit(0))),
-        lambda w, i: F.xxhash64(w, *(F.get(F.col("_words"), i + k) for k in range(1, 5))),
+        F.slice(F.col("_hashes"), 1, F.greatest(F.size("_hashes") - 4, F.lit(0))),
+        lambda w, i: F.xxhash64(w, *(F.get(F.col("_hashes"), i + k) for k in range(1, 5))),
     )
-    out = out.withColumn("_windows", window).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: _without(x, SPACES) != ""))
+    out = out.withColumn("_windows", window).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CLASS)))
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(_without(t, SPACES)).cast("long"),
-            "n_symbols": (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long"),
+            "word_chars": (F.length(t) - F.regexp_count(t, F.lit(SPACE_ONE))).cast("long"),
+            "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _repeat_words(F.col("_windows"))).otherwise(F.lit(0).cast("long")),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_words", "_windows", "_lines")
+    return out.withColumn("base_failed", failed).drop("_words", "_hashes", "_windows", "_lines")
 
 
 def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:

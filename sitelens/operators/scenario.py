@@ -159,7 +159,7 @@ def paleo_slice(ka: Column) -> Column:
 def nearest_climate(bp: Column, slices: tuple[str, ...] = ("mid",)) -> Column:
     """Climate of a date: the candidate nearest in time, a palaeo slice before the current one if equal."""
     options = [(n, float(y)) for n, y in CLIMATE_SLICES if n in slices] + [("current", CURRENT_BP)]
-    ranked = F.array_sort(F.array(*(F.struct(F.abs(bp - y).alias("gap"), F.lit(i).alias("o"), F.lit(n).alias("slice")) for i, (n, y) in enumerate(options))))
+    ranked = F.sort_array(F.array(*(F.struct(F.abs(bp - y).alias("gap"), F.lit(i).alias("o"), F.lit(n).alias("slice")) for i, (n, y) in enumerate(options))))
     first = F.get(ranked, F.lit(0))
     return F.struct(first["slice"].alias("slice"), first["gap"].alias("gap"))
 

@@ -84,7 +84,7 @@ def continuous_runs(table: DataFrame, min_periods: int = 2) -> DataFrame:
     """(zone, periods, run_length): maximal runs of consecutive periods of each zone."""
     keys = table.select("zone", "period").distinct().withColumn("o", period_rank(F.col("period"))).filter(F.col("o").isNotNull())
     island = F.col("o") - F.row_number().over(Window.partitionBy("zone").orderBy("o"))
-    runs = keys.withColumn("_i", island).groupBy("zone", "_i").agg(F.array_sort(F.collect_list(F.struct("o", "period"))).alias("p"))
+    runs = keys.withColumn("_i", island).groupBy("zone", "_i").agg(F.sort_array(F.collect_list(F.struct("o", "period"))).alias("p"))
     return runs.select("zone", F.concat_ws(",", F.transform("p", lambda x: x["period"])).alias("periods"), F.size("p").alias("run_length")).filter(F.col("run_length") >= min_periods)
 
 
@@ -125,7 +125,7 @@ def kruskal(df: DataFrame, value: str, min_n: int = 4) -> DataFrame:
     ranks = _midranks(counted.groupBy("zone", "v").agg(F.sum("c").alias("_c")), ["zone"])
     sums = counted.join(ranks, ["zone", "v"]).groupBy("zone", "period").agg(F.sum(F.col("c") * F.col("_rank")).alias("r"), F.first("n").alias("n"))
     ties = ranks.groupBy("zone").agg(F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
-    total = sums.groupBy("zone").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.pow("r", F.lit(2)) / F.col("n")).alias("q"), F.array_join(F.array_sort(F.collect_list("period")), ", ").alias("periods"))
+    total = sums.groupBy("zone").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.pow("r", F.lit(2)) / F.col("n")).alias("q"), F.array_join(F.sort_array(F.collect_list("period")), ", ").alias("periods"))
     n = F.col("n").cast("double")
     h = (F.lit(12.0) / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / (n * n * n - n), F.lit(0.0))
     out = total.filter("k >= 2").join(ties, "zone").withColumn("h", h)

@@ -81,7 +81,7 @@ def kmeans_folds(points: DataFrame, x: str, y: str, folds: int, seed: int = 42,
 
 def nearest_centre(x: Column, y: Column, centres: list[tuple[float, float]]) -> Column:
     """Index of the nearest centre, the lowest of equals."""
-    return F.get(F.array_sort(F.array(*(F.struct(((x - cx) * (x - cx) + (y - cy) * (y - cy)).alias("d"), F.lit(i).alias("i")) for i, (cx, cy) in enumerate(centres)))), F.lit(0))["i"]
+    return F.get(F.sort_array(F.array(*(F.struct(((x - cx) * (x - cx) + (y - cy) * (y - cy)).alias("d"), F.lit(i).alias("i")) for i, (cx, cy) in enumerate(centres)))), F.lit(0))["i"]
 
 
 def null_auc(spark, presences: int, backgrounds: int, draws: int = 99, seed: int = 42) -> DataFrame:

@@ -127,7 +127,7 @@ def surface_changes(surfaces: DataFrame) -> DataFrame:
     """Cell-wise change between each period and the next one there is of a taxon and proxy (gaps allowed)."""
     keys = ["taxon_group", "proxy"]
     have = surfaces.select(*keys, "period").distinct().withColumn("o", enrich.period_rank(F.col("period")))
-    order = have.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o", "period"))).alias("p"))
+    order = have.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("o", "period"))).alias("p"))
     at = F.explode(F.sequence(F.lit(1), F.size("p") - 1))
     steps = order.filter(F.size("p") > 1).withColumn("i", at).select(*keys, F.get("p", F.col("i") - 1)["period"].alias("from_period"), F.get("p", F.col("i"))["period"].alias("to_period"))
     a = surfaces.select(*keys, F.col("period").alias("from_period"), "row", "col", F.col("value").alias("_a"))

@@ -119,10 +119,12 @@ def inherit_period(df: DataFrame, period: str = "period", site: str = "site", un
     a row for each site; counts are aggregated before they are ranked.
     """
     keyed = df.withColumn("_key", normalised_site(F.col(site)))
-    counted = keyed.filter(F.col(period).isNotNull()).groupBy("_key", period).agg(F.count(F.lit(1)).alias("_n"))
+    # rows without a period are counted too, then left out: a filter would repeat the period's expression below
+    counted = keyed.groupBy("_key", period).agg(F.count(F.lit(1)).alias("_n"))
     if not unnamed:
         counted = counted.filter(F.col("_key") != "")
-    top = counted.groupBy("_key").agg(F.min_by(period, F.struct(-F.col("_n"), F.col(period))).alias("_mode"))
+    known = F.when(F.col("_n") > 0, F.col(period))
+    top = counted.groupBy("_key").agg(F.min_by(known, F.when(known.isNotNull(), F.struct(-F.col("_n"), known))).alias("_mode"))
     out = keyed.join(small(top), "_key", "left")
     need = F.col(period).isNull() & F.col("_mode").isNotNull()
     return out.withColumn("inherited", need).withColumn(period, F.coalesce(period, "_mode")).drop("_key", "_mode")

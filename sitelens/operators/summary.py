@@ -13,6 +13,18 @@ from .enrich import period_rank
 PERIOD_KEYS = tuple(p.key for p in PERIODS)
 
 
+def _named(grouped: DataFrame, count: str, *keys: str) -> DataFrame:
+    """Groups whose keys are all known.
+
+    Keys are passed on through a test of a count, so that neither this filter nor
+    one inferred from a later join can be pushed below the aggregate: there it
+    would repeat the keys' expressions (periods and zones are long ones) beyond
+    what the JVM compiles.
+    """
+    held = {k: F.when(F.col(count) > 0, F.col(k)) for k in keys}
+    return grouped.withColumns(held).dropna("any", subset=list(keys))
+
+
 def site_summary(df: DataFrame, by: list[str] | None = None, places: int | None = 2) -> DataFrame:
     """Samples, sites and value means and deviations of each group; a null key is a group."""
     by = by or ["period", "taxon_group"]
@@ -41,8 +53,7 @@ def zone_period_table(df: DataFrame, values: list[str], min_n: int = 3, places:
     parts = [F.count(F.lit(1)).alias("n"), F.countDistinct("site").alias("sites")]
     for v in values:
         parts += [F.count(v).alias(f"{v}_n"), r(F.avg(v)).alias(f"{v}_mean"), r(F.stddev_samp(v)).alias(f"{v}_sd")]
-    located = df.filter(F.col("zone").isNotNull() & F.col("period").isNotNull())
-    return located.groupBy("zone", "period").agg(*parts).filter(F.col("n") >= min_n)
+    return _named(df.groupBy("zone", "period").agg(*parts), "n", "zone", "period").filter(F.col("n") >= min_n)
 
 
 def cross_tab(df: DataFrame, row: str, distinct: str | None = "site") -> DataFrame:
@@ -76,7 +87,7 @@ def detrend_by_zone(df: DataFrame, value: str, out: str = "detrended") -> DataFr
     Zone means are aggregated first and joined back (a row for each zone), so a
     zone with most rows is no hot partition.
     """
-    means = df.filter(F.col("zone").isNotNull()).groupBy("zone").agg(F.avg(value).alias("_mean"))
+    means = df.groupBy("zone").agg(F.avg(value).alias("_mean"))  # a null zone joins nothing
     return df.join(means, "zone", "left").withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
 
 
@@ -90,8 +101,7 @@ def continuous_runs(table: DataFrame, min_periods: int = 2) -> DataFrame:
 
 def _counted(df: DataFrame, value: str) -> DataFrame:
     """(zone, period, v, c): rows of each distinct value; what the tests below are built on, so they scan once."""
-    known = df.select("zone", "period", F.col(value).alias("v")).filter(F.col("zone").isNotNull() & F.col("period").isNotNull() & F.col("v").isNotNull())
-    return known.groupBy("zone", "period", "v").agg(F.count(F.lit(1)).alias("c"))
+    return _named(df.groupBy("zone", "period", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")), "c", "zone", "period", "v")
 
 
 def _midranks(pooled: DataFrame, keys: list[str]) -> DataFrame:

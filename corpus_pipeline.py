@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import bpe, langid, mixing, quality, simhash
+from sitelens.llm import bpe, langid, mixing, neardup, quality
 from sitelens.llm.common import packed, remove, shared_dir, table
 
 
@@ -24,8 +24,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies (5-word Jaccard similarity of 0.8 or more): the smallest doc_id."""
+    return neardup.keep_first(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality rules", quality_stage),
     ("language id", language_stage),
-    ("simhash near-dedup", dedup_stage),
+    ("near-dedup", dedup_stage),
     ("mixing", mixing_stage),
     ("bpe", encoding_stage),
 ]

@@ -18,7 +18,7 @@ row is its own next document; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,18 +89,26 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
     return hashes, bounds
 
 
-def signatures(texts: list[bytes]) -> np.ndarray:
-    """(texts, PERMUTATIONS) minima as 32-bit numbers; without shingles all ones."""
-    out = np.full((len(texts), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
+def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of at most CHUNK_BYTES, or of one text."""
     at = 0
     while at < len(texts):
         size, end = 0, at
         while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BYTES):
             size += len(texts[end])
             end += 1
-        hashes, bounds = shingle_hashes(texts[at:end])
-        _minima(hashes, bounds, out[at:end])
+        yield texts[at:end]
         at = end
+
+
+def signatures(texts: list[bytes], shingles: Callable = shingle_hashes) -> np.ndarray:
+    """(texts, PERMUTATIONS) minima as 32-bit numbers; without shingles all ones."""
+    out = np.full((len(texts), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
+    at = 0
+    for part in chunks(texts):
+        hashes, bounds = shingles(part)
+        _minima(hashes, bounds, out[at : at + len(part)])
+        at += len(part)
     return out
 
 
@@ -208,12 +216,18 @@ def edit_report(docs: DataFrame) -> DataFrame:
 # -- near-duplicate groups ------------------------------------------------------------------------
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _band_keys(text: pa.Array) -> pa.Array:
-    rows = signatures([t or b"" for t in text.cast(pa.binary()).to_pylist()])[:, : BANDS * BAND_ROWS].astype(_U).reshape(len(text), BANDS, BAND_ROWS)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(text), BANDS)).copy()
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) hashes of the bands of each signature."""
+    rows = signature[:, : BANDS * BAND_ROWS].astype(_U).reshape(len(signature), BANDS, BAND_ROWS)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(signature), BANDS)).copy()
     for k in range(BAND_ROWS):
         keys = _mix(keys * _U(0xD6E8FEB86659FD93) + rows[:, :, k])
+    return keys
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _band_keys(text: pa.Array) -> pa.Array:
+    keys = band_keys(signatures([t or b"" for t in text.cast(pa.binary()).to_pylist()]))
     return pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))
 
 

@@ -243,7 +243,12 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows without a doc_id can't be told apart and stay.  Repeated rows of one
     doc_id count as copies: one of them stays.
     """
-    found = near_duplicates(docs, radius).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    return keep_least(docs, near_duplicates(docs, radius))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the component_id that ``found`` gives them, and those without a doc_id."""
+    found = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     found = materialise(found, "kept")
     # by shuffle at every size, so that a small run tells what a large one will move
     stay = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)

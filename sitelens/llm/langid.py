@@ -8,8 +8,8 @@ mostly) more dictionaries and a deeper search decide.  Equal sizes go to the
 language with more training documents, then to the first by name.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
-and are not accepted; with nothing to learn from every text is ``und``; repeated
-rows are each classified; rows with null lang are never learned from.  Extra
+and are not accepted; with nothing to learn from every text is ``und``; a single
+language has no second to lead and is accepted; repeated rows are each classified; rows with null lang are never learned from.  Extra
 columns pass through, those named like a computed one are replaced.
 """
 
@@ -41,6 +41,8 @@ NARROW = 12
 SHARPNESS = 0.8
 #: Margins whose score is lower are rejected.
 MIN_SCORE = 0.4
+#: So are those whose best language, against the second alone, scores lower (a tie: 0.5).
+MIN_LEAD = 0.6
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -96,10 +98,11 @@ class Classifier:
             self._ready = [(zstandard.ZstdCompressor(dict_data=raw(p[0]), compression_params=fast), deep_of(p)) for p in self.parts]
         return self._ready
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its score among all and its score against the second alone."""
         folded = fold(text) if text else ""
         if not folded or not self.langs:
-            return UND, 0.0
+            return UND, 0.0, 0.0
         data = folded.encode()
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         own = self._compressors()
@@ -110,21 +113,22 @@ class Classifier:
             sizes = [sum(len(c.compress(b)) for c in deep for b in blocks) for _, deep in own]
             scale = 1 / PARTS
         best = min(sizes)
-        score = 1 / sum(2.0 ** (-SHARPNESS * scale * (s - best)) for s in sizes)
-        return self.langs[sizes.index(best)], score
+        shares = sorted((2.0 ** (-SHARPNESS * scale * (s - best)) for s in sizes), reverse=True)
+        return self.langs[sizes.index(best)], 1 / sum(shares), 1 / sum(shares[:2])
 
 
-_RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+_RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lead", DoubleType())])
 
 
 def predict(model: Classifier, text: Column) -> Column:
-    """(lang_pred, score) of a text column."""
+    """(lang_pred, score, lead) of a text column."""
 
     @F.arrow_udf(_RESULT)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = [model.predict(t) for t in texts.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "lead"])
 
     return run(text)
 
@@ -135,8 +139,8 @@ def held_out(fold_no: int = 2, folds: int = 4) -> Column:
 
 
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """``docs`` with lang_pred, score and accepted (a language was found and its margin is not narrow)."""
+    """``docs`` with lang_pred, score and accepted (a language was found, and its margins over all others and over the second are not narrow)."""
     model = Classifier(training_sample(train))
     out = docs.withColumn("_found", predict(model, F.col("text")))
-    out = out.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
-    return out.withColumn("accepted", (F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE))
+    clear = (F.col("_found.lang_pred") != UND) & (F.col("_found.score") >= MIN_SCORE) & (F.col("_found.lead") >= MIN_LEAD)
+    return out.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score"), "accepted": clear}).drop("_found")

@@ -777,4 +777,4 @@ def _(spark, d):
 
 @query("niche_table")
 def _(spark, d):
-    return niche.niche_table(_enriched(spark, d), ["period", "taxon_group"], "d13C_coll", "d15N_coll", draws=200)
+    return niche.niche_table(_enriched(spark, d), ["period", "taxon_group"], "d13C_coll", "d15N_coll")

@@ -1,22 +1,35 @@
 """Operator 4, main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines: a block element or <br> ends a line, and what can
-never be article text (scripts, navigation, adverts, comments and the like)
-leaves a gap of empty lines.  Text lengths are summed over sliding windows of
-WINDOW lines.  Where the sum surges from zero a stretch of text begins, where it
-dives to zero it ends.  Stretches inside an article or main element are the main
-text; without one, the stretch with most text and those that come near it,
-unless they are mostly links.
+Markup is stripped into lines.  A block element or <br> ends a line; where a
+container (div, section, table, cell) begins or ends and where an element that
+is never article text was removed (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts: by element, role or whole class name) there is
+an empty line; at the edges of article and main there are WINDOW of them.  A line
+weighs its text, or nothing if most of it is links and it is no heading.  Weights are
+summed over sliding windows of WINDOW lines.  Text surges where the sum leaves
+zero and dives where it is back at zero; a stretch between the two is kept if a
+window in it reaches SURGE of the page's heaviest window.
+
+Where an article or main element has text, only their lines count, and any
+weight is a surge; so stretches of links are dropped there too, and nothing else.
+
+Elements end where HTML lets their end tags be omitted (head, p, li, dt, dd, rows
+and cells) or where an element around them ends.  Quotes only matter after an
+equals sign; a slash at a tag's end makes the element empty.
 
 Defined results: null, empty and text-less pages give empty text and 0
-characters; unclosed tags end at the page's end; repeated rows each give theirs.
-Extra columns pass through, those named like a computed one are replaced.
+characters; raw-text elements and comments that are not closed hide the rest of the page, other
+unclosed elements end with what holds them; stretches that tie are kept alike; a page whose
+text is all links is kept whole; repeated rows each give theirs.  Extra columns
+pass through, those named like a computed one are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,128 +37,278 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Lines of a sliding window, and of the gap that a removed element leaves.
+#: Lines of a sliding window.
 WINDOW = 3
-#: Without an article: the share of the longest stretch that another must have, and the most link text.
-NEAR_LONGEST = 0.5
+#: Share of the page's heaviest window that a stretch must reach outside article and main.
+SURGE = 0.2
+#: Share of a line's characters in links beyond which it weighs nothing.
 MOST_LINKED = 0.5
 
+_ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|select|object|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
-    r"|<[a-zA-Z/][^>]*\Z",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(script|style|textarea|title|iframe|noembed|noframes|xmp)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)"
+    r"|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input label".split())
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))")
+
+# element names of the HTML standard
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("head nav footer aside form button dialog menu header".split())
-_MAIN = frozenset("article main".split())
-_DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead comment comments reply replies disqus share sharing social related recommended cookie cookies consent gdpr notice notices "
-    "newsletter subscribe subscription popup modal overlay login signup search toolbar pagination pager widget".split()
+_LINE_ENDS = frozenset("br hr".split())
+_CONTAINERS = frozenset("div section table td th center fieldset".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_IN_HEAD = frozenset("base link meta noscript template".split())
+_SCOPES = frozenset("table td th caption template object button applet marquee".split())
+_LISTS = frozenset("ul ol menu dl".split())
+_ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt li fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
-_COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
+#: What an element of a table or list ends when it begins, innermost last.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot")}
+
+# what is never article text: elements, roles, and class names or ids
+_DROPPED = frozenset("head nav footer aside form button dialog menu header noscript template svg select object canvas".split())
+_MAIN = frozenset("article main".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_COMMENTS = frozenset("comment comments reply replies disqus".split())
+#: Names that say so as the last word of a longer name as well ("site-footer").
+_DROPPED_NOUNS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead "
+    "comments disqus menu toolbar pagination pager newsletter popup modal notice notices banner consent".split()
+)
+#: Names that say so alone.
+_DROPPED_NAMES = _DROPPED_NOUNS | _COMMENTS | frozenset(
+    "header sponsor sponsored promo promotion share sharing social related recommended cookie cookies gdpr subscribe subscription overlay login "
+    "signup search widget related-posts related-articles".split()
+)
+#: Last words that only say what holds the thing ("ad-slot", "comments-area").
+_HOLDERS = frozenset("area bar block box button buttons container content form inner item items link links list outer panel region section slot unit wrap wrapper".split())
+_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
 
 
-def _is_dropped(name: str, attributes: str, inside_main: bool) -> bool:
+@lru_cache(maxsize=4096)
+def _names_dropped(name: str, in_main: bool) -> bool:
+    """Whether a class name or id tells of something that is no article text."""
+    low = name.lower()
+    if low in _DROPPED_NAMES:
+        return not (in_main and low == "header")
+    words = [w.lower() for w in _WORDS.findall(name)]
+    whole = len(words)
+    while words and (words[-1] in _HOLDERS or words[-1].isdigit()):
+        words.pop()
+    if not words:
+        return False
+    if len(words) == 1 and len(words) < whole:
+        return words[0] in _DROPPED_NAMES and not (in_main and words[0] == "header")
+    return words[-1] in _DROPPED_NOUNS
+
+
+@lru_cache(maxsize=4096)
+def is_dropped(name: str, attributes: str, in_main: bool) -> bool:
     """Elements that hold no article text, by name, role, class or id."""
     if name in _DROPPED:
-        return not (name == "header" and inside_main)  # an article's own header has its title
-    if not attributes or name in ("html", "body"):
+        return not (name == "header" and in_main)  # an article's own header has its title
+    if "=" not in attributes or name in ("html", "body"):
         return False
-    words = _COMMENT_WORDS if name in _MAIN else _DROPPED_WORDS - {"header"} if inside_main else _DROPPED_WORDS
-    for key, a, b, c in _NAMES.findall(attributes):
-        value = a or b or c
-        if key.lower() == "role":
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        value, key = a or b or c, key.lower()
+        if key == "role":
             if value.lower() in _DROPPED_ROLES:
                 return True
-        elif any(w.lower() in words for w in _WORD.findall(value)):
-            return True
+        elif key in ("class", "id"):
+            if name in _MAIN:
+                if any(v.lower() in _COMMENTS for v in value.split()):
+                    return True
+            elif any(_names_dropped(v, in_main) for v in value.split()):
+                return True
     return False
 
 
-class _Lines:
-    """Lines of a page with their text, link text and whether they are in the main element."""
+def is_empty_element(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    return attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\r\f\"'" or "=" not in attributes)
+
+
+class _Page:
+    """Lines of a page (text, weight, whether in article or main) and the elements that are open."""
 
     def __init__(self):
         self.text: list[str] = []
-        self.linked: list[int] = []
+        self.weight: list[int] = []
         self.main: list[bool] = []
         self._parts: list[str] = []
-        self._link_chars = 0
+        self._linked, self._heading = 0, False
+        # open elements as (name, is a block, is dropped, is main), and where each kind is
+        self._open: list[tuple[str, bool, bool, bool]] = []
+        self._places: defaultdict[str, list[int]] = defaultdict(list)
+        self._blocks, self._scopes, self._lists = [-1], [-1], [-1]
+        self.dropped = self._mains = self._headings = 0
+
+    # -- lines --
 
-    def add(self, text: str, in_link: bool) -> None:
-        self._parts.append(text)
-        if in_link:
-            self._link_chars += len(text)
+    def add(self, text: str) -> None:
+        if self._open and self._open[-1][0] == "head" and text.strip():
+            self._close(len(self._open) - 1)
+        if not self.dropped:
+            self._parts.append(text)
+            self._heading |= self._headings > 0
+            if self._places["a"]:
+                self._linked += len(text)
 
-    def end(self, main: bool) -> None:
+    def _end_line(self) -> None:
         if self._parts:
-            if line := " ".join("".join(self._parts).split()):
+            whole = "".join(self._parts)
+            if line := " ".join(whole.split()):
                 self.text.append(line)
-                self.linked.append(self._link_chars)
-                self.main.append(main)
-            self._parts, self._link_chars = [], 0
-
-    def gap(self, main: bool) -> None:
-        self.end(main)
-        self.text += [""] * WINDOW
-        self.linked += [0] * WINDOW
-        self.main += [main] * WINDOW
-
-
-def strip_markup(page: str) -> _Lines:
-    """The page's lines, with gaps where elements were removed."""
-    lines = _Lines()
-    at, main, links = 0, 0, 0
-    dropped, depth, dropped_main = "", 0, 0
+                self.weight.append(len(line) if self._heading or self._linked <= MOST_LINKED * len(whole) else 0)
+                self.main.append(self._mains > 0)
+            self._parts, self._linked, self._heading = [], 0, False
+
+    def _gap(self, lines: int) -> None:
+        self._end_line()
+        self.text += [""] * lines
+        self.weight += [0] * lines
+        self.main += [self._mains > 0] * lines
+
+    # -- elements --
+
+    def _close(self, depth: int) -> None:
+        while len(self._open) > depth:
+            name, block, dropped, main = self._open.pop()
+            self._places[name].pop()
+            for kind, places in ((block, self._blocks), (name in _SCOPES, self._scopes), (name in _LISTS, self._lists)):
+                if kind:
+                    places.pop()
+            if dropped:
+                self.dropped -= 1
+            elif not self.dropped:
+                if main:
+                    self._gap(WINDOW)
+                    self._mains -= 1
+                elif name in _CONTAINERS:
+                    self._gap(1)
+                elif block:
+                    self._end_line()
+                self._headings -= name in _HEADINGS
+
+    def _last(self, *names: str) -> int:
+        return max((self._places[n][-1] for n in names if self._places[n]), default=-1)
+
+    def _close_omitted(self, name: str) -> None:
+        """End the elements whose end tags may be left out before ``name``."""
+        if self._open and self._open[-1][0] == "head" and name not in _IN_HEAD:
+            self._close(len(self._open) - 1)
+        if name in _ENDS_P and (at := self._last("p")) > self._scopes[-1]:
+            self._close(at)
+        if name in _HEADINGS and self._open and self._open[-1][0] in _HEADINGS:
+            self._close(len(self._open) - 1)
+        if name in _ENDS:
+            edge = max(self._lists[-1], self._scopes[-1]) if name in ("li", "dt", "dd") else self._last("table")
+            if (at := self._last(*_ENDS[name])) > edge:
+                self._close(at)
+        if name == "a" and (at := self._last("a")) > self._blocks[-1]:
+            self._close(at)
+
+    def begin(self, name: str, attributes: str) -> None:
+        if name in ("html", "body") and self._places[name]:
+            return
+        self._close_omitted(name)
+        if name in _VOID:
+            if name in _LINE_ENDS and not self.dropped:
+                self._end_line()
+            return
+        block = name not in _INLINE
+        drop = is_dropped(name, attributes, self._mains > 0)
+        main = name in _MAIN and not drop and not self.dropped
+        if not self.dropped:
+            if main:
+                self._gap(WINDOW)
+            elif block and (drop or name in _CONTAINERS):
+                self._gap(1)
+            elif block:
+                self._end_line()
+        if is_empty_element(attributes):
+            return
+        if not drop and not self.dropped:
+            self._mains += main
+            self._headings += name in _HEADINGS
+        at = len(self._open)
+        self._open.append((name, block, drop, main))
+        self._places[name].append(at)
+        for kind, places in ((block, self._blocks), (name in _SCOPES, self._scopes), (name in _LISTS, self._lists)):
+            if kind:
+                places.append(at)
+        self.dropped += drop
+
+    def end(self, name: str) -> None:
+        if name in ("body", "html"):
+            self._close(self._last("body", "html") + 1)
+            return
+        at = self._last(name)
+        if name in _INLINE:
+            if at > self._blocks[-1]:
+                self._close(at)
+        elif at >= 0 and (at >= self._scopes[-1] or name in ("table", "tr", "tbody", "thead", "tfoot") and at >= self._last("table")):
+            self._close(at)
+        elif name in ("p", "br") and not self.dropped:
+            self._end_line()
+
+    def finish(self) -> None:
+        self._close(0)
+        self._end_line()
+
+
+def strip_markup(page: str) -> _Page:
+    """The page's lines, with empty ones where containers meet and elements were removed."""
+    out, at = _Page(), 0
     for m in _MARKUP.finditer(page):
-        if not dropped and m.start() > at:
-            lines.add(html.unescape(page[at : m.start()]), links > 0)
+        if m.start() > at:
+            out.add(html.unescape(page[at : m.start()]))
         at = m.end()
-        name = m[3]
-        if name is None:
+        if m[3] is None:
             continue
-        name, closing, attributes = name.lower(), bool(m[2]), m[4]
-        if dropped:
-            if name == dropped and not attributes.endswith("/"):
-                depth += -1 if closing else 1
-            if depth <= 0 or closing and (name in ("body", "html") or name in _MAIN and dropped_main > 0):
-                dropped = ""
-            if dropped or not (closing and name in _MAIN):
-                continue
-        if not closing and name not in _VOID and _is_dropped(name, attributes, main > 0):
-            lines.gap(main > 0)
-            if not attributes.endswith("/"):
-                dropped, depth, dropped_main = name, 1, main
-            continue
-        if name in _MAIN:
-            lines.gap(main > 0)
-            main = max(0, main + (-1 if closing else 1))
-        elif name == "a":
-            links = max(0, links + (-1 if closing else 1)) if closing else 1
-        elif name not in _INLINE:
-            lines.end(main > 0)
-    if not dropped and at < len(page):
-        lines.add(html.unescape(page[at:]), links > 0)
-    lines.end(main > 0)
-    return lines
-
-
-def stretches(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) line ranges: where sums of text lengths over ``window`` lines rise from zero and fall back."""
-    if not len(lengths):
+        if m[2]:
+            out.end(m[3].lower())
+        else:
+            out.begin(m[3].lower(), m[4])
+    if at < len(page):
+        out.add(html.unescape(page[at:]))
+    out.finish()
+    return out
+
+
+def stretches(weights: np.ndarray, window: int = WINDOW, least: float = 0) -> list[tuple[int, int]]:
+    """(surge, dive) line ranges: where sums over ``window`` lines rise from zero and fall back, if one of them reaches ``least``."""
+    if not len(weights):
         return []
-    total = np.cumsum(np.r_[np.zeros(window, np.int64), lengths])
+    total = np.cumsum(np.r_[np.zeros(window, np.int64), weights])
     sums = total[window:] - total[:-window]  # of a line and the window - 1 before it
     on = np.diff(np.r_[0, (sums > 0).astype(np.int8), 0])
-    return list(zip(np.flatnonzero(on > 0).tolist(), np.flatnonzero(on < 0).tolist(), strict=True))
+    found = zip(np.flatnonzero(on > 0).tolist(), np.flatnonzero(on < 0).tolist(), strict=True)
+    return [(a, b) for a, b in found if sums[a:b].max() >= least]
+
+
+def chosen_lines(text: list[str], weight: list[int], main: list[bool]) -> list[str]:
+    """The lines between surge and dive points."""
+    inside = any(m and t for m, t in zip(main, text, strict=True))
+    if inside:
+        weight = [w if m else 0 for w, m in zip(weight, main, strict=True)]
+    weights = np.array(weight, np.int64)
+    if not weights.any():  # nothing but links
+        return [t for t, m in zip(text, main, strict=True) if t and (m or not inside)]
+    total = np.cumsum(np.r_[np.zeros(WINDOW, np.int64), weights])
+    heaviest = int((total[WINDOW:] - total[:-WINDOW]).max())
+    out = []
+    for a, b in stretches(weights, WINDOW, 0 if inside else SURGE * heaviest):
+        last = a + int(np.flatnonzero(weights[a:b])[-1]) + 1
+        while last < b and text[last] and (main[last] or not inside):  # links right below, in the same container
+            last += 1
+        out += [t for t, m in zip(text[a:last], main[a:last], strict=True) if t and (m or not inside)]
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -153,15 +316,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = strip_markup(page)
-    lengths = np.fromiter(map(len, lines.text), np.int64, len(lines.text))
-    found = [(a, b, int(lengths[a:b].sum()), sum(lines.linked[a:b])) for a, b in stretches(lengths)]
-    if any(lines.main[a] for a, *_ in found):
-        chosen = [(a, b) for a, b, *_ in found if lines.main[a]]
-    else:
-        text_of = lambda x: max(0, x[2] - x[3])
-        best = max(map(text_of, found), default=0)
-        chosen = [x[:2] for x in found if text_of(x) >= NEAR_LONGEST * best and x[3] <= MOST_LINKED * x[2]]
-    return "\n".join(t for a, b in chosen for t in lines.text[a:b] if t)
+    return "\n".join(chosen_lines(lines.text, lines.weight, lines.main))
 
 
 @F.arrow_udf(StringType())

@@ -1,16 +1,23 @@
 """Operator 3, language identification by compression with per-language dictionaries.
 
-A language is a few raw-content zstandard dictionaries cut from sampled training
-texts.  A text is folded to lower-case letters and single spaces and compressed,
-block by block over its whole length, once per language; the language whose
-dictionary gives the fewest bytes wins.  Where the lead is short (short texts,
-mostly) more dictionaries and a deeper search decide.  Equal sizes go to the
-language with more training documents, then to the first by name.
+A language is PARTS raw-content zstandard dictionaries, to which the sampled
+training documents are dealt whole.  A text is folded to lower-case letters and
+single spaces and compressed, block by block over its whole length, with the
+first dictionary of each language; the language that gives the fewest bytes wins.
+Where the lead is short (short texts, mostly) all dictionaries and a deeper search
+decide.  Equal sizes go to the language with more training documents, then to the
+first by name.
+
+The training sample is bounded: at most SAMPLE_DOCS documents of a language,
+drawn by hash, each whole, and at most SAMPLE_BYTES of them; a document that
+would pass that is left out whole (the first one drawn never is).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and are not accepted; with nothing to learn from every text is ``und``; a single
-language has no second to lead and is accepted; repeated rows are each classified; rows with null lang are never learned from.  Extra
-columns pass through, those named like a computed one are replaced.
+language has no second to lead and is accepted; repeated rows are each classified
+and are one document in the sample; rows with null lang are never learned from; over MAX_LANGS languages
+are an error.  Extra columns pass through, those named like a computed one are
+replaced.
 """
 
 from __future__ import annotations
@@ -21,17 +28,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UND = "und"
-#: Bound of the training sample: documents of a language, and code points of each.
-SAMPLE_DOCS = 160
-SAMPLE_CHARS = 1500
-#: Dictionaries of a language and the bytes of each.
+#: Bound of the training sample: documents of a language, and bytes of their folded texts.
+SAMPLE_DOCS = 64
+SAMPLE_BYTES = 1 << 18
+#: Languages that can be learned.
+MAX_LANGS = 500
+#: Dictionaries of a language.
 PARTS = 4
-PART_BYTES = 32768
 BLOCK = 1024
 LEVEL = 6
 DEEP_LEVEL = 12
@@ -53,49 +61,63 @@ def fold(text: str) -> str:
     return f" {folded} " if any(map(str.isalpha, folded)) else ""
 
 
-def training_sample(train: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, tuple[int, str]]:
-    """Per language: its number of training documents and sampled text, by a hash of doc_id.
+def training_sample(train: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, tuple[int, list[str]]]:
+    """Per language: its number of training documents and at most ``docs`` distinct ones, whole, by a hash of doc_id and text.
 
-    Counts are one aggregate; the sample is drawn by a hash threshold that leaves
-    about 3 x ``docs`` rows of each language, whatever the size of the corpus.
+    Counts are one aggregate.  A hash threshold leaves about 3 x ``docs`` rows of
+    each language, whatever the size of the corpus; the smallest hashes are
+    ranked in Spark, and only those rows reach the driver.
     """
     rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages to learn")
     if not counts:
         return {}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = F.lit(0).cast("long")
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(math.ceil((1 << 30) * min(1.0, 3 * docs / n)))).otherwise(share)
-    drawn = rows.filter(place < share).select("lang", place.alias("place"), F.substring("text", 1, chars).alias("text")).collect()
-    out = {}
-    for lang, n in counts.items():
-        own = sorted((r["place"], r["text"]) for r in drawn if r["lang"] == lang)[:docs]
-        out[lang] = (n, "".join(fold(t) for _, t in own))
+    # equal rows are one: a partial aggregate, so that none of them is a crowd
+    drawn = rows.filter(place < share).groupBy("lang", place.alias("place")).agg(F.min("text").alias("text"))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("rank") <= docs)
+    out: dict[str, tuple[int, list[str]]] = {lang: (n, []) for lang, n in counts.items()}
+    for r in ranked.orderBy("lang", "rank").collect():
+        out[r["lang"]][1].append(r["text"])
     return out
 
 
+def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+    own = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+    how = zstandard.ZstdCompressionParameters.from_level(level, source_size=BLOCK, dict_size=len(dictionary), min_match=3, **own)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+
+
 class Classifier:
     """The learned dictionaries; picklable, compressors are built where it is used."""
 
-    def __init__(self, sample: dict[str, tuple[int, str]]):
+    def __init__(self, sample: dict[str, tuple[int, list[str]]]):
         self.langs = sorted(sample, key=lambda x: (-sample[x][0], x))
-        texts = [sample[x][1].encode() for x in self.langs]
-        self.parts = [[t[k * PART_BYTES : (k + 1) * PART_BYTES] for k in range(PARTS) if len(t) > k * PART_BYTES] or [b" "] for t in texts]
+        self.parts = [self._deal(sample[x][1]) for x in self.langs]
         self._ready = None
 
+    @staticmethod
+    def _deal(texts: list[str]) -> list[bytes]:
+        """Whole documents, in turn, to at most PARTS dictionaries."""
+        taken, size = [], 0
+        for data in filter(None, (fold(t).encode() for t in texts)):
+            if not taken or size + len(data) <= SAMPLE_BYTES:
+                taken.append(data)
+                size += len(data)
+        return [b"".join(taken[k::PARTS]) for k in range(min(PARTS, len(taken)))] or [b" "]
+
     def __getstate__(self):
         return self.__dict__ | {"_ready": None}
 
     def _compressors(self):
         if self._ready is None:
-            own = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
-            fast = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=PART_BYTES, min_match=3, **own)
-            deep = zstandard.ZstdCompressionParameters.from_level(DEEP_LEVEL, source_size=BLOCK, dict_size=PART_BYTES, min_match=3, **own)
-            raw = lambda data: zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            # languages with less text repeat their dictionaries, so that sums compare
-            deep_of = lambda parts: [zstandard.ZstdCompressor(dict_data=raw(parts[k % len(parts)]), compression_params=deep) for k in range(PARTS)]
-            self._ready = [(zstandard.ZstdCompressor(dict_data=raw(p[0]), compression_params=fast), deep_of(p)) for p in self.parts]
+            # languages with fewer dictionaries repeat them, so that sums compare
+            self._ready = [(_compressor(p[0], LEVEL), [_compressor(p[k % len(p)], DEEP_LEVEL) for k in range(PARTS)]) for p in self.parts]
         return self._ready
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -141,6 +163,8 @@ def held_out(fold_no: int = 2, folds: int = 4) -> Column:
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     """``docs`` with lang_pred, score and accepted (a language was found, and its margins over all others and over the second are not narrow)."""
     model = Classifier(training_sample(train))
-    out = docs.withColumn("_found", predict(model, F.col("text")))
-    clear = (F.col("_found.lang_pred") != UND) & (F.col("_found.score") >= MIN_SCORE) & (F.col("_found.lead") >= MIN_LEAD)
-    return out.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score"), "accepted": clear}).drop("_found")
+    found = next(n for k in range(len(docs.columns) + 1) if (n := f"_found{k}") not in docs.columns)
+    out = docs.withColumn(found, predict(model, F.col("text")))
+    lang, score = F.col(f"{found}.lang_pred"), F.col(f"{found}.score")
+    clear = (lang != UND) & (score >= MIN_SCORE) & (F.col(f"{found}.lead") >= MIN_LEAD)
+    return out.withColumns({"lang_pred": lang, "score": score, "accepted": clear}).drop(found)

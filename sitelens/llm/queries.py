@@ -26,6 +26,7 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(ARRIVALS):
         store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
         store.compact()
+        store.vacuum(keep=2)  # a reader of the version before stays whole
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 

@@ -8,15 +8,23 @@ published by an atomic rename that fails if the version exists, so readers see
 whole versions only and of two writers one retries.  Files go through Hadoop's
 file systems and Spark's readers, never through a local path.
 
-Defined results: an empty arrival commits no shard; null columns, repeated rows
-and extra columns are stored as they come; reading an empty store gives no rows
-of the first arrival's schema (of an unwritten store, an error).
+Every published version stays readable, through compactions too, until ``vacuum``
+retires it.  That drops the manifests beyond the newest ones first, then the
+shards that only they name, then files that no manifest names and that are old
+enough not to be some writer's.
+
+Defined results: an empty arrival commits a version without new shards; null
+columns, null values and repeated rows are stored as they come; columns that a later arrival
+adds are null in the rows before it, columns that it lacks in its own, and a column of
+another type is an error; a version that isn't there is an error; reading an
+empty store gives no rows of the first arrival's schema (of an unwritten store, an error).
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
@@ -33,6 +41,9 @@ FAN_IN = 4
 #: Runs merged at the same time; each is a job of one task.
 CONCURRENT = 8
 COMMIT_TRIES = 10
+#: What a vacuum keeps: the newest versions, and files without a version up to this age.
+KEEP_VERSIONS = 10
+ORPHAN_SECONDS = 24 * 3600
 
 
 class CommitConflict(Exception):
@@ -83,6 +94,8 @@ class ShardStore:
             version = max(self.versions(), default=0)
         if version == 0:
             return Manifest(0, "", ())
+        if not self._fs.exists(self._path(self._manifest_path(version))):
+            raise ValueError(f"version {version} is not there: never published, or retired")
         data = self.spark.read.text(self._manifest_path(version), wholetext=True).first()[0]
         spec = json.loads(data)
         return Manifest(version, spec["schema"], tuple(Shard(**s) for s in spec["shards"]))
@@ -112,7 +125,7 @@ class ShardStore:
             if not removed <= {s.path for s in base.shards}:
                 raise CommitConflict("shards of this merge were replaced meanwhile")
             shards = (*(s for s in base.shards if s.path not in removed), *added)
-            new = Manifest(base.version + 1, base.schema or schema, shards)
+            new = Manifest(base.version + 1, widened(base.schema, schema), shards)
             try:
                 self._publish(new)
             except CommitConflict:
@@ -120,6 +133,10 @@ class ShardStore:
             return new
         raise CommitConflict(f"gave up after {COMMIT_TRIES} tries")
 
+    def _delete(self, paths) -> None:
+        for path in paths:
+            self._fs.delete(self._path(path), True)
+
     # -- writing -----------------------------------------------------------------------
 
     def _written(self, folder: str) -> list[Shard]:
@@ -144,38 +161,83 @@ class ShardStore:
         return self._written(folder)
 
     def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> Manifest:
-        """Merge until no tier below the target has ``fan_in`` shards; each round commits once."""
+        """Merge until no tier below the target has ``fan_in`` shards; each round commits once.
+
+        If another writer replaced a shard of a round meanwhile, the round's files
+        are deleted and the next is planned from the newest version.
+        """
+        lost = 0
         while True:
             base = self.manifest()
             runs = plan_runs(list(base.shards), target, fan_in)
             if not runs:
                 return base
             schema = StructType.fromJson(json.loads(base.schema))
-            with ThreadPoolExecutor(CONCURRENT) as pool:
-                merged = [s for new in pool.map(lambda r: self._merge_run(r, schema), runs) for s in new]
-            self._commit(merged, frozenset(s.path for r in runs for s in r))
-            self.vacuum()
-
-    def vacuum(self) -> None:
-        """Delete shards that the newest version doesn't name (and that are not being written)."""
+            merged: list[Shard] = []
+            try:
+                with ThreadPoolExecutor(CONCURRENT) as pool:
+                    for new in pool.map(lambda r: self._merge_run(r, schema), runs):
+                        merged += new
+                self._commit(merged, frozenset(s.path for r in runs for s in r))
+            except (CommitConflict, PySparkException):
+                # a merge also fails if a vacuum retired what it was reading
+                self._delete(s.path for s in merged)
+                lost += 1
+                if lost >= COMMIT_TRIES or self.manifest().version == base.version:
+                    raise
+
+    def vacuum(self, keep: int = KEEP_VERSIONS, orphan_seconds: float = ORPHAN_SECONDS) -> None:
+        """Retire all but the newest ``keep`` versions and delete what no other version needs.
+
+        Manifests go first, so nobody opens a version whose shards are going.
+        Files that no manifest ever named (of lost commits) go once they are
+        ``orphan_seconds`` old; younger ones may be on their way to a commit.
+        """
         published = self.versions()
-        live = {s.path for s in self.manifest().shards}
-        for version in published[-2:-1]:
-            for s in self.manifest(version).shards:
-                if s.path not in live:
-                    self._fs.delete(self._path(s.path), False)
+        old, kept = published[: -max(1, keep)], published[-max(1, keep) :]
+        live = {s.path for v in kept for s in self.manifest(v).shards}
+        retired = {s.path for v in old for s in self.manifest(v).shards} - live
+        self._delete(map(self._manifest_path, old))
+        self._delete(sorted(retired))
+        data, named = self._path(f"{self.root}/data"), {path.rsplit("/data/", 1)[-1] for path in live}
+        if not self._fs.exists(data):
+            return
+        newest = time.time() - orphan_seconds
+        for folder in self._fs.listStatus(data):
+            files = list(self._fs.listStatus(folder.getPath()))
+            shards = [f for f in files if f.getPath().getName().startswith("part-")]
+            stay = [f for f in shards if f"{folder.getPath().getName()}/{f.getPath().getName()}" in named or f.getModificationTime() / 1000 > newest]
+            if not stay and folder.getModificationTime() / 1000 <= newest:
+                self._fs.delete(folder.getPath(), True)
+            elif len(stay) < len(shards):
+                self._delete(f.getPath().toString() for f in shards if f not in stay)
 
     # -- reading -----------------------------------------------------------------------
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version."""
+        """The rows of a version, by default the newest."""
         m = self.manifest(version)
+        if not m.schema:
+            raise ValueError("nothing was ever appended")
         schema = StructType.fromJson(json.loads(m.schema))
         if not m.shards:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(s.path for s in m.shards))
 
 
+def widened(before: str, added: str) -> str:
+    """The schema of both: columns that only ``added`` has come last and may be null."""
+    if not before or not added:
+        return before or added
+    schema, new = StructType.fromJson(json.loads(before)), StructType.fromJson(json.loads(added))
+    for field in new.fields:
+        if field.name not in schema.names:
+            schema = schema.add(field.name, field.dataType, True)
+        elif schema[field.name].dataType != field.dataType:
+            raise ValueError(f"column {field.name} was {schema[field.name].dataType.simpleString()}, now {field.dataType.simpleString()}")
+    return schema.json()
+
+
 def tier(size: int, fan_in: int = FAN_IN, small: int = SMALL_BYTES) -> int:
     """0 below ``small`` bytes, then one more for each factor of ``fan_in``."""
     return 0 if size < small else 1 + int(math.log(size / small, fan_in))

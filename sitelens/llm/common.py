@@ -21,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under ``spark.checkpoint.dir`` that driver and executors share.
 
-    The setting is read from the session.  Only where it is unset (tests on one
-    machine) is a folder below the warehouse used instead.
+    The setting is read from the session, or is the context's checkpoint folder.
+    Without either there is no folder that is known to be shared: an error, but
+    for a session on one machine, which has the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = context_dir.get() if context_dir.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -38,7 +41,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def remove_table(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote; nothing may read ``df`` any more."""
+    remove(df.sparkSession, df._written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:

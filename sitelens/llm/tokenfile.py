@@ -2,19 +2,28 @@
 
 Ids are cut into blocks of BLOCK ids.  Each block starts from an empty model and
 carries its length and a CRC-32 of its ids, so any block decodes alone and a
-damaged one is found.  One range-coding step tells whether an id is what
-followed the last two ids before (order 2), else what followed the last id
-(order 1), or else its class in an adaptive order-0 distribution (the position
-of the highest bit and the two bits below it); a second step has the bits that
-are left.  Hit probabilities mix two adaptive estimates by a learned weight.  All arithmetic is
-on integers, so files decode alike everywhere.
-
-Blocks are coded in lockstep, one numpy lane each.  ``write`` stores rows of
-blocks through Spark's writer, ``read`` decodes them and cuts documents by the
-file's index.
+damaged one is found.
+
+The model mixes three distributions over the ids seen in the block so far:
+order 0, all of them by count; order 1, the last RING1 that followed the id
+before; order 2, the last RING2 that followed the two ids before (by a hash of
+both).  A fourth share is for an id that is new to the block.  The four
+weights belong to a state, how much and how unanimously orders 1 and 2 have seen their
+context, and move towards the share that each had in the probability of what
+came.  A seen id takes one range-coding step, by its interval in the mixture; a new
+one takes two more, its class in an adaptive distribution (the position of the
+highest bit and the two bits below it) and, alike for all, the bits left.  All
+arithmetic is on integers, so files decode alike everywhere.
+
+Blocks are coded in lockstep, one numpy lane each.  ``write`` deals documents to
+files by ranges of doc_id, as many as the text asks for.  A file is rows of
+segments: whole documents of some SEGMENT ids, their index and their blocks.
+Segments are written and read one after the other and decode alone, so a task
+holds a few of them, and reading shuffles nothing.
 
 Defined results: null texts are empty and give just the end id; repeated rows
-are each written, in the order of their texts; null doc_ids come first.
+are each written, in the order of their texts; null doc_ids come first; an id of 2**18 - 4 or
+more is an error; no rows give no file; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,32 +36,56 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import partitions_for, range_bounds, range_of, release
+from .common import partitions_for, release
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK = 1024
 #: Blocks coded in lockstep; bounds the memory of a task.
-LANES = 4096
+LANES = 2048
+#: Ids of a segment, if documents allow.
+SEGMENT = 1 << 18
+#: Characters of text in a file, about.
+FILE_CHARS = 64 << 20
 #: Characters given to the tokenizer at once.
 ENCODE_CHARS = 1 << 19
-MAGIC = b"CMR1"
+#: The first characters of a text that choose its file among documents of one doc_id.
+PREFIX = 64
+MAGIC = b"CMR2"
+MAX_ID = (1 << 18) - 5
 _HEADER = struct.Struct("<4sIII")  # magic, ids, CRC-32 of the ids, payload bytes
 
+RING1, RING2 = 4, 2
 _U = np.uint64
-_SLOTS = 1024
+_NONE = np.int16(32767)
+_CONTEXTS2 = 2048
+_STATES = 24
 _CLASSES = 64
 _REFRESH = 32
-_RATE = 4
 _ONE = 1 << 16
+#: A weight's step towards its goal after so many steps of its state, of 2**16.
+_RATES = np.array([int(_ONE / (n + 1.5)) for n in range(30)], np.int64)
+_LEAST = 48
+
+
+def _first_weights() -> np.ndarray:
+    """Weights of a state at first, for order 0, 1, 2 and new ids: the more an order has seen, and the more unanimously, the more."""
+    out = np.zeros((_STATES, 4))
+    for state in range(_STATES):
+        two, one = divmod(state, 6)
+        w2 = (0, 0.35, 0.75, 0.5)[two]
+        w1 = (0, 0.15, 0.5, 0.35, 0.75, 0.5)[one] * (1 - w2)
+        out[state] = (0.55 * (1 - w1 - w2), w1, w2, 0.45 * (1 - w1 - w2))
+    return (out * _ONE).astype(np.int64)
 
 
 def _classes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, number of bits left and those bits of each id + 4 (ids below 2**18)."""
+    """Class, number of bits left and those bits of each id + 4."""
     v = ids + 4
     high = np.frexp(v.astype(np.float64))[1] - 1
     left = high - 2
@@ -64,23 +97,17 @@ def _from_class(cls: np.ndarray, low: np.ndarray) -> np.ndarray:
     return ((4 + (cls & 3)) << left) + low - 4
 
 
-def _class_share(first, second, bounds, cls):
-    """(start, width) of a class in what both guesses leave of 2**32; never empty, as its bounds are 16 apart or more."""
-    row = np.arange(len(cls))
-    left = _U(1 << 32) - first - second
-    low, high = (bounds[row, c].astype(_U) * left >> _U(16) for c in (cls, cls + 1))
-    return first + second + low, high - low
-
-
 class _Encoder:
     """64-bit range coders, one per lane, that emit 16-bit words and carry into what they emitted."""
 
-    def __init__(self, lanes: int, ids: np.ndarray):
+    def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.out = np.zeros((lanes, 2 * ids.shape[1] + 8), np.uint16)
+        self.out = np.zeros((lanes, 3 * steps + 8), np.uint16)
         self.size = np.zeros(lanes, np.int64)
 
-    def _step(self, lanes, start, unit, width):
+    def step(self, lanes: np.ndarray, bits: np.ndarray | int, start: np.ndarray, width: np.ndarray) -> None:
+        """Narrow to ``width`` at ``start`` of 2 ** bits."""
+        unit = self.range[lanes] >> np.asarray(bits, _U)
         low = self.low[lanes]
         moved = low + unit * start
         over = np.flatnonzero(moved < low)
@@ -104,19 +131,6 @@ class _Encoder:
             on = self.out[lanes, at] == 0
             lanes, at = lanes[on], at[on] - 1
 
-    def choose(self, lanes, first, second, bounds, hit2, hit1, cls):
-        """One of: the first guess, the second, or a class; shares of 2**32 each."""
-        rest = np.flatnonzero(~(hit2 | hit1))
-        start, width = np.where(hit2, _U(0), first), np.where(hit2, first, second)
-        if len(rest):
-            start[rest], width[rest] = _class_share(first[rest], second[rest], bounds[lanes[rest]], cls)
-        self._step(lanes, start, self.range[lanes] >> _U(32), width)
-        return hit2, hit1, rest, cls
-
-    def plain(self, lanes, bits, value):
-        self._step(lanes, value.astype(_U), self.range[lanes] >> bits.astype(_U), np.ones(len(lanes), _U))
-        return value
-
     def payloads(self) -> list[bytes]:
         for _ in range(4):
             lanes = np.arange(len(self.low))
@@ -140,133 +154,218 @@ class _Decoder:
             self.above = self.above << _U(16) | self.words[:, k].astype(_U)
         self.at = np.full(lanes, 4, np.int64)
 
-    def _step(self, lanes, start, unit, width):
+    def place(self, lanes: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+        """Which of 2 ** bits the coded number lies in."""
+        bits = np.asarray(bits, _U)
+        return np.minimum(self.above[lanes] // (self.range[lanes] >> bits), (_U(1) << bits) - _U(1))
+
+    def step(self, lanes, bits, start, width):
+        unit = self.range[lanes] >> np.asarray(bits, _U)
         above, spread = self.above[lanes] - unit * start, unit * width
         small = np.flatnonzero(spread < _U(1 << 48))
+        last = self.words.shape[1] - 1
         while len(small):
             at = lanes[small]
-            above[small] = above[small] << _U(16) | self.words[at, self.at[at]].astype(_U)
+            above[small] = above[small] << _U(16) | self.words[at, np.minimum(self.at[at], last)].astype(_U)
             self.at[at] += 1
             spread[small] <<= _U(16)
             small = small[spread[small] < _U(1 << 48)]
         self.above[lanes], self.range[lanes] = above, spread
 
-    def choose(self, lanes, first, second, bounds, *_):
-        unit = self.range[lanes] >> _U(32)
-        place = np.minimum(self.above[lanes] // unit, _U((1 << 32) - 1))
-        hit2 = place < first
-        hit1 = ~hit2 & (place < first + second)
-        rest = np.flatnonzero(~(hit2 | hit1))
-        start, width = np.where(hit2, _U(0), first), np.where(hit2, first, second)
-        cls = None
-        if len(rest):
-            a, b, own = first[rest], second[rest], bounds[lanes[rest]]
-            # the bounds, scaled as _class_share does, that lie at or below the place
-            most = ((place[rest] - a - b + _U(1) << _U(16)) - _U(1)) // (_U(1 << 32) - a - b)
-            cls = np.count_nonzero(own[:, 1:] <= most.astype(np.uint32)[:, None], axis=1)
-            start[rest], width[rest] = _class_share(a, b, own, cls)
-        self._step(lanes, start, unit, width)
-        return hit2, hit1, rest, cls
-
-    def plain(self, lanes, bits, _):
-        unit = self.range[lanes] >> bits.astype(_U)
-        value = np.minimum(self.above[lanes] // unit, (_U(1) << bits.astype(_U)) - _U(1))
-        self._step(lanes, value, unit, np.ones(len(lanes), _U))
-        return value.astype(np.int64)
-
-
-class _Mix:
-    """Chance of a hit: two adaptive estimates, by confidence alone and with a second context, and a weight per lane.
-
-    Tables are flat; ``at`` is a lane's place times the row's width.
-    """
-
-    def __init__(self, lanes: int):
-        self.narrow, self.wide, self.weight = np.full(lanes * 8, 1 << 14, np.int32), np.full(lanes * 64, 1 << 14, np.int32), np.full(lanes, 128, np.int32)
-
-    def chance(self, lanes, sure, beside):
-        """(chance of 2**16, what ``learn`` needs)."""
-        i = lanes * 8 + sure
-        j = i * 8 + beside
-        first, second, w = self.narrow[i], self.wide[j], self.weight[lanes]
-        p = np.minimum(np.maximum((first * (256 - w) + second * w) >> 8, 64), _ONE - 64)
-        return p.astype(_U), (lanes, i, j, first, second, w)
-
-    def learn(self, seen, hit, among=None):
-        lanes, i, j, first, second, w = seen if among is None else (v[among] for v in seen)
-        goal = hit.astype(np.int32) * (_ONE - 1)
-        self.narrow[i] = first + ((goal - first) >> _RATE)
-        self.wide[j] = second + ((goal - second) >> _RATE)
-        self.weight[lanes] = np.minimum(np.maximum(w + ((second > first) == hit) * 4 - 2, 0), 256)
+
+class _Order0:
+    """Counts of slots (ids by first appearance) as binary indexed trees, one per lane."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.depth = max(1, (steps - 1).bit_length())
+        self.width = (1 << self.depth) + 2
+        self.tree = np.zeros(lanes * self.width, np.int32)
+        self.count = np.zeros(lanes * self.width, np.int32)
+
+    def below(self, base: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """How many came of the slots before ``slot``."""
+        total, i = np.zeros(len(slot), np.int32), slot.copy()
+        while i.any():
+            total += self.tree[base + i]
+            i &= i - 1
+        return total
+
+    def add(self, base: np.ndarray, slot: np.ndarray) -> None:
+        self.count[base + slot] += 1
+        i, last = slot + 1, self.width - 1
+        for _ in range(self.depth + 1):
+            self.tree[base + i] += 1  # the cell beyond the tree takes what is done
+            i = np.minimum(i + (i & -i), last)
+
+
+class _Rings:
+    """The last slots that followed each context."""
+
+    def __init__(self, lanes: int, contexts: int, length: int):
+        self.length = length
+        self.slots = np.full(lanes * contexts * length, _NONE, np.int16)
+        self.seen = np.zeros(lanes * contexts, np.uint8)
+        self.places = np.arange(length)[:, None]
+
+    def at(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, lanes) slots, and how many they are."""
+        return self.slots[context * self.length + self.places], np.minimum(self.seen[context], self.length).astype(np.int64)
+
+    def add(self, context: np.ndarray, slot: np.ndarray) -> None:
+        seen = self.seen[context].astype(np.int64)
+        self.slots[context * self.length + seen % self.length] = slot
+        self.seen[context] = np.where(seen == 255, 256 - self.length, seen + 1)
+
+
+def _unanimous(ring: np.ndarray) -> np.ndarray:
+    return ((ring == ring[0]) | (ring == _NONE)).all(axis=0)
+
+
+def _state(ring1, n1, ring2, n2) -> np.ndarray:
+    one = np.where(n1 < 2, n1, np.where(n1 < 5, 2, 4) + (~_unanimous(ring1)))
+    two = np.where(n2 < 2, n2, 2 + (~_unanimous(ring2)))
+    return two * 6 + one
+
+
+def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row: each id's number by first appearance, and whether it is a first one."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    ranked = np.take_along_axis(ids, order, 1)
+    new = np.ones(ids.shape, bool)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(ids.shape[1]), 0), axis=1)
+    lead = np.empty(ids.shape, np.int64)
+    np.put_along_axis(lead, order, np.take_along_axis(order, first, 1), 1)
+    is_first = lead == np.arange(ids.shape[1])
+    return np.take_along_axis(np.cumsum(is_first, axis=1) - 1, lead, 1), is_first
 
 
 def _run(coder, lengths: np.ndarray, ids: np.ndarray, known: bool) -> None:
     """The model over all lanes in lockstep; with ``known`` it codes ``ids``, else it fills them in."""
     lanes, steps = ids.shape
-    guesses = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
-    sures = [np.zeros(lanes * _SLOTS, np.int8) for _ in range(2)]
-    mix2, mix1 = _Mix(lanes), _Mix(lanes)
-    counts = np.ones((lanes, _CLASSES), np.int64)
-    bounds = np.zeros((lanes, _CLASSES + 1), np.uint32)
+    order0, order1, order2 = _Order0(lanes, steps), _Rings(lanes, steps, RING1), _Rings(lanes, _CONTEXTS2, RING2)
+    weights = np.tile(_first_weights().reshape(-1), lanes)
+    visits = np.zeros(lanes * _STATES, np.int8)
+    classes = np.ones((lanes, _CLASSES), np.int64)
+    bounds = np.zeros((lanes, _CLASSES + 1), np.int64)
+    names = np.zeros((lanes, steps), np.int64)  # ids of slots
+    many = np.zeros(lanes, np.int64)  # slots in use
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     on = np.arange(lanes)
-    columns = np.ascontiguousarray(ids.T) if known else None
+    if known:
+        slots, firsts = (np.ascontiguousarray(x.T) for x in _slots(ids))
+        columns = np.ascontiguousarray(ids.T)
+    four = np.arange(4)[:, None]
     for t in range(steps):
         if t % _REFRESH == 0:
-            summed = np.cumsum(counts, axis=1)
+            summed = np.cumsum(classes, axis=1)
             bounds[:, 1:] = summed * (_ONE - 16 * _CLASSES) // summed[:, -1:] + 16 * np.arange(1, _CLASSES + 1)
         going = lengths[on] > t
         if not going.all():
             on, a, b = on[going], a[going], b[going]
-        x = columns[t][on] if known else None
-        base = on * _SLOTS
-        at1 = base + (b * 40503 >> 4 & (_SLOTS - 1))
-        at2 = base + (a * 25717 + b * 40503 >> 3 & (_SLOTS - 1))
-        guess2, guess1 = guesses[0][at2], guesses[1][at1]
-        c2, c1 = sures[0][at2].astype(np.int64), sures[1][at1].astype(np.int64)
-        same = (guess2 == guess1) & (c2 > 0)
-        p2, seen2 = mix2.chance(on, c2, np.minimum(c1, 3) * 2 + same)
-        p1, seen1 = mix1.chance(on, c1, np.minimum(c2, 3) * 2 + same)
-        first = p2 << _U(16)
-        second = (_U(1 << 32) - first) * p1 >> _U(16)
-        hit2 = hit1 = cls = low = None
+        base0, at1 = on * order0.width, on * steps + b
+        at2 = on * _CONTEXTS2 + ((a * 40503 + b * 25717 >> 3) & (_CONTEXTS2 - 1))
+        ring1, n1 = order1.at(at1)
+        ring2, n2 = order2.at(at2)
+        state = on * _STATES + _state(ring1, n1, ring2, n2)
+        at = state * 4 + four
+        w = weights[at]
+        counts = np.stack([np.full(len(on), t), n1, n2])
+        shares = np.where(np.r_[counts, np.ones((1, len(on)), np.int64)] > 0, w, 0).astype(_U)
+        whole = shares.sum(axis=0)
+        each = ((shares[:3] << _U(32)) // whole).astype(np.int64) // np.maximum(counts, 1)  # of 2**32, for one count
+        seen = (each * counts).sum(axis=0)
+
         if known:
-            hit2 = x == guess2
-            hit1 = ~hit2 & (x == guess1)
-            cls, left, low = _classes(x[~(hit2 | hit1)])
-        hit2, hit1, rest, cls = coder.choose(on, first, second, bounds, hit2, hit1, cls)
-        got = np.where(hit2, guess2, guess1).astype(np.int64)
-        if len(rest):
-            own = on[rest]
-            low = coder.plain(own, cls >> 2, low)
-            got[rest] = _from_class(cls, low.astype(np.int64))
-            counts[own, cls] += 24
-        mix2.learn(seen2, hit2)
-        missed = np.flatnonzero(~hit2)
-        mix1.learn(seen1, hit1[missed], missed)
+            slot, new = slots[t][on], firsts[t][on]
+            below = order0.below(base0, slot)
+        else:
+            place = coder.place(on, 32).astype(np.int64)
+            new = place >= seen
+            slot, below = _find(order0, base0, many[on], each, ring1, ring2, place, t)
+            slot[new] = many[on[new]]
+        own = np.stack([order0.count[base0 + slot], (ring1 == slot).sum(axis=0), (ring2 == slot).sum(axis=0)])
+        parts = each * own
+        width = parts.sum(axis=0)
+        start = each[0] * below + each[1] * (ring1 < slot).sum(axis=0) + each[2] * (ring2 < slot).sum(axis=0)
+        start, width = np.where(new, seen, start), np.where(new, (1 << 32) - seen, width)
+        coder.step(on, 32, start.astype(_U), width.astype(_U))
+
+        fresh = np.flatnonzero(new)
+        if len(fresh):
+            lane = on[fresh]
+            if known:
+                cls, left, low = _classes(columns[t][lane])
+            else:
+                cls = np.count_nonzero(bounds[lane, 1:] <= coder.place(lane, 16).astype(np.int64)[:, None], axis=1)
+            coder.step(lane, 16, bounds[lane, cls].astype(_U), (bounds[lane, cls + 1] - bounds[lane, cls]).astype(_U))
+            if not known:
+                left = cls >> 2
+                low = coder.place(lane, left).astype(np.int64)
+            coder.step(lane, left, low.astype(_U), np.ones(len(lane), _U))
+            names[lane, slot[fresh]] = columns[t][lane] if known else _from_class(cls, low)
+            classes[lane, cls] += 24
+            many[lane] += 1
         if not known:
-            ids[on, t] = got
-        for k, (guess, at, c) in enumerate(((guess2, at2, c2), (guess1, at1, c1))):
-            right = guess == got
-            sures[k][at] = np.where(right, np.minimum(c + 1, 7), np.where(c > 2, c >> 1, 1))
-            guesses[k][at] = np.where(right | (c > 2), guess, got)
-        a, b = b, got
+            ids[on, t] = names[on, slot]
+
+        goal = np.empty((4, len(on)), np.int64)
+        goal[:3] = np.where(new, 0, (parts << 16) // np.maximum(np.where(new, 1, width), 1))
+        goal[3] = new * _ONE
+        n = visits[state]
+        weights[at] = np.maximum(w + ((goal - w) * _RATES[n] >> 16), _LEAST)
+        visits[state] = np.minimum(n + 1, len(_RATES) - 1)
+        order0.add(base0, slot)
+        order1.add(at1, slot)
+        order2.add(at2, slot)
+        a, b = b, slot
+
+
+def _find(order0: _Order0, base: np.ndarray, many: np.ndarray, each: np.ndarray, ring1: np.ndarray, ring2: np.ndarray, place: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slot whose interval in the mixture has ``place``, bit by bit, and the count of those before it."""
+    slot, below = np.zeros(len(base), np.int64), np.zeros(len(base), np.int64)
+    for k in reversed(range(min(order0.depth, max(t, 1).bit_length()))):
+        there = slot + (1 << k)
+        count = below + order0.tree[base + there]
+        edge = each[0] * count + each[1] * (ring1 < there).sum(axis=0) + each[2] * (ring2 < there).sum(axis=0)
+        up = (edge <= place) & (there < many)
+        slot, below = np.where(up, there, slot), np.where(up, count, below)
+    return slot, below
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Ids (below 2**18 - 4) as coded blocks with headers."""
-    out = []
-    for at in range(0, len(ids), block * LANES):
-        part = ids[at : at + block * LANES].astype(np.int64)
-        lanes = -(-len(part) // block)
-        lengths = np.minimum(block, len(part) - np.arange(lanes) * block)
-        table = np.zeros((lanes, min(block, len(part))), np.int64)
-        table.reshape(-1)[: len(part)] = part
-        coder = _Encoder(lanes, table)
+    """Ids as coded blocks with headers."""
+    return [b for part in encode_segments([ids], block) for b in part]
+
+
+def encode_segments(segments: list[np.ndarray], block: int = BLOCK) -> list[list[bytes]]:
+    """The coded blocks of each segment; blocks of several are coded side by side."""
+    cuts = [(k, s[i : i + block]) for k, s in enumerate(segments) for i in range(0, len(s), block)]
+    out: list[list[bytes]] = [[] for _ in segments]
+    for at in range(0, len(cuts), LANES):
+        group = cuts[at : at + LANES]
+        lengths = np.array([len(c) for _, c in group], np.int64)
+        table = np.zeros((len(group), int(lengths.max())), np.int64)
+        for row, (_, c) in zip(table, group, strict=True):
+            row[: len(c)] = c
+        if table.max() > MAX_ID or table.min() < 0:
+            raise ValueError(f"ids must lie in 0 to {MAX_ID}")
+        coder = _Encoder(*table.shape)
         _run(coder, lengths, table, True)
-        for k, payload in enumerate(coder.payloads()):
-            raw = table[k, : lengths[k]].astype("<u4").tobytes()
-            out.append(_HEADER.pack(MAGIC, int(lengths[k]), zlib.crc32(raw), len(payload)) + payload)
+        for (k, c), payload in zip(group, coder.payloads(), strict=True):
+            out[k].append(_HEADER.pack(MAGIC, len(c), zlib.crc32(c.astype("<u4").tobytes()), len(payload)) + payload)
+    return out
+
+
+def split_blocks(data: bytes) -> list[bytes]:
+    """Blocks that lie one after the other."""
+    out, at = [], 0
+    while at < len(data):
+        if len(data) - at < _HEADER.size:
+            raise ValueError("not a block, or cut short")
+        end = at + _HEADER.size + _HEADER.unpack_from(data, at)[3]
+        out.append(data[at:end])
+        at = end
     return out
 
 
@@ -274,14 +373,18 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks; ValueError for a block that is damaged."""
     found = []
     for at in range(0, len(blocks), LANES):
-        heads = [_HEADER.unpack_from(b) for b in blocks[at : at + LANES]]
-        payloads = [b[_HEADER.size :] for b in blocks[at : at + LANES]]
+        group = blocks[at : at + LANES]
+        if any(len(b) < _HEADER.size for b in group):
+            raise ValueError("not a block, or cut short")
+        heads = [_HEADER.unpack_from(b) for b in group]
+        payloads = [b[_HEADER.size :] for b in group]
         for (magic, _, _, size), p in zip(heads, payloads, strict=True):
-            if magic != MAGIC or size != len(p):
+            if magic != MAGIC or size != len(p) or size % 2:
                 raise ValueError("not a block, or cut short")
         lengths = np.array([h[1] for h in heads], np.int64)
         table = np.zeros((len(heads), int(lengths.max(initial=0))), np.int64)
-        _run(_Decoder(payloads), lengths, table, False)
+        with np.errstate(over="ignore"):
+            _run(_Decoder(payloads), lengths, table, False)
         for k, (_, n, crc, _) in enumerate(heads):
             raw = table[k, :n].astype("<u4")
             if zlib.crc32(raw.tobytes()) != crc:
@@ -292,7 +395,8 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
 
 # -- files ---------------------------------------------------------------------------------------
 
-_FILE = "file int, part int, data binary, ids long"
+#: ``at``: ids of the file before the segment; ``ids``: ids in it.
+_SEGMENTS = "file int, segment int, at long, ids long, doc_ids binary, blocks binary"
 
 
 @lru_cache(maxsize=1)
@@ -306,55 +410,69 @@ def _tokenizer(name: str):
     return own
 
 
-def _files(name: str):
-    """Rows (file, doc_id, text) in order to rows of files: part -1 is the index, others are blocks."""
+def _encoded(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of rows (doc_id, text), a few texts at a time: the library's encodings are many times a text's size."""
+    tokenizer = _tokenizer(name)
+    for batch in batches:
+        doc_ids, texts = (c.to_pylist() for c in batch.columns)
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end]) <= ENCODE_CHARS):
+                size += len(texts[end])
+                end += 1
+            coded = tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)
+            yield from ((d, np.array([*e.ids, END_ID], np.uint32)) for d, e in zip(doc_ids[at:end], coded, strict=True))
+            at = end
+
+
+def _index(doc_ids: list[int | None], lengths: list[int]) -> bytes:
+    nulls = np.array([d is None for d in doc_ids], np.uint8).tobytes()
+    return nulls + np.array([[d or 0, n] for d, n in zip(doc_ids, lengths, strict=True)], "<i8").tobytes()
+
+
+def _read_index(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, which are null, lengths)."""
+    n = len(data) // 17
+    table = np.frombuffer(data, "<i8", 2 * n, n).reshape(n, 2)
+    return table[:, 0], np.frombuffer(data, np.uint8, n).astype(bool), table[:, 1]
+
+
+def _write_segments(name: str):
+    """Rows (doc_id, text) of a file in order, to its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(name)
-        file, index, ids, held, part = None, [], [], 0, 0
-
-        def row(number, data, n):
-            return pa.RecordBatch.from_arrays([pa.array([file] * len(data), pa.int32()), pa.array(number, pa.int32()), pa.array(data, pa.binary()), pa.array(n, pa.int64())], names=["file", "part", "data", "ids"])
-
-        def blocks(last: bool):
-            nonlocal ids, held, part
-            whole = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            cut = len(whole) if last else len(whole) // BLOCK * BLOCK
-            coded = encode_blocks(whole[:cut])
-            yield row(range(part, part + len(coded)), coded, [0] * len(coded))
-            part, ids, held = part + len(coded), [whole[cut:]], len(whole) - cut
-            if last:
-                nulls = np.array([d is None for d, _ in index], np.uint8).tobytes()
-                table = struct.pack("<I", len(index)) + nulls + np.array([(d or 0, n) for d, n in index], "<i8").tobytes()
-                yield row([-1], [table], [sum(n for _, n in index)])
-
-        def encoded():
-            """Rows with their ids, a few texts at a time: the library's encodings are many times a text's size."""
-            for batch in batches:
-                columns = [c.to_pylist() for c in batch.columns]
-                at = 0
-                while at < len(columns[2]):
-                    size, end = 0, at
-                    while end < len(columns[2]) and (end == at or size + len(columns[2][end]) <= ENCODE_CHARS):
-                        size += len(columns[2][end])
-                        end += 1
-                    coded = tokenizer.encode_batch_fast(columns[2][at:end], add_special_tokens=False)
-                    yield from zip(columns[0][at:end], columns[1][at:end], (e.ids for e in coded), strict=True)
-                    at = end
-
-        for f, d, e in encoded():
-            if f != file:
-                if file is not None:
-                    yield from blocks(True)
-                file, index, ids, held, part = f, [], [], 0, 0
-            own = np.array([*e, END_ID], np.uint32)
-            index.append((d, len(own)))
-            ids.append(own)
-            held += len(own)
+        file, serial, at = TaskContext.get().partitionId(), 0, 0
+        ready: list[tuple[list, list]] = []
+        doc_ids, parts, size = [], [], 0
+
+        def rows():
+            nonlocal serial, at, ready
+            whole = [np.concatenate(p) for _, p in ready]
+            coded = encode_segments(whole)
+            starts = at + np.cumsum([0, *map(len, whole)])
+            index = [_index(d, [len(x) for x in p]) for d, p in ready]
+            columns = [[file] * len(whole), list(range(serial, serial + len(whole))), starts[:-1].tolist(), [len(w) for w in whole], index, [b"".join(c) for c in coded]]
+            serial, at, ready = serial + len(whole), int(starts[-1]), []
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _SEGMENTS.split(", ")])
+
+        held = 0
+        for doc_id, ids in _encoded(name, batches):
+            doc_ids.append(doc_id)
+            parts.append(ids)
+            size += len(ids)
+            if size >= SEGMENT:
+                ready.append((doc_ids, parts))
+                held += size
+                doc_ids, parts, size = [], [], 0
             if held >= BLOCK * LANES:
-                yield from blocks(False)
-        if file is not None:
-            yield from blocks(True)
+                yield rows()
+                held = 0
+        if parts:
+            ready.append((doc_ids, parts))
+        if ready:
+            yield rows()
 
     return run
 
@@ -363,53 +481,54 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE) -> None:
     """Encode ``docs`` and write files in ascending doc_id order: file k holds the k-th range of ids."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = range_bounds(rows, "doc_id", 2 * partitions_for(spark))
-    placed = rows.select(range_of(F.col("doc_id"), bounds).alias("file"), "doc_id", "text")
-    ordered = placed.repartition(partitions_for(spark), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_files(tokenizer), _FILE).write.parquet(path)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    files = partitions_for(spark, -(-chars // FILE_CHARS))
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(files, first, F.substring("text", 1, PREFIX).asc())
+    dealt.sortWithinPartitions(first, "text").mapInArrow(_write_segments(tokenizer), _SEGMENTS).write.parquet(path)
     release(spark)
 
 
-def _documents(starts: dict[int, int]):
-    """Rows of files in order (index first) to a row for each document."""
-
-    def emit(file: int, index: bytes, coded: list[bytes]) -> pa.RecordBatch:
-        (n,) = struct.unpack_from("<I", index)
-        nulls = np.frombuffer(index, np.uint8, n, 4)
-        table = np.frombuffer(index, "<i8", 2 * n, 4 + n).reshape(n, 2)
-        ids = decode_blocks(coded)
-        ends = np.cumsum(table[:, 1])
-        if len(ids) != (ends[-1] if n else 0):
-            raise ValueError(f"file {file}: the index and the blocks differ in length")
-        begins = ends - table[:, 1]
-        raw = memoryview(ids.astype("<u4").tobytes())
-        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(table[:, 0], mask=nulls.astype(bool)), pa.array(begins + starts[file]), pa.array(table[:, 1]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, index, coded = None, b"", []
-        for batch in batches:
-            for f, part, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if part == -1:
-                    if file is not None:
-                        yield emit(file, index, coded)
-                    file, index, coded = f, data, []
-                else:
-                    coded.append(data)
-        if file is not None:
-            yield emit(file, index, coded)
-
-    return run
+def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments to a row for each document; some of them are decoded side by side."""
+    held: list[tuple] = []
+    blocks = 0
+
+    def rows(segments: list[tuple]) -> pa.RecordBatch:
+        ids = decode_blocks([b for s in segments for b in s[4]])
+        out, at = [], 0
+        for file, start, n, index, _ in segments:
+            doc_ids, nulls, lengths = _read_index(index)
+            if lengths.sum() != n:
+                raise ValueError(f"file {file}: the index and the blocks differ in length")
+            ends = np.cumsum(lengths)
+            raw = memoryview(ids[at : at + n].astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * (e - x) : 4 * e]) for e, x in zip(ends.tolist(), lengths.tolist(), strict=True)]
+            out.append((np.full(len(ends), file), doc_ids, nulls, start + ends - lengths, lengths, crc))
+            at += n
+        if at != len(ids):
+            raise ValueError("the index and the blocks differ in length")
+        file, doc_ids, nulls, start, lengths, crc = (np.concatenate(c) for c in zip(*out, strict=True))
+        columns = [pa.array(file, pa.int32()), pa.array(doc_ids, mask=nulls), pa.array(start), pa.array(lengths), pa.array(crc.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            file, at, n, index, data = (c[k].as_py() for c in batch.columns)
+            held.append((file, at, n, index, split_blocks(data)))
+            blocks += len(held[-1][4])
+            if blocks >= LANES:
+                yield rows(held)
+                held, blocks = [], 0
+    if held:
+        yield rows(held)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    files = spark.read.schema(_FILE).parquet(path)
-    starts, total = {}, 0
-    for r in files.filter("part = -1").select("file", "ids").orderBy("file").collect():
-        starts[r["file"]] = total
-        total += r["ids"]
-    ordered = files.select("file", "part", "data").repartition(partitions_for(spark), "file").sortWithinPartitions("file", "part")
-    return ordered.mapInArrow(_documents(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(_SEGMENTS).parquet(path)
+    # a row for each file
+    sizes = files.groupBy("file").agg(F.max(F.col("at") + F.col("ids")).alias("size"))
+    starts = sizes.select("file", (F.sum("size").over(Window.orderBy("file")) - F.col("size")).alias("before"))
+    found = files.select("file", "at", "ids", "doc_ids", "blocks").mapInArrow(_read_segments, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return found.join(starts, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,40 +8,40 @@ each function over a document is its signature.  A fingerprint is the signature'
 lower 16 bits each, in hex (the upper bits of minima over long texts are nearly
 all zero); likeness is the share of equal places.
 
-``similar`` joins signature bands in Spark and verifies candidates by the exact
-Jaccard similarity of their shingle sets.
+Signature bands are joined in Spark, and candidates verified by the exact Jaccard
+similarity of their shingle sets, by ``neardup.classes``.
 
 Defined results: null is an empty text; texts without words share one signature and are alike;
 rows of one doc_id follow each other by text, null doc_ids come last; a single
-row is its own next document; extra columns are ignored.
+row is its own next document; a long text is hashed in pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from .common import materialise, partitions_for, range_bounds, range_of
-from .components import connected_components
+from .common import partitions_for, range_bounds, range_of
 
 SHINGLE = 5
 PERMUTATIONS = 128
 SEED = 20_240
 BANDS = 25
 BAND_ROWS = 5
-MIN_JACCARD = 0.8
 #: Bytes of text hashed at once.
 CHUNK_BYTES = 4 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_GAP = re.compile(rb"[\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -102,14 +102,48 @@ def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
         at = end
 
 
-def signatures(texts: list[bytes], shingles: Callable = shingle_hashes) -> np.ndarray:
-    """(texts, PERMUTATIONS) minima as 32-bit numbers; without shingles all ones."""
-    out = np.full((len(texts), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
+def pieces(text: bytes, size: int = SHINGLE) -> Iterator[bytes]:
+    """A text in pieces of about CHUNK_BYTES, cut between words; each but the first begins with the last size - 1 words before it."""
+    at, before = 0, b""
+    while at < len(text):
+        end = len(text) if len(text) - at <= CHUNK_BYTES else next((m.end() for m in _GAP.finditer(text, at + CHUNK_BYTES)), len(text))
+        piece = before + text[at:end]
+        yield piece
+        at, before = end, b" ".join(piece.rsplit(None, size - 1)[-(size - 1) :]) + b" "
+
+
+def hashed(texts: list[bytes], shingles: Callable = shingle_hashes, repeated: int = SHINGLE - 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, hashes, bounds) of runs of texts, a bounded number of bytes at a time; a long text comes in several.
+
+    ``repeated``: how many shingles at the start of a later piece belong to the one before.
+    """
     at = 0
     for part in chunks(texts):
-        hashes, bounds = shingles(part)
-        _minima(hashes, bounds, out[at : at + len(part)])
+        if len(part) > 1 or len(part[0]) <= CHUNK_BYTES:
+            yield at, *shingles(part)
+        else:
+            for k, piece in enumerate(pieces(part[0])):
+                hashes, _ = shingles([piece])
+                own = hashes[repeated:] if k else hashes
+                yield at, own, np.array([0, len(own)])
         at += len(part)
+
+
+def signatures(texts: list[bytes], shingles: Callable = shingle_hashes, repeated: int = SHINGLE - 1) -> np.ndarray:
+    """(texts, PERMUTATIONS) minima as 32-bit numbers; without shingles all ones."""
+    out = np.full((len(texts), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
+    for at, hashes, bounds in hashed(texts, shingles, repeated):
+        _minima(hashes, bounds, out[at : at + len(bounds) - 1])
+    return out
+
+
+def shingle_sets(texts: list[bytes], shingles: Callable = shingle_hashes, repeated: int = SHINGLE - 1) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending."""
+    out: list = [np.zeros(0, _U)] * len(texts)
+    for at, hashes, bounds in hashed(texts, shingles, repeated):
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False), at):
+            found = np.unique(hashes[a:b])
+            out[k] = np.union1d(out[k], found) if len(out[k]) else found
     return out
 
 
@@ -140,7 +174,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 # -- fingerprints of documents, of edited texts and of the next document --------------------------
 
-_FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
+#: ``text`` is null in a row that tells the class of the doc_id's text with this hash; such rows come before the doc_id's texts.
+_ROWS = ("bucket", "doc_id", "guest", "text", "node", "class_id")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -150,8 +186,9 @@ def edited_text(text: str, following: str) -> str:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, doc_id, guest, text) in order; a guest row only serves as the next of the one before."""
+    """Rows of _ROWS in order; a guest row only serves as the next of the one before."""
     held: list[tuple] = []
+    owner, classes = None, {}
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         # the last row stays behind; a guest is followed by another bucket
@@ -169,13 +206,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(fingerprints(changed), pa.string()),
             pa.array(likeness(plain[at], changed) if own else [], pa.float64()),
             pa.array(likeness(plain[at], plain[after]) if own else [], pa.float64()),
+            pa.array([rows[i][4] for i in own], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _FIELDS.split(", ")])
 
     size = 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[-1][2] and row[2] and held[-1][0] == row[0]:
+        for bucket, doc_id, guest, text, node, class_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, doc_id) != owner:
+                owner, classes = (bucket, doc_id), {}
+            if text is None:
+                classes[node] = class_id
+                continue
+            row = (bucket, doc_id, guest, text, classes.get(text_hash(text)) if classes else None)
+            if held and held[-1][2] and guest and held[-1][0] == bucket:
                 continue  # a further guest of the same bucket
             held.append(row)
             size += len(row[3])
@@ -186,9 +230,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def edit_report(docs: DataFrame) -> DataFrame:
+def text_hash(text: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def edit_report(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """For each row its fingerprint, that of its edited text, and how both and the next document's compare.
 
+    ``classes``: (doc_id, node, class_id), the class of each document's text by
+    its hash, as ``neardup.classes`` finds them; it comes out as ``class_id``
+    (without it null).  Class rows are dealt and sorted with the texts they belong
+    to, so texts move once.
+
     The next document is the next smaller doc_id; after the smallest comes the
     largest.  Rows are dealt to ranges of doc_id; the first row of a range also
     goes, as a guest, to the end of the range before.  Only range bounds and the
@@ -201,20 +256,24 @@ def edit_report(docs: DataFrame) -> DataFrame:
     placed = named.withColumn("bucket", F.lit(len(bounds)) - range_of(F.col("doc_id"), bounds))
     firsts = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     used = sorted(firsts)
+    none = [F.lit(None).cast("long").alias(c) for c in _ROWS[4:]]
     if not used:
-        return placed.select("bucket", "doc_id", F.lit(0).alias("guest"), "text").mapInArrow(_compare, _FIELDS)
+        return placed.select("bucket", "doc_id", F.lit(0).alias("guest"), "text", *none).mapInArrow(_compare, _FIELDS)
     # the first row of a bucket is a guest at the end of the bucket before it
     hosts = spark.createDataFrame([(after, firsts[after], here) for here, after in zip(used, used[1:] + used[:1], strict=True)], "b int, top long, host int")
     hosts = F.broadcast(hosts)  # a row for each bucket
     dealt = placed.join(hosts, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top")), "left")
     own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("g"))
     dealt = dealt.withColumn("_to", F.explode(F.when(F.col("host").isNotNull(), F.array(own, F.struct(F.col("host").alias("b"), F.lit(1).alias("g")))).otherwise(F.array(own))))
-    rows = dealt.select(F.col("_to.b").alias("bucket"), "doc_id", F.col("_to.g").alias("guest"), "text")
-    ordered = rows.repartition(partitions_for(spark), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    rows = dealt.select(F.col("_to.b").alias("bucket"), "doc_id", F.col("_to.g").alias("guest"), "text", *none)
+    if classes is not None:
+        told = classes.select("doc_id", "node", "class_id").distinct().withColumn("bucket", F.lit(len(bounds)) - range_of(F.col("doc_id"), bounds))
+        rows = rows.unionByName(told.select("bucket", "doc_id", F.lit(0).alias("guest"), F.lit(None).cast("string").alias("text"), "node", "class_id"))
+    ordered = rows.repartition(partitions_for(spark), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return ordered.mapInArrow(_compare, _FIELDS)
 
 
-# -- near-duplicate groups ------------------------------------------------------------------------
+# -- signature bands ------------------------------------------------------------------------------
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -224,51 +283,3 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     for k in range(BAND_ROWS):
         keys = _mix(keys * _U(0xD6E8FEB86659FD93) + rows[:, :, k])
     return keys
-
-
-@F.arrow_udf(ArrayType(LongType()))
-def _band_keys(text: pa.Array) -> pa.Array:
-    keys = band_keys(signatures([t or b"" for t in text.cast(pa.binary()).to_pylist()]))
-    return pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))
-
-
-@F.arrow_udf(ArrayType(LongType()))
-def _shingle_sets(text: pa.Array) -> pa.Array:
-    hashes, bounds = shingle_hashes([t or b"" for t in text.cast(pa.binary()).to_pylist()])
-    return pa.array([np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds, bounds[1:], strict=False)], pa.list_(pa.int64()))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def similar(docs: DataFrame, least: float = MIN_JACCARD) -> DataFrame:
-    """(doc_id, class_id) of every row: documents linked by a verified Jaccard similarity of ``least`` or more.
-
-    Equal texts are one node.  In a bucket of equal bands each node is verified
-    against the bucket's first; nodes that pass are connected through it.  Only
-    those that fail are compared with all others of the bucket, so a large group
-    of near copies gives as many pairs as it has nodes, and no link that matters
-    is lost.  Shingle sets are made for nodes that share a band only.  Where a
-    large group's members share bands but stay below ``least``, the second round
-    compares them pair by pair; such a corpus needs more rows in a band.
-    """
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = materialise(keyed.select("doc_id", "node", _band_keys(F.col("text")).alias("keys")), "marked")
-    first = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
-    bands = materialise(marked.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("band")), "bands")
-    centres = bands.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "a")
-    spokes = materialise(bands.join(centres, "band").filter("node <> a").select("band", "a", F.col("node").alias("b")), "spokes")
-    wanted = spokes.select(F.col("a").alias("node")).union(spokes.select("b")).distinct()
-    sets = materialise(keyed.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", _shingle_sets(F.col("text")).alias("s")), "sets")
-    near = materialise(_verified(spokes.select("a", "b").distinct(), sets, least), "near")
-    apart = spokes.join(near, ["a", "b"], "left_anti").select("band", F.col("b").alias("x"))
-    others = apart.join(bands, "band").filter("x <> node").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    links = near.union(_verified(others, sets, least))
-    rooted = first.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = rooted.join(ids, "root").select("node", "class_id")
-    return marked.select("doc_id", "node").join(named, "node", "left").select("doc_id", "class_id")

@@ -1,4 +1,4 @@
-"""Near copies for the pipeline: 5-word shingles, an exact Jaccard similarity of 0.8 or more.
+"""Near copies: MinHash bands joined in Spark, candidates verified by an exact Jaccard similarity of 0.8 or more.
 
 Candidates share a band of MinHash minima.  The components of candidates are
 dealt to cells, each text once; inside a cell every pair of shingle sets is
@@ -6,13 +6,14 @@ compared exactly, as counts over a small vocabulary, and only links that join
 two groups are emitted.  Components beyond CELL texts are dealt by band instead,
 bands beyond CELL as pairs of chunks, so that no task holds more than CELL sets.
 
-Words are those of operator 1 (six spaces, ASCII lower case); a text of fewer
-than SHINGLE words is one shingle.  A pair of similarity 0.8 shares no band with
+PLAIN shingles are those of the pipeline: words of operator 1 (six spaces, ASCII
+lower case), five in a row, a text of fewer is one shingle.  PADDED ones are those
+of operator 10's signatures.  A pair of similarity 0.8 shares no band with
 probability (1 - 0.8**5)**25 = 0.00005, any nearer pair with less.
 
 Defined results: null is an empty text; texts without words are alike; rows
-without a doc_id are not compared; repeated rows give a row each; extra columns
-are ignored.
+without a doc_id are compared but name no class (``near_copies`` and ``keep_first``
+leave them alone); repeated rows give a row each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from . import minhash
-from .common import materialise
+from .common import materialise, remove_table
 from .components import connected_components
 from .simhash import _LOWER, _merge, keep_least
 
@@ -45,12 +46,15 @@ def plain_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[keep], np.r_[0, np.cumsum(np.where(words > 0, np.maximum(words - SHINGLE + 1, 1), 0))]
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+#: (shingles of texts, how many at the start of a later piece of a long text belong to the one before).
+PLAIN = (plain_shingles, 0)
+PADDED = (minhash.shingle_hashes, SHINGLE - 1)
+
+
+def shingle_sets(texts: list[bytes], kind: tuple = PLAIN) -> Iterator[np.ndarray]:
     """The distinct shingles of each text, some megabytes of text at a time."""
     for part in minhash.chunks(texts):
-        hashes, bounds = plain_shingles(part)
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            yield np.unique(hashes[a:b])
+        yield from minhash.shingle_sets(part, *kind)
 
 
 def alike_groups(sets: list[np.ndarray], least: float = MIN_JACCARD) -> np.ndarray:
@@ -78,34 +82,40 @@ def alike_groups(sets: list[np.ndarray], least: float = MIN_JACCARD) -> np.ndarr
     return group
 
 
-def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (cell, node, text) sorted by cell: a link from each node to the first of its group."""
-    cell, nodes, sets = None, [], []
+def _link_cells(kind: tuple):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows (cell, node, text) sorted by cell: a link from each node to the first of its group."""
+        cell, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            group = alike_groups(sets) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+            moved = np.flatnonzero(group != np.arange(len(group)))
+            named = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(named[group[moved]]), pa.array(named[moved])], names=["a", "b"])
 
-    def links() -> pa.RecordBatch:
-        group = alike_groups(sets) if len(sets) > 1 else np.zeros(len(sets), np.int64)
-        moved = np.flatnonzero(group != np.arange(len(group)))
-        named = np.array(nodes, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(named[group[moved]]), pa.array(named[moved])], names=["a", "b"])
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for c, node, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts, kind), strict=True):
+                if c != cell:
+                    if len(nodes) > 1:
+                        yield links()
+                    cell, nodes, sets = c, [], []
+                if not nodes or nodes[-1] != node:  # repeated rows of one doc_id
+                    nodes.append(node)
+                    sets.append(found)
+        if len(nodes) > 1:
+            yield links()
 
-    for batch in batches:
-        texts = batch.column(2).cast(pa.binary()).to_pylist()
-        for c, node, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts), strict=True):
-            if c != cell:
-                if len(nodes) > 1:
-                    yield links()
-                cell, nodes, sets = c, [], []
-            if not nodes or nodes[-1] != node:  # repeated rows of one doc_id
-                nodes.append(node)
-                sets.append(found)
-    if len(nodes) > 1:
-        yield links()
+    return run
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _band_keys(text: pa.Array) -> pa.Array:
-    found = minhash.signatures(text.cast(pa.binary()).to_pylist(), plain_shingles)
-    return pa.array(list(minhash.band_keys(found).view(np.int64)), pa.list_(pa.int64()))
+def _band_keys(kind: tuple):
+    @F.arrow_udf(ArrayType(LongType()))
+    def run(text: pa.Array) -> pa.Array:
+        found = minhash.signatures(text.cast(pa.binary()).to_pylist(), *kind)
+        return pa.array(list(minhash.band_keys(found).view(np.int64)), pa.list_(pa.int64()))
+
+    return run
 
 
 def _text() -> Column:
@@ -127,23 +137,42 @@ def _cells(roots: DataFrame, shared: DataFrame, cell: int) -> DataFrame:
     return small.union(shared.join(large, "node", "left_semi").select(F.explode(dealt).alias("cell"), "node").distinct())
 
 
-def near_copies(docs: DataFrame, cell: int = CELL) -> DataFrame:
-    """(doc_id, component_id) for each row with a doc_id; component_id is the smallest doc_id reachable by near copies."""
-    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", _text().alias("text"))
-    marked = materialise(named.select("doc_id", F.xxhash64("text").alias("node"), _band_keys(F.col("text")).alias("keys")), "marked")
+def classes(docs: DataFrame, kind: tuple = PLAIN, cell: int = CELL) -> DataFrame:
+    """(doc_id, node, class_id) of each row: the hash of its text, and the smallest doc_id reachable by near copies."""
+    named = docs.select("doc_id", _text().alias("text"))
+    marked = materialise(named.select("doc_id", F.xxhash64("text").alias("node"), _band_keys(kind)(F.col("text")).alias("keys")), "marked")
     # equal texts are one node
     first = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
+    rows = materialise(marked.select("doc_id", "node"), "rows")
+    remove_table(marked)
     bands = materialise(first.select("node", F.explode("keys").alias("band")), "bands")
     centres = bands.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialise(bands.join(centres, "band"), "shared")
+    remove_table(bands)
     roots = connected_components(shared.select("a", F.col("node").alias("b")))
-    wanted = _cells(roots, shared, cell).join(first.select("node", F.col("least").alias("doc_id")), "node")
+    wanted = materialise(_cells(roots, shared, cell).join(first.select("node", F.col("least").alias("doc_id")), "node"), "wanted")
     # by shuffle at every size, as in keep_least
-    read = named.join(wanted.hint("merge"), "doc_id").filter(F.xxhash64("text") == F.col("node")).select("cell", "node", "text")
-    links = read.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_link_cells, "a long, b long")
+    read = named.join(wanted.filter("doc_id IS NOT NULL").hint("merge"), "doc_id").filter(F.xxhash64("text") == F.col("node")).select("cell", "node", "text")
+    nameless = wanted.filter("doc_id IS NULL").select("cell", "node")
+    if not nameless.isEmpty():
+        own = named.filter("doc_id IS NULL").select(F.xxhash64("text").alias("node"), "text").dropDuplicates(["node"])
+        read = read.union(own.join(nameless, "node").select("cell", "node", "text"))
+    links = materialise(read.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_link_cells(kind), "a long, b long"), "links")
+    remove_table(shared)
+    remove_table(wanted)
     rooted = first.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
+    return rows.join(rooted.join(ids, "root").select("node", "class_id"), "node").select("doc_id", "node", "class_id")
+
+
+def near_copies(docs: DataFrame, cell: int = CELL) -> DataFrame:
+    """(doc_id, component_id) for each row with a doc_id; component_id is the smallest doc_id reachable by near copies."""
+    return classes(docs.filter(F.col("doc_id").isNotNull()), PLAIN, cell).select("doc_id", F.col("class_id").alias("component_id"))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every row: the classes of operator 10, over the shingles of its signatures."""
+    return classes(docs, PADDED).select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, katz, langid, minhash, mixing, quality, shards, simhash, tokenfile
-from .common import shared_dir, table
+from . import bpe, htmltext, katz, langid, minhash, mixing, neardup, quality, shards, simhash, tokenfile
+from .common import materialise, shared_dir, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness."""
-    return minhash.edit_report(table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and of its edited text, their likeness, and the class of near copies by joined bands and exact Jaccard similarity."""
+    docs = table(spark, sf_dir, "documents")
+    return minhash.edit_report(docs, materialise(neardup.classes(docs, neardup.PADDED), "classes"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op7_katz, op8_quality_rules, op9_token_files, op10_minhash)}

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sitelens.llm import bpe, components, htmltext, katz, langid, minhash, mixing, quality, queries, shards, simhash, tokenfile
+from sitelens.llm import bpe, components, htmltext, katz, langid, minhash, mixing, neardup, quality, queries, shards, simhash, tokenfile
 from sitelens.llm.common import packed, range_bounds, range_of, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -540,8 +540,8 @@ def test_similar_classes(spark, docs, empty):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)].append(d)
-    assert Counter(map(tuple, minhash.similar(docs).collect())) == Counter((d, min(least[find(i)])) for i, (d, _) in enumerate(rows) if least[find(i)])
-    assert minhash.similar(empty).count() == 0
+    assert Counter(map(tuple, neardup.similar(docs).collect())) == Counter((d, min(least[find(i)])) for i, (d, _) in enumerate(rows) if least[find(i)])
+    assert neardup.similar(empty).count() == 0
 
 
 # -- pipeline ---------------------------------------------------------------------------------------

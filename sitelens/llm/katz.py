@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions_for, release, remove_table
 
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 #: Counts up to this one get Good-Turing discounts.
 GT_MAX = 5
 #: Tokens whose words and bigrams a range owns; a task has one range in memory.

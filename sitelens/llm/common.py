@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,11 +35,26 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a write's shuffle files when the write is done, not when garbage collection finds them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet; the shuffle files that it took are gone afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    write_table(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -63,12 +77,6 @@ def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, unreferenced stages now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most ``parts`` - 1 ascending values that cut a column into ranges of like size."""
     if parts < 2:

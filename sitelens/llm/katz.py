@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions_for, release, remove_table
+from .common import materialise, partitions_for, remove_table
 
 BLOCK_TOKENS = 1_000_000
 #: Counts up to this one get Good-Turing discounts.
@@ -585,7 +585,6 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     parts = plan.ranges
 
     words = _exchange(read.select("number", "words", "counts").mapInArrow(_word_requests(plan), _MESSAGE), _word_owner(max(4096, 4 * plan.ranges)), plan, parts, "word-counts")
-    release(spark)
     totals = _sums(words, TOTALS)
     unigrams = Unigrams(totals.get(0, 0), totals.get(1, 0))
     # at most 4 * ranges words can have that share of all tokens; so can START
@@ -595,7 +594,6 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     plan.spread(np.array([w for w, _ in hot], _U), np.array([n for _, n in hot], np.int64), unigrams.tokens)
 
     bigrams = _exchange(read.select("number", "payload").mapInArrow(_bigram_requests(plan), _MESSAGE), _bigram_owner(plan), plan, parts, "bigram-counts")
-    release(spark)
     counts_of_counts = _sums(bigrams, COUNTS_OF_COUNTS)
     discounts = Discounts([counts_of_counts.get(r, 0) for r in range(1, GT_MAX + 2)])
 
@@ -603,7 +601,6 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     word_answers = words.filter(F.col("kind") == ANSWER).withColumn("kind", F.lit(WORD_ANSWER))
     met = _deal(payloads.union(word_answers).union(bigrams.filter(F.col("kind") == ANSWER)), parts)
     scored = materialise(met.mapInArrow(_score(unigrams, discounts, plan), _SCORED), "scored")
-    release(spark)
     remove_table(read)
     remove_table(words)
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import partitions_for, release
+from .common import partitions_for, write_table
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
@@ -485,8 +485,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE) -> None:
     files = partitions_for(spark, -(-chars // FILE_CHARS))
     first = F.col("doc_id").asc_nulls_first()
     dealt = rows.repartitionByRange(files, first, F.substring("text", 1, PREFIX).asc())
-    dealt.sortWithinPartitions(first, "text").mapInArrow(_write_segments(tokenizer), _SEGMENTS).write.parquet(path)
-    release(spark)
+    write_table(dealt.sortWithinPartitions(first, "text").mapInArrow(_write_segments(tokenizer), _SEGMENTS), path)
 
 
 def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

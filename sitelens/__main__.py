@@ -10,7 +10,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="sitelens", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("template", help="print an empty configuration")
-    run = commands.add_parser("run", help="harmonise the configured sources and write the dataset tables")
+    run = commands.add_parser("run", help="run the configured study and write its tables and surfaces")
     run.add_argument("config")
     args = parser.parse_args(argv)
     from .plans import study
@@ -20,15 +20,10 @@ def main(argv: list[str] | None = None) -> None:
         return
     from pyspark.sql import SparkSession
 
-    from .sources import rasters
-
     spark = SparkSession.builder.appName("sitelens").getOrCreate()
     config = study.StudyConfig.from_json(Path(args.config).read_text(encoding="utf-8"))
-    bios = tuple(config.climate.get("bio") or rasters.DEFAULT_BIOS)
-    layers = rasters.worldclim_layers(spark, str(config.climate["worldclim_dir"]), bios)
-    cells, g = rasters.read_stack(spark, layers, config.bbox)
-    stacks = {key: cells for key, choice in study.period_climate(slices=()).items() if choice == "current"}
-    study.run_config(spark, config, stacks, g, list(layers))
+    stacks, climate, g, bands = study.period_stacks(spark, config)
+    study.run_config(spark, config, stacks, g, bands, climate)
 
 
 if __name__ == "__main__":

@@ -70,6 +70,7 @@ TAXA: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 OTHER_TAXON = "기타"
 HUMAN_TAXON = "사람"
+PIG_TAXON = "돼지"
 ALL_TAXA = "전체"
 ALL_ANIMALS = "전체동물"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Reference distributions up to this many values travel as literals in the plan; larger ones are joined.
-MAX_REFERENCE = 50_000
+MAX_REFERENCE = 1_000
 
 
 def array_of(values: list[float]) -> Column:

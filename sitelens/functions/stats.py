@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +56,10 @@ def chi2_sf(x: Column, df: Column) -> Column:
     return _chi2(x.cast("double"), df.cast("double"))
 
 
+#: The distribution of U is worked out in whole numbers up to the first of these many values of it, in floats up to the second; beyond, the normal one differs by less than 0.01.
+EXACT_VALUES, MAX_VALUES = 10_000, 20_000_000
+
+
 def u_counts(m: int, n: int) -> list[int]:
     """Number of orders of m and n untied values for each U from 0 to m * n.
 
@@ -69,12 +74,35 @@ def u_counts(m: int, n: int) -> list[int]:
     return table
 
 
+def u_shares(m: int, n: int) -> np.ndarray:
+    """Share of the orders of m and n untied values that have each U from 0 to m * n.
+
+    A recurrence on the smaller side: the share for one more value on it is a
+    running mean of the share before, so nothing is subtracted but running sums.
+    """
+    m, n = min(m, n), max(m, n)
+    share = np.zeros(m * n + 1)
+    share[0] = 1.0
+    for k in range(1, m + 1):
+        # coefficients of (1 - q^(n+k)) / (1 - q^k), scaled by k / (n + k)
+        top = k * n
+        wide = np.zeros(-(-(top + 1) // k) * k)
+        wide[: top + 1] = share[: top + 1]
+        wide[n + k : top + 1] -= share[: top + 1 - n - k]
+        share[: top + 1] = np.cumsum(wide.reshape(-1, k), axis=0).reshape(-1)[: top + 1] * (k / (n + k))
+        half = top // 2  # the distribution is symmetric; its later half has the sums' rounding errors
+        share[top - half : top + 1] = share[: half + 1][::-1]
+    return share
+
+
 def mann_whitney_p(u: float, m: int, n: int, ties: float) -> float:
-    """Two-sided p of U: exact for 8 values or fewer on a side without ties, else normal with corrections."""
+    """Two-sided p of U: exact for 8 values or fewer on a side without ties (up to MAX_VALUES values of U), else normal with corrections."""
     top = max(u, m * n - u)
-    if min(m, n) <= 8 and ties == 0:
-        counts = u_counts(m, n)
-        return min(1.0, 2 * sum(counts[math.ceil(top) :]) / sum(counts))
+    if min(m, n) <= 8 and ties == 0 and m * n <= MAX_VALUES:
+        if m * n <= EXACT_VALUES:
+            counts = u_counts(m, n)
+            return min(1.0, 2 * sum(counts[math.ceil(top) :]) / sum(counts))
+        return min(1.0, 2 * float(u_shares(m, n)[: m * n - math.ceil(top) + 1].sum()))
     total = m + n
     variance = m * n / 12 * ((total + 1) - ties / (total * (total - 1)))
     if variance <= 0:

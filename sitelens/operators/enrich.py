@@ -10,14 +10,33 @@ from pyspark.sql import functions as F
 from ..dims import ALL_ANIMALS, ALL_TAXA, COORD_QUALITY, HUMAN_TAXON, NO_QUALITY, PERIODS, REGION_CENTROIDS, ZONES, first_case, period_order
 from ..functions.text import any_of, normalised_site, taxon_group, with_human
 from ..schema import no_nan
+from ..shared import materialise
 
 #: A lookup side is broadcast up to this many rows and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; counted first, so for what is cheap to read."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def _join_sites(rows: DataFrame, lookup: DataFrame, how: str = "left") -> DataFrame:
+    """Rows with the lookup of their ``_key`` (a row for each key, written once: it is counted, then joined).
+
+    Beyond a size that can be broadcast the unnamed sites, which share the empty
+    key, are answered by themselves: they may be most rows.
+    """
+    held = materialise(lookup, "lookup")
+    if is_small(held):
+        return rows.join(F.broadcast(held), "_key", how)
+    unnamed = F.broadcast(held.filter(F.col("_key") == "").drop("_key"))  # one row at most
+    named = rows.filter(F.col("_key") != "").join(held.filter(F.col("_key") != ""), "_key", how)
+    return named.unionByName(rows.filter(F.col("_key") == "").join(unnamed, F.lit(True), how), allowMissingColumns=True)
 
 
 # -- filters -----------------------------------------------------------------------------
@@ -125,7 +144,7 @@ def inherit_period(df: DataFrame, period: str = "period", site: str = "site", un
         counted = counted.filter(F.col("_key") != "")
     known = F.when(F.col("_n") > 0, F.col(period))
     top = counted.groupBy("_key").agg(F.min_by(known, F.when(known.isNotNull(), F.struct(-F.col("_n"), known))).alias("_mode"))
-    out = keyed.join(small(top), "_key", "left")
+    out = _join_sites(keyed, top)
     need = F.col(period).isNull() & F.col("_mode").isNotNull()
     return out.withColumn("inherited", need).withColumn(period, F.coalesce(period, "_mode")).drop("_key", "_mode")
 
@@ -175,7 +194,7 @@ def resolve_coordinates(df: DataFrame, gazetteer: DataFrame | None, use_approx:
     out = df.withColumn("_have", have).withColumn("coord_source", F.when(have, F.coalesce("coord_source", F.lit("exact"))).otherwise(F.col("coord_source")))
     if gazetteer is not None:
         known = gazetteer.select(F.col("key").alias("_key"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.coalesce("coord_source", F.lit("manual")).alias("_source"))
-        out = out.withColumn("_key", normalised_site(F.col("site"))).join(small(known), "_key", "left")
+        out = out.withColumn("_key", normalised_site(F.col("site"))).transform(lambda d: _join_sites(d, known))
         need = ~F.col("_have") & F.col("_lat").isNotNull()
         out = out.withColumns({"lat": F.when(need, F.col("_lat")).otherwise(F.col("lat")), "lon": F.when(need, F.col("_lon")).otherwise(F.col("lon")), "coord_source": F.when(need, F.col("_source")).otherwise(F.col("coord_source"))}).drop("_key", "_lat", "_lon", "_source")
     if use_approx:

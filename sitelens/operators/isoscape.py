@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialise
+from .enrich import small
 
 #: Up to so many sites travel to the cells as one array; more are met by tiles.
-MAX_SITES = 5_000
+MAX_SITES = 100
 
 
 def _nearest(sites: list[tuple], k: int, kx: float, ky: float) -> Column:
@@ -82,6 +84,38 @@ def idw(cells: DataFrame, points: DataFrame, value: str = "value", power: float
         near = cells.withColumn("_near", _nearest(sorted(tuple(r) for r in sites.collect()), k, kx, ky))
     else:
         near = _nearest_by_tiles(cells, sites, k, kx, ky, tuple(facts)[2:], n)
+    return _weighted(near, power, least, max_distance)
+
+
+def idw_groups(cells: DataFrame, points: DataFrame, keys: list[str], power: float = 2.0, k: int = 6, max_distance: float | None = 250.0) -> DataFrame:
+    """(keys, row, col, value, support): the surfaces of all groups of points (keys, site, lon, lat, value) with two sites or more.
+
+    Groups of up to MAX_SITES sites are one plan: each group's sites are an array,
+    met with every cell (the output has a row for each group and cell).  Larger
+    groups each go their way by tiles.
+    """
+    sites = points.dropna("any", subset=["lon", "lat", "value"])
+    place = F.struct(F.col("site"), F.col("lon").cast("double").alias("sx"), F.col("lat").cast("double").alias("sy"), F.col("value").cast("double").alias("v"))
+    sized = materialise(sites.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("lat").alias("_lat")).filter("_n >= 2"), "groups")
+    few = sites.join(small(sized.filter(F.col("_n") <= MAX_SITES)), keys).groupBy(*keys).agg(F.first("_lat").alias("_lat"), F.collect_list(place).alias("_sites"))
+    met = cells.select("row", "col", "x", "y").join(small(few), F.lit(True))
+
+    def measured(s: Column) -> Column:
+        dx = (F.col("x") - s["sx"]) * (111.32 * F.greatest(F.cos(F.radians("_lat")), F.lit(0.1)))
+        dy = (F.col("y") - s["sy"]) * 110.57
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), s["site"].alias("site"), s["v"].alias("v"))
+
+    near = met.withColumn("_near", F.slice(F.sort_array(F.transform("_sites", measured)), 1, k))
+    out = _weighted(near, power, 1e-6, max_distance).select(*keys, "row", "col", "value", "support")
+    for g in sized.filter(F.col("_n") > MAX_SITES).collect():
+        own = sites.filter(reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(g[c])) for c in keys)))
+        surface = idw(cells.select("row", "col", "x", "y"), own, power=power, k=k, max_distance=max_distance)
+        out = out.unionByName(surface.select(*(F.lit(g[c]).alias(c) for c in keys), "row", "col", "value", "support"))
+    return out
+
+
+def _weighted(near: DataFrame, power: float, least: float, max_distance: float | None) -> DataFrame:
+    """Adds value and support from the nearest sites in ``_near``."""
     weight = lambda n: 1 / F.pow(F.greatest(n["d"], F.lit(least)), F.lit(power))
     total = lambda f: F.aggregate("_near", F.lit(0.0), lambda a, n: a + f(n))
     mean = total(lambda n: weight(n) * n["v"]) / total(weight)
@@ -106,7 +140,7 @@ def schoener_pairs(surfaces: DataFrame, key: str = "period") -> DataFrame:
     b = held.select(F.col(key).alias("b"), "row", "col", F.col("value").alias("vb"))
     both = a.join(b, ["row", "col"]).filter("a <= b")
     sums = both.groupBy("a", "b").agg(F.sum("va").alias("sa"), F.sum("vb").alias("sb"))
-    share = both.join(F.broadcast(sums), ["a", "b"])  # a row for each pair of surfaces
+    share = both.join(small(sums), ["a", "b"])  # a row for each pair of surfaces
     half = F.sum(F.abs(F.col("va") / F.nullif(F.col("sa"), F.lit(0.0)) - F.col("vb") / F.nullif(F.col("sb"), F.lit(0.0)))) / 2
     return share.groupBy("a", "b").agg((1 - half).alias("d"))
 

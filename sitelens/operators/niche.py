@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -104,7 +105,7 @@ def seac_interval(x: np.ndarray, y: np.ndarray, draws: int = 1000, seed: int = 0
 
 
 def niche_table(df: DataFrame, keys: list[str], x: str, y: str, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """Per group: ellipse areas, ranges, hull area, bootstrap interval and a note on small groups.
+    """Per group: rows, sites (if there are any named), means, ellipse areas, ranges, hull area, bootstrap interval and a note on small groups.
 
     Groups of fewer than 5 rows or without spread get a note and no areas.  Hull
     and bootstrap look only at the distinct value pairs and counts of a group.
@@ -121,8 +122,11 @@ def niche_table(df: DataFrame, keys: list[str], x: str, y: str, draws: int = 100
 
     counted = rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
     extra = counted.groupBy(*keys).applyInPandas(resampled, f"{fields}, ta double, seac_low double, seac_high double")
-    joined = base.join(extra, keys, "left")
+    sites = F.countDistinct("site") if "site" in df.columns else F.lit(None).cast("long")
+    means = rows.groupBy(*keys).agg(sites.alias("sites"), F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"))
+    same = reduce(Column.__and__, (F.col(f"m.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys))
+    joined = base.join(extra, keys, "left").alias("e").join(means.alias("m"), same, "left").select("e.*", "sites", "x_mean", "y_mean")
     thin = (F.col("n") < 5) | (F.col("nr") == 0) | (F.col("cr") == 0)
     note = F.when(F.col("n") < 5, "too few").when((F.col("nr") == 0) | (F.col("cr") == 0), "no spread").when(F.col("n") < 10, "few, take care")
     shown = {c: F.when(~thin, F.col(c)) for c in ("sea", "seac", "seac_low", "seac_high", "ta", "nr", "cr")}
-    return joined.select(*keys, "n", *(e.alias(c) for c, e in shown.items()), note.alias("note"))
+    return joined.select(*keys, "n", "sites", "x_mean", "y_mean", *(e.alias(c) for c, e in shown.items()), note.alias("note"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import CLIMATE_SLICES, CURRENT_BP, DIRECTIONS, PALEO_SLICES, SCALE10_BIOS, first_case
 from ..functions.search import ranks
-from ..shared import shared_dir
+from ..shared import materialise, remove_table, shared_dir, write_table
 from .grid import Grid, cell_area_km2
 
 
@@ -105,7 +107,20 @@ def summarise_series(surfaces: DataFrame, names: list[str], threshold: float, gr
 
 def occupancy_counts(frames: DataFrame) -> DataFrame:
     """Occupied cells of each step."""
-    return frames.groupBy("step").agg(F.count(F.lit(1)).alias("cells")).orderBy("step")
+    return frames.groupBy("step").agg(F.count(F.lit(1)).alias("occupied")).orderBy("step")
+
+
+def suitable_counts(series: list[DataFrame], steps: int, threshold: float) -> DataFrame:
+    """(step, suitable): cells at or above the threshold at each step between the surfaces, from step 1 on; one pass."""
+    field = _field(series)
+    marks = {t: in_range(_suitability(t, steps), threshold) for t in range(1, (len(series) - 1) * steps + 1)}
+    counted = field.agg(*(F.count(F.when(on, 1)).alias(f"s{t}") for t, on in marks.items()))
+    return counted.select(F.explode(F.array(*(F.struct(F.lit(t).alias("step"), F.col(f"s{t}").alias("suitable")) for t in marks))).alias("s")).select("s.*")
+
+
+def occupancy_curve(frames: DataFrame, series: list[DataFrame], steps: int, threshold: float) -> DataFrame:
+    """(step, occupied, suitable): the first step has no suitable count."""
+    return occupancy_counts(frames).join(suitable_counts(series, steps, threshold), "step", "left")
 
 
 def interpolate(a: Column, b: Column, weight: Column | float) -> Column:
@@ -118,34 +133,51 @@ def disk(radius: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if (i or j) and i * i + j * j <= radius * radius]
 
 
-def dispersal(surface_a: DataFrame, surface_b: DataFrame, start: DataFrame, steps: int, threshold: float, radius: int = 1, p_colonise: float = 1.0, p_survive: float = 0.2, seed: int = 42) -> DataFrame:
+def _field(series: list[DataFrame]) -> DataFrame:
+    """(row, col, v0, v1, ...) of surfaces on one grid."""
+    named = [v.select("row", "col", F.col("value").alias(f"v{i}")) for i, v in enumerate(series)]
+    return reduce(lambda a, b: a.join(b, ["row", "col"], "full"), named)
+
+
+def _suitability(step: int, steps: int) -> Column:
+    """Suitability at a step counted from 1, ``steps`` of them between a surface and the next."""
+    i = (step - 1) // steps
+    return interpolate(F.col(f"v{i}"), F.col(f"v{i + 1}"), ((step - 1) % steps + 1) / steps)
+
+
+def dispersal(surface_a: DataFrame, surface_b: DataFrame, start: DataFrame, steps: int, threshold: float, radius: int = 1, p_colonise: float = 0.6, p_survive: float = 0.2, seed: int = 42) -> DataFrame:
+    """``dispersal_series`` between two surfaces."""
+    return dispersal_series([surface_a, surface_b], start, steps, threshold, radius, p_colonise, p_survive, seed)
+
+
+def dispersal_series(series: list[DataFrame], start: DataFrame, steps: int, threshold: float, radius: int = 1, p_colonise: float = 0.6, p_survive: float = 0.2, seed: int = 42) -> DataFrame:
     """(step, row, col) of occupied cells: a stochastic automaton whose draws are hashes of seed, step and cell.
 
-    A step reaches cells within the radius of occupied ones, colonises those
-    that are suitable with a chance that grows with suitability, and keeps
-    occupied cells that are suitable or lucky.  Every step is written to the
-    shared folder; only occupied cells are carried on.
+    There are ``steps`` steps between a surface and the next, with suitability
+    interpolated.  A step reaches cells within the radius of occupied ones,
+    colonises those that are suitable with a chance that grows with suitability,
+    and keeps occupied cells that are suitable or lucky.  Every step is written to
+    the shared folder; only occupied cells are carried on.
     """
-    spark = surface_a.sparkSession
+    spark = series[0].sparkSession
     root = shared_dir(spark, "dispersal")
-    field = surface_a.select("row", "col", F.col("value").alias("a")).join(surface_b.select("row", "col", F.col("value").alias("b")), ["row", "col"], "full")
-    field.write.parquet(f"{root}/field")
-    field = spark.read.parquet(f"{root}/field")
+    field = materialise(_field(series), "field")
     draw = lambda t, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.lit(k), "row", "col"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     reach = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("own")), *(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(False).alias("own")) for i, j in disk(radius))))
-    occupied = start.select("row", "col").distinct().join(field.filter(F.col("a").isNotNull()).select("row", "col"), ["row", "col"], "left_semi")
-    occupied.withColumn("step", F.lit(0)).write.parquet(f"{root}/step=0")
-    for t in range(1, steps + 1):
+    occupied = start.select("row", "col").distinct().join(field.filter(F.col("v0").isNotNull()).select("row", "col"), ["row", "col"], "left_semi")
+    write_table(occupied.withColumn("step", F.lit(0)), f"{root}/step=0")
+    last = (len(series) - 1) * steps
+    for t in range(1, last + 1):
         occupied = spark.read.parquet(f"{root}/step={t - 1}").select("row", "col")
         near = occupied.withColumn("k", reach).groupBy((F.col("row") + F.col("k.i")).alias("row"), (F.col("col") + F.col("k.j")).alias("col")).agg(F.max("k.own").alias("own"))
-        suit = interpolate(F.col("a"), F.col("b"), t / steps)
-        met = near.join(field, ["row", "col"]).withColumn("s", F.coalesce(suit, F.lit(0.0)))
+        met = near.join(field, ["row", "col"]).withColumn("s", F.coalesce(_suitability(t, steps), F.lit(0.0)))
         good = F.col("s") >= threshold
         chance = p_colonise * F.least(F.greatest(F.col("s") / max(threshold, 1e-9), F.lit(0.0)), F.lit(1.0))
         stays = F.col("own") & (good | (draw(t, 1) < p_survive))
         comes = ~F.col("own") & good & (draw(t, 0) < chance)
-        met.filter(stays | comes).select("row", "col", F.lit(t).alias("step")).write.parquet(f"{root}/step={t}")
-    return spark.read.parquet(*(f"{root}/step={t}" for t in range(steps + 1))).select("step", "row", "col")
+        write_table(met.filter(stays | comes).select("row", "col", F.lit(t).alias("step")), f"{root}/step={t}")
+    remove_table(field)
+    return spark.read.parquet(*(f"{root}/step={t}" for t in range(last + 1))).select("step", "row", "col")
 
 
 # -- climate choice -------------------------------------------------------------------------------

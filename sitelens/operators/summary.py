@@ -127,8 +127,11 @@ def adjacent_changes(df: DataFrame, value: str, min_n: int = 3, test: bool = Tru
     return tested.withColumn("p", mann_whitney(F.col("u"), F.col("from_n"), F.col("to_n"), F.col("ties"))).drop("o", "_r")
 
 
-def kruskal(df: DataFrame, value: str, min_n: int = 4) -> DataFrame:
-    """Kruskal-Wallis over the periods of each zone that have ``min_n`` values or more; labels are in order of name."""
+def kruskal(df: DataFrame, value: str, min_n: int = 4, alpha: float = 0.05) -> DataFrame:
+    """Kruskal-Wallis over the periods of each zone that have ``min_n`` values or more; labels are in order of name.
+
+    ``p_shown`` is p to three significant digits.
+    """
     every = _counted(df, value)
     groups = every.groupBy("zone", "period").agg(F.sum("c").alias("n")).filter(F.col("n") >= min_n)
     counted = every.join(groups, ["zone", "period"])
@@ -139,7 +142,15 @@ def kruskal(df: DataFrame, value: str, min_n: int = 4) -> DataFrame:
     n = F.col("n").cast("double")
     h = (F.lit(12.0) / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / (n * n * n - n), F.lit(0.0))
     out = total.filter("k >= 2").join(ties, "zone").withColumn("h", h)
-    return out.select("zone", "periods", F.col("k").alias("groups"), "n", "h", chi2_sf(F.col("h"), F.col("k") - 1).alias("p"))
+    p = chi2_sf(F.col("h"), F.col("k") - 1)
+    tested = out.select("zone", "periods", F.col("k").alias("groups"), "n", "h", p.alias("p"))
+    return tested.withColumns({"p_shown": significant_digits(F.col("p"), 3), "significant": F.col("p") < alpha})
+
+
+def significant_digits(c: Column, digits: int) -> Column:
+    """A number cut to so many significant digits, by rounding."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(c))))
+    return F.when(c == 0, 0.0).otherwise(F.rint(c * scale) / scale)
 
 
 def diet_class(value: Column) -> Column:

@@ -9,14 +9,14 @@ from .grid import Grid
 
 
 def neighbours(cells: DataFrame, band: str) -> DataFrame:
-    """Columns n_<dr>_<dc> of the 3 x 3 window, its edge repeated at the border.
+    """Columns n_<dr>_<dc> of the 3 x 3 window, its edge repeated at the border and at cells that are not there.
 
-    A neighbour that exists without a value stays null.  The grid must be dense.
+    A neighbour that exists without a value stays null.
     """
     along_row, along_col = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    wide = cells.withColumns({"_w": F.lag(band, 1).over(along_row), "_e": F.lead(band, 1).over(along_row), "_first": F.lag("col", 1).over(along_row).isNull(), "_last": F.lead("col", 1).over(along_row).isNull()})
+    wide = cells.withColumns({"_w": F.lag(band, 1).over(along_row), "_e": F.lead(band, 1).over(along_row), "_first": ~F.lag("col", 1).over(along_row).eqNullSafe(F.col("col") - 1), "_last": ~F.lead("col", 1).over(along_row).eqNullSafe(F.col("col") + 1)})
     wide = wide.withColumns({"n_0_m": F.when(F.col("_first"), F.col(band)).otherwise(F.col("_w")), "n_0_p": F.when(F.col("_last"), F.col(band)).otherwise(F.col("_e")), "n_0_0": F.col(band)})
-    wide = wide.withColumns({"_top": F.lag("row", 1).over(along_col).isNull(), "_bottom": F.lead("row", 1).over(along_col).isNull()})
+    wide = wide.withColumns({"_top": ~F.lag("row", 1).over(along_col).eqNullSafe(F.col("row") - 1), "_bottom": ~F.lead("row", 1).over(along_col).eqNullSafe(F.col("row") + 1)})
     out = {}
     for c in ("m", "0", "p"):
         mid = f"n_0_{c}"

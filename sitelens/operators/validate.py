@@ -67,12 +67,14 @@ def checkerboard(x: Column, y: Column, block: float, folds: int) -> Column:
 
 
 def kmeans_folds(points: DataFrame, x: str, y: str, folds: int, seed: int = 42, tries: int = 5):
-    """(points with fold, centres): spatial clusters as folds; the cheapest of several seeds."""
+    """(points with fold, centres): spatial clusters as folds, no more than there are points; the cheapest of several seeds."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    n = points.limit(folds).count()
-    k = max(2, min(folds, n))
+    k = min(folds, points.limit(folds).count())
+    if k < 2:  # Spark's k-means asks for two
+        centre = points.agg(F.avg(x), F.avg(y)).first()
+        return points.withColumn("fold", F.lit(0)), [tuple(map(float, centre))] if k else []
     ready = VectorAssembler(inputCols=[x, y], outputCol="_v").transform(points)
     models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="fold").fit(ready) for i in range(tries)]
     best = min(models, key=lambda m: m.summary.trainingCost)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -37,11 +36,6 @@ def binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def head(spark: SparkSession, path: str, size: int = 1 << 16) -> bytes:
-    """The first bytes of a file."""
-    return bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size)).first()[0])
-
-
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
     """The first of some paths that exists."""
     return next((c for c in candidates if exists(spark, c)), None)
@@ -50,4 +44,9 @@ def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
 def status(spark: SparkSession, paths: dict[str, list[str]]) -> DataFrame:
     """(name, path, found) of every configured input."""
     rows = [(name, (hit := first_existing(spark, options)) or (options[0] if options else None), hit is not None) for name, options in paths.items()]
-    return spark.createDataFrame(rows, "name string, path string, found boolean").withColumn("found", F.col("found"))
+    return spark.createDataFrame(rows, "name string, path string, found boolean")
+
+
+def list_datasets(spark: SparkSession, folders: list[str], suffix: str = ".csv") -> list[str]:
+    """Paths of the datasets in some folders, the folders in the order given."""
+    return [f"{folder.rstrip('/')}/{name}" for folder in folders for name in listing(spark, folder) if name.endswith(suffix)]

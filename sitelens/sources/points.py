@@ -16,45 +16,57 @@ from ..functions.text import guess_column, to_number
 from ..operators.enrich import build_gazetteer, join_extra
 from ..schema import finalise
 from . import workbook
-from .files import binary, head
+from .files import binary
 
 # Column names that hold coordinates.
 LON_NAMES = ["lon", "long", "longitude", "x", "경도", "위경도_x", "동경"]
 LAT_NAMES = ["lat", "latitude", "y", "위도", "위경도_y", "북위"]
 
+# Fixed value: the field of a point file that has the site's name.
+SITE_FIELD = "유적명"
+
 ENCODINGS = ("utf-8-sig", "cp949", "euc-kr", "utf-8")
 
 _FIELDS = "path string, record int, x double, y double, attributes map<string,string>"
 
 
 def sniff_encoding(data: bytes) -> str:
-    """The first encoding that the bytes decode in (a character cut off at the end is no error)."""
+    """The first encoding that all the bytes decode in."""
     for name in ENCODINGS:
-        for cut in range(4):
-            try:
-                data[: len(data) - cut].decode(name)
-                return name
-            except UnicodeDecodeError:
-                continue
+        try:
+            data.decode(name)
+            return name
+        except UnicodeDecodeError:
+            continue
     return "utf-8"
 
 
+def _file_encodings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(encoding, header) of whole files: the rank of the encoding, and the first line in it."""
+    for batch in batches:
+        for data in batch.column(1).to_pylist():
+            encoding = sniff_encoding(data)
+            first = (data.decode(encoding, "replace").splitlines() or [""])[0]
+            yield pa.RecordBatch.from_arrays([pa.array([ENCODINGS.index(encoding)]), pa.array([first])], names=["encoding", "header"])
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A delimited text table of strings in whatever of the known encodings it is.
 
-    UTF-8 goes to Spark's reader.  It knows no Korean encodings, so other files
-    are decoded whole, a task for each, and their lines parsed by Spark.
+    Each file is tried whole, on the executors: its first bytes need not show its
+    encoding.  UTF-8 goes to Spark's reader.  It knows no Korean encodings, so if a file of
+    the path is in one, all are decoded whole, a task for each, and their lines parsed by Spark.
     """
-    start = head(spark, path)
-    encoding = sniff_encoding(start)
-    if encoding.startswith("utf-8"):
+    found = binary(spark, path).mapInArrow(_file_encodings, "encoding long, header string")
+    worst = found.agg(F.max_by(F.struct("encoding", "header"), "encoding").alias("f")).first()["f"]
+    if worst is None or ENCODINGS[worst["encoding"]].startswith("utf-8"):
         return spark.read.csv(path, header=True)
-    names = next(csv.reader([start.decode(encoding, "ignore").splitlines()[0]]))
+    names = next(csv.reader([worst["header"]]))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(1).to_pylist():
-                rows = data.decode(encoding, "replace").splitlines()[1:]
+                rows = data.decode(sniff_encoding(data), "replace").splitlines()[1:]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r in rows if r.strip()], pa.string())], names=["value"])
 
     schema = ", ".join(f"`{n}` string" for n in names)
@@ -222,7 +234,24 @@ def load_points(spark: SparkSession, path: str, lon: str | None = None, lat: str
     return rows.filter(finite("lon") & finite("lat"))
 
 
-def load_point_isotopes(spark: SparkSession, shapefile: str, table: str, join_on: str = "id", site: str = "유적명", values: dict[str, str] | None = None, source: str = "SHP", taxon: str = "Pig", group: str = "돼지") -> DataFrame:
+def attribute_table(spark: SparkSession, path: str) -> DataFrame:
+    """(attributes): the rows of a delimited text or workbook, as maps of text by column name."""
+    if path.lower().endswith((".xlsx", ".xlsm")):
+        return workbook.read_workbook(spark, path).select(F.col("cells").alias("attributes"))
+    table = read_csv(spark, path)
+    return table.select(F.create_map(*(c for name in table.columns for c in (F.lit(name), F.col(f"`{name}`")))).alias("attributes"))
+
+
+def join_attributes(rows: DataFrame, table: DataFrame, on: str, suffix: str = "_iso") -> DataFrame:
+    """Rows with the attributes of the table's rows of the same ``on``; names that both have get ``suffix``."""
+    key = lambda: F.try_element_at("attributes", F.lit(on))
+    extra = table.select(key().alias("_on"), F.col("attributes").alias("_more")).filter(F.col("_on").isNotNull())
+    met = rows.withColumn("_on", key()).join(extra, "_on", "left")
+    fresh = F.transform_keys(F.map_filter("_more", lambda k, _: k != on), lambda k, _: F.when(F.map_contains_key("attributes", k), F.concat(k, F.lit(suffix))).otherwise(k))
+    return met.withColumn("attributes", F.coalesce(F.map_concat("attributes", fresh), "attributes")).drop("_on", "_more")
+
+
+def load_point_isotopes(spark: SparkSession, shapefile: str, table: str, join_on: str = "id", site: str = SITE_FIELD, values: dict[str, str] | None = None, source: str = "SHP", taxon: str = "Pig", group: str = "돼지") -> DataFrame:
     """A shapefile's sites with the isotope values of a text table, in the standard layout."""
     values = values or {"13C": "d13C_coll", "15N": "d15N_coll"}
     attribute = lambda name: F.try_element_at("attributes", F.lit(name))

@@ -135,14 +135,14 @@ def layer_grid(spark: SparkSession, path: str) -> Grid:
     return Grid(**binary(spark, path).limit(1).mapInArrow(grids, "a double, c double, e double, f double, height long, width long, crs string").first().asDict())
 
 
-def read_stack(spark: SparkSession, layers: dict[str, str], bbox=None, reference: str | None = None, methods: dict[str, str] | None = None, divisors: dict[str, float] | None = None) -> tuple[DataFrame, Grid]:
-    """(cells, grid): several layers as bands of one cell table on the reference's grid, windowed to ``bbox``.
+def read_stack(spark: SparkSession, layers: dict[str, str], bbox=None, reference: str | None = None, methods: dict[str, str] | None = None, divisors: dict[str, float] | None = None, grid_from: str | None = None) -> tuple[DataFrame, Grid]:
+    """(cells, grid): several layers as bands of one cell table on the reference's grid (or that of the file ``grid_from``), windowed to ``bbox``.
 
     Layers on the same grid are joined as they are, others resampled (bilinear
     unless ``methods`` says otherwise); values are divided by ``divisors``.
     """
     first = reference or next(iter(layers))
-    whole = layer_grid(spark, layers[first])
+    whole = layer_grid(spark, grid_from or layers[first])
     target = whole.crop(bbox) if bbox else whole
     out = None
     for name, path in layers.items():
@@ -181,16 +181,20 @@ def tiff_bytes(values: np.ndarray, grid: Grid) -> bytes:
 
 
 def write_layer(surface: DataFrame, grid: Grid, path: str, value: str = "value") -> None:
-    """A surface as one raster file; larger ones go to Parquet, partitioned by blocks of rows."""
+    """A surface as one raster file; one of over MAX_CELLS cells is an error and belongs in ``write_cells``."""
     if grid.height * grid.width > MAX_CELLS:
-        surface.withColumn("block", (F.col("row") / 256).cast("int")).write.partitionBy("block").parquet(path)
-        return
+        raise ValueError(f"{grid.height} x {grid.width} cells are too many for one file; use write_cells")
     rows = surface.select("row", "col", value).toArrow()
     out = np.full((grid.height, grid.width), np.nan, "f4")
     out[rows["row"].to_numpy(), rows["col"].to_numpy()] = rows[value].to_numpy().astype("f4")
     write_bytes(surface.sparkSession, path, tiff_bytes(out, grid))
 
 
+def write_cells(surface: DataFrame, path: str, rows: int = 256) -> None:
+    """A surface of any size as Parquet, partitioned by blocks of rows."""
+    surface.withColumn("block", (F.col("row") / rows).cast("int")).write.mode("overwrite").partitionBy("block").parquet(path)
+
+
 # -- catalogues ------------------------------------------------------------------------------
 
 

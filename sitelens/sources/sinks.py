@@ -23,10 +23,12 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.withColumns(clean).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def table_json(df: DataFrame, limit: int = 10_000, drop: tuple[str, ...] = ("model",)) -> str:
-    """A small result as {columns, rows}; larger ones go to ``json_rows``."""
+def table_json(df: DataFrame, drop: tuple[str, ...] = ("model",), most: int = 1_000_000) -> str:
+    """A whole result as {columns, rows}; one of over ``most`` rows is an error and belongs in ``json_rows``."""
     shown = df.drop(*drop)
-    rows = [json.loads(r[0]) for r in json_rows(shown.limit(limit)).collect()]
+    rows = [json.loads(r[0]) for r in json_rows(shown.limit(most + 1)).collect()]
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows for one JSON text; write json_rows instead")
     return json.dumps({"columns": shown.columns, "rows": [[r.get(c) for c in shown.columns] for r in rows]}, ensure_ascii=False)
 
 

@@ -211,7 +211,7 @@ def load_local_table(spark: SparkSession, path: str, sheet: str | None = None) -
 
 def headers(rows: DataFrame) -> list[str]:
     """Distinct headers of a workbook's rows."""
-    return [r[0] for r in rows.select(F.explode(F.map_keys("cells"))).distinct().orderBy("col").limit(1000).collect()]
+    return [r[0] for r in rows.select(F.explode(F.map_keys("cells"))).distinct().orderBy("col").collect()]
 
 
 def point_table(rows: DataFrame, lon: list[str], lat: list[str]) -> DataFrame:

@@ -35,11 +35,11 @@ def tss(scored: DataFrame, score: str = "score", label: str = "label", quantiles
     """One row: the most TSS and the lowest threshold that reaches it.
 
     Every distinct score is a threshold (presences at or above, backgrounds
-    below); with ``quantiles`` only so many quantiles of the scores are.
+    below); with ``quantiles`` only so many quantiles of the distinct scores are.
     """
     held = scored.filter(F.col(score).isNotNull())
     if quantiles:
-        cuts = held.agg(F.percentile(score, F.array(*(F.lit(k / (quantiles - 1)) for k in range(quantiles)))).alias("q")).select(F.explode("q").alias(score)).distinct()
+        cuts = held.select(score).distinct().agg(F.percentile(score, F.array(*(F.lit(k / (quantiles - 1)) for k in range(quantiles)))).alias("q")).select(F.explode("q").alias(score)).distinct()
         extra = cuts.select(score, F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("cut"))
     counted = held.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("b"))
     if quantiles:
@@ -86,9 +86,9 @@ def nearest_centre(x: Column, y: Column, centres: list[tuple[float, float]]) ->
     return F.get(F.sort_array(F.array(*(F.struct(((x - cx) * (x - cx) + (y - cy) * (y - cy)).alias("d"), F.lit(i).alias("i")) for i, (cx, cy) in enumerate(centres)))), F.lit(0))["i"]
 
 
-def null_auc(spark, presences: int, backgrounds: int, draws: int = 99, seed: int = 42) -> DataFrame:
-    """One row: the 95 % quantile of AUCs of random scores (hashes of draw and row)."""
+def null_auc(spark, presences: int, backgrounds: int, draws: int = 99, seed: int = 42, score: Column | None = None) -> DataFrame:
+    """One row: the 95 % quantile of AUCs of random scores: hashes of draw and row, or ``score`` of the columns draw and i."""
     n = presences + backgrounds
     rows = spark.range(draws * n).select((F.col("id") / n).cast("int").alias("draw"), (F.col("id") % n).alias("i"))
-    scored = rows.select("draw", F.when(F.col("i") < presences, 1).otherwise(0).alias("label"), F.xxhash64(F.lit(seed), "draw", "i").alias("score"))
+    scored = rows.select("draw", F.when(F.col("i") < presences, 1).otherwise(0).alias("label"), (F.xxhash64(F.lit(seed), "draw", "i") if score is None else score).alias("score"))
     return group_auc(scored, ["draw"]).agg(F.percentile("auc", F.lit(0.95)).alias("null_auc"))

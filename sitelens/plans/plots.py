@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def suitability_map(surface: DataFrame, value: str = "value") -> DataFrame:
     return scenario.stretch(surface, value)
 
 
+def panel_maps(surfaces: dict[str, DataFrame], value: str = "value") -> DataFrame:
+    """(panel, row, col, value, scaled): several surfaces on one colour scale, from 2 to 98 percent of all their values."""
+    stacked = [s.select(F.lit(name).alias("panel"), "row", "col", value) for name, s in surfaces.items()]
+    return scenario.stretch(reduce(DataFrame.unionByName, stacked), value)
+
+
 def response_curves(model: Maxent, rows: DataFrame) -> DataFrame:
     """(band, x, y) of every band's response."""
     out = None

@@ -60,10 +60,11 @@ _BASE = {
     "extracted": "SELECT l.site, l.row, l.col, c.x, c.y, c.elev, c.bio1, c.bio12 FROM located l JOIN cells c ON l.row = c.row AND l.col = c.col WHERE c.elev IS NOT NULL AND c.bio1 IS NOT NULL AND c.bio12 IS NOT NULL",
     "thinned": "SELECT * FROM extracted QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY site) = 1",
     "surf": "SELECT row, col, x, y, CASE WHEN bio12 IS NULL THEN NULL ELSE (CAST(elev AS BIGINT) % 100) / 100e0 END AS a, ((CAST(elev AS BIGINT) * 7) % 100) / 100e0 AS b FROM cells",
+    "every_background": "SELECT row, col, x, y, elev, bio1, bio12 FROM cells WHERE bio1 IS NOT NULL AND bio12 IS NOT NULL",
     "background": f"""SELECT row, col, x, y, elev, bio1, bio12 FROM cells WHERE bio1 IS NOT NULL AND bio12 IS NOT NULL
         ORDER BY (((CAST(row AS BIGINT) * 73856093 + CAST(col AS BIGINT) * 19349663 + {SEED}) % 2147483647) * 48271 + 11) % 2147483647, row, col LIMIT 500""",
 }
-_NEEDS = {"spec": ["fx_specimen"], "en": ["spec"], "cells": ["fx_cell"], "means": ["fx_specimen"], "located": ["fx_site"], "extracted": ["located", "cells"], "thinned": ["extracted"], "surf": ["cells"], "background": ["cells"]}
+_NEEDS = {"spec": ["fx_specimen"], "en": ["spec"], "cells": ["fx_cell"], "means": ["fx_specimen"], "located": ["fx_site"], "extracted": ["located", "cells"], "thinned": ["extracted"], "surf": ["cells"], "background": ["cells"], "every_background": ["cells"]}
 
 
 def _with(*names: str, recursive: bool = False) -> str:
@@ -118,8 +119,8 @@ def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("row", "col", "x", "y", F.when(F.col("bio12").isNotNull(), (e % 100) / F.lit(100.0)).alias("a"), ((e * 7) % 100 / F.lit(100.0)).alias("b"))
 
 
-def _background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.sample_background(_cells(spark, sf_dir), 500, ["bio1", "bio12"], rank=grid.lcg_rank(SEED))
+def _background(spark: SparkSession, sf_dir: str, n: int = 500) -> DataFrame:
+    return grid.sample_background(_cells(spark, sf_dir), n, ["bio1", "bio12"], rank=grid.lcg_rank(SEED))
 
 
 def _thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -631,7 +632,7 @@ def _(spark, d):
     return _rounded(validate.tss(fixtures.fixture(spark, d, "fx_score")), "tss")
 
 
-@query("rank_normalize", _with("fx_score") + f"SELECT s.id, {_r('(SELECT count(*) FROM fx_score r WHERE r.id % 10 = 0 AND r.score <= s.score) / CAST((SELECT count(*) FROM fx_score WHERE id % 10 = 0) AS DOUBLE)')} AS rank FROM fx_score s")
+@query("rank_normalize", _with("fx_score") + f"SELECT id, {_r('count(score) OVER (ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(count(score) OVER () AS DOUBLE)')} AS rank FROM fx_score")
 def _(spark, d):
     s = fixtures.fixture(spark, d, "fx_score")
     return _rounded(validate.rank_normalise(s, s).select("id", "rank"), "rank")
@@ -666,23 +667,23 @@ def _(spark, d):
 
 
 def _similar(band: str) -> str:
-    f = f"({_ecdf('background', band, '<=')} / CAST((SELECT count(*) FROM background) AS DOUBLE) * 100)"
-    lo, hi = f"(SELECT min({band}) FROM background)", f"(SELECT max({band}) FROM background)"
+    f = f"({_ecdf('every_background', band, '<=')} / CAST((SELECT count(*) FROM every_background) AS DOUBLE) * 100)"
+    lo, hi = f"(SELECT min({band}) FROM every_background)", f"(SELECT max({band}) FROM every_background)"
     return f"CASE WHEN {f} = 0 THEN (c.{band} - {lo}) / ({hi} - {lo}) * 100 WHEN {f} <= 50 THEN 2 * {f} WHEN {f} < 100 THEN 2 * (100 - {f}) ELSE ({hi} - c.{band}) / ({hi} - {lo}) * 100 END"
 
 
 _MESS = f"CASE WHEN bio1 IS NOT NULL AND bio12 IS NOT NULL THEN least({_similar('bio1')}, {_similar('bio12')}) END"
 
 
-@query("mess", _with("cells", "background") + f"SELECT row, col, {_r(_MESS)} AS mess FROM cells c")
+@query("mess", _with("cells", "every_background") + f"SELECT row, col, {_r(_MESS)} AS mess FROM cells c")
 def _(spark, d):
-    return _rounded(scenario.mess(_cells(spark, d), _background(spark, d), ["bio1", "bio12"]).select("row", "col", "mess"), "mess")
+    return _rounded(scenario.mess(_cells(spark, d), _background(spark, d, 5000), ["bio1", "bio12"]).select("row", "col", "mess"), "mess")
 
 
-@query("extrapolated_share", _with("cells", "background") + f"SELECT {_r('100 * avg(CASE WHEN m < 0 THEN 1e0 ELSE 0e0 END)')} AS percent FROM (SELECT {_MESS} AS m FROM (SELECT row, col, bio1 + 6 AS bio1, bio12 FROM cells) c)")
+@query("extrapolated_share", _with("cells", "every_background") + f"SELECT {_r('100 * avg(CASE WHEN m < 0 THEN 1e0 ELSE 0e0 END)')} AS percent FROM (SELECT {_MESS} AS m FROM (SELECT row, col, bio1 + 6 AS bio1, bio12 FROM cells) c)")
 def _(spark, d):
     warmer = _cells(spark, d).withColumn("bio1", F.col("bio1") + 6)
-    return _rounded(scenario.extrapolated_share(scenario.mess(warmer, _background(spark, d), ["bio1", "bio12"])), "percent")
+    return _rounded(scenario.extrapolated_share(scenario.mess(warmer, _background(spark, d, 5000), ["bio1", "bio12"])), "percent")
 
 
 _SCALED = lambda b: f"least(greatest(({b} - (SELECT min({b}) FROM v)) / (SELECT max({b}) - min({b}) FROM v), 0e0), 1e0)"
@@ -729,17 +730,6 @@ def _(spark, d):
     return _cells(spark, d).dropna(subset=["bio1", "bio12"]).select("row", "col", stable(m.predict("cloglog"), 4).alias("cloglog"))
 
 
-@query("mahalanobis")
-def _(spark, d):
-    m = models.Mahalanobis().fit(_thinned(spark, d), _background(spark, d), ["bio1", "bio12"])
-    return _rounded(m.predict(_cells(spark, d).dropna(subset=["bio1", "bio12"])).select("row", "col", "score"), "score")
-
-
-@query("null_auc")
-def _(spark, d):
-    return validate.null_auc(spark, 30, 500)
-
-
 # -- niches -------------------------------------------------------------------------------------
 
 _ELL = """s AS (SELECT taxon_group, count(*) AS n, avg(d13c_coll) AS cx, avg(d15n_coll) AS cy, var_samp(d13c_coll) AS vx, var_samp(d15n_coll) AS vy, covar_samp(d13c_coll, d15n_coll) AS cxy, max(d15n_coll) - min(d15n_coll) AS nr, max(d13c_coll) - min(d13c_coll) AS cr
@@ -760,7 +750,7 @@ def _(spark, d):
     return _rounded(e.select("taxon_group", "nr", "cr"), "nr", "cr")
 
 
-_RES = 60
+_RES = niche.RESOLUTION
 _IN = lambda s: f"(pow(({s}.ux * (x - {s}.cx) + {s}.uy * (y - {s}.cy)) / greatest({s}.a, 1e-9), 2) + pow(({s}.ux * (y - {s}.cy) - {s}.uy * (x - {s}.cx)) / greatest({s}.b, 1e-9), 2) <= 1)"
 
 

@@ -121,7 +121,7 @@ def dbf_rows(data: bytes) -> list[dict[str, str]]:
         fields.append((data[at : at + 11].split(b"\0")[0], data[at + 16]))
         at += 32
     body = data[start : start + count * width]
-    encoding = sniff_encoding(body)
+    encoding = sniff_encoding(b"".join(n for n, _ in fields) + body)  # either may be all ASCII
     rows = []
     for k in range(count):
         record, place, row = body[k * width : (k + 1) * width], 1, {}

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sitelens.queries import ORACLES, QUERIES
+from sitelens.queries_more import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,10 @@ A merge list has a sufficient lookahead: how many symbols to the right of a
 token can still change it.  It is computed from the merges, so a piece of any
 length is encoded through a window of constant size; tokens that end at least
 the lookahead before the window's end are stable and leave, the rest stays.
-Decoding feeds each id's bytes to an incremental state machine.
+A text is cut into segments before white space, where no piece, merge or
+normalisation reaches across, and its ids leave segment by segment.  Decoding
+feeds each id's bytes to an incremental state machine.  So beside the text itself memory is
+constant (a segment without white space is as long as it is).
 
 The vocabulary comes from a tokenizer file (JSON) whose path is a parameter;
 supported are the two kinds of byte-level files described in its package:
@@ -35,6 +38,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 WORD_BPE = "word_bpe_49k.json"
 #: Encoded pieces a worker remembers; when full it starts anew, so memory stays constant.
 REMEMBERED = 300_000
+#: Characters of a text that are cut into pieces at once, about.
+SEGMENT_CHARS = 1 << 18
 #: Longer pieces are never remembered.
 PIECE_BYTES = 64
 #: White_Space of Unicode, fixed.
@@ -97,6 +102,7 @@ class ByteBpe:
         else:
             pattern = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?{other}|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
         self._pieces = regex.compile(pattern).findall
+        self._cut = regex.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
         alphabet = byte_alphabet()
         self.first = [vocab.get(c, -1) for c in alphabet]
         self.last = [vocab.get(c + suffix, -1) for c in alphabet] if suffix else self.first
@@ -158,35 +164,55 @@ class ByteBpe:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self._special is None or "<|" not in text:
-            return self._plain(text)
-        out, at = [], 0
-        for m in self._special.finditer(text):
-            out += [self._plain(text[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
+        return b"".join(self.encode_chunks(text))
+
+    def encode_chunks(self, text: str | None):
+        """The same, segment by segment."""
+        at = 0
+        for m in self._special.finditer(text or "") if self._special else ():
+            yield from self._plain(text, at, m.start())
+            yield self.special[m[0]].to_bytes(4, "little")
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
-
-    def _plain(self, text: str) -> bytes:
-        if self.folds:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self._known.__getitem__, self._pieces(text)))
+        yield from self._plain(text or "", at, len(text or ""))
+
+    def _plain(self, text: str, at: int, end: int):
+        """Ids of a part without special tokens."""
+        while at < end:
+            cut = self._cut.search(text, at + SEGMENT_CHARS, end) if end - at > SEGMENT_CHARS else None
+            stop = cut.start() if cut else end
+            part = text[at:stop]
+            if self.folds:
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            yield b"".join(map(self._known.__getitem__, self._pieces(part)))
+            at = stop
 
     # -- decoding ------------------------------------------------------------------------
 
-    def decode_chunks(self, ids: bytes, step: int = 1 << 16):
-        """Text of ids, chunk by chunk; bytes of an unfinished character wait in the decoder's state."""
-        numbers = np.frombuffer(ids, "<u4")
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for at in range(0, len(numbers), step):
-            tokens = map(self.bytes_of.__getitem__, numbers[at : at + step].tolist())
-            piece = (b" " * (at > 0) + b" ".join(tokens)) if self.spaced else b"".join(tokens)
-            yield state.decode(piece)
-        yield state.decode(b"", True)
-
     def decode(self, ids: bytes) -> str:
-        return "".join(self.decode_chunks(ids))
+        machine = Decoder(self)
+        step = 1 << 18
+        return "".join([machine.feed(ids[at : at + step]) for at in range(0, len(ids), step)]) + machine.end()
+
+
+class Decoder:
+    """Byte-to-text state machine: ids come in chunks, bytes of an unfinished character wait."""
+
+    def __init__(self, tokenizer: ByteBpe):
+        self._own, self._begun = tokenizer, False
+        self._state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: bytes) -> str:
+        """Text that is complete with these ids."""
+        tokens = map(self._own.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())
+        if not self._own.spaced:
+            return self._state.decode(b"".join(tokens))
+        if not ids:
+            return ""
+        between, self._begun = b" " * self._begun, True
+        return self._state.decode(between + b" ".join(tokens))
+
+    def end(self) -> str:
+        return self._state.decode(b"", True)
 
 
 class _Remembered(dict):
@@ -249,14 +275,18 @@ def round_trip(text: Column, tokenizer: str = WORD_BPE, keep_ids: bool = True) -
     def run(texts: pa.Array) -> pa.Array:
         own = load(tokenizer)
         kept, n, a, b = [], [], [], []
-        for t in texts.to_pylist():
-            ids = own.encode(t)
-            decoded = hashlib.sha256()
-            for chunk in own.decode_chunks(ids):
-                decoded.update(chunk.encode())
-            kept.append(ids if keep_ids else None)
-            n.append(len(ids) // 4)
-            a.append(hashlib.sha256(ids).hexdigest())
+        for t in texts:
+            machine, many, own_ids, encoded, decoded = Decoder(own), 0, [], hashlib.sha256(), hashlib.sha256()
+            for chunk in own.encode_chunks(t.as_py()):
+                many += len(chunk) // 4
+                encoded.update(chunk)
+                decoded.update(machine.feed(chunk).encode())
+                if keep_ids:
+                    own_ids.append(chunk)
+            decoded.update(machine.end().encode())
+            kept.append(b"".join(own_ids) if keep_ids else None)
+            n.append(many)
+            a.append(encoded.hexdigest())
             b.append(decoded.hexdigest())
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import materialise, partitions_for
 
 SEED = 2024
 #: Default target: shares proportional to size ** POWER (1: as found, 0: all alike).
@@ -50,7 +50,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     ``weights`` maps sources to target shares of ``total`` code points (default:
     as many as come in); without it shares follow size ** power.
     """
-    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("size"))
+    # written, a row for each source: texts are read once for it
+    sizes = materialise(docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("size")), "sizes")
     if weights is None:
         wish = F.pow(F.col("size").cast("double"), F.lit(float(power)))
     else:
@@ -102,7 +103,7 @@ WITH sized AS (
   FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 ), steps AS (
   SELECT s.source, k.k, sum(exp(-s.rate + k.k * ln(s.rate) - lgamma(k.k + 1))) OVER (PARTITION BY s.source ORDER BY k.k) AS c
-  FROM rated s, range(0, 200) AS k(k) WHERE s.rate > 0
+  FROM rated s, unnest(range(0, CAST(ceil(s.rate + 12 * sqrt(s.rate) + 20) AS BIGINT) + 1)) AS k(k) WHERE s.rate > 0
 ), counted AS (
   SELECT d.doc_id, d.source, d.text, d.u, count(s.c) AS n_copies
   FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.c <= d.u GROUP BY ALL

@@ -1,15 +1,19 @@
-"""Near copies: MinHash bands joined in Spark, candidates verified by an exact Jaccard similarity of 0.8 or more.
+"""Near copies: documents whose 5-word shingle sets have an exact Jaccard similarity of 0.8 or more.
 
-Candidates share a band of MinHash minima.  The components of candidates are
-dealt to cells, each text once; inside a cell every pair of shingle sets is
-compared exactly, as counts over a small vocabulary, and only links that join
-two groups are emitted.  Components beyond CELL texts are dealt by band instead,
-bands beyond CELL as pairs of chunks, so that no task holds more than CELL sets.
+SimHash at a similarity of 0.8 lies about 10 of 64 bits apart, too far for blocks
+of bits that must agree.  So texts meet where they share a band of MinHash
+minima: the components of such candidates are dealt to cells, each text once.
+Inside cells SimHash fingerprints of the shingle sets are compared as operator 1
+does, in vertical bit planes with carry-save counters, at a radius of RADIUS
+bits, and pairs within it are verified exactly; only links that join two groups are
+emitted.  Components beyond CELL texts are dealt by band instead, bands beyond
+CELL as pairs of chunks, so that no task holds many more than CELL sets.
 
 PLAIN shingles are those of the pipeline: words of operator 1 (six spaces, ASCII
 lower case), five in a row, a text of fewer is one shingle.  PADDED ones are those
 of operator 10's signatures.  A pair of similarity 0.8 shares no band with
-probability (1 - 0.8**5)**25 = 0.00005, any nearer pair with less.
+probability (1 - 0.8**5)**25 = 0.00005, any nearer pair with less; it lies beyond
+the radius with about 0.000001.  Sets under SMALL shingles, whose bits are noisy, are all verified.
 
 Defined results: null is an empty text; texts without words are alike; rows
 without a doc_id are compared but name no class (``near_copies`` and ``keep_first``
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from . import minhash
+from . import minhash, simhash
 from .common import materialise, remove_table
 from .components import connected_components
 from .simhash import _LOWER, _merge, keep_least
@@ -35,6 +39,9 @@ SHINGLE = 5
 MIN_JACCARD = 0.8
 #: Texts that are compared in one place at most.
 CELL = 4096
+#: Bits that fingerprints of alike sets may differ in, and the set size from which they are asked.
+RADIUS = 24
+SMALL = 24
 
 
 def plain_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,50 +64,67 @@ def shingle_sets(texts: list[bytes], kind: tuple = PLAIN) -> Iterator[np.ndarray
         yield from minhash.shingle_sets(part, *kind)
 
 
-def alike_groups(sets: list[np.ndarray], least: float = MIN_JACCARD) -> np.ndarray:
-    """For each set the index of the first of its group, by links of similarity ``least`` or more."""
-    by_size = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in by_size])
+def alike_groups(sets: list[np.ndarray], least: float = MIN_JACCARD, cells: np.ndarray | None = None) -> np.ndarray:
+    """For each set the index of the first of its group, by links of similarity ``least`` or more inside a cell."""
+    cells = np.zeros(len(sets), np.int64) if cells is None else cells
+    sizes = np.array([len(s) for s in sets])
+    order = np.lexsort((sizes, cells))  # what follows works on places in this order
+    cell, size = cells[order], sizes[order]
+    end = np.searchsorted(cell, cell, side="right")
     group = np.arange(len(sets))
-    bare = int(np.searchsorted(sizes, 1))
-    group = _merge(group, np.repeat(by_size[:1], bare), by_size[:bare])
-    _, word = np.unique(np.concatenate([sets[i] for i in by_size]), return_inverse=True)
-    edge = np.r_[0, np.cumsum(sizes)]
+    bare = np.flatnonzero(size == 0)
+    group = _merge(group, order[np.searchsorted(cell, cell[bare])], order[bare])
+    _, word = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    edge = np.r_[0, np.cumsum(size)]
     here = np.zeros(len(word) + 1, np.int32)
-    for i in range(bare, len(sets) - 1):
-        # sets too large to be alike are cut off
-        stop = int(np.searchsorted(sizes, sizes[i] / least + 1e-9, side="right"))
-        others = by_size[i + 1 : stop]
-        if not len(others) or (group[others] == group[by_size[i]]).all():
+
+    large = np.flatnonzero(size >= SMALL)
+    fps = np.array([simhash.majority_bits(sets[order[p]]) for p in large], np.uint64)
+    found = list(simhash.near_pairs(cell[large], fps, RADIUS, lambda a, b: size[large[a]] + 1e-9 >= least * size[large[b]]))
+    a, b = (large[np.concatenate(x)] for x in zip(*found, strict=True)) if found else (large[:0], large[:0])
+    by_first = np.argsort(a, kind="stable")
+    a, b = a[by_first], b[by_first]
+    first = np.searchsorted(a, np.arange(len(sets) + 1))
+
+    for p in range(len(sets)):
+        if 0 < size[p] < SMALL:  # all that are not too large to be alike
+            others = np.arange(p + 1, p + 1 + int(np.searchsorted(size[p + 1 : end[p]], size[p] / least + 1e-9, side="right")))
+        else:
+            others = b[first[p] : first[p + 1]]
+        others = others[group[order[others]] != group[order[p]]]
+        if not len(others):
             continue
-        own = word[edge[i] : edge[i + 1]]
+        own, many = word[edge[p] : edge[p + 1]], size[others]
+        begins = np.r_[0, np.cumsum(many)]
         here[own] = 1
-        common = np.add.reduceat(here[word[edge[i + 1] : edge[stop]]], edge[i + 1 : stop] - edge[i + 1])
+        common = np.add.reduceat(here[word[np.repeat(edge[others] - begins[:-1], many) + np.arange(begins[-1])]], begins[:-1])
         here[own] = 0
-        near = others[common + 1e-9 >= least * (sizes[i] + sizes[i + 1 : stop] - common)]
-        group = _merge(group, np.repeat(by_size[i], len(near)), near)
+        near = others[common + 1e-9 >= least * (size[p] + many - common)]
+        group = _merge(group, np.repeat(order[p], len(near)), order[near])
     return group
 
 
 def _link_cells(kind: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows (cell, node, text) sorted by cell: a link from each node to the first of its group."""
-        cell, nodes, sets = None, [], []
+        """Over rows (cell, node, text) sorted by cell: a link from each node to the first of its group; small cells go side by side."""
+        cells: list[int] = []
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
 
         def links() -> pa.RecordBatch:
-            group = alike_groups(sets) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+            group = alike_groups(sets, cells=np.array(cells, np.int64)) if sets else np.zeros(0, np.int64)
             moved = np.flatnonzero(group != np.arange(len(group)))
             named = np.array(nodes, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(named[group[moved]]), pa.array(named[moved])], names=["a", "b"])
 
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for c, node, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts, kind), strict=True):
-                if c != cell:
-                    if len(nodes) > 1:
-                        yield links()
-                    cell, nodes, sets = c, [], []
-                if not nodes or nodes[-1] != node:  # repeated rows of one doc_id
+            for cell, node, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts, kind), strict=True):
+                if cells and cell != cells[-1] and len(cells) >= CELL:
+                    yield links()
+                    cells, nodes, sets = [], [], []
+                if not nodes or nodes[-1] != node or cells[-1] != cell:  # repeated rows of one doc_id
+                    cells.append(cell)
                     nodes.append(node)
                     sets.append(found)
         if len(nodes) > 1:

@@ -16,6 +16,7 @@ a null component_id; no rows in, no rows out; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -127,10 +128,9 @@ def near_at_shift(planes: np.ndarray, wanted: np.ndarray, shift: int, radius: in
     return at[word] * 64 + bit
 
 
-def linked_groups(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For rows sorted by bucket: the index of the first row linked to each, by links inside its bucket."""
+def near_pairs(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, wanted: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of rows of one bucket within the radius, over rows sorted by bucket; ``wanted(i, j)`` says which pairs are still asked for."""
     n = len(fps)
-    group = np.arange(n)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, n])
     rows, size = np.arange(n), np.repeat(sizes, sizes)
@@ -140,18 +140,28 @@ def linked_groups(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) ->
         hold = size > shift  # buckets that still have rows so far apart; whole buckets stay together
         rows, size, end = rows[hold], size[hold], end[hold]
         if not len(rows):
-            return group
+            return
         planes, stop = _planes(fps[rows]), 2 * shift
         while shift < stop:
             here, there = rows[:-shift], rows[shift:]
-            wanted = (there < end[:-shift]) & (group[here] != group[there])
-            if wanted.any():
-                i = near_at_shift(planes, wanted, shift, radius)
+            ask = there < end[:-shift]
+            if wanted is not None:
+                ask &= wanted(here, there)
+            if ask.any():
+                i = near_at_shift(planes, ask, shift, radius)
                 i = i[np.bitwise_count(fps[rows[i]] ^ fps[rows[i + shift]]) <= radius]
-                group = _merge(group, rows[i], rows[i + shift])
+                yield rows[i], rows[i + shift]
             shift += 1
             if shift >= len(rows):
-                return group
+                return
+
+
+def linked_groups(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For rows sorted by bucket: the index of the first row linked to each, by links inside its bucket."""
+    group = np.arange(len(fps))
+    for i, j in near_pairs(bucket, fps, radius, lambda a, b: group[a] != group[b]):
+        group[:] = _merge(group, i, j)
+    return group
 
 
 def _merge(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -556,9 +556,11 @@ def test_pipeline_against_its_parts(spark):
     good = {r["doc_id"] for r in queries.op8_quality_rules(spark, d).filter("kept").collect()}
     left = docs.filter(F.col("doc_id").isin(sorted(good)))
     spoken = {r["doc_id"]: r for r in langid.identify(left, left.filter(~langid.held_out())).filter("accepted").collect()}
-    seen: list[tuple[int, int]] = []
-    for i, f in sorted((i, _simhash(r["text"])) for i, r in spoken.items()):
-        seen.append((i, f))
+    # near copies: 5-word shingles, a Jaccard similarity of 0.8 or more
+    seen: list[tuple[int, set]] = []
+    for i, r in sorted(spoken.items()):
+        w = r["text"].translate(LOWER).encode().split()
+        seen.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}))
     parent = {i: i for i, _ in seen}
 
     def find(i):
@@ -567,7 +569,7 @@ def test_pipeline_against_its_parts(spark):
         return i
 
     for (i, f), (j, g) in combinations(seen, 2):
-        if (f ^ g).bit_count() <= 3:
+        if 5 * len(f & g) >= 4 * len(f | g):
             a, b = sorted((find(i), find(j)))
             parent[b] = a
     first = {i for i in parent if find(i) == i}

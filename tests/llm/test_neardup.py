@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -84,3 +85,36 @@ def test_shingles_of_chunks(monkeypatch):
     whole = [s.tolist() for s in neardup.shingle_sets(texts)]
     monkeypatch.setattr(minhash, "CHUNK_BYTES", 100)
     assert [s.tolist() for s in neardup.shingle_sets(texts)] == whole
+
+
+def test_cells_side_by_side_and_filter_by_fingerprint(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    texts, cells = [], []
+    for c in range(30):
+        base = rng.choices(words, k=rng.choice([3, 8, 60, 200]))
+        for _ in range(rng.randint(1, 40)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(len(copy), rng.randint(0, 3))):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy).encode())
+            cells.append(c)
+    sets = list(neardup.shingle_sets(texts))
+    alone = []
+    for c in range(30):
+        own = [i for i, x in enumerate(cells) if x == c]
+        alone += [own[g] for g in neardup.alike_groups([sets[i] for i in own])]
+    assert neardup.alike_groups(sets, cells=np.array(cells)).tolist() == alone
+    monkeypatch.setattr(neardup, "SMALL", 10**9)  # everything verified
+    assert neardup.alike_groups(sets, cells=np.array(cells)).tolist() == alone
+
+
+def test_radius_holds_alike_sets():
+    rng = np.random.default_rng(1)
+    far = 0
+    for n in (24, 30, 60, 300):
+        for _ in range(500):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            lost = int(n * 0.2)  # a similarity of 0.8 at the least
+            far = max(far, (simhash.majority_bits(a) ^ simhash.majority_bits(a[lost:])).bit_count())
+    assert far <= neardup.RADIUS

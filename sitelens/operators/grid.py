@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.projection import transform
 from .enrich import first_by, small
 
 
@@ -71,13 +72,22 @@ def crop(cells: DataFrame, grid: Grid, bbox: tuple[float, float, float, float])
 
 
 def to_crs(df: DataFrame, crs: str, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Points from longitude and latitude to a grid's system: geographic or spherical Mercator only."""
+    """Points from longitude and latitude to a grid's system, any with a closed form in ``functions.projection``."""
     if crs == "EPSG:4326":
         return df
-    if crs != "EPSG:3857":
-        raise ValueError(f"no projection library here: {crs} is not supported")
-    radius = 6378137.0
-    return df.withColumns({x: F.radians(x) * radius, y: F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * radius})
+    px, py = transform(F.col(x), F.col(y), "EPSG:4326", crs)
+    return df.withColumns({x: px, y: py})
+
+
+def geographic_bounds(spark, grid: Grid, points: int = 21) -> DataFrame:
+    """One row (lon_min, lat_min, lon_max, lat_max): the box in degrees around a grid's edges."""
+    at = spark.range(points).select((F.col("id") / (points - 1)).alias("t"))
+    x0, x1, y0, y1 = grid.c, grid.c + grid.width * grid.a, grid.f + grid.height * grid.e, grid.f
+    along = lambda a, b: F.lit(float(a)) + F.col("t") * (b - a)
+    sides = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((along(x0, x1), F.lit(y0)), (along(x0, x1), F.lit(y1)), (F.lit(x0), along(y0, y1)), (F.lit(x1), along(y0, y1)))))
+    lon, lat = transform(F.col("s.x"), F.col("s.y"), grid.crs, "EPSG:4326")
+    edge = at.select(F.explode(sides).alias("s")).select(lon.alias("lon"), lat.alias("lat"))
+    return edge.agg(F.min("lon").alias("lon_min"), F.min("lat").alias("lat_min"), F.max("lon").alias("lon_max"), F.max("lat").alias("lat_max"))
 
 
 def valid_cells(cells: DataFrame, bands: list[str]) -> DataFrame:
@@ -135,16 +145,16 @@ def sample_background(cells: DataFrame, n: int, bands: list[str], seed: int = 42
 
 
 def resample(source: DataFrame, source_grid: Grid, target: Grid, band: str, method: str = "bilinear", divisor: float = 1.0) -> DataFrame:
-    """(row, col, value) of a band on another grid of the same system: nearest, bilinear, cubic or average."""
-    if source_grid.crs != target.crs:
-        raise ValueError("grids of different systems need a projection library")
+    """(row, col, value) of a band on another grid, of the same system or another: nearest, bilinear, cubic or average."""
     spark = source.sparkSession
     if method == "average":
-        placed = source.select(target.row(F.col("y")).alias("row"), target.column(F.col("x")).alias("col"), F.col(band).alias("v"))
+        x, y = transform(F.col("x"), F.col("y"), source_grid.crs, target.crs)
+        placed = source.select(target.row(y).alias("row"), target.column(x).alias("col"), F.col(band).alias("v"))
         inside = placed.filter(F.col("row").between(0, target.height - 1) & F.col("col").between(0, target.width - 1))
         return inside.groupBy("row", "col").agg((F.avg("v") / divisor).alias("value"))
     cells = spark.range(target.height * target.width).select((F.col("id") / target.width).cast("int").alias("row"), (F.col("id") % target.width).cast("int").alias("col"))
-    at = cells.withColumns({"_fr": (source_grid.f - target.y(F.col("row"))) / abs(source_grid.e), "_fc": (target.x(F.col("col")) - source_grid.c) / source_grid.a})
+    x, y = transform(target.x(F.col("col")), target.y(F.col("row")), target.crs, source_grid.crs)
+    at = cells.withColumns({"_fr": (source_grid.f - y) / abs(source_grid.e), "_fc": (x - source_grid.c) / source_grid.a})
     known = source.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(band).alias("v"))
     if method == "nearest":
         near = at.withColumns({"_r": F.floor("_fr").cast("int"), "_c": F.floor("_fc").cast("int")})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import niche, scenario
 from ..operators.enrich import period_rank
+from ..operators.grid import Grid, geographic_bounds
 from ..operators.maxent import Maxent
 from ..operators.summary import site_summary, zone_period_table
 
@@ -18,6 +19,11 @@ def suitability_map(surface: DataFrame, value: str = "value") -> DataFrame:
     return scenario.stretch(surface, value)
 
 
+def overlay(surface: DataFrame, g: Grid, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(cells with a 2 to 98 percent stretch, the grid's box in degrees): what a web map lays over its tiles."""
+    return scenario.stretch(surface, value), geographic_bounds(surface.sparkSession, g)
+
+
 def panel_maps(surfaces: dict[str, DataFrame], value: str = "value") -> DataFrame:
     """(panel, row, col, value, scaled): several surfaces on one colour scale, from 2 to 98 percent of all their values."""
     stacked = [s.select(F.lit(name).alias("panel"), "row", "col", value) for name, s in surfaces.items()]

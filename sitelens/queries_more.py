@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims, fixture_files
-from .functions import text
+from .functions import projection, text
 from .operators import enrich, grid, maxent, models, niche, scenario, summary, terrain, validate
 from .plans import plots, study
 from .queries import _ELL, _ETA, _NEAR, _PAIRS, GRID, _cells, _enriched, _given_model, _q, _r, _rounded, _sites, _specimens, _surfaces, _thinned, _with, fixtures, query, ORACLES, QUERIES
@@ -122,6 +122,31 @@ def _(spark, d):
     return _rounded(t, "x", "y")
 
 
+_TM = projection.system("EPSG:32651")
+_SERIES_SUM = lambda f, g: " + ".join(f"({a!r}) * {f}({2 * j}e0 * xi) * {g}({2 * j}e0 * eta)" for j, a in enumerate(_TM._alpha, 1))
+_Q = 2 * math.sqrt(_TM._n) / (1 + _TM._n)
+
+
+@query("utm_points", _with("fx_site") + f""", a AS (SELECT site, sinh(atanh(sin(radians(lat))) - {_Q!r} * atanh({_Q!r} * sin(radians(lat)))) AS t, radians(lon - 123e0) AS w FROM fx_site),
+b AS (SELECT site, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(1 + t * t)) AS eta FROM a)
+SELECT site, round(500000e0 + {_TM._rectifying!r} * (eta + {_SERIES_SUM('cos', 'sinh')}), 3) AS x, round({_TM._rectifying!r} * (xi + {_SERIES_SUM('sin', 'cosh')}), 3) AS y FROM b""")
+def _(spark, d):
+    return grid.to_crs(_sites(spark, d), "EPSG:32651").select("site", F.round("lon", 3).alias("x"), F.round("lat", 3).alias("y"))
+
+
+@query("overlay_bounds", f"SELECT {_r('degrees(11700000e0 / 6378137e0)')} AS lon_min, {_r('degrees(2 * atan(exp(4000000e0 / 6378137e0)) - pi() / 2)')} AS lat_min, {_r('degrees(15700000e0 / 6378137e0)')} AS lon_max, {_r('degrees(2 * atan(exp(7000000e0 / 6378137e0)) - pi() / 2)')} AS lat_max")
+def _(spark, d):
+    g = grid.Grid(a=100_000.0, c=11_700_000.0, e=-100_000.0, f=7_000_000.0, height=30, width=40, crs="EPSG:3857")
+    return _rounded(grid.geographic_bounds(spark, g), "lon_min", "lat_min", "lon_max", "lat_max")
+
+
+@query("warp_mercator", _with("cells") + """, t AS (SELECT CAST(r.range AS INTEGER) AS row, CAST(q.range AS INTEGER) AS col, degrees((11700000e0 + (q.range + 0.5e0) * 100000e0) / 6378137e0) AS lon, degrees(2 * atan(exp((7000000e0 + (r.range + 0.5e0) * -100000e0) / 6378137e0)) - pi() / 2) AS lat FROM range(30) r, range(40) q)
+SELECT t.row, t.col, c.bio12 AS value FROM t LEFT JOIN cells c ON c.row = CAST(floor((56e0 - lat) / 0.5e0) AS INTEGER) AND c.col = CAST(floor((lon - 105e0) / 0.5e0) AS INTEGER)""")
+def _(spark, d):
+    target = grid.Grid(a=100_000.0, c=11_700_000.0, e=-100_000.0, f=7_000_000.0, height=30, width=40, crs="EPSG:3857")
+    return grid.resample(_cells(spark, d), GRID, target, "bio12", "nearest")
+
+
 @query("slice_stack", _with("cells") + "SELECT slice, count(*) AS n, sum(bio12) AS total FROM (SELECT 'mid' AS slice, bio12 FROM cells UNION ALL SELECT 'current', bio12 + 1 FROM cells) GROUP BY 1")
 def _(spark, d):
     c = _cells(spark, d)

@@ -149,7 +149,7 @@ def _text() -> Column:
 def _cells(roots: DataFrame, shared: DataFrame, cell: int) -> DataFrame:
     """(cell, node): where each node is compared."""
     sized = roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n")), "root")
-    large = materialise(sized.filter(F.col("_n") > cell).select("node"), "large")
+    large = materialise(sized.filter(F.col("_n") > cell).select("node"), "large")  # read by what is returned
     small = sized.filter(F.col("_n") <= cell).select(F.col("root").alias("cell"), "node")
     if large.isEmpty():
         return small
@@ -184,7 +184,9 @@ def classes(docs: DataFrame, kind: tuple = PLAIN, cell: int = CELL) -> DataFrame
     links = materialise(read.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_link_cells(kind), "a long, b long"), "links")
     remove_table(shared)
     remove_table(wanted)
-    rooted = first.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    groups = connected_components(links)
+    remove_table(links)
+    rooted = first.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     return rows.join(rooted.join(ids, "root").select("node", "class_id"), "node").select("doc_id", "node", "class_id")
 

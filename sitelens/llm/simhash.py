@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import materialise
+from .common import materialise, remove_table
 from .components import connected_components
 
 RADIUS = 3
@@ -233,14 +233,18 @@ def near_links(fps: DataFrame, rows: int, radius: int = RADIUS, cell: int = CELL
         F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64("k", F.least(j, F.col("_i")), F.greatest(j, F.col("_i"))))
     )
     dealt = dealt.select(F.explode(cells).alias("cell"), "fp")
-    return dealt.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_link_batches, "a long, b long").distinct()
+    links = materialise(dealt.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_link_batches, "a long, b long").distinct(), "links")
+    remove_table(keyed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id reachable."""
     marked = materialise(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
     first = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = connected_components(near_links(first.select("fp"), first.count(), radius))
+    links = near_links(first.select("fp"), first.count(), radius)
+    roots = connected_components(links)
+    remove_table(links)
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")

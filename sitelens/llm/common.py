@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew where its files make fewer tasks than half the cores: a small file is one task, however long its texts take.
+
+    Larger inputs, which have more files than that, are read as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under ``spark.checkpoint.dir`` that driver and executors share.
 

@@ -77,9 +77,13 @@ def surface_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_words", "_hashes", "_windows", "_lines")
 
 
+def _bucket(buckets: int, *parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+
+
 def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     """Buckets of the unigrams and bigrams of a text's pieces (the last piece's bigram is its unigram)."""
-    bucket = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+    bucket = lambda *parts: _bucket(buckets, *parts)
     pieces = F.array(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), 0))
     return F.flatten(F.transform(pieces, lambda p: F.concat(F.transform(p, lambda x: bucket(x)), F.transform(p, lambda x, i: bucket(x, F.get(p, i + 1))))))
 
@@ -98,7 +102,11 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     """
     known = F.broadcast(trusted.select(F.col("doc_id").alias("_trusted")))
     hit = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_trusted"), "left")
-    hit = hit.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("b"))
+    # pieces beside the piece after each, as rows: unlike array functions these run in generated code
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PIECE), 0)
+    hit = hit.select(F.col("_trusted").isNotNull().cast("long").alias("t"), pieces.alias("p"))
+    pairs = hit.select("t", F.explode(F.arrays_zip(F.col("p").alias("x"), F.slice("p", F.lit(2), F.size("p")).alias("y"))).alias("g"))
+    hit = pairs.select("t", F.explode(F.array(_bucket(buckets, F.col("g.x")), _bucket(buckets, F.col("g.x"), F.col("g.y")))).alias("b"))
     counts = hit.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     cells = docs.sparkSession.range(buckets, numPartitions=1).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left").na.fill(0, ["raw", "target"])
     rows = cells.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"), F.sum("raw").alias("nr"), F.sum("target").alias("nt"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, htmltext, katz, langid, minhash, mixing, neardup, quality, shards, simhash, tokenfile
-from .common import materialise, shared_dir, table
+from .common import materialise, shared_dir, spread, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -32,14 +32,14 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the folds that are not held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     out = langid.identify(docs.select("doc_id", "text"), docs.filter(~langid.held_out()))
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    out = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = htmltext.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return out.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
 
 
@@ -51,31 +51,31 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by the streaming transducer and decoded again, as digests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), keep_ids=False).alias("d"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", bpe.round_trip(F.col("text"), keep_ids=False).alias("d"))
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and Katz scores of every text, learned from the folds that are not held out."""
-    return katz.score_documents(table(spark, sf_dir, "documents"))
+    return katz.score_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface rules and the verdict of the likelihood ratio, one row per document."""
-    out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    out = quality.quality_rules(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, written as range-coded files in doc_id order and read back."""
     path = shared_dir(spark, "tokens")
-    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    tokenfile.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return tokenfile.read(spark, path)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, their likeness, and the class of near copies by joined bands and exact Jaccard similarity."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return minhash.edit_report(docs, materialise(neardup.classes(docs, neardup.PADDED), "classes"))
 
 

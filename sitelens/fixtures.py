@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import taxon_group, with_human
 from .schema import finalise
+from .shared import spread
 
 SITE = """
 select s_suppkey as site_id, s_name as site,
@@ -84,6 +85,7 @@ _TABLES = {"fx_site": ["supplier"], "fx_specimen": ["lineitem", "supplier", "nat
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in by name; base tables are passed by reference, so no view is left behind."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES[name]}
+    used |= {t: spread(df) for t, df in used.items() if t == "lineitem"}  # the others are dimensions
     query = ALL[name]
     import re
 

@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew where its files make fewer tasks than half the cores; larger inputs are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset, an error, but for a session on one machine, which has the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)

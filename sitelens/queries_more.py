@@ -277,6 +277,74 @@ def _(spark, d):
     return _rounded(models.ensemble(one, one, {"a": 0.8, "b": 0.7, "bad": 0.55}), "score")
 
 
+def _gradient(m, spark: SparkSession, d: str) -> DataFrame:
+    """(feature, gradient): of the penalised likelihood at a fitted regression's coefficients; it is strictly convex, so nothing but its optimum has none."""
+    presence, background = _thinned(spark, d).select("bio1", "bio12"), _cells(spark, d).dropna(subset=["bio1", "bio12"]).select("bio1", "bio12")
+    fitted = m.fit(presence, background, ["bio1", "bio12"])
+    rows = models.class_weights(presence.withColumn("label", F.lit(1)).unionByName(background.withColumn("label", F.lit(0))))
+    x, beta = fitted.features(), [float(c) for c in fitted.model.coefficients]
+    total = float(rows.agg(F.sum("w")).first()[0])
+    eta = F.lit(float(fitted.model.intercept))
+    for c, f in zip(beta, x, strict=True):
+        eta = eta + c * f
+    off = F.col("w") * (1 / (1 + F.exp(-eta)) - F.col("label"))
+    sums = rows.agg(*((F.sum(off * f) / total + c / (m.strength * total)).alias(f"g{i}") for i, (c, f) in enumerate(zip(beta, x, strict=True))), (F.sum(off) / total).alias("g_free"))
+    named = F.array(*(F.struct(F.lit(i).alias("feature"), F.col(f"g{i}").alias("gradient")) for i in range(len(x))), F.struct(F.lit(-1).alias("feature"), F.col("g_free").alias("gradient")))
+    return sums.select(F.explode(named).alias("s")).select("s.feature", stable(F.col("s.gradient"), 4).alias("gradient"))
+
+
+@query("glm_optimum", "SELECT CAST(range - 1 AS INTEGER) AS feature, 0e0 AS gradient FROM range(5)")
+def _(spark, d):
+    return _gradient(models.Glm(), spark, d)
+
+
+@query("gam_optimum", "SELECT CAST(range - 1 AS INTEGER) AS feature, 0e0 AS gradient FROM range(13)")
+def _(spark, d):
+    return _gradient(models.Gam(), spark, d)
+
+
+@query("maxent_optimum", "SELECT * FROM (VALUES ('linear(bio1)', 0e0), ('linear(bio12)', 0e0), ('quadratic(bio1)', 0e0), ('quadratic(bio12)', 0e0)) t(feature, violation)")
+def _(spark, d):
+    """How far each coefficient is from the optimum's conditions: no gradient left but the penalty's, or less than it at 0."""
+    presence, background = _thinned(spark, d).select("bio1", "bio12"), _cells(spark, d).dropna(subset=["bio1", "bio12"]).select("bio1", "bio12")
+    m = maxent.fit(presence, background, ["bio1", "bio12"], beta=3.0, kinds=("linear", "quadratic"))
+    n = presence.count()
+    penalty = maxent.l1_weights(m.spec.features, n, 3.0)
+    rows = presence.withColumn("y", F.lit(1.0)).unionByName(background.withColumn("y", F.lit(0.0)))
+    weight = F.when(F.col("y") == 1, 1.0).otherwise(maxent.BACKGROUND_WEIGHT)
+    # the intercept is free: the one that makes the weighted residuals sum to nothing
+    eta = rows.select("*", m.link().alias("eta"), weight.alias("w")).cache()
+    free = 0.0
+    for _ in range(60):
+        off, slope = eta.agg(F.sum(F.col("w") * (1 / (1 + F.exp(-F.col("eta") - free)) - F.col("y"))), F.sum(F.col("w") / (2 + F.exp(F.col("eta") + free) + F.exp(-F.col("eta") - free)))).first()
+        free -= max(min(off / slope, 2.0), -2.0)
+        if abs(off) < 1e-9 * n:
+            break
+    off = F.col("w") * (1 / (1 + F.exp(-F.col("eta") - free)) - F.col("y"))
+    got = eta.agg(*(F.sum(off * m.spec.column(f)).alias(f"g{i}") for i, f in enumerate(m.spec.features))).first()
+    eta.unpersist()
+    out = []
+    for i, (f, c) in enumerate(zip(m.spec.features, m.coefficients, strict=True)):
+        g, most = got[f"g{i}"] / n, float(penalty[i])
+        out.append((f.name, abs(g + most * (1 if c > 0 else -1)) if c else max(0.0, abs(g) - most)))
+    return spark.createDataFrame(out, "feature string, violation double").select("feature", stable(F.col("violation"), 4).alias("violation"))
+
+
+@query("importance_of_one_band", "SELECT * FROM (VALUES ('bio1', 100e0), ('bio12', 0e0)) t(band, percent)")
+def _(spark, d):
+    cells = _cells(spark, d).dropna(subset=["bio1", "bio12"])
+    presence, background = cells.filter("bio1 > 8"), cells.filter("bio1 <= 8")
+    m = maxent.with_background(maxent.fit_features(cells, ["bio1", "bio12"], kinds=("linear",)), [3.0, 0.0], background)
+    return _rounded(spark.createDataFrame(maxent.permutation_importance(m, presence, background, repeats=1), "band string, percent double"), "percent")
+
+
+@query("comparison_of_few_sites", "SELECT m.model, 'needs ' || m.min_sites || ' sites, has 2' AS note, CAST(0 AS INTEGER) AS folds FROM (VALUES " + ", ".join(f"({_q(k)}, {v})" for k, v in dims.MODEL_MIN_SITES.items()) + ") m(model, min_sites)")
+def _(spark, d):
+    cells = _cells(spark, d).dropna(subset=["bio1", "bio12"])
+    two = cells.orderBy("row", "col").limit(2)  # the case: fewer sites than any model needs
+    return models.compare_models(two, cells, ["bio1", "bio12"], list(dims.MODEL_MIN_SITES)).select("model", "note", "folds")
+
+
 # -- tests of ranks ----------------------------------------------------------------------------------
 
 

@@ -31,6 +31,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,7 +61,7 @@ MAGIC = b"CMR2"
 MAX_ID = (1 << 18) - 5
 _HEADER = struct.Struct("<4sIII")  # magic, ids, CRC-32 of the ids, payload bytes
 
-RING1, RING2 = 4, 2
+RING1, RING2 = 2, 1  # powers of two
 _U = np.uint64
 _NONE = np.int16(32767)
 _CONTEXTS2 = 2048
@@ -174,13 +175,13 @@ class _Decoder:
 
 
 class _Order0:
-    """Counts of slots (ids by first appearance) as binary indexed trees, one per lane."""
+    """Counts of slots (ids by first appearance) as binary indexed trees, one per lane, of at most 2**15 - 1 ids."""
 
     def __init__(self, lanes: int, steps: int):
         self.depth = max(1, (steps - 1).bit_length())
         self.width = (1 << self.depth) + 2
-        self.tree = np.zeros(lanes * self.width, np.int32)
-        self.count = np.zeros(lanes * self.width, np.int32)
+        self.tree = np.zeros(lanes * self.width, np.int16)
+        self.count = np.zeros(lanes * self.width, np.int16)
 
     def below(self, base: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """How many came of the slots before ``slot``."""
@@ -209,12 +210,14 @@ class _Rings:
 
     def at(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(length, lanes) slots, and how many they are."""
-        return self.slots[context * self.length + self.places], np.minimum(self.seen[context], self.length).astype(np.int64)
+        return self.slots[context * self.length + self.places], np.minimum(self.seen[context], np.uint8(self.length)).astype(np.int64)
 
     def add(self, context: np.ndarray, slot: np.ndarray) -> None:
-        seen = self.seen[context].astype(np.int64)
-        self.slots[context * self.length + seen % self.length] = slot
-        self.seen[context] = np.where(seen == 255, 256 - self.length, seen + 1)
+        length, seen = self.length, self.seen[context]
+        self.slots[context * length + (seen & np.uint8(length - 1))] = slot
+        seen += np.uint8(1)
+        seen -= np.uint8(length) * (seen == 2 * length)  # from one to two lengths once it is full
+        self.seen[context] = seen
 
 
 def _unanimous(ring: np.ndarray) -> np.ndarray:
@@ -271,9 +274,8 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray, known: bool) -> None:
         at = state * 4 + four
         w = weights[at]
         counts = np.stack([np.full(len(on), t), n1, n2])
-        shares = np.where(np.r_[counts, np.ones((1, len(on)), np.int64)] > 0, w, 0).astype(_U)
-        whole = shares.sum(axis=0)
-        each = ((shares[:3] << _U(32)) // whole).astype(np.int64) // np.maximum(counts, 1)  # of 2**32, for one count
+        shares = w[:3] * (counts > 0)
+        each = (shares << 32) // ((shares.sum(axis=0) + w[3]) * np.maximum(counts, 1))  # of 2**32, for one count
         seen = (each * counts).sum(axis=0)
 
         if known:
@@ -303,9 +305,10 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray, known: bool) -> None:
                 left = cls >> 2
                 low = coder.place(lane, left).astype(np.int64)
             coder.step(lane, left, low.astype(_U), np.ones(len(lane), _U))
-            names[lane, slot[fresh]] = columns[t][lane] if known else _from_class(cls, low)
             classes[lane, cls] += 24
-            many[lane] += 1
+            if not known:
+                names[lane, slot[fresh]] = _from_class(cls, low)
+                many[lane] += 1
         if not known:
             ids[on, t] = names[on, slot]
 
@@ -422,7 +425,10 @@ def _encoded(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int
                 size += len(texts[end])
                 end += 1
             coded = tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)
-            yield from ((d, np.array([*e.ids, END_ID], np.uint32)) for d, e in zip(doc_ids[at:end], coded, strict=True))
+            for doc_id, e in zip(doc_ids[at:end], coded, strict=True):
+                ids = array("I", e.ids)
+                ids.append(END_ID)
+                yield doc_id, np.frombuffer(ids, np.uint32)
             at = end
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, katz, langid, minhash, mixing, neardup, quality, shards, simhash, tokenfile
+from . import bpe, htmltext, katz, langid, minhash, mixing, neardup, quality, runs, shards, simhash, tokenfile, toxicity
 from .common import materialise, shared_dir, spread, table
 
 
@@ -79,7 +79,25 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edit_report(docs, materialise(neardup.classes(docs, neardup.PADDED), "classes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op7_katz, op8_quality_rules, op9_token_files, op10_minhash)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, a tenth of the documents made periodic from some word on."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = runs.with_period(F.col("doc_id"), F.col("text"))
+    found = docs.select("doc_id", runs.periodic_runs(text, keep_text=False).alias("r"))
+    best = F.col("r.strongest")
+    exponent = F.floor(1000 * best["length"] / best["period"])
+    return found.select("doc_id", F.size("r.runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), exponent.alias("exponent_milli"), "r.runs_sha256", "r.collapsed_sha256")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones that are not held out."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = toxicity.score_documents(docs, docs.filter(~toxicity.held_out()), labels.filter(~toxicity.held_out()))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_language_id, op4_html_text, op5_mixing, op6_bpe, op7_katz, op8_quality_rules, op9_token_files, op10_minhash, op11_periodic_runs, op12_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op2_shards": "SELECT doc_id, lang, source, n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "op5_mixing": mixing.MIX_SQL,

@@ -153,7 +153,7 @@ SCENARIO_ORDER = ("lgm", "mid", "current")
 SCALE10_BIOS = (1, 2, 4, 5, 6, 7, 8, 9, 10, 11)
 
 # Least number of sites of each model.
-MODEL_MIN_SITES: dict[str, int] = {"bioclim": 3, "mahalanobis": 4, "glm": 8, "gam": 8, "rf": 10, "brt": 15, "maxent": 5}
+MODEL_MIN_SITES: dict[str, int] = {"bioclim": 3, "mahalanobis": 4, "glm": 5, "gam": 8, "rf": 10, "brt": 15, "maxent": 5}
 
 # Compass directions from north, clockwise.
 DIRECTIONS = ("북", "북동", "동", "남동", "남", "남서", "서", "북서")

@@ -178,8 +178,9 @@ def merge_gazetteers(*gazetteers: DataFrame) -> DataFrame:
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an explicit order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """The first row of each key in an explicit order; ties go by the columns in the order of their names, nulls last, so partitions do not matter."""
+    ties = [F.col(f"`{f.name}`").asc_nulls_last() for f in sorted(df.schema.fields, key=lambda f: f.name) if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    w = Window.partitionBy(*keys).orderBy(*order, *ties)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 

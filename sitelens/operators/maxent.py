@@ -16,7 +16,7 @@ from .validate import auc
 #: Base of each feature kind's regularisation, and the weight of a background row.
 BASES = {"linear": 0.05, "quadratic": 0.05, "product": 0.05, "hinge": 0.5, "threshold": 1.0}
 BACKGROUND_WEIGHT = 100.0
-#: Fits up to this many rows are solved on the driver, larger ones by Spark ML.
+#: Fits up to this many rows are summed on the driver, larger ones in Spark.
 LOCAL_ROWS = 30_000
 
 
@@ -89,33 +89,118 @@ def l1_weights(features: tuple[Feature, ...], presences: int, beta: float) -> np
     return np.maximum(np.array([beta * BASES[f.kind] for f in features]) / math.sqrt(presences), 1e-8)
 
 
-def solve_l1_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 4000, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression with an L1 penalty and a free intercept: accelerated proximal gradient."""
-    n, p = x.shape
-    wide = np.column_stack([x, np.ones(n)])
-    root = wide * np.sqrt(weight)[:, None]
-    v = np.ones(p + 1)
-    for _ in range(60):  # the largest eigenvalue bounds the curvature
-        v = root.T @ (root @ v)
-        v /= np.linalg.norm(v) or 1.0
-    lipschitz = 0.25 * float(np.linalg.norm(root @ v) ** 2) * 1.02 + 1e-12
-    theta = np.zeros(p + 1)
-    theta[-1] = math.log(max(float(weight[y == 1].sum()), 1e-12) / max(float(weight[y == 0].sum()), 1e-12))
-    ahead, pace, last = theta.copy(), 1.0, np.inf
-    for _ in range(steps):
-        chance = 1 / (1 + np.exp(-np.clip(wide @ ahead, -500, 500)))
-        moved = ahead - wide.T @ (weight * (chance - y)) / lipschitz
-        moved[:-1] = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - penalty / lipschitz, 0)
-        if np.dot(ahead - moved, moved - theta) > 0:  # start the momentum anew when it overshoots
-            pace = 1.0
-        grown = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        ahead = moved + (pace - 1) / grown * (moved - theta)
-        change = float(np.abs(moved - theta).max())
-        theta, pace = moved, grown
-        if change < tolerance and last < tolerance:
-            break
-        last = change
-    return theta[:-1], float(theta[-1])
+def _l1_quadratic(h: np.ndarray, b: np.ndarray, penalty: np.ndarray, start: np.ndarray, tolerance: float) -> np.ndarray:
+    """The minimum of x'hx/2 - b'x + penalty|x|, exactly: signs are guessed, solved for, and mended until they hold."""
+    x, free = start.copy(), penalty == 0
+    sign = np.sign(x)
+
+    def value(x: np.ndarray) -> float:
+        return float(x @ (h @ x) / 2 - b @ x + penalty @ np.abs(x))
+
+    for _ in range(100 * len(b) + 100):
+        on = np.flatnonzero((sign != 0) | free)
+        solved = np.zeros_like(x)
+        solved[on] = np.linalg.solve(h[np.ix_(on, on)], b[on] - penalty[on] * sign[on])
+        crossed = on[(solved[on] * sign[on] < 0) & ~free[on]]
+        if len(crossed):
+            # the best point of those where a coefficient on the way gets to 0
+            reach = np.r_[x[crossed] / (x[crossed] - solved[crossed]), 1.0]
+            steps = [x + t * (solved - x) for t in reach]
+            for step, k in zip(steps, crossed):
+                step[k] = 0.0
+            x = min(steps, key=value)
+            sign = np.sign(x)
+            if x is not steps[-1]:
+                continue
+        else:
+            x = solved
+        slope = h @ x - b
+        over = np.where((x == 0) & ~free, np.abs(slope) - penalty, -np.inf)
+        sign = np.sign(x)
+        worst = int(over.argmax())
+        wrong = np.abs(slope + penalty * sign)[(x != 0) | free]
+        if over[worst] <= tolerance and (not len(wrong) or wrong.max() <= tolerance):
+            return x
+        if over[worst] > tolerance:
+            sign[worst] = -np.sign(slope[worst])
+    return x  # the caller's own conditions decide
+
+
+class NotConverged(ArithmeticError):
+    """The optimality conditions of a fit were not met."""
+
+
+def solve_l1(moments, features: int, start: float, penalty: float, tolerance: float = 1e-9, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """L1-penalised logistic regression with a free intercept by Newton steps: each minimises the second-order model with its penalty.
+
+    ``moments(theta, want)`` gives the weighted loss, and with ``want`` also its gradient and
+    second derivatives; the intercept is last.  Ends when the optimality conditions hold to
+    ``tolerance`` times the curvature, and raises NotConverged where they never do.
+    """
+    cost = np.r_[np.full(features, penalty), 0.0]
+    theta = np.r_[np.zeros(features), start]
+    for _ in range(rounds):
+        loss, slope, curve = moments(theta, True)
+        bound = tolerance * max(float(curve[-1, -1]), 1e-300)
+        rest = np.where(theta != 0, np.abs(slope + cost * np.sign(theta)), np.maximum(np.abs(slope) - cost, 0))
+        if rest.max() <= bound:
+            return theta[:-1], float(theta[-1])
+        ridge = 1e-12 * max(float(np.trace(curve)), 1e-300) * np.eye(features + 1)
+        goal = _l1_quadratic(curve + ridge, (curve + ridge) @ theta - slope, cost, theta, bound / 10)
+        step, size = goal - theta, 1.0
+        promised = float(slope @ step + cost @ (np.abs(goal) - np.abs(theta)))
+        now = loss + float(cost @ np.abs(theta))
+        # at the limit of precision the loss can no longer tell: the full step is right there
+        while size > 1e-10 and abs(promised) * size > 1e-13 * abs(now) and moments(theta + size * step, False)[0] + float(cost @ np.abs(theta + size * step)) > now + 1e-4 * size * promised:
+            size /= 2
+        theta = theta + size * step
+    raise NotConverged(f"optimality conditions are off by {rest.max():.3g} after {rounds} Newton steps; at most {bound:.3g} is asked")
+
+
+def _moments(x: np.ndarray, y: np.ndarray, weight: np.ndarray, theta: np.ndarray, want: bool):
+    """(loss, gradient, second derivatives) of rows, the intercept last."""
+    eta = x @ theta[:-1] + theta[-1]
+    loss = float(weight @ (np.logaddexp(0, eta) - y * eta))
+    if not want:
+        return loss, None, None
+    wide = np.column_stack([x, np.ones(len(x))])
+    chance = np.exp(-np.logaddexp(0, -eta))
+    return loss, wide.T @ (weight * (chance - y)), (wide * (weight * chance * (1 - chance))[:, None]).T @ wide
+
+
+def solve_l1_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """``solve_l1`` on rows in memory."""
+    start = math.log(max(float(weight[y == 1].sum()), 1e-12) / max(float(weight[y == 0].sum()), 1e-12))
+    return solve_l1(lambda theta, want: _moments(x, y, weight, theta, want), x.shape[1], start, penalty)
+
+
+def _spark_moments(rows: DataFrame, features: int):
+    """``moments`` over (label, f0, f1, ...): each partition sums its own, line by line of the matrix, and lines are added up in Spark."""
+    import pandas as pd
+
+    columns = [f"f{i}" for i in range(features)]
+
+    def moments(theta: np.ndarray, want: bool):
+        def part(batches):
+            loss, slope, curve = 0.0, np.zeros(features + 1), np.zeros((features + 1, features + 1))
+            for batch in batches:
+                y = batch["label"].to_numpy()
+                more = _moments(batch[columns].to_numpy(), y, np.where(y == 1, 1.0, BACKGROUND_WEIGHT), theta, want)
+                loss += more[0]
+                if want:
+                    slope, curve = slope + more[1], curve + more[2]
+            lines = [[loss], slope, *curve] if want else [[loss]]
+            yield pd.DataFrame({"line": range(len(lines)), "v": [list(map(float, x)) for x in lines]})
+
+        def add(group):
+            return pd.DataFrame({"line": group["line"].head(1), "v": [np.sum(np.stack(group["v"].to_list()), axis=0).tolist()]})
+
+        kind = "line int, v array<double>"
+        found = rows.mapInPandas(part, kind).groupBy("line").applyInPandas(add, kind).collect()
+        lines = [r["v"] for r in sorted(found, key=lambda r: r["line"])]
+        return (lines[0][0], np.array(lines[1]), np.array(lines[2:])) if want else (lines[0][0], None, None)
+
+    return moments
 
 
 @dataclass(frozen=True)
@@ -182,11 +267,10 @@ def with_background(spec: FeatureSpec, coefficients, background: DataFrame) -> M
 def fit(presence: DataFrame, background: DataFrame, bands: list[str], beta: float = 1.0, kinds=("linear", "quadratic", "product", "hinge"), knots: int = 10, clamp: bool = True) -> Maxent:
     """Fit by infinitely weighted logistic regression with feature-wise L1 penalties.
 
-    Up to LOCAL_ROWS rows an accelerated proximal gradient on the driver
-    minimises the objective until coefficients move by less than 1e-9; beyond,
-    Spark ML's orthant-wise quasi-Newton method minimises the same objective
-    (divided by the total weight) to a relative 1e-10.  Predictions of both agree to
-    about 1e-3.
+    Newton steps on the penalised objective run until its optimality conditions
+    hold (``solve_l1``; NotConverged is raised where they do not).  The sums that a step
+    needs are taken on the driver up to LOCAL_ROWS rows and in Spark beyond: the same
+    objective, the same steps.
     """
     both = presence.select(*(F.col(b).cast("double").alias(b) for b in bands), F.lit(1.0).alias("label")).unionByName(background.select(*(F.col(b).cast("double").alias(b) for b in bands), F.lit(0.0).alias("label"))).dropna()
     sizes = {r["label"]: r["n"] for r in both.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -204,13 +288,9 @@ def fit(presence: DataFrame, background: DataFrame, bands: list[str], beta: floa
         y = table[:, 0]
         theta, _ = solve_l1_logistic(table[:, 1:], y, np.where(y == 1, 1.0, BACKGROUND_WEIGHT), m * mean)
     else:
-        from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.feature import VectorAssembler
-
-        ready = VectorAssembler(inputCols=[f"f{i}" for i in range(len(columns))], outputCol="features").transform(rows.withColumn("w", F.when(F.col("label") == 1, 1.0).otherwise(BACKGROUND_WEIGHT)))
-        total = m + BACKGROUND_WEIGHT * n
-        model = LogisticRegression(weightCol="w", elasticNetParam=1.0, standardization=False, regParam=m * mean / total, maxIter=500, tol=1e-10).fit(ready.select("features", "label", "w"))
-        theta = model.coefficients.toArray()
+        written = materialise(rows, "features")
+        theta, _ = solve_l1(_spark_moments(written, len(columns)), len(columns), math.log(m / (BACKGROUND_WEIGHT * n)), m * mean)
+        remove_table(written)
     return with_background(spec, theta / scale, background.dropna(subset=bands))
 
 

@@ -174,7 +174,7 @@ def _(spark, d):
     return _rounded(enrich.bounding_box(_sites(spark, d), ratio=0.25), "lon_min", "lon_max", "lat_min", "lat_max")
 
 
-@query("model_availability", _with("fx_site") + "SELECT m.model, CAST(m.min_sites AS INTEGER) AS min_sites, 9 >= m.min_sites AS available, CASE WHEN 9 < m.min_sites THEN 'needs ' || m.min_sites || ' sites, has 9' END AS reason FROM (VALUES " + ", ".join(f"({_q(k)}, {v})" for k, v in dims.MODEL_MIN_SITES.items()) + ") m(model, min_sites)")
+@query("model_availability", _with("fx_site") + "SELECT m.model, CAST(m.min_sites AS INTEGER) AS min_sites, 9 >= m.min_sites AS available, CASE WHEN 9 < m.min_sites THEN 'needs ' || m.min_sites || ' sites, has 9' END AS reason FROM (VALUES ('bioclim', 3), ('mahalanobis', 4), ('glm', 5), ('gam', 8), ('rf', 10), ('brt', 15), ('maxent', 5)) m(model, min_sites)")
 def _(spark, d):
     return enrich.available_models(dims.model_table(spark), 9)
 
@@ -297,7 +297,7 @@ def _(spark, d):
 @query("apatite_merge", _with("fx_collagen", "fx_apatite") + """, one AS (
   SELECT site, sample_id, grp, d13c_ap, d18o_ap FROM fx_apatite
   WHERE (d13c_ap IS NOT NULL OR d18o_ap IS NOT NULL) AND sample_id NOT IN ('', 'nan', 'None')
-  QUALIFY row_number() OVER (PARTITION BY site, sample_id, grp ORDER BY ord) = 1
+  QUALIFY row_number() OVER (PARTITION BY site, sample_id, grp ORDER BY ord, d13c_ap NULLS LAST, d18o_ap NULLS LAST) = 1
 ), merged AS (
   SELECT c.ord, c.site, c.sample_id, c.grp, c.d13c_coll, o.d13c_ap, o.d18o_ap FROM fx_collagen c
   LEFT JOIN one o ON c.site IS NOT DISTINCT FROM o.site AND c.sample_id = o.sample_id AND c.grp = o.grp

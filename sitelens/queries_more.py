@@ -88,7 +88,7 @@ def _(spark, d):
     return spark.createDataFrame([(i, study.run_label(*r[:3])) for i, r in enumerate(_RUNS)], "run int, label string")
 
 
-@query("model_registry", f"SELECT * FROM (VALUES {_V([(k,) for k in sorted(dims.MODEL_MIN_SITES)])}) t(model)")
+@query("model_registry", "SELECT * FROM (VALUES ('bioclim'), ('brt'), ('gam'), ('glm'), ('mahalanobis'), ('maxent'), ('rf')) t(model)")
 def _(spark, d):
     return spark.createDataFrame([(k,) for k in models.MODELS if hasattr(models.make_model(k), "fit")], "model string")
 
@@ -338,7 +338,7 @@ def _(spark, d):
     return _rounded(spark.createDataFrame(maxent.permutation_importance(m, presence, background, repeats=1), "band string, percent double"), "percent")
 
 
-@query("comparison_of_few_sites", "SELECT m.model, 'needs ' || m.min_sites || ' sites, has 2' AS note, CAST(0 AS INTEGER) AS folds FROM (VALUES " + ", ".join(f"({_q(k)}, {v})" for k, v in dims.MODEL_MIN_SITES.items()) + ") m(model, min_sites)")
+@query("comparison_of_few_sites", "SELECT m.model, 'needs ' || m.min_sites || ' sites, has 2' AS note, CAST(0 AS INTEGER) AS folds FROM (VALUES ('bioclim', 3), ('mahalanobis', 4), ('glm', 5), ('gam', 8), ('rf', 10), ('brt', 15), ('maxent', 5)) m(model, min_sites)")
 def _(spark, d):
     cells = _cells(spark, d).dropna(subset=["bio1", "bio12"])
     two = cells.orderBy("row", "col").limit(2)  # the case: fewer sites than any model needs

@@ -54,7 +54,7 @@ def test_both_solvers_of_the_entropy_model_agree(spark, sf, monkeypatch):
         monkeypatch.setattr(maxent, "LOCAL_ROWS", most)
         m = maxent.fit(presence, background, ["bio1", "bio12"], beta=2.0, kinds=("linear", "quadratic"))
         fits.append([r[0] for r in background.orderBy("row", "col").select(m.predict("cloglog")).collect()])
-    assert np.abs(np.array(fits[0]) - np.array(fits[1])).max() < 5e-3
+    assert np.abs(np.array(fits[0]) - np.array(fits[1])).max() < 1e-8
 
 
 def test_rank_tests_of_one_small_side():
@@ -154,3 +154,33 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(_Session(), "x")
+
+
+def test_few_sites_are_enough_for_the_linear_model():
+    from sitelens.dims import MODEL_MIN_SITES
+
+    assert MODEL_MIN_SITES == {"bioclim": 3, "mahalanobis": 4, "glm": 5, "gam": 8, "rf": 10, "brt": 15, "maxent": 5}
+
+
+def test_first_of_a_tie_does_not_depend_on_partitions(spark):
+    rows = [("a", 1, v, w) for v in (3.0, None, 2.0) for w in (None, 5.0, 4.0)] + [("b", 2, None, 1.0), ("b", 1, None, None)]
+    df = spark.createDataFrame(rows, "k string, ord int, v double, w double")
+    for parts in (1, 3, 7):
+        got = {tuple(r) for r in enrich.first_by(df.repartition(parts).orderBy(F.rand(parts)), ["k"], [F.col("ord")]).collect()}
+        assert got == {("a", 1, 2.0, 4.0), ("b", 1, None, None)}
+
+
+def test_a_fit_converges_or_raises(monkeypatch):
+    rng = np.random.default_rng(3)
+    u = rng.random((2000, 3))
+    x = np.column_stack([u, u**2, *(np.maximum(u[:, j] - k, 0) for j in range(3) for k in np.linspace(0.1, 0.9, 9)), *(np.maximum(k - u[:, j], 0) for j in range(3) for k in np.linspace(0.1, 0.9, 9))])
+    y = np.r_[np.ones(25), np.zeros(1975)]
+    w = np.where(y == 1, 1.0, 100.0)
+    x[:25, 0] = 0.8 + 0.2 * x[:25, 0]
+    for penalty in (0.05, 1.0, 20.0, 1e6):
+        theta, b = maxent.solve_l1_logistic(x, y, w, penalty)
+        slope = x.T @ (w * (1 / (1 + np.exp(-(x @ theta + b))) - y))
+        assert np.abs(slope[theta == 0]).max(initial=0) <= penalty + 1e-6
+        assert np.abs(slope[theta != 0] + penalty * np.sign(theta[theta != 0])).max(initial=0) < 1e-6
+    with pytest.raises(maxent.NotConverged):
+        maxent.solve_l1(lambda theta, want: maxent._moments(x, y, w, theta, want), x.shape[1], 0.0, 0.05, rounds=2)

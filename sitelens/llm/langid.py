@@ -64,24 +64,27 @@ def fold(text: str) -> str:
 def training_sample(train: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, tuple[int, list[str]]]:
     """Per language: its number of training documents and at most ``docs`` distinct ones, whole, by a hash of doc_id and text.
 
-    Counts are one aggregate.  A hash threshold leaves about 3 x ``docs`` rows of
-    each language, whatever the size of the corpus; the smallest hashes are
-    ranked in Spark, and only those rows reach the driver.
+    Equal rows have one place, wherever they count.  Counts are one aggregate over
+    places.  A threshold leaves about 3 x ``docs`` places of each language, whatever
+    the size of the corpus and however often a row is repeated; the smallest ones
+    are ranked in Spark, and only those rows reach the driver.
     """
-    rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", place.alias("place"))
+    each = rows.groupBy("lang", "place").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: (r["n"], r["places"]) for r in each.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places")).limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages to learn")
-    if not counts:
+    if not sizes:
         return {}
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    share = F.lit(0).cast("long")
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(math.ceil((1 << 30) * min(1.0, 3 * docs / n)))).otherwise(share)
-    # equal rows are one: a partial aggregate, so that none of them is a crowd
-    drawn = rows.filter(place < share).groupBy("lang", place.alias("place")).agg(F.min("text").alias("text"))
+    bound = F.lit(0).cast("long")
+    for lang, (_, places) in sorted(sizes.items()):
+        # a language of few places is drawn whole: no threshold can miss it
+        share = 1 << 62 if places <= 16 * docs else math.ceil((1 << 62) * 3 * docs / places)
+        bound = F.when(F.col("lang") == lang, F.lit(share)).otherwise(bound)
+    drawn = rows.filter(F.col("place") < bound).groupBy("lang", "place").agg(F.min("text").alias("text"))
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("rank") <= docs)
-    out: dict[str, tuple[int, list[str]]] = {lang: (n, []) for lang, n in counts.items()}
+    out: dict[str, tuple[int, list[str]]] = {lang: (n, []) for lang, (n, _) in sizes.items()}
     for r in ranked.orderBy("lang", "rank").collect():
         out[r["lang"]][1].append(r["text"])
     return out

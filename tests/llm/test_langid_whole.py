@@ -95,3 +95,16 @@ def test_clashing_columns(spark, train):
     out = langid.identify(docs, train)
     assert set(out.columns) == {"doc_id", "lang", "text", "_found0", "score", "lang_pred", "accepted"}
     assert {r["_found0"] for r in out.collect()} == {"mine"}
+
+
+def test_a_language_of_repeated_rows_is_learned(spark):
+    spanish, english = "el perro come y la casa es grande", "the dog eats and the house is large"
+    same = [(1, "es", spanish)] * 3000
+    many = [(10 + i, "es", spanish) for i in range(3000)]
+    other = [(10_000 + i, "en", f"{english} {'abcdefghij'[i % 10] * (1 + i // 10)}") for i in range(300)]
+    for rows, distinct in ((same, 1), (many, langid.SAMPLE_DOCS)):
+        train = spark.createDataFrame(rows + other, "doc_id long, lang string, text string")
+        sample = langid.training_sample(train)
+        assert {k: (n, len(t)) for k, (n, t) in sample.items()} == {"es": (3000, distinct), "en": (300, langid.SAMPLE_DOCS)}
+        model = langid.Classifier(sample)
+        assert model.predict("la casa es grande")[0] == "es" and model.predict("the house is large")[0] == "en"

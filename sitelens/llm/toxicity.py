@@ -68,17 +68,26 @@ def words(text: str | None) -> list[str]:
 
 
 _PAIRS = ArrayType(StructType([StructField("v", StringType()), StructField("w", StringType())]))
+#: Texts whose pairs are in memory at a time.
+SLICE = 64
+
+
+def _pair_lists(texts: pa.Array) -> pa.Array:
+    ends, before, after = [0], [], []
+    for text in texts:
+        found = words(text.as_py())
+        for v, w in sorted(set(zip([START, *found], found))):
+            before.append(v)
+            after.append(w)
+        ends.append(len(before))
+    both = pa.StructArray.from_arrays([pa.array(before, pa.string()), pa.array(after, pa.string())], names=["v", "w"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
 
 
 @F.arrow_udf(_PAIRS)
 def _pairs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("v", pa.string()), ("w", pa.string())]))
     for texts in batches:
-        out = []
-        for text in texts.to_pylist():
-            found = words(text)
-            out.append([{"v": v, "w": w} for v, w in sorted(set(zip([START, *found], found)))])
-        yield pa.array(out, kind)
+        yield pa.concat_arrays([_pair_lists(texts.slice(at, SLICE)) for at in range(0, max(len(texts), 1), SLICE)])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
@@ -259,7 +268,7 @@ def _strongest(models: list[Model], text: Column) -> Column:
     @F.arrow_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([[m.strongest(t) for m in models] for t in texts.to_pylist()], pa.list_(pa.float64()))
+            yield pa.array([[m.strongest(t.as_py()) for m in models] for t in texts], pa.list_(pa.float64()))
 
     return run(text)
 

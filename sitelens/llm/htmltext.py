@@ -10,8 +10,12 @@ summed over sliding windows of WINDOW lines.  Text surges where the sum leaves
 zero and dives where it is back at zero; a stretch between the two is kept if a
 window in it reaches SURGE of the page's heaviest window.
 
-Where an article or main element has text, only their lines count, and any
-weight is a surge; so stretches of links are dropped there too, and nothing else.
+Where an article or main element has text, the text surges where they begin and dives where
+they end: all their lines are kept, links too, but for the elements above.
+
+Names of controls ("search", "menu", "share") tell nothing of paragraphs, headings and
+quotations inside them, and a form that holds an article, main or first or second
+heading is the frame of the page, no form of fields.
 
 Elements end where HTML lets their end tags be omitted (head, p, li, dt, dd, rows
 and cells) or where an element around them ends.  Quotes only matter after an
@@ -87,13 +91,23 @@ _DROPPED_NAMES = _DROPPED_NOUNS | _COMMENTS | frozenset(
 )
 #: Last words that only say what holds the thing ("ad-slot", "comments-area").
 _HOLDERS = frozenset("area bar block box button buttons container content form inner item items link links list outer panel region section slot unit wrap wrapper".split())
+#: Names of controls and lists of links; a block of running text that has one is text all the same.
+_CONTROLS = frozenset(
+    "nav navbar navigation breadcrumb breadcrumbs menu toolbar pagination pager share sharing social related related-articles related-posts "
+    "login signup search widget header masthead".split()
+)
+_RUNNING = _HEADINGS | frozenset("p blockquote pre figcaption".split())
+_FRAME = re.compile(r"<(?:article|main|h1|h2)(?=[\s/>])", re.IGNORECASE)
+_FORM_ENDS = re.compile(r"</form(?=[\s/>])", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
 
 
 @lru_cache(maxsize=4096)
-def _names_dropped(name: str, in_main: bool) -> bool:
+def _names_dropped(name: str, in_main: bool, running: bool = False) -> bool:
     """Whether a class name or id tells of something that is no article text."""
     low = name.lower()
+    if running and low in _CONTROLS:
+        return False
     if low in _DROPPED_NAMES:
         return not (in_main and low == "header")
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -102,6 +116,8 @@ def _names_dropped(name: str, in_main: bool) -> bool:
         words.pop()
     if not words:
         return False
+    if running and words[-1] in _CONTROLS:
+        return False
     if len(words) == 1 and len(words) < whole:
         return words[0] in _DROPPED_NAMES and not (in_main and words[0] == "header")
     return words[-1] in _DROPPED_NOUNS
@@ -123,7 +139,7 @@ def is_dropped(name: str, attributes: str, in_main: bool) -> bool:
             if name in _MAIN:
                 if any(v.lower() in _COMMENTS for v in value.split()):
                     return True
-            elif any(_names_dropped(v, in_main) for v in value.split()):
+            elif any(_names_dropped(v, in_main, in_main and name in _RUNNING) for v in value.split()):
                 return True
     return False
 
@@ -213,7 +229,7 @@ class _Page:
         if name == "a" and (at := self._last("a")) > self._blocks[-1]:
             self._close(at)
 
-    def begin(self, name: str, attributes: str) -> None:
+    def begin(self, name: str, attributes: str, frame: bool = False) -> None:
         if name in ("html", "body") and self._places[name]:
             return
         self._close_omitted(name)
@@ -222,7 +238,7 @@ class _Page:
                 self._end_line()
             return
         block = name not in _INLINE
-        drop = is_dropped(name, attributes, self._mains > 0)
+        drop = is_dropped(name, attributes, self._mains > 0) and not frame
         main = name in _MAIN and not drop and not self.dropped
         if not self.dropped:
             if main:
@@ -262,6 +278,12 @@ class _Page:
         self._end_line()
 
 
+def _is_frame(page: str, at: int) -> bool:
+    """Whether the form that begins at a place holds an article, main or leading heading."""
+    ends = _FORM_ENDS.search(page, at)
+    return _FRAME.search(page, at, ends.start() if ends else len(page)) is not None
+
+
 def strip_markup(page: str) -> _Page:
     """The page's lines, with empty ones where containers meet and elements were removed."""
     out, at = _Page(), 0
@@ -274,7 +296,8 @@ def strip_markup(page: str) -> _Page:
         if m[2]:
             out.end(m[3].lower())
         else:
-            out.begin(m[3].lower(), m[4])
+            name = m[3].lower()
+            out.begin(name, m[4], name == "form" and not out.dropped and _is_frame(page, at))
     if at < len(page):
         out.add(html.unescape(page[at:]))
     out.finish()
@@ -293,21 +316,19 @@ def stretches(weights: np.ndarray, window: int = WINDOW, least: float = 0) -> li
 
 
 def chosen_lines(text: list[str], weight: list[int], main: list[bool]) -> list[str]:
-    """The lines between surge and dive points."""
-    inside = any(m and t for m, t in zip(main, text, strict=True))
-    if inside:
-        weight = [w if m else 0 for w, m in zip(weight, main, strict=True)]
+    """The lines of article and main where they have any, else those between surge and dive points."""
+    if any(m and t for m, t in zip(main, text, strict=True)):
+        return [t for t, m in zip(text, main, strict=True) if t and m]
     weights = np.array(weight, np.int64)
     if not weights.any():  # nothing but links
-        return [t for t, m in zip(text, main, strict=True) if t and (m or not inside)]
+        return [t for t in text if t]
     total = np.cumsum(np.r_[np.zeros(WINDOW, np.int64), weights])
-    heaviest = int((total[WINDOW:] - total[:-WINDOW]).max())
     out = []
-    for a, b in stretches(weights, WINDOW, 0 if inside else SURGE * heaviest):
+    for a, b in stretches(weights, WINDOW, SURGE * int((total[WINDOW:] - total[:-WINDOW]).max())):
         last = a + int(np.flatnonzero(weights[a:b])[-1]) + 1
-        while last < b and text[last] and (main[last] or not inside):  # links right below, in the same container
+        while last < b and text[last]:  # links right below, in the same container
             last += 1
-        out += [t for t, m in zip(text[a:last], main[a:last], strict=True) if t and (m or not inside)]
+        out += [t for t in text[a:last] if t]
     return out
 
 

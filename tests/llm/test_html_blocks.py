@@ -72,9 +72,9 @@ def slow_text(page):
     lines = _Slow(page).lines
     inside = any(t and m for t, _, m in lines)
     if inside:
-        lines = [(t, w * m, m) for t, w, m in lines]
+        return "\n".join(t for t, _, m in lines if t and m)
     if not any(w for _, w, _ in lines):
-        return "\n".join(t for t, _, m in lines if t and (m or not inside))
+        return "\n".join(t for t, _, _ in lines if t)
     sums = [sum(w for _, w, _ in lines[max(0, i - 2) : i + 1]) for i in range(len(lines))]
     out, i = [], 0
     while i < len(lines):
@@ -84,11 +84,11 @@ def slow_text(page):
         end = i
         while end < len(lines) and sums[end]:
             end += 1
-        if inside or max(sums[i:end]) >= 0.2 * max(sums):
+        if max(sums[i:end]) >= 0.2 * max(sums):
             last = max(k for k in range(i, end) if lines[k][1]) + 1
-            while last < end and lines[last][0] and (lines[last][2] or not inside):
+            while last < end and lines[last][0]:
                 last += 1
-            out += [t for t, _, m in lines[i:last] if t and (m or not inside)]
+            out += [t for t, _, _ in lines[i:last] if t]
         i = end
     return "\n".join(out)
 
@@ -117,12 +117,21 @@ def test_windows_decide(monkeypatch, spark):
     before = [htmltext.main_text(p) for p in hidden]
     monkeypatch.setattr(htmltext, "stretches", lambda w, *_: [(0, len(w))])
     assert sum(a != htmltext.main_text(p) for a, p in zip(before, hidden, strict=True)) > len(pages) // 2
-    page = "<article><p>Text of it.</p><div><a>Links</a> <a>only</a></div><p>More text.</p></article>"
+    page = "<div><p>Text of it.</p></div><div></div><div></div><div><a>Links</a> <a>only</a></div><div></div><div></div><div><p>More text.</p></div>"
     assert htmltext.main_text(page) == "Text of it.\nLinks only\nMore text."
     monkeypatch.undo()
     assert htmltext.main_text(page) == "Text of it.\nMore text."
 
 
+def test_windows_decide_where_nothing_is_named(spark, monkeypatch):
+    """The given pages without attributes and sectioning names: line weights alone choose, and choose less than everything."""
+    pages = [re.sub(r"<(\w+)[^>]*>", r"<\1>", re.sub(r"(</?)(?:article|main|nav|aside|footer|header|section)\b[^>]*", r"\1div", r["html"])) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r["html"]]
+    found = [htmltext.main_text(p) for p in pages]
+    assert found == [slow_text(p) for p in pages]
+    monkeypatch.setattr(htmltext, "stretches", lambda w, *_: [(0, len(w))])
+    assert sum(a != htmltext.main_text(p) for a, p in zip(found, pages, strict=True)) > len(pages) // 2
+
+
 LONG = "A sentence of the article that is long enough to weigh something. " * 15
 
 
@@ -153,6 +162,11 @@ LONG = "A sentence of the article that is long enough to weigh something. " * 15
         ("a < b and <3 &lt;p&gt; <!-> c", "a < b and <3 <p> c"),
         ("<p>one</p></div></p></li></table></nav>two", "one\ntwo"),
         ("<article>x</article><!-- <p>never closed", "x"),
+        ("<article><p>Intro text</p><ul><li><a>one</a><li><a>two</a><li><a>three</a><li><a>four</a></ul><p>After</p></article>", "Intro text\none\ntwo\nthree\nfour\nAfter"),
+        ("<article><p>Intro text</p><p><a href=x>A last linked paragraph</a></p></article>", "Intro text\nA last linked paragraph"),
+        ("<article><p class='search'>We searched the valley.</p><h2 class='menu'>The menu</h2><div class='menu'><a>x</a></div></article>", "We searched the valley.\nThe menu"),
+        ("<form id=aspnetForm><div class=menu><a>x</a></div><h1>Title</h1><p>The page.</p><form><input><p>mail</p></form></form>", "Title\nThe page."),
+        ("<p>The page.</p><form><p>Your mail</p><input></form>", "The page."),
         ("<svg><title>t</title><text>x</text></svg><object>y</object><p>z", "z"),
     ],
 )

@@ -43,11 +43,34 @@ def _inside(side: str, x: Column, y: Column) -> Column:
     return p * p + q * q <= 1
 
 
+def _on_line(lines: DataFrame, side: str, last: int) -> DataFrame:
+    """``_lo`` and ``_hi`` of a side: the first and last lattice point of each line inside its ellipse, null where there is none.
+
+    On a line an ellipse is an interval, whose ends solve a quadratic equation;
+    the points next to them are asked themselves, so rounding decides nothing.
+    """
+    c = lambda n: F.col(f"{n}_{side}")
+    a, b, dy = F.greatest(c("a"), F.lit(1e-9)), F.greatest(c("b"), F.lit(1e-9)), F.col("_y") - c("cy")
+    square = c("ux") * c("ux") / (a * a) + c("uy") * c("uy") / (b * b)
+    cross = dy * c("ux") * c("uy") * (1 / (a * a) - 1 / (b * b))
+    rest = dy * dy * (c("uy") * c("uy") / (a * a) + c("ux") * c("ux") / (b * b)) - 1
+    solved = lines.withColumns({"_m": -cross / square, "_w": F.sqrt(F.greatest(cross * cross - square * rest, F.lit(0.0))) / square})
+    place = lambda d: F.coalesce((c("cx") + d - F.col("_x0")) / F.nullif(F.col("_dx"), F.lit(0.0)), F.lit(0.0))
+    cut = lambda k: F.greatest(F.least(k, F.lit(float(last))), F.lit(0.0)).cast("int")
+    near = solved.withColumns({"_k0": cut(F.ceil(place(F.col("_m") - F.col("_w"))).cast("double")), "_k1": cut(F.floor(place(F.col("_m") + F.col("_w"))).cast("double"))})
+    passes = lambda k: k.between(0, last) & _inside(side, F.col("_x0") + k * F.col("_dx"), F.col("_y"))
+    first = F.coalesce(*(F.when(passes(F.col("_k0") + i), F.col("_k0") + i) for i in (-1, 0, 1)))
+    final = F.coalesce(*(F.when(passes(F.col("_k1") - i), F.col("_k1") - i) for i in (-1, 0, 1)))
+    flat = F.col("_dx") == 0  # all points of the line are one
+    ends = {f"_lo_{side}": F.when(flat, F.when(passes(F.lit(0)), 0)).otherwise(first), f"_hi_{side}": F.when(flat, F.when(passes(F.lit(0)), last)).otherwise(final)}
+    return near.withColumns(ends).drop("_m", "_w", "_k0", "_k1")
+
+
 def overlaps(ellipse: DataFrame, key: str, resolution: int = RESOLUTION) -> DataFrame:
     """Overlap of each pair of ellipses (first <= second by name) on a lattice over both outlines.
 
-    A pair's lattice is built where the pair is: rows are pairs x lattice lines,
-    and counts are taken along each line by an array function.
+    Rows are pairs x lattice lines; the points of a line that lie in an ellipse are
+    counted by the interval's ends.
     """
     ends = outline(ellipse).groupBy(key).agg(F.min("ex").alias("x0"), F.max("ex").alias("x1"), F.min("ey").alias("y0"), F.max("ey").alias("y1"))
     one = ellipse.select(key, "cx", "cy", "a", "b", "ux", "uy").join(ends, key)
@@ -56,11 +79,13 @@ def overlaps(ellipse: DataFrame, key: str, resolution: int = RESOLUTION) -> Data
     lo = lambda c: F.least(f"{c}0_p", f"{c}0_q")
     step = lambda c: (F.greatest(f"{c}1_p", f"{c}1_q") - lo(c)) / (resolution - 1)
     lines = pairs.withColumns({"_x0": lo("x"), "_dx": step("x"), "_y0": lo("y"), "_dy": step("y")}).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1))))
-    y = F.col("_y0") + F.col("_j") * F.col("_dy")
-    at = F.sequence(F.lit(0), F.lit(resolution - 1))
-    x = lambda i: F.col("_x0") + i * F.col("_dx")
-    count = lambda test: F.size(F.filter(at, lambda i: test(x(i)))).cast("long")
-    counted = lines.select(f"{key}_p", f"{key}_q", "_dx", "_dy", count(lambda v: _inside("p", v, y)).alias("p"), count(lambda v: _inside("q", v, y)).alias("q"), count(lambda v: _inside("p", v, y) & _inside("q", v, y)).alias("both"))
+    lines = lines.withColumn("_y", F.col("_y0") + F.col("_j") * F.col("_dy"))
+    for s in ("p", "q"):
+        lines = _on_line(lines, s, resolution - 1)
+    count = lambda low, high: F.coalesce(F.greatest(high - low + 1, F.lit(0)), F.lit(0)).cast("long")
+    # least and greatest skip nulls: a line without one of the two has nothing in both
+    meet = F.when(F.col("_lo_p").isNotNull() & F.col("_lo_q").isNotNull(), count(F.greatest("_lo_p", "_lo_q"), F.least("_hi_p", "_hi_q"))).otherwise(0)
+    counted = lines.select(f"{key}_p", f"{key}_q", "_dx", "_dy", count(F.col("_lo_p"), F.col("_hi_p")).alias("p"), count(F.col("_lo_q"), F.col("_hi_q")).alias("q"), meet.alias("both"))
     sums = counted.groupBy(F.col(f"{key}_p").alias("first"), F.col(f"{key}_q").alias("second")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("both").alias("both"), (F.first("_dx") * F.first("_dy")).alias("cell"))
     share = lambda n, d: 100 * F.col(n) / F.nullif(d, F.lit(0))
     return sums.select("first", "second", (F.col("both") * F.col("cell")).alias("area"), share("both", F.col("p")).alias("percent_first"), share("both", F.col("q")).alias("percent_second"), share("both", F.col("p") + F.col("q") - F.col("both")).alias("percent_union"))

@@ -247,10 +247,10 @@ def run_sdm(
 
 def write_surface(surface: DataFrame, g: grid.Grid, path: str) -> None:
     """A surface as a raster file, or as cells beside that name where it is too large for one."""
-    if g.height * g.width > rasters.MAX_CELLS:
-        rasters.write_cells(surface, path.removesuffix(".tif") + "_cells")
-    else:
+    try:
         rasters.write_layer(surface, g, path)
+    except rasters.TooLarge:
+        rasters.write_cells(surface, path.removesuffix(".tif") + "_cells")
 
 
 def temporal_sdm(df: DataFrame, stacks: dict[str, DataFrame], g: grid.Grid, bands: list[str], taxa: list[str], isotopes: DataFrame | None = None, min_sites: int = 4, beta: float = 3.0, most_lost: float = 0.4, repeats: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:

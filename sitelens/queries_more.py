@@ -594,6 +594,25 @@ def _(spark, d):
     return cells.select("row", "col", "x", "y", "elev", "bio12")
 
 
+@query("raster_window", """WITH c AS (SELECT CAST(o_orderkey // 256 AS INTEGER) AS row, CAST(o_orderkey % 256 AS INTEGER) AS col, CAST(max(CAST(o_totalprice AS FLOAT)) AS DOUBLE) AS price FROM orders GROUP BY ALL),
+size AS (SELECT max(row) + 1 AS height FROM c), win AS (SELECT height // 3 AS r0, height // 2 + 1 - height // 3 AS rows FROM size)
+SELECT CAST(g.row AS INTEGER) AS row, CAST(k.range AS INTEGER) AS col, 100e0 + (k.range + 70 + 0.5e0) * 0.25e0 AS x, c.price, ((r0 + rows + 15) // 16 - r0 // 16) * 8 AS blocks
+FROM win, LATERAL (SELECT unnest(range(rows)) AS row) g, range(114) k LEFT JOIN c ON c.row = g.row + r0 AND c.col = k.range + 70""")
+def _(spark, d):
+    """A surface of all orders as a tiled file, and a window of it: only the tiles that meet the window are taken out and decoded."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    cells = orders.select(F.floor(F.col("o_orderkey") / 256).cast("int").alias("row"), (F.col("o_orderkey") % 256).cast("int").alias("col"), F.col("o_totalprice").alias("value"))
+    height = cells.agg(F.max("row")).first()[0] + 1
+    g = grid.Grid(0.25, 100.0, -0.25, 0.25 * height, height, 256)
+    path = f"{shared_dir(spark, 'rasters')}/price.tif"
+    rasters.write_layer(cells, g, path, tile=16)
+    r0, rows = height // 3, height // 2 + 1 - height // 3
+    box = (117.5, g.f - 0.25 * (r0 + rows), 146.0, g.f - 0.25 * r0)
+    blocks = rasters.coded_blocks(spark, path, g.window(box)).count()
+    found, _ = rasters.read_stack(spark, {"price": path}, bbox=box)
+    return found.select("row", "col", "x", "price", F.lit(blocks).cast("long").alias("blocks"))
+
+
 @query("climate_catalogues", f"SELECT * FROM (VALUES {_V([('current', 'bio1', 'wc2.1_10m_bio_1.tif', 1.0), ('current', 'bio12', 'wc2.1_10m_bio_12.tif', 1.0), ('paleo', 'bio1', 'bio_1.tif', 10.0), ('paleo', 'bio12', 'bio_12.tif', 1.0), ('mid', 'bio1', 'ccmidbi1.tif', 10.0), ('mid', 'bio12', 'ccmidbi12.tif', 1.0)])}) t(kind, band, file, divisor)")
 def _(spark, d):
     names = [f.format(n=n) for n in (1, 12) for f in ("wc2.1_10m_bio_{n}.tif", "bio_{n}.tif", "ccmidbi{n}.tif")]

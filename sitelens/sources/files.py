@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +34,36 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def read_range(spark: SparkSession, path: str, start: int, size: int) -> bytes:
+    """``size`` bytes of a file from ``start`` on, fewer at its end: for headers."""
+    fs, where = _fs(spark, path)
+    stream = fs.open(where)
+    try:
+        stream.seek(start)
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def write_chunks(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """One file from parts that arrive one after the other; it has its name only when it is whole."""
+    fs, where = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    part = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+    except BaseException:
+        out.close()
+        fs.delete(part, False)
+        raise
+    out.close()
+    if fs.exists(where):
+        fs.delete(where, False)
+    fs.rename(part, where)
+
+
 def binary(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of whole files; executors parse them, one task for each file or more."""
     return spark.read.format("binaryFile").load(path).select("path", "content")

@@ -38,7 +38,7 @@ def test_all_headers_of_a_workbook(spark):
 
 
 def test_large_rasters_are_refused_or_written_as_cells(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(rasters, "MAX_CELLS", 5)
+    monkeypatch.setattr(rasters, "MAX_BYTES", 500)
     g = grid.Grid(1.0, 0.0, -1.0, 2.0, 2, 3)
     surface = spark.createDataFrame([(r, c, float(r + c)) for r in range(2) for c in range(3)], "row int, col int, value double")
     with pytest.raises(ValueError, match="write_cells"):

@@ -27,41 +27,85 @@ def _nearest(sites: list[tuple], k: int, kx: float, ky: float) -> Column:
     return F.slice(F.sort_array(F.transform(table, measured)), 1, k)
 
 
-def _nearest_by_tiles(cells: DataFrame, sites: DataFrame, k: int, kx: float, ky: float, extent: tuple[float, float, float, float], n: int) -> DataFrame:
-    """Cells with the same ``_near``, for any number of sites: an equi-join on tiles that hold about k sites each.
+#: The tree of tiles: levels at most, halvings of the sides from one to the next, and sites that a tile may hold in multiples of the sites that are asked for.
+DEPTH = 10
+HALVINGS = 2
+LEAF = 4
 
-    A cell looks at the tiles around its own, up to a ring.  It is done when its
-    k-th site is nearer than anything beyond the ring can be; the others look
-    twice as far, so each round has fewer cells.
+
+def site_tree(sites: DataFrame, k: int, kx: float, ky: float, extent: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame, int]:
+    """(nodes, leaves, deepest): a tree of tiles over sites (site, lon, lat, v), as tables.
+
+    Nodes are the tiles that have sites, with their number and bounding box, level by level;
+    a tile of LEAF x k sites or fewer is a leaf and is not parted further, so empty
+    space has no tiles and crowds have small ones.  ``leaves`` are the sites with their leaf.
     """
     x0, y0, x1, y1 = extent
-    side = max(math.sqrt(max((x1 - x0) / kx, 1e-9) * max((y1 - y0) / ky, 1e-9) * k / n), 1e-9)
-    tile = lambda v, unit, start: F.floor((v - start) / unit / side).cast("long")
-    placed = sites.select("site", F.col("lon").alias("_sx"), F.col("lat").alias("_sy"), F.col("v"), tile(F.col("lon"), kx, x0).alias("_ti"), tile(F.col("lat"), ky, y0).alias("_tj"))
-    placed = materialise(placed, "sites")
-    left = materialise(cells.withColumns({"_ci": tile(F.col("x"), kx, x0), "_cj": tile(F.col("y"), ky, y0)}), "cells")
-    keys, ring, done = ["row", "col"], 1, []
-    far = left.agg(*(f(F.abs(c)) for c in ("_ci", "_cj") for f in (F.max,)), F.lit(0)).first()
-    most = max(int(far[0] or 0), int(far[1] or 0), math.ceil((x1 - x0) / kx / side), math.ceil((y1 - y0) / ky / side)) * 2 + 1
-    while True:
-        steps = F.sequence(F.lit(-ring), F.lit(ring))
-        probes = left.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)).withColumns({"_ti": F.col("_ci") + F.col("_i"), "_tj": F.col("_cj") + F.col("_j")})
-        met = probes.join(placed, ["_ti", "_tj"])
-        dx, dy = (F.col("x") - F.col("_sx")) / kx, (F.col("y") - F.col("_sy")) / ky
-        met = met.withColumn("_d", F.sqrt(dx * dx + dy * dy))
-        best = met.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_d", "site"))).filter(F.col("_rn") <= k)
-        near = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_d").alias("d"), "site", "v"))).alias("_near"))
-        sure = near.filter((F.size("_near") == k) & (F.get("_near", F.size("_near") - 1)["d"] <= ring * side)) if ring < most else near
-        found = materialise(left.join(sure, keys), "near")
-        done.append(found)
-        left = materialise(left.join(found.select(keys), keys, "left_anti"), "cells")
-        if ring >= most or left.isEmpty():
-            break
-        ring = min(2 * ring, most)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(*cells.columns, "_near")
+    side = max(x1 - x0, 1e-12), max(y1 - y0, 1e-12)
+    at = lambda c, start, span: F.least(F.floor((F.col(c) - start) / span * (1 << HALVINGS * DEPTH)), F.lit((1 << HALVINGS * DEPTH) - 1)).cast("long")
+    placed = materialise(sites.select("site", "lon", "lat", "v", at("lon", x0, side[0]).alias("_i"), at("lat", y0, side[1]).alias("_j")), "sites")
+    level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
+    shifted = lambda c: F.expr(f"shiftright({c}, {HALVINGS} * ({DEPTH} - _l))")
+    leveled = placed.withColumn("_l", level).withColumns({"_ti": shifted("_i"), "_tj": shifted("_j")})
+    boxes = [f(c).alias(n) for f, c, n in ((F.min, "lon", "_x0"), (F.max, "lon", "_x1"), (F.min, "lat", "_y0"), (F.max, "lat", "_y1"))]
+    every = materialise(leveled.groupBy("_l", "_ti", "_tj").agg(F.count(F.lit(1)).alias("_n"), *boxes), "tiles").withColumn("_leaf", (F.col("_n") <= LEAF * k) | (F.col("_l") == DEPTH))
+    parted = every.filter(~F.col("_leaf")).select((F.col("_l") + 1).alias("_l"), F.col("_ti").alias("_pi"), F.col("_tj").alias("_pj"))
+    child = every.withColumns({"_pi": F.shiftright("_ti", HALVINGS), "_pj": F.shiftright("_tj", HALVINGS)})
+    nodes = materialise(child.filter("_l = 0").unionByName(child.join(parted, ["_l", "_pi", "_pj"], "left_semi")), "nodes")
+    ends = nodes.filter("_leaf").select("_l", "_ti", "_tj")
+    leaves = materialise(leveled.join(small(ends), ["_l", "_ti", "_tj"]).select("site", "lon", "lat", "v", "_l", "_ti", "_tj"), "leaves")
+    return nodes, leaves, int(nodes.agg(F.max("_l")).first()[0])
+
+
+def frontier(cells: DataFrame, nodes: DataFrame, deepest: int, k: int, kx: float, ky: float) -> DataFrame:
+    """(row, col, x, y, _front): the leaves in which a cell's k nearest sites are, by descent through the tree.
+
+    On each level the k nearest sites are no farther than some tiles' far corners;
+    tiles that begin beyond that are left.  What remains is a few tiles a cell,
+    wherever it lies; lookups are by tile, and all of a cell stays where the cell is.
+    """
+    away = lambda lo, hi, p, unit: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0)) / unit
+    reach = lambda lo, hi, p, unit: F.greatest(F.abs(F.col(lo) - F.col(p)), F.abs(F.col(hi) - F.col(p))) / unit
+    norm = lambda a, b: F.sqrt(a * a + b * b)
+    near, far = (norm(f("_x0", "_x1", "x", kx), f("_y0", "_y1", "y", ky)) for f in (away, reach))
+    tile = ["_l", "_ti", "_tj"]
+    keys = ["row", "col", "x", "y"]
+
+    def narrowed(rows: DataFrame) -> DataFrame:
+        each = F.struct(F.col("_far"), F.col("_near"), *tile, "_n", "_leaf")
+        lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias("_f"))
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("u"))
+        step = lambda s, f: F.struct((s["n"] + f["_n"]).alias("n"), F.when(s["n"] < k, f["_far"]).otherwise(s["u"]).alias("u"))
+        bound = F.aggregate("_f", start, step, lambda s: s["u"] * (1 + 1e-9) + 1e-9)
+        return lists.withColumn("_u", bound).select(*keys, F.filter("_f", lambda f: f["_near"] <= F.col("_u")).alias("_front"))
+
+    lookup = nodes.select(*tile, "_pi", "_pj", "_n", "_leaf", "_x0", "_x1", "_y0", "_y1")
+    root = F.broadcast(lookup.filter("_l = 0"))  # one row
+    front = narrowed(cells.select(*keys).repartition(*keys).join(root, F.lit(True)).withColumns({"_near": near, "_far": far}))
+    for level in range(deepest):
+        kids = small(lookup.filter(F.col("_l") == level + 1).withColumnsRenamed({"_l": "_kl", "_ti": "_ki", "_tj": "_kj", "_n": "_kn", "_leaf": "_kleaf"}))
+        rows = front.withColumn("_t", F.explode("_front")).select(*keys, "_t.*")
+        open_ = ~F.col("_leaf")  # a leaf stays as it is
+        met = rows.withColumns({"_oi": F.when(open_, F.col("_ti")), "_oj": F.when(open_, F.col("_tj"))}).join(kids, (F.col("_oi") == F.col("_pi")) & (F.col("_oj") == F.col("_pj")), "left")
+        new = F.col("_kl").isNotNull()
+        chosen = {"_near": F.when(new, near).otherwise(F.col("_near")), "_far": F.when(new, far).otherwise(F.col("_far"))}
+        chosen |= {c: F.when(new, F.col(kc)).otherwise(F.col(c)) for c, kc in (("_l", "_kl"), ("_ti", "_ki"), ("_tj", "_kj"), ("_n", "_kn"), ("_leaf", "_kleaf"))}
+        front = narrowed(met.select(*keys, *(e.alias(c) for c, e in chosen.items())))
+        if level % 6 == 5:
+            front = materialise(front, "front")
+    return front
+
+
+def _nearest_by_tiles(cells: DataFrame, sites: DataFrame, k: int, kx: float, ky: float, extent: tuple[float, float, float, float]) -> DataFrame:
+    """Cells with the same ``_near``, for any number of sites, however they lie: by a tree of tiles."""
+    nodes, leaves, deepest = site_tree(sites, k, kx, ky, extent)
+    keys, tile = ["row", "col", "x", "y"], ["_l", "_ti", "_tj"]
+    # of sites at one place only the first k can be among the nearest
+    first = leaves.withColumn("_rn", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("site", "v"))).filter(F.col("_rn") <= k).drop("_rn")
+    met = frontier(cells, nodes, deepest, k, kx, ky).withColumn("_t", F.explode("_front")).select(*keys, *(F.col(f"_t.{c}").alias(c) for c in tile)).join(small(first), tile)
+    dx, dy = (F.col("x") - F.col("lon")) / kx, (F.col("y") - F.col("lat")) / ky
+    found = met.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), "site", "v"))), 1, k).alias("_near"))
+    return cells.join(materialise(found, "near"), keys)
 
 
 def idw(cells: DataFrame, points: DataFrame, value: str = "value", power: float = 2.0, k: int = 6, kilometres: bool = True, max_distance: float | None = 250.0) -> DataFrame:
@@ -83,7 +127,7 @@ def idw(cells: DataFrame, points: DataFrame, value: str = "value", power: float
     if n <= MAX_SITES:
         near = cells.withColumn("_near", _nearest(sorted(tuple(r) for r in sites.collect()), k, kx, ky))
     else:
-        near = _nearest_by_tiles(cells, sites, k, kx, ky, tuple(facts)[2:], n)
+        near = _nearest_by_tiles(cells, sites, k, kx, ky, (facts[2], facts[3], facts[4], facts[5]))
     return _weighted(near, power, least, max_distance)
 
 

@@ -726,7 +726,8 @@ def _(spark, d):
 
 @query("maxent_fit")
 def _(spark, d):
-    m = maxent.fit(_thinned(spark, d), _background(spark, d), ["bio1", "bio12"], beta=3.0, kinds=("linear", "quadratic"))
+    every = _cells(spark, d).dropna(subset=["bio1", "bio12"])
+    m = maxent.fit(_thinned(spark, d), every, ["bio1", "bio12"], beta=3.0, kinds=("linear", "quadratic"))
     return _cells(spark, d).dropna(subset=["bio1", "bio12"]).select("row", "col", stable(m.predict("cloglog"), 4).alias("cloglog"))
 
 

@@ -163,19 +163,17 @@ def _(spark, d):
 
 # -- isoscapes through time ------------------------------------------------------------------------
 
-_GROUPS = """v AS (SELECT taxon_group, period, site, lat, lon, avg(d13c_coll) AS value FROM en WHERE taxon_group IS NOT NULL AND period IN ('EBA', 'EIA', 'BHL') AND site IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND d13c_coll IS NOT NULL AND taxon_group <> '사람' GROUP BY ALL),
+_GROUPS = """v AS (SELECT taxon_group, period, site, lat, lon, avg(d13c_coll) AS value FROM en WHERE taxon_group IS NOT NULL AND period IS NOT NULL AND site IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND d13c_coll IS NOT NULL AND taxon_group <> '사람' GROUP BY ALL),
 g AS (SELECT taxon_group, period, count(*) AS sites, avg(lat) AS mlat FROM v GROUP BY 1, 2 HAVING count(*) >= 3),
-c AS (SELECT * FROM cells WHERE row % 9 = 0 AND col % 9 = 0),
-near AS (SELECT v.taxon_group, v.period, c.row, c.col, v.value, sqrt(pow((c.x - v.lon) * (111.32e0 * greatest(cos(radians(mlat)), 0.1e0)), 2) + pow((c.y - v.lat) * 110.57e0, 2)) AS d, v.site FROM c, v JOIN g USING (taxon_group, period)
+near AS (SELECT v.taxon_group, v.period, c.row, c.col, v.value, sqrt(pow((c.x - v.lon) * (111.32e0 * greatest(cos(radians(mlat)), 0.1e0)), 2) + pow((c.y - v.lat) * 110.57e0, 2)) AS d, v.site FROM cells c, v JOIN g USING (taxon_group, period)
   QUALIFY row_number() OVER (PARTITION BY v.taxon_group, v.period, c.row, c.col ORDER BY d, v.site) <= 6),
 surface AS (SELECT taxon_group, period, row, col, sum(value / pow(greatest(d, 1e-6), 2)) / sum(1 / pow(greatest(d, 1e-6), 2)) AS value, min(d) AS support FROM near GROUP BY ALL),
 shown AS (SELECT taxon_group, period, row, col, CASE WHEN support <= 300 THEN value END AS value FROM surface)"""
 
 
 def _group_surfaces(spark: SparkSession, d: str) -> DataFrame:
-    rows = _enriched(spark, d).filter(F.col("period").isin("EBA", "EIA", "BHL") & (F.col("taxon_group") != dims.HUMAN_TAXON))
-    coarse = _cells(spark, d).filter("row % 9 = 0 AND col % 9 = 0")  # a coarse lattice of the grid, as in the oracle
-    return study.temporal_isoscapes(rows, coarse, ("d13C_coll",), 3, 300.0)[0]
+    rows = _enriched(spark, d).filter(F.col("period").isNotNull() & (F.col("taxon_group") != dims.HUMAN_TAXON))
+    return study.temporal_isoscapes(rows, _cells(spark, d), ("d13C_coll",), 3, 300.0)[0]
 
 
 @query("group_isoscapes", _with("cells", "en") + f", {_GROUPS} SELECT taxon_group, period, row, col, {_r('value')} AS value FROM shown")

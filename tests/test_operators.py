@@ -337,3 +337,28 @@ def test_ranks_by_join(spark, cells):
     ref = cells.filter("b1 < 20")
     pick = lambda most: sorted((r["row"], r["col"], r["below"], r["upto"]) for r in ranks(cells, "b2", ref, most=most).collect())
     assert pick(10**6) == pick(0)
+
+
+def test_nearest_sites_in_sparse_space(spark, monkeypatch):
+    """Crowded sites, a huge empty extent, sites at one place: the rows of all pairs, and few tiles a cell."""
+    rng = np.random.default_rng(4)
+    crowd = rng.normal((10.0, 10.0), 0.001, (3000, 2))
+    lonely = rng.uniform(-170, 170, (6, 2)) * (1, 0.4)
+    same = np.full((200, 2), 10.0)
+    where = np.vstack([crowd, lonely, same])
+    sites = spark.createDataFrame([(f"s{i:05d}", float(a), float(b), float(i % 97)) for i, (a, b) in enumerate(where)], "site string, lon double, lat double, value double")
+    spots = np.vstack([rng.uniform(-175, 175, (60, 2)) * (1, 0.45), rng.normal((10.0, 10.0), 0.002, (60, 2)), [(10.0, 10.0)]])
+    cells = spark.createDataFrame([(i // 11, i % 11, float(a), float(b), i) for i, (a, b) in enumerate(spots)], "row int, col int, x double, y double, extra int")
+    got = {r["extra"]: r for r in isoscape.idw(cells, sites, max_distance=None).collect()}
+    kx, ky = 111.32 * max(math.cos(math.radians(where[:, 1].mean())), 0.1), 110.57
+    assert len(got) == len(spots)
+    for i, (a, b) in enumerate(spots):
+        near = sorted((math.hypot((a - x) * kx, (b - y) * ky), f"s{j:05d}", j % 97) for j, (x, y) in enumerate(where))[:6]
+        weight = [max(d, 1e-6) ** -2 for d, _, _ in near]
+        assert got[i]["support"] == pytest.approx(near[0][0], abs=1e-9)
+        assert got[i]["value"] == pytest.approx(sum(w * v for w, (_, _, v) in zip(weight, near)) / sum(weight), rel=1e-6)
+    named = sites.withColumnRenamed("value", "v")
+    nodes, leaves, deepest = isoscape.site_tree(named, 6, 1 / kx, 1 / ky, (-175.0, -80.0, 175.0, 80.0))
+    assert leaves.count() == len(where) and deepest > 5
+    sizes = [r[0] for r in isoscape.frontier(cells, nodes, deepest, 6, 1 / kx, 1 / ky).select(F.size("_front")).collect()]
+    assert max(sizes) <= 40 and nodes.count() < 3000

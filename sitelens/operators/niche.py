@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -10,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialise, remove_table
+from .enrich import small
+
 #: Lattice lines of the overlap's integration.
 RESOLUTION = 400
 OUTLINE = 100
@@ -91,13 +95,17 @@ def overlaps(ellipse: DataFrame, key: str, resolution: int = RESOLUTION) -> Data
     return sums.select("first", "second", (F.col("both") * F.col("cell")).alias("area"), share("both", F.col("p")).alias("percent_first"), share("both", F.col("q")).alias("percent_second"), share("both", F.col("p") + F.col("q") - F.col("both")).alias("percent_union"))
 
 
-def hull_area(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Area of the convex hull (monotone chain); null below three points, 0 on a line."""
+#: Distinct value pairs of a part: a group of more is dealt to several tasks.
+PART_PAIRS = 50_000
+#: Draws x pairs that are in memory at a time.
+DRAWN = 1 << 21
+
+
+def hull(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
+    """Corners of the convex hull in order (monotone chain); hulls of parts merge: the hull of their corners is that of all."""
     points = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
-    if len(x) < 3:
-        return None
     if len(points) < 3:
-        return 0.0
+        return points
 
     def half(seq):
         out: list[tuple[float, float]] = []
@@ -107,26 +115,84 @@ def hull_area(x: np.ndarray, y: np.ndarray) -> float | None:
             out.append(p)
         return out[:-1]
 
-    ring = half(points) + half(reversed(points))
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+    return half(points) + half(reversed(points))
 
 
-def seac_interval(x: np.ndarray, y: np.ndarray, draws: int = 1000, seed: int = 0) -> tuple[float | None, float | None]:
-    """Bootstrap 95 % interval of the small-sample ellipse area; degenerate draws are skipped."""
-    n = len(x)
-    if n < 3:
-        return None, None
-    rng = np.random.default_rng(seed)
-    values = []
-    for at in range(0, draws, 100):
-        pick = rng.integers(0, n, (min(100, draws - at), n))
-        a, b = x[pick], y[pick]
-        ok = (np.ptp(a, axis=1) > 0) & (np.ptp(b, axis=1) > 0)
-        a, b = a[ok] - a[ok].mean(axis=1, keepdims=True), b[ok] - b[ok].mean(axis=1, keepdims=True)
-        va, vb, c = ((p * q).sum(axis=1) / (n - 1) for p, q in ((a, a), (b, b), (a, b)))
-        values.append(math.pi * np.sqrt(np.maximum(va * vb - c * c, 0)) * (n - 1) / (n - 2))
-    got = np.concatenate(values)
-    return (float(np.percentile(got, 2.5)), float(np.percentile(got, 97.5))) if len(got) else (None, None)
+def hull_area(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Area of the convex hull; null below three points, 0 on a line."""
+    if len(x) < 3:
+        return None
+    ring = hull(x, y)
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2 if len(ring) > 2 else 0.0
+
+
+def drawn_sums(x: np.ndarray, y: np.ndarray, count: np.ndarray, totals: np.ndarray, part: int, draws: int, seed: list[int]) -> np.ndarray:
+    """(draws, 5) sums of x, y, xx, yy, xy of one part of a group over draws with replacement from the whole group.
+
+    A draw takes as many rows as the group has.  How many of them fall to each part is
+    multinomial and is drawn alike in every part (the seed is the group's); which
+    of the part's pairs they are is drawn in the part: together the draw is exact.
+    """
+    n = int(totals.sum())
+    own = np.random.default_rng(seed).multinomial(n, totals / n, draws)[:, part] if len(totals) > 1 else np.full(draws, n)
+    rng = np.random.default_rng([*seed, part])
+    terms = np.column_stack([x, y, x * x, y * y, x * y])
+    step = max(1, DRAWN // len(x))
+    return np.concatenate([rng.multinomial(own[at : at + step], count / count.sum()) @ terms for at in range(0, draws, step)])
+
+
+def seac_of(sums: np.ndarray, n: int) -> np.ndarray:
+    """Small-sample ellipse areas of draws of ``n`` rows; draws without spread are left out."""
+    sx, sy, sxx, syy, sxy = sums.T
+    va, vb, c = (sxx - sx * sx / n) / (n - 1), (syy - sy * sy / n) / (n - 1), (sxy - sx * sy / n) / (n - 1)
+    ok = (va > 1e-12 * sxx / n) & (vb > 1e-12 * syy / n)
+    return math.pi * np.sqrt(np.maximum(va * vb - c * c, 0))[ok] * (n - 1) / (n - 2)
+
+
+def resampled(rows: DataFrame, keys: list[str], x: str, y: str, draws: int, seed: int) -> DataFrame:
+    """(keys, ta, seac_low, seac_high) of each group: hull area and bootstrap 95 % interval of the small-sample ellipse area.
+
+    Rows are counted by value pair; a group's pairs are dealt to parts of about
+    PART_PAIRS, each of which gives the corners of its hull and its sums of every draw.
+    Corners and sums are put together by group: no task has a group's rows.
+    """
+    fields = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+    same = reduce(Column.__and__, (F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys))
+    counted = materialise(rows.groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_c")), "pairs")
+    sized = counted.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / PART_PAIRS) + 1).alias("_parts"), (F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("_mx"), (F.sum(F.col("_y") * F.col("_c")) / F.sum("_c")).alias("_my"))
+    sized = materialise(sized, "sizes")
+    one = counted.alias("p").join(small(sized).alias("s"), same)
+    dealt = materialise(one.select(*(F.col(f"p.{k}").alias(k) for k in keys), (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"), "_c", F.pmod(F.xxhash64("_x", "_y"), F.col("_parts")).cast("int").alias("_b")), "parts")
+    totals = dealt.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    whole = totals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_n"))).alias("_t"))
+    told = whole.withColumn("_one", F.explode("_t")).select(*keys, F.col("_one._b").alias("_b"), F.col("_t._b").alias("_bs"), F.col("_t._n").alias("_ns"))
+
+    def part(pdf: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_x", "_y"])
+        a, b, c = (pdf[v].to_numpy() for v in ("_x", "_y", "_c"))
+        f = facts.iloc[0]
+        n, corners = int(np.sum(f["_ns"])), hull(a, b)
+        name = zlib.crc32(repr([None if pd.isna(f[k]) else str(f[k]) for k in keys]).encode())
+        sums = drawn_sums(a, b, c, np.asarray(f["_ns"]), list(f["_bs"]).index(f["_b"]), draws, [seed, name]) if n > 2 else np.zeros((0, 5))
+        out = {"_d": [-1, *range(len(sums))], "_n": n, "_m": [[v for p in corners for v in p], *sums.tolist()]}
+        return pd.DataFrame({k: [f[k]] * len(out["_d"]) for k in keys} | out)
+
+    made = dealt.groupBy(*keys, "_b").cogroup(told.groupBy(*keys, "_b")).applyInPandas(part, f"{fields}, _d int, _n long, _m array<double>")
+    added = materialise(made.filter("_d >= 0").groupBy(*keys, "_d").agg(F.first("_n").alias("_n"), *(F.sum(F.get("_m", F.lit(i))).alias(f"_m{i}") for i in range(5))).unionByName(made.filter("_d < 0").select(*keys, "_d", "_n", "_m"), allowMissingColumns=True), "sums")
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, sums = int(pdf["_n"].iloc[0]), pdf[pdf["_d"] >= 0]
+        areas = seac_of(sums[[f"_m{i}" for i in range(5)]].to_numpy(float), n) if len(sums) else np.zeros(0)
+        low, high = np.percentile(areas, [2.5, 97.5]) if len(areas) else (None, None)
+        corners = np.concatenate([np.asarray(m, float) for m in pdf.loc[pdf["_d"] < 0, "_m"]]).reshape(-1, 2)
+        ring = hull(corners[:, 0], corners[:, 1])
+        area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2 if len(ring) > 2 else 0.0
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "ta": area if n > 2 else None, "seac_low": low, "seac_high": high}])
+
+    out = materialise(added.groupBy(*keys).applyInPandas(ends, f"{fields}, ta double, seac_low double, seac_high double"), "resampled")
+    for t in (counted, sized, dealt, added):
+        remove_table(t)
+    return out
 
 
 def niche_table(df: DataFrame, keys: list[str], x: str, y: str, draws: int = 1000, seed: int = 0) -> DataFrame:
@@ -137,20 +203,12 @@ def niche_table(df: DataFrame, keys: list[str], x: str, y: str, draws: int = 100
     """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     base = ellipses(rows, keys, x, y)
-    fields = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
-
-    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.repeat(pdf["_x"].to_numpy(float), pdf["_c"])
-        b = np.repeat(pdf["_y"].to_numpy(float), pdf["_c"])
-        low, high = seac_interval(a, b, draws, seed)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "ta": hull_area(a, b), "seac_low": low, "seac_high": high}])
-
-    counted = rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
-    extra = counted.groupBy(*keys).applyInPandas(resampled, f"{fields}, ta double, seac_low double, seac_high double")
+    extra = resampled(rows, keys, x, y, draws, seed)
     sites = F.countDistinct("site") if "site" in df.columns else F.lit(None).cast("long")
     means = rows.groupBy(*keys).agg(sites.alias("sites"), F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"))
     same = reduce(Column.__and__, (F.col(f"m.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys))
-    joined = base.join(extra, keys, "left").alias("e").join(means.alias("m"), same, "left").select("e.*", "sites", "x_mean", "y_mean")
+    told = reduce(Column.__and__, (F.col(f"b.{k}").eqNullSafe(F.col(f"x.{k}")) for k in keys))
+    joined = base.alias("b").join(extra.alias("x"), told, "left").select("b.*", "ta", "seac_low", "seac_high").alias("e").join(means.alias("m"), same, "left").select("e.*", "sites", "x_mean", "y_mean")
     thin = (F.col("n") < 5) | (F.col("nr") == 0) | (F.col("cr") == 0)
     note = F.when(F.col("n") < 5, "too few").when((F.col("nr") == 0) | (F.col("cr") == 0), "no spread").when(F.col("n") < 10, "few, take care")
     shown = {c: F.when(~thin, F.col(c)) for c in ("sea", "seac", "seac_low", "seac_high", "ta", "nr", "cr")}

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..dims import MODEL_MIN_SITES
 from ..functions.search import ranks
 from ..functions.stats import chi2_sf
+from ..shared import materialise, remove_table
 from . import maxent
 from .scenario import complete
-from .validate import auc, kmeans_folds, nearest_centre, rank_normalise, tss
+from .validate import auc, checkerboard, kmeans_folds, nearest_centre, rank_normalise, tss
 
 
 @dataclass
@@ -237,39 +238,47 @@ def make_model(key: str):
     return MODELS[key]()
 
 
-def compare_models(presence: DataFrame, background: DataFrame, bands: list[str], keys: list[str], x: str = "x", y: str = "y", folds: int = 4, seed: int = 42) -> DataFrame:
-    """A row for each model: train AUC, mean spatial-fold AUC and TSS, valid folds, and why folds or the model were left out."""
+def compare_models(presence: DataFrame, background: DataFrame, bands: list[str], keys: list[str], x: str = "x", y: str = "y", folds: int = 4, seed: int = 42, method: str = "kmeans", block: float = 2.0) -> DataFrame:
+    """A row for each model, the best first: train AUC, mean spatial-fold AUC and TSS, valid folds, and why folds or the model were left out.
+
+    Folds are clusters of the presences (background rows go with the nearest one),
+    or with ``method`` checkerboard stripes of blocks of ``block`` units.
+    """
+    if method not in ("kmeans", "checkerboard"):
+        raise ValueError(f"method must be kmeans or checkerboard, not {method!r}")
     spark = presence.sparkSession
-    sites = presence.count()
-    placed, centres = kmeans_folds(presence, x, y, folds, seed)
-    placed = placed.cache()
-    outside = background.withColumn("fold", nearest_centre(F.col(x), F.col(y), centres)).cache()
+    if method == "checkerboard":
+        placed, outside = (df.withColumn("fold", checkerboard(F.col(x), F.col(y), block, folds)) for df in (presence, background))
+    else:
+        placed, centres = kmeans_folds(presence, x, y, folds, seed)
+        outside = background.withColumn("fold", nearest_centre(F.col(x), F.col(y), centres))
+    placed, outside = (materialise(df.select(*bands, "fold"), "folds") for df in (placed, outside))
+    many, there = ({r["fold"]: r["n"] for r in df.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()} for df in (placed, outside))
+    sites = sum(many.values())
     rows = []
     for key in keys:
         least = MODEL_MIN_SITES[key]
         if sites < least:
             rows.append((key, None, None, None, 0, f"needs {least} sites, has {sites}"))
             continue
-        fitted = make_model(key).fit(presence, background, bands)
-        train = auc(_labelled(fitted, presence, background)).first()["auc"]
+        train = auc(_labelled(make_model(key).fit(placed, outside, bands), placed, outside)).first()["auc"]
         found, notes = [], []
-        for k in range(len(centres)):
-            trained, tested = placed.filter(F.col("fold") != k), placed.filter(F.col("fold") == k)
-            there = outside.filter(F.col("fold") == k)
-            if trained.count() < max(3, least - 1) or tested.isEmpty() or there.limit(20).count() < 20:
+        for k in sorted(many) if method == "checkerboard" else range(len(centres)):
+            if sites - many.get(k, 0) < max(3, least - 1) or not many.get(k) or there.get(k, 0) < 20:
                 notes.append(f"fold {k}: too few rows")
                 continue
             try:
-                scored = _labelled(make_model(key).fit(trained, outside.filter(F.col("fold") != k), bands), tested, there)
+                fitted = make_model(key).fit(placed.filter(F.col("fold") != k), outside.filter(F.col("fold") != k), bands)
+                scored = _labelled(fitted, placed.filter(F.col("fold") == k), outside.filter(F.col("fold") == k))
                 found.append((auc(scored).first()["auc"], tss(scored).first()["tss"]))
-            except (ValueError, np.linalg.LinAlgError, IllegalArgumentException) as e:  # what a fit raises on rows it can't use
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException) as e:  # what a fit raises on rows it can't use
                 notes.append(f"fold {k}: {str(e).splitlines()[0]}")
         mean = lambda i: float(np.mean([f[i] for f in found])) if found else None
         rows.append((key, float(train), mean(0), mean(1), len(found), "; ".join(notes) or None))
-    placed.unpersist()
-    outside.unpersist()
+    remove_table(placed)
+    remove_table(outside)
     table = spark.createDataFrame(rows, "model string, train_auc double, cv_auc double, cv_tss double, folds int, note string")
-    return table.orderBy(F.col("cv_auc").desc_nulls_last())
+    return table.orderBy(F.col("cv_auc").desc_nulls_last(), "model")
 
 
 def _labelled(model, presence: DataFrame, background: DataFrame) -> DataFrame:

@@ -343,6 +343,29 @@ def _(spark, d):
     return models.compare_models(two, cells, ["bio1", "bio12"], list(dims.MODEL_MIN_SITES)).select("model", "note", "folds")
 
 
+@query("models_by_cv", _with("thinned", "every_background") + f""", r AS (SELECT row_number() OVER () AS id, * FROM (SELECT 1 AS label, x, y, bio1, bio12 FROM thinned UNION ALL SELECT 0, x, y, bio1, bio12 FROM every_background)),
+rows AS MATERIALIZED (SELECT *, ((CAST(floor(x / 4e0) AS BIGINT) + CAST(floor(y / 4e0) AS BIGINT)) % 4 + 4) % 4 AS fold FROM r),
+sets AS (SELECT k.range AS k FROM range(-1, 4) k),
+tr AS (SELECT k, bio1, bio12 FROM sets JOIN rows ON label = 1 AND fold <> k), te AS MATERIALIZED (SELECT k, id, label, bio1, bio12 FROM sets JOIN rows ON k = -1 OR fold = k),
+m AS MATERIALIZED (SELECT k, count(*) AS n, avg(bio1) AS m1, avg(bio12) AS m2, stddev_pop(bio1) AS s1, stddev_pop(bio12) AS s2 FROM tr GROUP BY 1),
+f AS (SELECT te.k, id, any_value(label) AS label, sum((tr.bio1 < te.bio1)::INT + (tr.bio1 <= te.bio1)::INT) / (2e0 * count(*)) AS f1, sum((tr.bio12 < te.bio12)::INT + (tr.bio12 <= te.bio12)::INT) / (2e0 * count(*)) AS f12 FROM te JOIN tr ON te.k = tr.k GROUP BY 1, 2),
+z AS (SELECT k, (bio1 - m1) / s1 AS a, (bio12 - m2) / s2 AS b, n FROM tr JOIN m USING (k)), q AS (SELECT k, avg(a * b) AS c, avg((a * a + b * b) * (a * a + b * b)) AS quad, any_value(n) AS n FROM z GROUP BY 1),
+h AS (SELECT k, c * (1 - CASE WHEN c = 0 THEN 0 ELSE least(greatest((quad - (2 + 2 * c * c)) / (n * 2e0), 0e0), c * c) / (c * c) END) AS c FROM q),
+scored AS (SELECT 'bioclim' AS model, k, label, least(greatest(least(2 * least(f1, 1 - f1), 2 * least(f12, 1 - f12)), 0e0), 1e0) AS score FROM f
+  UNION ALL SELECT 'mahalanobis', k, label, exp(-((a * a + b * b - 2 * h.c * a * b) / (1 - h.c * h.c)) / 2) FROM (SELECT te.k, label, (bio1 - m1) / s1 AS a, (bio12 - m2) / s2 AS b FROM te JOIN m ON te.k = m.k) t JOIN h USING (k)),
+t AS (SELECT model, k, score, sum(label) AS p, count(*) - sum(label) AS b FROM scored GROUP BY ALL),
+w AS (SELECT *, sum(p) OVER g AS np, sum(b) OVER g AS nb, coalesce(sum(p) OVER (PARTITION BY model, k ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bp, coalesce(sum(b) OVER (PARTITION BY model, k ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bb FROM t WINDOW g AS (PARTITION BY model, k)),
+e AS (SELECT model, k, sum(p * (bb + b / 2e0)) / (any_value(np) * any_value(nb)) AS auc, max((np - bp) / CAST(np AS DOUBLE) + bb / CAST(nb AS DOUBLE) - 1) AS tss FROM w GROUP BY 1, 2),
+c AS (SELECT model, max(CASE WHEN k = -1 THEN auc END) AS train_auc, avg(CASE WHEN k >= 0 THEN auc END) AS cv_auc, avg(CASE WHEN k >= 0 THEN tss END) AS cv_tss, CAST(count(*) FILTER (k >= 0) AS INTEGER) AS folds FROM e GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY c.cv_auc DESC) AS INTEGER) AS place, model, {_r('train_auc')} AS train_auc, {_r('cv_auc')} AS cv_auc, {_r('cv_tss')} AS cv_tss, folds FROM c""")
+def _(spark, d):
+    """Models of closed form in the order of their AUC on folds of blocks, trained and tested on all sites and cells."""
+    every = _cells(spark, d).dropna(subset=["bio1", "bio12"])
+    found = models.compare_models(_thinned(spark, d), every, ["bio1", "bio12"], ["bioclim", "mahalanobis"], folds=4, method="checkerboard", block=4.0)
+    table = [(i, r["model"], r["train_auc"], r["cv_auc"], r["cv_tss"], r["folds"]) for i, r in enumerate(found.collect(), 1)]  # a row a model
+    return _rounded(spark.createDataFrame(table, "place int, model string, train_auc double, cv_auc double, cv_tss double, folds int"), "train_auc", "cv_auc", "cv_tss")
+
+
 # -- tests of ranks ----------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims, fixture_files
-from .functions import projection, text
+from .functions import asof, projection, text
 from .operators import enrich, grid, maxent, models, niche, scenario, summary, terrain, validate
 from .plans import plots, study
 from .queries import _ELL, _ETA, _NEAR, _PAIRS, GRID, _cells, _enriched, _given_model, _q, _r, _rounded, _sites, _specimens, _surfaces, _thinned, _with, fixtures, query, ORACLES, QUERIES
@@ -366,6 +366,19 @@ def _(spark, d):
     return _rounded(spark.createDataFrame(table, "place int, model string, train_auc double, cv_auc double, cv_tss double, folds int"), "train_auc", "cv_auc", "cv_tss")
 
 
+@query("asof_slices", """WITH r AS (SELECT l_orderkey AS orderkey, l_linenumber AS line, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END AS place, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day FROM lineitem),
+s AS (SELECT place, day, max(reading) AS reading FROM (SELECT CASE WHEN k % 3 = 0 THEN 0 ELSE k END AS place, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, o_totalprice AS reading FROM (SELECT *, o_custkey % (SELECT count(*) FROM supplier) + 1 AS k FROM orders)) GROUP BY 1, 2)
+SELECT r.orderkey, r.line, r.place, r.day, s.reading FROM r ASOF LEFT JOIN s ON r.place = s.place AND r.day >= s.day""")
+def _(spark, d):
+    """For each dated record the latest earlier reading of its place; a third of all records and readings are of one place."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    place = lambda k: F.when(k % 3 == 0, F.lit(0).cast("long")).otherwise(k)
+    records = read("lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), place(F.col("l_suppkey")).alias("place"), day("l_shipdate").alias("day"))
+    readings = read("orders").select(place(F.col("o_custkey") % read("supplier").count() + 1).alias("place"), day("o_orderdate").alias("day"), F.col("o_totalprice").alias("reading"))
+    return asof.asof_join(records, readings, ["place"], "day", ["reading"])
+
+
 # -- tests of ranks ----------------------------------------------------------------------------------
 
 

@@ -144,6 +144,27 @@ def sample_background(cells: DataFrame, n: int, bands: list[str], seed: int = 42
     return pool.orderBy(hash_rank(seed, "row", "col") if rank is None else rank, "row", "col").limit(n)
 
 
+def sampling_effort(points: DataFrame, grid: Grid, x: str = "lon", y: str = "lat") -> DataFrame:
+    """(row, col, effort): records of the whole target group in each cell that has any; what was looked for where."""
+    located = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    inside = point_cells(located, grid, x, y).filter(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1))
+    return inside.groupBy("row", "col").agg(F.count(F.lit(1)).alias("effort"))
+
+
+def target_background(cells: DataFrame, effort: DataFrame, n: int, bands: list[str], seed: int = 42, rank: Column | None = None, ranks: int = 1 << 31) -> DataFrame:
+    """``n`` valid cells drawn without replacement, with chances by their effort (cells without any are not drawn); with ``effort``.
+
+    Background that is as uneven as the search for the species cancels the
+    search.  Each cell gets an exponential key of rate ``effort``; the n smallest keys
+    are such a draw: a top-k, no full sort.  ``rank`` is a repeatable random number
+    from 0 to below ``ranks``.
+    """
+    place = F.pmod(hash_rank(seed, "row", "col"), F.lit(ranks)) if rank is None else rank
+    pool = valid_cells(cells, bands).join(effort.filter("effort > 0"), ["row", "col"])
+    key = -F.log((place + 0.5) / float(ranks)) / F.col("effort")
+    return pool.orderBy(key, "row", "col").limit(n)
+
+
 def resample(source: DataFrame, source_grid: Grid, target: Grid, band: str, method: str = "bilinear", divisor: float = 1.0) -> DataFrame:
     """(row, col, value) of a band on another grid, of the same system or another: nearest, bilinear, cubic or average."""
     spark = source.sparkSession

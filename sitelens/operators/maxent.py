@@ -237,6 +237,13 @@ class Maxent:
                 return strength * raw / (1 + strength * raw)
         raise ValueError(f"output must be link, raw, cloglog or logistic, not {output!r}")
 
+    def predict_without(self, held: dict[str, float], output: str = "cloglog") -> Column:
+        """An output with some bands at constant values: a bias covariate (effort) helps the fit and is left out of the map."""
+        unknown = held.keys() - self.spec.low.keys()
+        if unknown:
+            raise ValueError(f"the model has no bands {sorted(unknown)}")
+        return self.predict(output, lambda b: F.lit(float(held[b])) if b in held else F.col(b))
+
     def contributions(self, substring: bool = False) -> list[tuple[str, float]]:
         """Percent of absolute coefficients that involve each band; ``substring`` matches names within names."""
         bands = list(self.spec.low)

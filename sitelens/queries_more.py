@@ -96,6 +96,15 @@ def _(spark, d):
 # -- rasters ------------------------------------------------------------------------------------
 
 
+@query("target_background", _with("cells", "fx_specimen") + f""", e AS (SELECT CAST(floor((56e0 - lat) / 0.5e0) AS INTEGER) AS row, CAST(floor((lon - 105e0) / 0.5e0) AS INTEGER) AS col, count(*) AS effort FROM fx_specimen WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1, 2)
+SELECT c.row, c.col, bio1, bio12, effort FROM cells c JOIN e ON c.row = e.row AND c.col = e.col WHERE bio1 IS NOT NULL AND bio12 IS NOT NULL
+ORDER BY -ln((((((CAST(c.row AS BIGINT) * 73856093 + CAST(c.col AS BIGINT) * 19349663 + 42) % 2147483647) * 48271 + 11) % 2147483647) + 0.5e0) / 2147483647e0) / effort, c.row, c.col LIMIT 40""")
+def _(spark, d):
+    """Background as uneven as the search: cells drawn by the number of all records in them."""
+    effort = grid.sampling_effort(_specimens(spark, d), GRID)
+    return grid.target_background(_cells(spark, d), effort, 40, ["bio1", "bio12"], rank=grid.lcg_rank(42), ranks=2147483647).select("row", "col", "bio1", "bio12", "effort")
+
+
 @query("resample_nearest", _with("cells") + """SELECT t.row, t.col, c.bio12 AS value FROM (SELECT CAST(r.range AS INTEGER) AS row, CAST(q.range AS INTEGER) AS col,
   CAST(floor((56e0 - (54e0 + (r.range + 0.5e0) * -0.3e0)) / 0.5e0) AS INTEGER) AS sr, CAST(floor((110e0 + (q.range + 0.5e0) * 0.3e0 - 105e0) / 0.5e0) AS INTEGER) AS sc FROM range(30) r, range(40) q) t LEFT JOIN cells c ON c.row = t.sr AND c.col = t.sc""")
 def _(spark, d):

@@ -362,3 +362,26 @@ def test_nearest_sites_in_sparse_space(spark, monkeypatch):
     assert leaves.count() == len(where) and deepest > 5
     sizes = [r[0] for r in isoscape.frontier(cells, nodes, deepest, 6, 1 / kx, 1 / ky).select(F.size("_front")).collect()]
     assert max(sizes) <= 40 and nodes.count() < 3000
+
+
+def test_target_background_follows_the_effort(spark):
+    cells = spark.range(4000).select((F.col("id") / 100).cast("int").alias("row"), (F.col("id") % 100).cast("int").alias("col"), F.lit(1.0).alias("b"))
+    effort = cells.select("row", "col", F.when(F.col("col") < 10, 9).when(F.col("col") < 90, 1).otherwise(0).alias("effort"))
+    for seed in (1, 2):
+        drawn = grid.target_background(cells, effort, 200, ["b"], seed)
+        rows = drawn.collect()
+        assert len({(r["row"], r["col"]) for r in rows}) == 200 and all(r["effort"] > 0 for r in rows)
+        assert 70 <= sum(r["effort"] == 9 for r in rows) <= 130  # 400 cells of weight 9 and 3,200 of weight 1
+    assert grid.target_background(cells, effort, 10**6, ["b"]).count() == 3600 and grid.target_background(cells, effort.limit(0), 5, ["b"]).count() == 0
+    points = spark.createDataFrame([(100.2, 49.9), (100.2, 49.8), (None, 49.9), (99.0, 49.9)], "lon double, lat double")
+    assert [tuple(r) for r in grid.sampling_effort(points, grid.Grid(0.5, 100.0, -0.5, 50.0, 4, 4)).collect()] == [(0, 0, 2)]
+
+
+def test_a_bias_covariate_is_held(spark, cells):
+    biased = cells.withColumn("effort", (F.col("row") % 5).cast("double"))
+    m = maxent.fit(biased.filter("b1 > 25 and effort > 2"), biased, ["b1", "b2", "effort"])
+    assert dict(m.contributions())["effort"] > 0
+    shown = biased.select("b1", "b2", m.predict_without({"effort": 4.0}).alias("v")).groupBy("b1", "b2").agg(F.countDistinct("v").alias("n"))
+    assert shown.filter("n > 1").count() == 0
+    with pytest.raises(ValueError):
+        m.predict_without({"other": 1.0})

@@ -42,6 +42,10 @@ CELL = 4096
 #: Bits that fingerprints of alike sets may differ in, and the set size from which they are asked.
 RADIUS = 24
 SMALL = 24
+#: Pairs that are held before they are verified, at first and at most; sets that one set is verified against at a time.
+FIRST_PAIRS = 1 << 12
+MOST_PAIRS = 1 << 18
+SLICE = 512
 
 
 def plain_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,22 +82,12 @@ def alike_groups(sets: list[np.ndarray], least: float = MIN_JACCARD, cells: np.n
     edge = np.r_[0, np.cumsum(size)]
     here = np.zeros(len(word) + 1, np.int32)
 
-    large = np.flatnonzero(size >= SMALL)
-    fps = np.array([simhash.majority_bits(sets[order[p]]) for p in large], np.uint64)
-    found = list(simhash.near_pairs(cell[large], fps, RADIUS, lambda a, b: size[large[a]] + 1e-9 >= least * size[large[b]]))
-    a, b = (large[np.concatenate(x)] for x in zip(*found, strict=True)) if found else (large[:0], large[:0])
-    by_first = np.argsort(a, kind="stable")
-    a, b = a[by_first], b[by_first]
-    first = np.searchsorted(a, np.arange(len(sets) + 1))
-
-    for p in range(len(sets)):
-        if 0 < size[p] < SMALL:  # all that are not too large to be alike
-            others = np.arange(p + 1, p + 1 + int(np.searchsorted(size[p + 1 : end[p]], size[p] / least + 1e-9, side="right")))
-        else:
-            others = b[first[p] : first[p + 1]]
+    def verify(p: int, others: np.ndarray) -> None:
+        """Join the group of the set at place ``p`` with those of the places among ``others`` whose sets are alike."""
+        nonlocal group
         others = others[group[order[others]] != group[order[p]]]
         if not len(others):
-            continue
+            return
         own, many = word[edge[p] : edge[p + 1]], size[others]
         begins = np.r_[0, np.cumsum(many)]
         here[own] = 1
@@ -101,6 +95,32 @@ def alike_groups(sets: list[np.ndarray], least: float = MIN_JACCARD, cells: np.n
         here[own] = 0
         near = others[common + 1e-9 >= least * (size[p] + many - common)]
         group = _merge(group, np.repeat(order[p], len(near)), order[near])
+
+    def verify_pairs(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        by_first = np.argsort(a, kind="stable")
+        a, b = a[by_first], b[by_first]
+        cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        for p, others in zip(a[cuts].tolist(), np.split(b, cuts[1:]), strict=True):
+            for at in range(0, len(others), SLICE):
+                verify(p, others[at : at + SLICE])
+
+    large = np.flatnonzero(size >= SMALL)
+    fps = np.array([simhash.majority_bits(sets[order[p]]) for p in large], np.uint64)
+    # verified as they are found: pairs that a link has joined by then are not asked for
+    held, count, most = [], 0, FIRST_PAIRS
+    for i, j in simhash.near_pairs(cell[large], fps, RADIUS, lambda a, b: (size[large[a]] + 1e-9 >= least * size[large[b]]) & (group[order[large[a]]] != group[order[large[b]]])):
+        held.append((large[i], large[j]))
+        count += len(i)
+        if count >= most:
+            verify_pairs(held)
+            held, count, most = [], 0, min(2 * most, MOST_PAIRS)
+    if held:
+        verify_pairs(held)
+    for p in np.flatnonzero((size > 0) & (size < SMALL)).tolist():  # all that are not too large to be alike
+        last = p + 1 + int(np.searchsorted(size[p + 1 : end[p]], size[p] / least + 1e-9, side="right"))
+        for at in range(p + 1, last, SLICE):
+            verify(p, np.arange(at, min(at + SLICE, last)))
     return group
 
 

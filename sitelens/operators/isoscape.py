@@ -77,7 +77,8 @@ def frontier(cells: DataFrame, nodes: DataFrame, deepest: int, k: int, kx: float
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("u"))
         step = lambda s, f: F.struct((s["n"] + f["_n"]).alias("n"), F.when(s["n"] < k, f["_far"]).otherwise(s["u"]).alias("u"))
         bound = F.aggregate("_f", start, step, lambda s: s["u"] * (1 + 1e-9) + 1e-9)
-        return lists.withColumn("_u", bound).select(*keys, F.filter("_f", lambda f: f["_near"] <= F.col("_u")).alias("_front"))
+        # the bound is bound to a variable: named by a column it would be worked out for each tile
+        return lists.select(*keys, F.get(F.transform(F.array(bound), lambda u: F.filter("_f", lambda f: f["_near"] <= u)), F.lit(0)).alias("_front"))
 
     lookup = nodes.select(*tile, "_pi", "_pj", "_n", "_leaf", "_x0", "_x1", "_y0", "_y1")
     root = F.broadcast(lookup.filter("_l = 0"))  # one row

@@ -364,7 +364,7 @@ scored AS (SELECT 'bioclim' AS model, k, label, least(greatest(least(2 * least(f
   UNION ALL SELECT 'mahalanobis', k, label, exp(-((a * a + b * b - 2 * h.c * a * b) / (1 - h.c * h.c)) / 2) FROM (SELECT te.k, label, (bio1 - m1) / s1 AS a, (bio12 - m2) / s2 AS b FROM te JOIN m ON te.k = m.k) t JOIN h USING (k)),
 t AS (SELECT model, k, score, sum(label) AS p, count(*) - sum(label) AS b FROM scored GROUP BY ALL),
 w AS (SELECT *, sum(p) OVER g AS np, sum(b) OVER g AS nb, coalesce(sum(p) OVER (PARTITION BY model, k ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bp, coalesce(sum(b) OVER (PARTITION BY model, k ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bb FROM t WINDOW g AS (PARTITION BY model, k)),
-e AS (SELECT model, k, sum(p * (bb + b / 2e0)) / (any_value(np) * any_value(nb)) AS auc, max((np - bp) / CAST(np AS DOUBLE) + bb / CAST(nb AS DOUBLE) - 1) AS tss FROM w GROUP BY 1, 2),
+e AS (SELECT model, k, sum(p * (bb + b / 2e0)) / (any_value(np) * any_value(nb)) AS auc, max((np - bp) / CAST(np AS DOUBLE) + bb / CAST(nb AS DOUBLE) - 1) AS tss FROM w WHERE np > 0 AND nb >= 20 AND (k = -1 OR (SELECT count(*) FROM thinned) - np >= 3) GROUP BY 1, 2),
 c AS (SELECT model, max(CASE WHEN k = -1 THEN auc END) AS train_auc, avg(CASE WHEN k >= 0 THEN auc END) AS cv_auc, avg(CASE WHEN k >= 0 THEN tss END) AS cv_tss, CAST(count(*) FILTER (k >= 0) AS INTEGER) AS folds FROM e GROUP BY 1)
 SELECT CAST(row_number() OVER (ORDER BY c.cv_auc DESC) AS INTEGER) AS place, model, {_r('train_auc')} AS train_auc, {_r('cv_auc')} AS cv_auc, {_r('cv_tss')} AS cv_tss, folds FROM c""")
 def _(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialise
-from .enrich import small
+from .enrich import is_small, small
 
 #: Up to so many sites travel to the cells as one array; more are met by tiles.
 MAX_SITES = 100
@@ -33,8 +33,8 @@ HALVINGS = 2
 LEAF = 4
 
 
-def site_tree(sites: DataFrame, k: int, kx: float, ky: float, extent: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame, int]:
-    """(nodes, leaves, deepest): a tree of tiles over sites (site, lon, lat, v), as tables.
+def site_tree(sites: DataFrame, k: int, kx: float | Column, ky: float | Column, extent: tuple[float, float, float, float], by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int]:
+    """(nodes, leaves, deepest): a tree of tiles over sites (site, lon, lat, v), as tables; with ``by`` a tree for each group, all in the same jobs.
 
     Nodes are the tiles that have sites, with their number and bounding box, level by level;
     a tile of LEAF x k sites or fewer is a leaf and is not parted further, so empty
@@ -43,22 +43,31 @@ def site_tree(sites: DataFrame, k: int, kx: float, ky: float, extent: tuple[floa
     x0, y0, x1, y1 = extent
     side = max(x1 - x0, 1e-12), max(y1 - y0, 1e-12)
     at = lambda c, start, span: F.least(F.floor((F.col(c) - start) / span * (1 << HALVINGS * DEPTH)), F.lit((1 << HALVINGS * DEPTH) - 1)).cast("long")
-    placed = materialise(sites.select("site", "lon", "lat", "v", at("lon", x0, side[0]).alias("_i"), at("lat", y0, side[1]).alias("_j")), "sites")
-    level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
+    placed = materialise(sites.select(*by, "site", "lon", "lat", "v", at("lon", x0, side[0]).alias("_i"), at("lat", y0, side[1]).alias("_j")), "sites")
+    tile = [*by, "_l", "_ti", "_tj"]
     shifted = lambda c: F.expr(f"shiftright({c}, {HALVINGS} * ({DEPTH} - _l))")
-    leveled = placed.withColumn("_l", level).withColumns({"_ti": shifted("_i"), "_tj": shifted("_j")})
+    leveled = lambda rows, levels: rows.withColumn("_l", F.explode(F.array(*map(F.lit, levels)))).withColumns({"_ti": shifted("_i"), "_tj": shifted("_j")})
     boxes = [f(c).alias(n) for f, c, n in ((F.min, "lon", "_x0"), (F.max, "lon", "_x1"), (F.min, "lat", "_y0"), (F.max, "lat", "_y1"))]
-    every = materialise(leveled.groupBy("_l", "_ti", "_tj").agg(F.count(F.lit(1)).alias("_n"), *boxes), "tiles").withColumn("_leaf", (F.col("_n") <= LEAF * k) | (F.col("_l") == DEPTH))
-    parted = every.filter(~F.col("_leaf")).select((F.col("_l") + 1).alias("_l"), F.col("_ti").alias("_pi"), F.col("_tj").alias("_pj"))
+    counted = lambda rows, levels, what: materialise(leveled(rows, levels).groupBy(*tile).agg(F.count(F.lit(1)).alias("_n"), *boxes), what).withColumn("_leaf", (F.col("_n") <= LEAF * k) | (F.col("_l") == DEPTH))
+    # sites are counted down to the level that an even spread needs; below it those alone that lie crowded
+    most = placed.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+    even = next((level for level in range(DEPTH) if most <= LEAF * k << 2 * HALVINGS * level), DEPTH)
+    every = counted(placed, range(even + 1), "tiles")
+    crowded = every.filter(~F.col("_leaf") & (F.col("_l") == even)).select(*tile)
+    if not crowded.isEmpty():
+        below = leveled(placed, [even]).join(small(crowded), tile, "left_semi").drop("_l", "_ti", "_tj")
+        every = every.unionByName(counted(below, range(even + 1, DEPTH + 1), "tiles"))
+    parted = every.filter(~F.col("_leaf")).select(*by, (F.col("_l") + 1).alias("_l"), F.col("_ti").alias("_pi"), F.col("_tj").alias("_pj"))
     child = every.withColumns({"_pi": F.shiftright("_ti", HALVINGS), "_pj": F.shiftright("_tj", HALVINGS)})
-    nodes = materialise(child.filter("_l = 0").unionByName(child.join(parted, ["_l", "_pi", "_pj"], "left_semi")), "nodes")
-    ends = nodes.filter("_leaf").select("_l", "_ti", "_tj")
-    leaves = materialise(leveled.join(small(ends), ["_l", "_ti", "_tj"]).select("site", "lon", "lat", "v", "_l", "_ti", "_tj"), "leaves")
+    nodes = materialise(child.filter("_l = 0").unionByName(child.join(parted, [*by, "_l", "_pi", "_pj"], "left_semi")), "nodes")
+    ends = nodes.filter("_leaf").select(*tile)
+    ended = sorted(r[0] for r in ends.select("_l").distinct().collect())  # levels
+    leaves = materialise(leveled(placed, ended).join(small(ends), tile).select(*by, "site", "lon", "lat", "v", "_l", "_ti", "_tj"), "leaves")
     return nodes, leaves, int(nodes.agg(F.max("_l")).first()[0])
 
 
-def frontier(cells: DataFrame, nodes: DataFrame, deepest: int, k: int, kx: float, ky: float) -> DataFrame:
-    """(row, col, x, y, _front): the leaves in which a cell's k nearest sites are, by descent through the tree.
+def frontier(cells: DataFrame, nodes: DataFrame, deepest: int, k: int, kx: float | Column, ky: float | Column, by: tuple[str, ...] = (), facts: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, x, y, facts, _front): the leaves in which a cell's k nearest sites are, by descent through the tree.
 
     On each level the k nearest sites are no farther than some tiles' far corners;
     tiles that begin beyond that are left.  What remains is a few tiles a cell,
@@ -69,7 +78,7 @@ def frontier(cells: DataFrame, nodes: DataFrame, deepest: int, k: int, kx: float
     norm = lambda a, b: F.sqrt(a * a + b * b)
     near, far = (norm(f("_x0", "_x1", "x", kx), f("_y0", "_y1", "y", ky)) for f in (away, reach))
     tile = ["_l", "_ti", "_tj"]
-    keys = ["row", "col", "x", "y"]
+    keys = [*by, "row", "col", "x", "y", *facts]
 
     def narrowed(rows: DataFrame) -> DataFrame:
         each = F.struct(F.col("_far"), F.col("_near"), *tile, "_n", "_leaf")
@@ -80,14 +89,15 @@ def frontier(cells: DataFrame, nodes: DataFrame, deepest: int, k: int, kx: float
         # the bound is bound to a variable: named by a column it would be worked out for each tile
         return lists.select(*keys, F.get(F.transform(F.array(bound), lambda u: F.filter("_f", lambda f: f["_near"] <= u)), F.lit(0)).alias("_front"))
 
-    lookup = nodes.select(*tile, "_pi", "_pj", "_n", "_leaf", "_x0", "_x1", "_y0", "_y1")
-    root = F.broadcast(lookup.filter("_l = 0"))  # one row
-    front = narrowed(cells.select(*keys).repartition(*keys).join(root, F.lit(True)).withColumns({"_near": near, "_far": far}))
+    lookup = nodes.select(*by, *tile, "_pi", "_pj", "_n", "_leaf", "_x0", "_x1", "_y0", "_y1")
+    root = F.broadcast(lookup.filter("_l = 0"))  # a row for each group
+    spots = cells.select(*keys).repartition(*keys)
+    front = narrowed((spots.join(root, list(by)) if by else spots.join(root, F.lit(True))).withColumns({"_near": near, "_far": far}))
     for level in range(deepest):
-        kids = small(lookup.filter(F.col("_l") == level + 1).withColumnsRenamed({"_l": "_kl", "_ti": "_ki", "_tj": "_kj", "_n": "_kn", "_leaf": "_kleaf"}))
+        kids = small(lookup.filter(F.col("_l") == level + 1).withColumnsRenamed({"_l": "_kl", "_ti": "_ki", "_tj": "_kj", "_n": "_kn", "_leaf": "_kleaf", **{g: f"_k{g}" for g in by}}))
         rows = front.withColumn("_t", F.explode("_front")).select(*keys, "_t.*")
         open_ = ~F.col("_leaf")  # a leaf stays as it is
-        met = rows.withColumns({"_oi": F.when(open_, F.col("_ti")), "_oj": F.when(open_, F.col("_tj"))}).join(kids, (F.col("_oi") == F.col("_pi")) & (F.col("_oj") == F.col("_pj")), "left")
+        met = rows.withColumns({"_oi": F.when(open_, F.col("_ti")), "_oj": F.when(open_, F.col("_tj"))}).join(kids, (F.col("_oi") == F.col("_pi")) & (F.col("_oj") == F.col("_pj")) & reduce(Column.__and__, (F.col(g) == F.col(f"_k{g}") for g in by), F.lit(True)), "left")
         new = F.col("_kl").isNotNull()
         chosen = {"_near": F.when(new, near).otherwise(F.col("_near")), "_far": F.when(new, far).otherwise(F.col("_far"))}
         chosen |= {c: F.when(new, F.col(kc)).otherwise(F.col(c)) for c, kc in (("_l", "_kl"), ("_ti", "_ki"), ("_tj", "_kj"), ("_n", "_kn"), ("_leaf", "_kleaf"))}
@@ -97,13 +107,17 @@ def frontier(cells: DataFrame, nodes: DataFrame, deepest: int, k: int, kx: float
     return front
 
 
-def _nearest_by_tiles(cells: DataFrame, sites: DataFrame, k: int, kx: float, ky: float, extent: tuple[float, float, float, float]) -> DataFrame:
-    """Cells with the same ``_near``, for any number of sites, however they lie: by a tree of tiles."""
-    nodes, leaves, deepest = site_tree(sites, k, kx, ky, extent)
-    keys, tile = ["row", "col", "x", "y"], ["_l", "_ti", "_tj"]
+def _nearest_by_tiles(cells: DataFrame, sites: DataFrame, k: int, kx: float | Column, ky: float | Column, extent: tuple[float, float, float, float], by: tuple[str, ...] = (), facts: tuple[str, ...] = ()) -> DataFrame:
+    """Cells with the same ``_near``, for any number of sites, however they lie: by a tree of tiles.
+
+    With ``by`` cells meet the sites of their group; ``facts`` are columns of cells that a group shares.
+    """
+    nodes, leaves, deepest = site_tree(sites, k, kx, ky, extent, by)
+    keys, tile = [*by, "row", "col", "x", "y"], ["_l", "_ti", "_tj"]
     # of sites at one place only the first k can be among the nearest
-    first = leaves.withColumn("_rn", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("site", "v"))).filter(F.col("_rn") <= k).drop("_rn")
-    met = frontier(cells, nodes, deepest, k, kx, ky).withColumn("_t", F.explode("_front")).select(*keys, *(F.col(f"_t.{c}").alias(c) for c in tile)).join(small(first), tile)
+    first = leaves.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "lon", "lat").orderBy("site", "v"))).filter(F.col("_rn") <= k).drop("_rn")
+    fronts = frontier(cells, nodes, deepest, k, kx, ky, by, facts).withColumn("_t", F.explode("_front")).select(*keys, *facts, *(F.col(f"_t.{c}").alias(c) for c in tile))
+    met = fronts.join(F.broadcast(first) if is_small(leaves) else first, [*by, *tile])
     dx, dy = (F.col("x") - F.col("lon")) / kx, (F.col("y") - F.col("lat")) / ky
     found = met.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), "site", "v"))), 1, k).alias("_near"))
     return cells.join(materialise(found, "near"), keys)
@@ -137,11 +151,11 @@ def idw_groups(cells: DataFrame, points: DataFrame, keys: list[str], power: floa
 
     Groups of up to MAX_SITES sites are one plan: each group's sites are an array,
     met with every cell (the output has a row for each group and cell).  Larger
-    groups each go their way by tiles.
+    groups go by tiles, all of them in the same jobs.
     """
     sites = points.dropna("any", subset=["lon", "lat", "value"])
     place = F.struct(F.col("site"), F.col("lon").cast("double").alias("sx"), F.col("lat").cast("double").alias("sy"), F.col("value").cast("double").alias("v"))
-    sized = materialise(sites.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("lat").alias("_lat")).filter("_n >= 2"), "groups")
+    sized = materialise(sites.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("lat").alias("_lat")).filter("_n >= 2").withColumn("_g", F.monotonically_increasing_id()), "groups")
     few = sites.join(small(sized.filter(F.col("_n") <= MAX_SITES)), keys).groupBy(*keys).agg(F.first("_lat").alias("_lat"), F.collect_list(place).alias("_sites"))
     met = cells.select("row", "col", "x", "y").join(small(few), F.lit(True))
 
@@ -152,11 +166,18 @@ def idw_groups(cells: DataFrame, points: DataFrame, keys: list[str], power: floa
 
     near = met.withColumn("_near", F.slice(F.sort_array(F.transform("_sites", measured)), 1, k))
     out = _weighted(near, power, 1e-6, max_distance).select(*keys, "row", "col", "value", "support")
-    for g in sized.filter(F.col("_n") > MAX_SITES).collect():
-        own = sites.filter(reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(g[c])) for c in keys)))
-        surface = idw(cells.select("row", "col", "x", "y"), own, power=power, k=k, max_distance=max_distance)
-        out = out.unionByName(surface.select(*(F.lit(g[c]).alias(c) for c in keys), "row", "col", "value", "support"))
-    return out
+    many = sized.filter(F.col("_n") > MAX_SITES)
+    if many.isEmpty():
+        return out
+    kx = 1 / (111.32 * F.greatest(F.cos(F.radians("_lat")), F.lit(0.1)))
+    facts = many.select("_g", kx.alias("_kx"), F.lit(1 / 110.57).alias("_ky"))
+    same = reduce(Column.__and__, (F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keys))
+    own = sites.alias("s").join(small(many).alias("m"), same).select("_g", "site", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("value").cast("double").alias("v"))
+    box = own.agg(*(f(c) for f in (F.min, F.max) for c in ("lon", "lat"))).first()
+    spots = cells.select("row", "col", "x", "y").join(small(facts), F.lit(True))
+    near = _nearest_by_tiles(spots, own, k, F.col("_kx"), F.col("_ky"), tuple(box), ("_g",), ("_kx", "_ky"))
+    large = _weighted(near, power, 1e-6, max_distance).join(small(many.select("_g", *keys)), "_g")
+    return out.unionByName(large.select(*keys, "row", "col", "value", "support"))
 
 
 def _weighted(near: DataFrame, power: float, least: float, max_distance: float | None) -> DataFrame:

@@ -184,3 +184,23 @@ def test_a_fit_converges_or_raises(monkeypatch):
         assert np.abs(slope[theta != 0] + penalty * np.sign(theta[theta != 0])).max(initial=0) < 1e-6
     with pytest.raises(maxent.NotConverged):
         maxent.solve_l1(lambda theta, want: maxent._moments(x, y, w, theta, want), x.shape[1], 0.0, 0.05, rounds=2)
+
+
+def test_large_groups_share_one_tree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(g, f"s{k}", float(110 + 8 * rng.random()), float(40 + 5 * rng.random()), float(rng.random())) for g, n in (("a", 40), ("b", 300), (None, 60)) for k in range(n)]
+    rows += [("b", f"t{k}", 112.0 + k * 1e-7, 42.0, 1.0) for k in range(200)]  # crowded: deeper than an even spread needs
+    means = spark.createDataFrame(rows, "g string, site string, lon double, lat double, value double")
+    cells = spark.createDataFrame([(i // 5, i % 5, 110.0 + i % 5 * 1.6, 44.0 - i // 5 * 1.2) for i in range(15)] + [(9, 9, 112.00001, 42.0)], "row int, col int, x double, y double")
+    trees, plain = [], isoscape.site_tree
+    monkeypatch.setattr(isoscape, "MAX_SITES", 20)
+    monkeypatch.setattr(isoscape, "site_tree", lambda *a: trees.append(a) or plain(*a))
+    got = {(r["g"], r["row"], r["col"]): (r["value"], r["support"]) for r in isoscape.idw_groups(cells, means, ["g"], max_distance=None).collect()}
+    assert len(trees) == 1 and len(got) == 3 * 16
+    for g in ("a", "b", None):
+        own = [r[1:] for r in rows if r[0] == g]
+        kx = 111.32 * math.cos(math.radians(np.mean([r[2] for r in own])))
+        for c in cells.collect():
+            near = sorted((math.hypot((c["x"] - x) * kx, (c["y"] - y) * 110.57), s, v) for s, x, y, v in own)[:6]
+            weight = [max(d, 1e-6) ** -2 for d, _, _ in near]
+            assert got[g, c["row"], c["col"]] == pytest.approx((sum(w * n[2] for w, n in zip(weight, near)) / sum(weight), near[0][0]), rel=1e-6)

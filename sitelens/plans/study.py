@@ -126,6 +126,7 @@ def temporal_isoscapes(df: DataFrame, cells: DataFrame, proxies=VALUE_COLUMNS[:2
 def surface_changes(surfaces: DataFrame) -> DataFrame:
     """Cell-wise change between each period and the next one there is of a taxon and proxy (gaps allowed)."""
     keys = ["taxon_group", "proxy"]
+    surfaces = materialise(surfaces.select(*keys, "period", "row", "col", "value"), "surfaces")  # read three times
     have = surfaces.select(*keys, "period").distinct().withColumn("o", enrich.period_rank(F.col("period")))
     order = have.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("o", "period"))).alias("p"))
     at = F.explode(F.sequence(F.lit(1), F.size("p") - 1))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import date_range, guess_column, is_number, region_name, to_number, with_human, taxon_group
 from ..operators.enrich import calendar_to_bp, merge_apatite
 from ..schema import finalise
+from ..shared import materialise
 from .files import binary
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -30,23 +31,35 @@ def _column_number(reference: str) -> int:
     return n - 1
 
 
+def _elements(stream, name: str) -> Iterator[ElementTree.Element]:
+    """The elements of a name, one at a time: each is taken out of the tree when the next is asked for."""
+    path: list[ElementTree.Element] = []
+    for event, node in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            path.append(node)
+            continue
+        path.pop()
+        if node.tag == f"{_MAIN}{name}":
+            yield node
+            if path:
+                path[-1].clear()
+
+
 def workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row number, cells) of every row that has a cell."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
-                shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+            with z.open("xl/sharedStrings.xml") as stream:
+                shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in _elements(stream, "si")]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{_PKG}Relationship")}
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
             target = targets[sheet.get(f"{_REL}id")]
             part = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
             with z.open(part) as stream:
                 number = 0
-                for _, node in ElementTree.iterparse(stream):
-                    if node.tag != f"{_MAIN}row":
-                        continue
+                for node in _elements(stream, "row"):
                     number = int(node.get("r") or number + 1)
                     cells: list[str | None] = []
                     for cell in node.iter(f"{_MAIN}c"):
@@ -59,7 +72,16 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
                             cells[at] = shared[int(value.text)] if kind == "s" else value.text
                     if any(c not in (None, "") for c in cells):
                         yield sheet.get("name"), number, cells
-                    node.clear()
+
+
+#: Rows of a batch that the parser gives back; it holds no more of a workbook than these.
+BATCH = 5_000
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kind = pa.map_(pa.string(), pa.string())
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array([list(dict(r).items()) for r in columns[3]], kind)], names=["path", "sheet", "row", "cells"])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +94,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     headers[sheet] = [str(c) if c is not None else "" for c in cells]
                     continue
                 rows.append((path, sheet, number, [(h, c) for h, c in zip(headers[sheet], cells, strict=False) if h and c not in (None, "")]))
+                if len(rows) == BATCH:
+                    yield _batch(rows)
+                    rows = []
             if rows:
-                kind = pa.map_(pa.string(), pa.string())
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array([list(dict(r).items()) for r in columns[3]], kind)], names=["path", "sheet", "row", "cells"])
+                yield _batch(rows)
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +137,7 @@ def _regional_base(rows: DataFrame, group: str) -> DataFrame:
 
 def load_regional_workbook(spark: SparkSession, path: str) -> DataFrame:
     """The four-sheet regional workbook in the standard layout: collagen rows with their apatite values, then the other apatite rows."""
-    rows = read_workbook(spark, path)
+    rows = materialise(read_workbook(spark, path), "workbook")  # parsed once, read by sheet
     collagen = [_regional_base(rows.filter(F.col("sheet") == s), g) for s, g in (("Human organic materials", "human"), ("Animal organic materials", "animal"))]
     apatite = [_regional_base(rows.filter(F.col("sheet") == s), g) for s, g in (("Human bioapatite", "human"), ("Animal bioapatite", "animal"))]
     organic = collagen[0].unionByName(collagen[1]).select("*", to_number(cell("δ13C (‰, VPDB)")).alias("d13C_coll"), to_number(cell("δ15N (‰, AIR)")).alias("d15N_coll"), to_number(cell("Atomic C:N Ratio")).alias("CN")).drop("cells")

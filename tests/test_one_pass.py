@@ -19,3 +19,23 @@ def test_changes_read_their_surfaces_once(spark, tmp_path):
     change = study.surface_changes(spark.read.parquet(str(tmp_path / "surfaces")))
     assert not [f for f in change.inputFiles() if str(tmp_path) in f]
     assert sorted((r["from_period"], r["to_period"], r["col"], r["value"]) for r in change.collect()) == sorted((a, b, c, 10.0) for a, b in (("EBA", "EIA"), ("EIA", "HAN")) for c in range(3))
+
+
+def test_a_workbook_is_parsed_in_parts():
+    head = [f"column {k}" for k in range(8)]
+    data = fixture_files.xlsx_bytes({"a": [head, *([f"text {n} {k}" for k in range(8)] for n in range(24_000))], "b": [head, ["x"] * 8]})
+    source = pa.RecordBatch.from_arrays([pa.array(["w"]), pa.array([data])], names=["path", "content"])
+    del data
+    tracemalloc.start()
+    rows, last = 0, None
+    for batch in workbook._parse(iter([source])):
+        rows, last = rows + batch.num_rows, batch.slice(batch.num_rows - 1).to_pylist()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 24_001 and last["sheet"] == "b" and last["row"] == 2 and dict(last["cells"])["column 7"] == "x"
+    assert peak < 25e6
+
+
+def test_shared_strings_keep_their_places():
+    xml = f'<sst xmlns="{fixture_files._MAIN}"><si><t>a</t></si><si><r><t>b</t></r><r><t>c</t></r></si><si/><si><t>d</t></si></sst>'
+    assert ["".join(t.text or "" for t in item.iter(f"{workbook._MAIN}t")) for item in workbook._elements(io.BytesIO(xml.encode()), "si")] == ["a", "bc", "", "d"]

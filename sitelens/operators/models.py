@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import MODEL_MIN_SITES
+from ..dims import MODEL_MIN_SITES, first_case
 from ..functions.search import ranks
 from ..functions.stats import chi2_sf
 from ..shared import materialise, remove_table
@@ -299,15 +300,25 @@ def ensemble(predictions: dict[str, DataFrame], references: dict[str, DataFrame]
 
 
 def isotope_groups(df: DataFrame, x: str, y: str, groups: int = 3, seed: int = 42, tries: int = 10) -> DataFrame:
-    """Adds isotope_group: k-means over two standardised values, the cheapest of several seeds; -1 where one is missing."""
+    """Adds isotope_group: k-means over two standardised values, the cheapest of several seeds; -1 where one is missing.
+
+    Clusters are of the distinct value pairs, weighted by their rows: the cost is
+    that of all rows, which are read once for the pairs and once for their groups.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    whole = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    _, mean, cov = moments(whole, [x, y])
-    spread = np.where(np.diag(cov) == 0, 1.0, np.sqrt(np.diag(cov)))
-    z = whole.withColumns({f"_z{i}": (F.col(c) - float(mean[i])) / float(spread[i]) for i, c in enumerate((x, y))})
-    ready = VectorAssembler(inputCols=["_z0", "_z1"], outputCol="_v").transform(z)
-    best = min((KMeans(k=groups, seed=seed + i, featuresCol="_v", predictionCol="isotope_group").fit(ready) for i in range(tries)), key=lambda m: m.summary.trainingCost)
-    done = best.transform(ready).select(*df.columns, "isotope_group")
-    return done.unionByName(df.filter(F.col(x).isNull() | F.col(y).isNull()).withColumn("isotope_group", F.lit(-1)))
+    whole = F.col(x).isNotNull() & F.col(y).isNotNull()
+    pairs = materialise(df.filter(whole).groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("_w")), "pairs")
+    share = lambda e: F.sum(F.col("_w") * e) / F.sum("_w")
+    mean = pairs.agg(share(F.col("_x")), share(F.col("_y"))).first()
+    off = [F.col(c) - F.lit(m) for c, m in zip(("_x", "_y"), mean, strict=True)]
+    spread = [math.sqrt(v) if v else 1.0 for v in pairs.agg(*(share(o * o) for o in off)).first()]
+    z = lambda a, b: [(c - F.lit(m)) / F.lit(s) for c, m, s in zip((F.col(a), F.col(b)), mean, spread, strict=True)]
+    ready = VectorAssembler(inputCols=["_z0", "_z1"], outputCol="_v").transform(pairs.select(*(c.alias(f"_z{i}") for i, c in enumerate(z("_x", "_y"))), "_w"))
+    best = min((KMeans(k=groups, seed=seed + i, featuresCol="_v", weightCol="_w").fit(ready) for i in range(tries)), key=lambda m: m.summary.trainingCost)
+    centres = [tuple(map(float, c)) for c in best.clusterCenters()]
+    away = [sum(((c - F.lit(m)) * (c - F.lit(m)) for c, m in zip(z(x, y), centre, strict=True)), F.lit(0.0)) for centre in centres]
+    # the lowest of equals; a CASE, so no array is made for a row
+    group = first_case((reduce(Column.__and__, (d <= e for e in away[i + 1 :]), F.lit(True)), i) for i, d in enumerate(away))
+    return df.withColumn("isotope_group", F.when(whole, group).otherwise(-1))

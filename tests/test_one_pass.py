@@ -39,3 +39,17 @@ def test_a_workbook_is_parsed_in_parts():
 def test_shared_strings_keep_their_places():
     xml = f'<sst xmlns="{fixture_files._MAIN}"><si><t>a</t></si><si><r><t>b</t></r><r><t>c</t></r></si><si/><si><t>d</t></si></sst>'
     assert ["".join(t.text or "" for t in item.iter(f"{workbook._MAIN}t")) for item in workbook._elements(io.BytesIO(xml.encode()), "si")] == ["a", "bc", "", "d"]
+
+
+def test_groups_are_of_weighted_pairs(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, ready, *a: seen.append(ready.count()) or fit(self, ready, *a))
+    # one heavy pair: by rows 0 and 4 part from 10, were each pair one row 4 would go with 10 as well as with 0
+    points = [(0.0, 50), (4.0, 1), (10.0, 60), (11.0, 3)]
+    t = spark.createDataFrame([(v, v) for v, n in points for _ in range(n)] + [(None, 1.0)], "x double, y double")
+    got = {r["x"]: (r["isotope_group"], r["n"]) for r in models.isotope_groups(t, "x", "y", 2, tries=3).groupBy("x", "isotope_group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert seen == [4, 4, 4]
+    assert got[None] == (-1, 1) and {v: got[v][1] for v, _ in points} == dict(points)
+    assert got[0.0][0] == got[4.0][0] != got[10.0][0] == got[11.0][0]

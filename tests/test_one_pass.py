@@ -53,3 +53,16 @@ def test_groups_are_of_weighted_pairs(spark, monkeypatch):
     assert seen == [4, 4, 4]
     assert got[None] == (-1, 1) and {v: got[v][1] for v, _ in points} == dict(points)
     assert got[0.0][0] == got[4.0][0] != got[10.0][0] == got[11.0][0]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_names_are_normalised_once_each(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(enrich, "is_small", lambda *_: False)
+    rows = [("Site A", "HAN"), ("site  a ", None), ("SITE A", "EIA"), ("site a", "EIA"), (None, "LBA"), ("nan", None), (" ", None), (None, None), ("b", None)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "site string, period string, k int")
+    out = enrich.inherit_period(df)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    got = {r["k"]: (r["site"], r["period"], r["inherited"]) for r in out.collect()}
+    assert got == {k: (s, p or {"b": None, "site  a ": "EIA"}.get(s, "LBA"), p is None and s != "b") for k, (s, p) in enumerate(rows)}
+    assert {r["k"]: r["period"] for r in enrich.inherit_period(df, unnamed=False).collect() if r["k"] in (5, 6, 7)} == {5: None, 6: None, 7: None}

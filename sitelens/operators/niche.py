@@ -201,7 +201,8 @@ def niche_table(df: DataFrame, keys: list[str], x: str, y: str, draws: int = 100
     Groups of fewer than 5 rows or without spread get a note and no areas.  Hull
     and bootstrap look only at the distinct value pairs and counts of a group.
     """
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    have = [c for c in (*dict.fromkeys([*keys, x, y, "site"]),) if c in df.columns]
+    rows = materialise(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*have), "values")  # read three times
     base = ellipses(rows, keys, x, y)
     extra = resampled(rows, keys, x, y, draws, seed)
     sites = F.countDistinct("site") if "site" in df.columns else F.lit(None).cast("long")

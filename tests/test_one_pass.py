@@ -66,3 +66,11 @@ def test_names_are_normalised_once_each(spark, monkeypatch, broadcast):
     got = {r["k"]: (r["site"], r["period"], r["inherited"]) for r in out.collect()}
     assert got == {k: (s, p or {"b": None, "site  a ": "EIA"}.get(s, "LBA"), p is None and s != "b") for k, (s, p) in enumerate(rows)}
     assert {r["k"]: r["period"] for r in enrich.inherit_period(df, unnamed=False).collect() if r["k"] in (5, 6, 7)} == {5: None, 6: None, 7: None}
+
+
+def test_niches_read_their_rows_once(spark, tmp_path):
+    spark.createDataFrame([("g", float(i % 7), float(i % 5), f"s{i % 3}") for i in range(40)], "g string, x double, y double, site string").write.parquet(str(tmp_path / "rows"))
+    table = niche.niche_table(spark.read.parquet(str(tmp_path / "rows")), ["g"], "x", "y", draws=20)
+    assert not [f for f in table.inputFiles() if str(tmp_path) in f]
+    r = table.first()
+    assert (r["n"], r["sites"], r["nr"], r["cr"]) == (40, 3, 4.0, 6.0)

@@ -318,7 +318,9 @@ def isotope_groups(df: DataFrame, x: str, y: str, groups: int = 3, seed: int = 4
     ready = VectorAssembler(inputCols=["_z0", "_z1"], outputCol="_v").transform(pairs.select(*(c.alias(f"_z{i}") for i, c in enumerate(z("_x", "_y"))), "_w"))
     best = min((KMeans(k=groups, seed=seed + i, featuresCol="_v", weightCol="_w").fit(ready) for i in range(tries)), key=lambda m: m.summary.trainingCost)
     centres = [tuple(map(float, c)) for c in best.clusterCenters()]
-    away = [sum(((c - F.lit(m)) * (c - F.lit(m)) for c, m in zip(z(x, y), centre, strict=True)), F.lit(0.0)) for centre in centres]
+    # each step is a column of its own: written into one another, a row would work them out many times over
+    placed = df.withColumns({f"_z{i}": c for i, c in enumerate(z(x, y))})
+    away = {f"_d{i}": sum(((F.col(f"_z{j}") - F.lit(m)) * (F.col(f"_z{j}") - F.lit(m)) for j, m in enumerate(centre)), F.lit(0.0)) for i, centre in enumerate(centres)}
     # the lowest of equals; a CASE, so no array is made for a row
-    group = first_case((reduce(Column.__and__, (d <= e for e in away[i + 1 :]), F.lit(True)), i) for i, d in enumerate(away))
-    return df.withColumn("isotope_group", F.when(whole, group).otherwise(-1))
+    group = first_case((reduce(Column.__and__, (F.col(f"_d{i}") <= F.col(f"_d{j}") for j in range(i + 1, len(centres))), F.lit(True)), i) for i in range(len(centres)))
+    return placed.withColumns(away).withColumn("isotope_group", F.when(whole, group).otherwise(-1)).select(*df.columns, "isotope_group")

@@ -1,19 +1,20 @@
 """Operator 9, token-id files: adaptive context-mixing range coder in independent blocks.
 
-Ids are cut into blocks of BLOCK ids.  Each block starts from an empty model and
-carries its length and a CRC-32 of its ids, so any block decodes alone and a
-damaged one is found.
-
-The model mixes three distributions over the ids seen in the block so far:
-order 0, all of them by count; order 1, the last RING1 that followed the id
-before; order 2, the last RING2 that followed the two ids before (by a hash of
-both).  A fourth share is for an id that is new to the block.  The four
-weights belong to a state, how much and how unanimously orders 1 and 2 have seen their
-context, and move towards the share that each had in the probability of what
-came.  A seen id takes one range-coding step, by its interval in the mixture; a new
-one takes two more, its class in an adaptive distribution (the position of the
-highest bit and the two bits below it) and, alike for all, the bits left.  All
-arithmetic is on integers, so files decode alike everywhere.
+Ids are cut into blocks of BLOCK ids.  Each block carries its length, a CRC-32 of
+its ids, its distinct ids with their counts, and its ids as places among these,
+so any block decodes alone and a damaged one is found.
+
+The model mixes three distributions over the distinct ids: order 0, by the counts
+that were left of each at the last place of RENEWED; order 1, the last two that followed the id
+before; order 2, the last that followed the two ids before (by a hash of
+both).  The weights belong to a state, what orders 1 and 2 have seen in their context,
+how often they were right in a row and whether they agree, and are the shares of
+its visits that each foretold.  An id takes one range-coding step, by its interval in
+the mixture.  Interval ends are sums of a few terms and order 0 is a table by
+place, so neither coding nor decoding searches.  All arithmetic is on integers
+and on single operations of IEEE doubles, so files decode alike everywhere.
+
+The library encodes each distinct piece of text once (``_Pieces``).
 
 Blocks are coded in lockstep, one numpy lane each.  ``write`` deals documents to
 files by ranges of doc_id, as many as the text asks for.  A file is rows of
@@ -29,11 +30,12 @@ more is an error; no rows give no file; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,90 +57,75 @@ SEGMENT = 1 << 18
 FILE_CHARS = 64 << 20
 #: Characters given to the tokenizer at once.
 ENCODE_CHARS = 1 << 19
+#: Pieces of text whose ids a task remembers.
+PIECES = 1 << 18
 #: The first characters of a text that choose its file among documents of one doc_id.
 PREFIX = 64
-MAGIC = b"CMR2"
+MAGIC = b"C3"
 MAX_ID = (1 << 18) - 5
-_HEADER = struct.Struct("<4sIII")  # magic, ids, CRC-32 of the ids, payload bytes
+_HEADER = struct.Struct("<2sHIH")  # magic, ids, CRC-32 of the ids, payload words
 
-RING1, RING2 = 2, 1  # powers of two
 _U = np.uint64
-_NONE = np.int16(32767)
+_WORD = _U(1 << 32)
+_PLACE_BITS = 10
 _CONTEXTS2 = 2048
-_STATES = 24
-_CLASSES = 64
-_REFRESH = 32
-_ONE = 1 << 16
-#: A weight's step towards its goal after so many steps of its state, of 2**16.
-_RATES = np.array([int(_ONE / (n + 1.5)) for n in range(30)], np.int64)
-_LEAST = 48
-
-
-def _first_weights() -> np.ndarray:
-    """Weights of a state at first, for order 0, 1, 2 and new ids: the more an order has seen, and the more unanimously, the more."""
-    out = np.zeros((_STATES, 4))
-    for state in range(_STATES):
-        two, one = divmod(state, 6)
-        w2 = (0, 0.35, 0.75, 0.5)[two]
-        w1 = (0, 0.15, 0.5, 0.35, 0.75, 0.5)[one] * (1 - w2)
-        out[state] = (0.55 * (1 - w1 - w2), w1, w2, 0.45 * (1 - w1 - w2))
-    return (out * _ONE).astype(np.int64)
-
-
-def _classes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, number of bits left and those bits of each id + 4."""
-    v = ids + 4
-    high = np.frexp(v.astype(np.float64))[1] - 1
-    left = high - 2
-    return (left * 4 + (v >> left & 3)).astype(np.int64), left, v & ((1 << left) - 1)
-
-
-def _from_class(cls: np.ndarray, low: np.ndarray) -> np.ndarray:
-    left = cls >> 2
-    return ((4 + (cls & 3)) << left) + low - 4
+_KINDS = 54
+_REFRESH = 16
+_STATES = 32
+_PRIOR = 128
+_TOTAL_BITS = 24
+_TOTAL = 1 << _TOTAL_BITS
+#: Places of a block at which order 0 becomes what is left of it.
+_RENEWED = (256, 512, 640, 768, 832, 896, 928, 960, 992)
+#: Shares of 2**12 of the number of bits of a count beyond 2.
+_SIZES = np.cumsum([0, 704, 832, 960, 960, 416, 128, 48, 24, 16, 8], dtype=np.int64)
 
 
 class _Encoder:
-    """64-bit range coders, one per lane, that emit 16-bit words and carry into what they emitted."""
+    """64-bit range coders, one per lane, that emit 32-bit words and carry into what they emitted."""
 
-    def __init__(self, lanes: int, steps: int):
+    def __init__(self, lanes: int, words: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.out = np.zeros((lanes, 3 * steps + 8), np.uint16)
+        self.out = np.zeros((lanes, words), np.uint32)
         self.size = np.zeros(lanes, np.int64)
 
-    def step(self, lanes: np.ndarray, bits: np.ndarray | int, start: np.ndarray, width: np.ndarray) -> None:
+    def order(self, lanes: np.ndarray) -> None:
+        self.low, self.range, self.out, self.size = self.low[lanes], self.range[lanes], self.out[lanes], self.size[lanes]
+
+    def step(self, lanes: slice | np.ndarray, bits: int | np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
         """Narrow to ``width`` at ``start`` of 2 ** bits."""
-        unit = self.range[lanes] >> np.asarray(bits, _U)
-        low = self.low[lanes]
-        moved = low + unit * start
+        unit, low = self.range[lanes] >> np.asarray(bits, _U), self.low[lanes]
+        moved = low + unit * start.astype(_U)
         over = np.flatnonzero(moved < low)
         if len(over):
-            self._carry(lanes[over])
-        spread = unit * width
-        small = np.flatnonzero(spread < _U(1 << 48))
-        while len(small):
-            at = lanes[small]
-            self.out[at, self.size[at]] = (moved[small] >> _U(48)).astype(np.uint16)
-            self.size[at] += 1
-            moved[small] <<= _U(16)
-            spread[small] <<= _U(16)
-            small = small[spread[small] < _U(1 << 48)]
+            self._carry(over if isinstance(lanes, slice) else lanes[over])
+        spread = unit * width.astype(_U)
+        small = np.flatnonzero(spread < _WORD)
+        if len(small):
+            at, held = small if isinstance(lanes, slice) else lanes[small], moved[small]
+            size = self.size[at]
+            self.out[at, size] = held >> _U(32)
+            self.size[at] = size + 1
+            moved[small] = held << _U(32)
+            spread[small] <<= _U(32)
         self.low[lanes], self.range[lanes] = moved, spread
 
     def _carry(self, lanes):
         at = self.size[lanes] - 1
         while len(lanes):
-            self.out[lanes, at] += np.uint16(1)
+            self.out[lanes, at] += np.uint32(1)
             on = self.out[lanes, at] == 0
             lanes, at = lanes[on], at[on] - 1
 
     def payloads(self) -> list[bytes]:
-        for _ in range(4):
-            lanes = np.arange(len(self.low))
-            self.out[lanes, self.size] = (self.low >> _U(48)).astype(np.uint16)
-            self.size += 1
-            self.low <<= _U(16)
-        return [self.out[k, : self.size[k]].astype("<u2").tobytes() for k in range(len(self.low))]
+        """One word more decides: the range is never less than a word, so some multiple of one lies in it."""
+        lanes = np.arange(len(self.low))
+        last = self.low + (_WORD - _U(1))
+        over = np.flatnonzero(last < self.low)
+        if len(over):
+            self._carry(over)
+        self.out[lanes, self.size] = last >> _U(32)
+        return [self.out[k, : n + 1].astype("<u4").tobytes() for k, n in enumerate(self.size.tolist())]
 
 
 class _Decoder:
@@ -146,194 +133,192 @@ class _Decoder:
 
     def __init__(self, payloads: list[bytes]):
         lanes = len(payloads)
-        width = max(map(len, payloads)) // 2 + 8
-        self.words = np.zeros((lanes, width), np.uint16)
+        self.words = np.zeros((lanes, max(map(len, payloads)) // 4 + 4), np.uint32)
         for k, p in enumerate(payloads):
-            self.words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-        self.range, self.above = np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U), np.zeros(lanes, _U)
-        for k in range(4):
-            self.above = self.above << _U(16) | self.words[:, k].astype(_U)
-        self.at = np.full(lanes, 4, np.int64)
+            self.words[k, : len(p) // 4] = np.frombuffer(p, "<u4")
+        self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+        self.above = self.words[:, 0].astype(_U) << _U(32) | self.words[:, 1]
+        self.at = np.full(lanes, 2, np.int64)
+
+    def order(self, lanes: np.ndarray) -> None:
+        self.words, self.range, self.above, self.at = self.words[lanes], self.range[lanes], self.above[lanes], self.at[lanes]
 
-    def place(self, lanes: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    def place(self, lanes: slice | np.ndarray, bits: int | np.ndarray) -> np.ndarray:
         """Which of 2 ** bits the coded number lies in."""
         bits = np.asarray(bits, _U)
-        return np.minimum(self.above[lanes] // (self.range[lanes] >> bits), (_U(1) << bits) - _U(1))
+        return np.minimum(self.above[lanes] // (self.range[lanes] >> bits), (_U(1) << bits) - _U(1)).astype(np.int64)
 
     def step(self, lanes, bits, start, width):
         unit = self.range[lanes] >> np.asarray(bits, _U)
-        above, spread = self.above[lanes] - unit * start, unit * width
-        small = np.flatnonzero(spread < _U(1 << 48))
-        last = self.words.shape[1] - 1
-        while len(small):
-            at = lanes[small]
-            above[small] = above[small] << _U(16) | self.words[at, np.minimum(self.at[at], last)].astype(_U)
-            self.at[at] += 1
-            spread[small] <<= _U(16)
-            small = small[spread[small] < _U(1 << 48)]
+        above, spread = self.above[lanes] - unit * start.astype(_U), unit * width.astype(_U)
+        small = np.flatnonzero(spread < _WORD)
+        if len(small):
+            at = small if isinstance(lanes, slice) else lanes[small]
+            place = self.at[at]
+            above[small] = above[small] << _U(32) | self.words[at, np.minimum(place, self.words.shape[1] - 1)]
+            self.at[at] = place + 1
+            spread[small] <<= _U(32)
         self.above[lanes], self.range[lanes] = above, spread
 
 
-class _Order0:
-    """Counts of slots (ids by first appearance) as binary indexed trees, one per lane, of at most 2**15 - 1 ids."""
-
-    def __init__(self, lanes: int, steps: int):
-        self.depth = max(1, (steps - 1).bit_length())
-        self.width = (1 << self.depth) + 2
-        self.tree = np.zeros(lanes * self.width, np.int16)
-        self.count = np.zeros(lanes * self.width, np.int16)
-
-    def below(self, base: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """How many came of the slots before ``slot``."""
-        total, i = np.zeros(len(slot), np.int32), slot.copy()
-        while i.any():
-            total += self.tree[base + i]
-            i &= i - 1
-        return total
-
-    def add(self, base: np.ndarray, slot: np.ndarray) -> None:
-        self.count[base + slot] += 1
-        i, last = slot + 1, self.width - 1
-        for _ in range(self.depth + 1):
-            self.tree[base + i] += 1  # the cell beyond the tree takes what is done
-            i = np.minimum(i + (i & -i), last)
-
-
-class _Rings:
-    """The last slots that followed each context."""
-
-    def __init__(self, lanes: int, contexts: int, length: int):
-        self.length = length
-        self.slots = np.full(lanes * contexts * length, _NONE, np.int16)
-        self.seen = np.zeros(lanes * contexts, np.uint8)
-        self.places = np.arange(length)[:, None]
-
-    def at(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(length, lanes) slots, and how many they are."""
-        return self.slots[context * self.length + self.places], np.minimum(self.seen[context], np.uint8(self.length)).astype(np.int64)
-
-    def add(self, context: np.ndarray, slot: np.ndarray) -> None:
-        length, seen = self.length, self.seen[context]
-        self.slots[context * length + (seen & np.uint8(length - 1))] = slot
-        seen += np.uint8(1)
-        seen -= np.uint8(length) * (seen == 2 * length)  # from one to two lengths once it is full
-        self.seen[context] = seen
-
-
-def _unanimous(ring: np.ndarray) -> np.ndarray:
-    return ((ring == ring[0]) | (ring == _NONE)).all(axis=0)
-
-
-def _state(ring1, n1, ring2, n2) -> np.ndarray:
-    one = np.where(n1 < 2, n1, np.where(n1 < 5, 2, 4) + (~_unanimous(ring1)))
-    two = np.where(n2 < 2, n2, 2 + (~_unanimous(ring2)))
-    return two * 6 + one
+def _first_counts() -> np.ndarray:
+    """Counters of a state at first: hits of order 2 and of order 1 alone, and all; a state is what either has seen and whether they agree."""
+    out = np.zeros(_STATES, np.int64)
+    for state in range(_STATES):
+        alike, two, one = state >> 4, state >> 2 & 3, state & 3
+        h2 = ((0, 0.05, 0.6, 0.95), (0, 0.15, 0.7, 0.95))[alike][two]
+        h1 = (0, (0.05, 0.1)[alike], 0.2, 0.7 - 0.5 * alike)[one] * (1 - h2)
+        out[state] = _PRIOR << 32 | int(h1 * _PRIOR) << 16 | int(h2 * _PRIOR)
+    return out
 
 
-def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row by row: each id's number by first appearance, and whether it is a first one."""
-    order = np.argsort(ids, axis=1, kind="stable")
-    ranked = np.take_along_axis(ids, order, 1)
+def _counted(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row by row: number of distinct ids, these in order, how often each comes, and each place's number among them."""
+    lanes, steps = ids.shape
+    key = (ids.astype(np.int32) << _PLACE_BITS) | np.arange(steps, dtype=np.int32)
+    inside = np.arange(steps) < lengths[:, None]
+    key[~inside] = 2**31 - 1  # what is beyond a row's end goes last
+    key.sort(axis=1)
+    ranked = key >> _PLACE_BITS
     new = np.ones(ids.shape, bool)
     new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(ids.shape[1]), 0), axis=1)
-    lead = np.empty(ids.shape, np.int64)
-    np.put_along_axis(lead, order, np.take_along_axis(order, first, 1), 1)
-    is_first = lead == np.arange(ids.shape[1])
-    return np.take_along_axis(np.cumsum(is_first, axis=1) - 1, lead, 1), is_first
-
-
-def _run(coder, lengths: np.ndarray, ids: np.ndarray, known: bool) -> None:
-    """The model over all lanes in lockstep; with ``known`` it codes ``ids``, else it fills them in."""
-    lanes, steps = ids.shape
-    order0, order1, order2 = _Order0(lanes, steps), _Rings(lanes, steps, RING1), _Rings(lanes, _CONTEXTS2, RING2)
-    weights = np.tile(_first_weights().reshape(-1), lanes)
-    visits = np.zeros(lanes * _STATES, np.int8)
-    classes = np.ones((lanes, _CLASSES), np.int64)
-    bounds = np.zeros((lanes, _CLASSES + 1), np.int64)
-    names = np.zeros((lanes, steps), np.int64)  # ids of slots
-    many = np.zeros(lanes, np.int64)  # slots in use
-    a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    on = np.arange(lanes)
-    if known:
-        slots, firsts = (np.ascontiguousarray(x.T) for x in _slots(ids))
-        columns = np.ascontiguousarray(ids.T)
-    four = np.arange(4)[:, None]
-    for t in range(steps):
-        if t % _REFRESH == 0:
-            summed = np.cumsum(classes, axis=1)
-            bounds[:, 1:] = summed * (_ONE - 16 * _CLASSES) // summed[:, -1:] + 16 * np.arange(1, _CLASSES + 1)
-        going = lengths[on] > t
-        if not going.all():
-            on, a, b = on[going], a[going], b[going]
-        base0, at1 = on * order0.width, on * steps + b
-        at2 = on * _CONTEXTS2 + ((a * 40503 + b * 25717 >> 3) & (_CONTEXTS2 - 1))
-        ring1, n1 = order1.at(at1)
-        ring2, n2 = order2.at(at2)
-        state = on * _STATES + _state(ring1, n1, ring2, n2)
-        at = state * 4 + four
-        w = weights[at]
-        counts = np.stack([np.full(len(on), t), n1, n2])
-        shares = w[:3] * (counts > 0)
-        each = (shares << 32) // ((shares.sum(axis=0) + w[3]) * np.maximum(counts, 1))  # of 2**32, for one count
-        seen = (each * counts).sum(axis=0)
-
+    new &= inside
+    rank = np.cumsum(new, axis=1, dtype=np.int32) - 1
+    many = rank[:, -1] + 1
+    slots = np.zeros((lanes, steps), np.int32)
+    at = np.where(inside, key & ((1 << _PLACE_BITS) - 1), np.arange(steps))
+    np.put_along_axis(slots, at, rank, 1)
+    lane, first = np.nonzero(new)
+    distinct, counts = np.zeros((lanes, int(many.max())), np.int64), np.zeros((lanes, int(many.max())), np.int64)
+    to = rank[lane, first]
+    distinct[lane, to] = ranked[lane, first]
+    ends = np.append(first[1:], 0)
+    last = to == many[lane] - 1
+    counts[lane, to] = np.where(last, lengths[lane], ends) - first
+    return many, distinct, counts, slots
+
+
+def _set_of(coder, many: np.ndarray, distinct: np.ndarray, counts: np.ndarray, known: bool) -> None:
+    """The distinct ids of each lane (the most of them first) and their counts, in order: gaps by class and bits left, with the count up to 3."""
+    lanes, width = distinct.shape
+    freq, bounds = np.repeat(np.where(np.arange(_KINDS) < 36, 16, 1), lanes).reshape(_KINDS, lanes), np.zeros((_KINDS + 1, lanes), np.int64)
+    before = np.full(lanes, -1, np.int64)
+    at = np.arange(lanes)
+    for j in range(width):
+        m = int(np.searchsorted(-many, -j, side="left"))  # lanes with more than j
+        on, lane = slice(0, m), at[:m]
+        if j % _REFRESH == 0:
+            summed = np.cumsum(freq, axis=0)
+            bounds[1:] = summed * (4096 - _KINDS) // summed[-1] + np.arange(1, _KINDS + 1)[:, None]
+            freq -= freq >> 1
         if known:
-            slot, new = slots[t][on], firsts[t][on]
-            below = order0.below(base0, slot)
+            gap = distinct[:m, j] - before[:m]
+            cls = np.frexp(gap.astype(np.float64))[1] - 1
+            low = gap - (1 << cls)
+            kind = cls * 3 + np.minimum(counts[:m, j], 3) - 1
         else:
-            place = coder.place(on, 32).astype(np.int64)
-            new = place >= seen
-            slot, below = _find(order0, base0, many[on], each, ring1, ring2, place, t)
-            slot[new] = many[on[new]]
-        own = np.stack([order0.count[base0 + slot], (ring1 == slot).sum(axis=0), (ring2 == slot).sum(axis=0)])
-        parts = each * own
-        width = parts.sum(axis=0)
-        start = each[0] * below + each[1] * (ring1 < slot).sum(axis=0) + each[2] * (ring2 < slot).sum(axis=0)
-        start, width = np.where(new, seen, start), np.where(new, (1 << 32) - seen, width)
-        coder.step(on, 32, start.astype(_U), width.astype(_U))
-
-        fresh = np.flatnonzero(new)
-        if len(fresh):
-            lane = on[fresh]
+            place = coder.place(on, 29)
+            kind = np.count_nonzero(bounds[1:-1, :m] <= place >> 17, axis=0)
+            cls = kind // 3
+        left, wide = bounds[kind, lane], bounds[kind + 1, lane] - bounds[kind, lane] << (17 - cls)
+        if not known:
+            low = np.minimum((place - (left << 17)) // wide, (1 << cls) - 1)
+            distinct[:m, j] = before[:m] + (1 << cls) + low
+            counts[:m, j] = kind % 3 + 1
+        coder.step(on, 29, (left << 17) + low * wide, wide)
+        freq[kind, lane] += 12
+        before[:m] = distinct[:m, j]
+        often = np.flatnonzero(kind % 3 == 2)
+        if len(often):
             if known:
-                cls, left, low = _classes(columns[t][lane])
+                more = counts[often, j] - 2
+                size = np.frexp(more.astype(np.float64))[1] - 1
             else:
-                cls = np.count_nonzero(bounds[lane, 1:] <= coder.place(lane, 16).astype(np.int64)[:, None], axis=1)
-            coder.step(lane, 16, bounds[lane, cls].astype(_U), (bounds[lane, cls + 1] - bounds[lane, cls]).astype(_U))
-            if not known:
-                left = cls >> 2
-                low = coder.place(lane, left).astype(np.int64)
-            coder.step(lane, left, low.astype(_U), np.ones(len(lane), _U))
-            classes[lane, cls] += 24
+                size = np.searchsorted(_SIZES, coder.place(often, 12), side="right") - 1
+            coder.step(often, 12, _SIZES[size], _SIZES[size + 1] - _SIZES[size])
+            low = more - (1 << size) if known else coder.place(often, size)
+            coder.step(often, size, low, np.ones(len(often), np.int64))
+            counts[often, j] = low + (1 << size) + 2
+
+
+def _sequence(coder, lengths: np.ndarray, counts: np.ndarray, slots: np.ndarray, known: bool) -> None:
+    """The slots of each lane (the longest first) by the mixture, a row a step; with ``known`` it codes them, else it fills them in."""
+    steps, lanes = slots.shape
+    width = counts.shape[1]
+    row = width + 2
+    lane = np.arange(lanes, dtype=np.int32)
+    base, base1, base2, base_s = lane * row, lane * (width + 1), lane * _CONTEXTS2, lane * _STATES
+    ring1 = np.full(lanes * (width + 1), width << 13 | width << 2, np.int32)  # the last two
+    ring2 = np.full(lanes * _CONTEXTS2, width << 2, np.int16)
+    seen = np.tile(_first_counts(), lanes)
+    a, b = np.zeros(lanes, np.int32), np.full(lanes, width, np.int32)  # no slot is before the first
+    left, since = counts, 0
+    for t in range(steps):
+        if t == 0 or t in _RENEWED:
+            if t:
+                m = int(np.searchsorted(-lengths, -since, side="left"))
+                some = slots[since:t, :m] + lane[:m] * width
+                some = some[np.arange(since, t)[:, None] < lengths[:m]]
+                left = (left - np.bincount(some.ravel(), minlength=lanes * width).reshape(lanes, width)).astype(np.int32)
+                if left.min() < 0:
+                    raise ValueError("damaged block: an id comes too often")
+                since = t
+            below = np.zeros((lanes, row), np.int32)
+            np.cumsum(left, axis=1, dtype=np.int32, out=below[:, 1:-1])
+            rest = below[:, -2].copy()
+            below[:, -1] = rest
+            below = below.ravel()
             if not known:
-                names[lane, slot[fresh]] = _from_class(cls, low)
-                many[lane] += 1
-        if not known:
-            ids[on, t] = names[on, slot]
-
-        goal = np.empty((4, len(on)), np.int64)
-        goal[:3] = np.where(new, 0, (parts << 16) // np.maximum(np.where(new, 1, width), 1))
-        goal[3] = new * _ONE
-        n = visits[state]
-        weights[at] = np.maximum(w + ((goal - w) * _RATES[n] >> 16), _LEAST)
-        visits[state] = np.minimum(n + 1, len(_RATES) - 1)
-        order0.add(base0, slot)
-        order1.add(at1, slot)
-        order2.add(at2, slot)
-        a, b = b, slot
-
-
-def _find(order0: _Order0, base: np.ndarray, many: np.ndarray, each: np.ndarray, ring1: np.ndarray, ring2: np.ndarray, place: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slot whose interval in the mixture has ``place``, bit by bit, and the count of those before it."""
-    slot, below = np.zeros(len(base), np.int64), np.zeros(len(base), np.int64)
-    for k in reversed(range(min(order0.depth, max(t, 1).bit_length()))):
-        there = slot + (1 << k)
-        count = below + order0.tree[base + there]
-        edge = each[0] * count + each[1] * (ring1 < there).sum(axis=0) + each[2] * (ring2 < there).sum(axis=0)
-        up = (edge <= place) & (there < many)
-        slot, below = np.where(up, there, slot), np.where(up, count, below)
-    return slot, below
+                table = np.repeat(np.tile(np.arange(width, dtype=np.int16), lanes), left.ravel())
+                first = np.cumsum(rest, dtype=np.int32) - rest
+        m = int(np.searchsorted(-lengths, -t, side="left"))  # lanes with more than t
+        on = slice(0, m)
+        a, b = a[:m], b[:m]
+        at1 = base1[:m] + b
+        at2 = base2[:m] + ((a * 40503 + (b * 25717 if t else 0) >> 3) & (_CONTEXTS2 - 1))
+        v1, v2 = ring1.take(at1), ring2.take(at2).astype(np.int32)
+        last, c2 = v1 >> 2 & 2047, v2 >> 2
+        alike = last == c2
+        c1 = np.where(alike, v1 >> 13, last)
+        sure1, sure2 = v1 & 3, v2 & 3
+        state = base_s[:m] + (np.int32(16) * alike + sure2 * 4 + sure1 * (c1 != width))
+        k = seen.take(state)
+        unit = _TOTAL / (k >> 32)
+        w2, w1 = (unit * (k & 0xFFFF)).astype(np.int32), (unit * (k >> 16 & 0xFFFF)).astype(np.int32)
+        w0 = ((_TOTAL - w1 - w2) / rest[:m]).astype(np.int32)  # exact: a quotient of whole numbers below 2**25
+        if known:
+            s = slots[t, :m]
+        else:
+            place = coder.place(on, _TOTAL_BITS).astype(np.int32)
+            swap = c1 < c2
+            low, high = np.where(swap, c1, c2), np.where(swap, c2, c1)
+            w_low = np.where(swap, w1, w2)
+            at_low, at_high = base[:m] + low, base[:m] + high
+            end_low = w0 * below.take(at_low + 1) + w_low
+            start_high = w0 * below.take(at_high) + w_low
+            end_high = w0 * below.take(at_high + 1) + w1 + w2
+            past_low, past_high = place >= end_low, place >= end_high
+            index = ((place - w_low * past_low - (w1 + w2 - w_low) * past_high) / w0).astype(np.int32)
+            s = table.take(first[:m] + np.minimum(index, rest[:m] - 1)).astype(np.int32)
+            s = np.where(~past_low & (place >= w0 * below.take(at_low)), low, s)
+            s = np.where(past_low & ~past_high & (place >= start_high), high, s)
+            slots[t, :m] = s
+        at = base[:m] + s
+        before = below.take(at)
+        hit1, hit2 = s == c1, s == c2
+        coder.step(on, _TOTAL_BITS, w0 * before + w1 * (c1 < s) + w2 * (c2 < s), w0 * (below.take(at + 1) - before) + w1 * hit1 + w2 * hit2)
+        seen[state] = k + ((16 << 32) + hit2 * 16 + hit1 * (16 << 16))
+        again = s == last
+        ring1[at1] = np.where(again, v1 & -4, last << 13 | s << 2) + (np.minimum(sure1, 2) * again + 1)
+        ring2[at2] = s * 4 + (np.minimum(sure2, 2) * hit2 + 1)
+        a, b = b if t else a, s
+
+
+def _groups(blocks: int) -> list[tuple[int, int]]:
+    """Ends of groups of at most LANES, alike in size: a small one takes nearly as long."""
+    many = -(-blocks // LANES)
+    cuts = [blocks * k // many for k in range(many + 1)] if many else []
+    return list(zip(cuts, cuts[1:], strict=False))
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -343,20 +328,59 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
 
 def encode_segments(segments: list[np.ndarray], block: int = BLOCK) -> list[list[bytes]]:
     """The coded blocks of each segment; blocks of several are coded side by side."""
+    if not 1 <= block <= BLOCK:
+        raise ValueError(f"a block has 1 to {BLOCK} ids")
     cuts = [(k, s[i : i + block]) for k, s in enumerate(segments) for i in range(0, len(s), block)]
     out: list[list[bytes]] = [[] for _ in segments]
-    for at in range(0, len(cuts), LANES):
-        group = cuts[at : at + LANES]
+    for at, end in _groups(len(cuts)):
+        group = cuts[at:end]
         lengths = np.array([len(c) for _, c in group], np.int64)
         table = np.zeros((len(group), int(lengths.max())), np.int64)
         for row, (_, c) in zip(table, group, strict=True):
             row[: len(c)] = c
         if table.max() > MAX_ID or table.min() < 0:
             raise ValueError(f"ids must lie in 0 to {MAX_ID}")
-        coder = _Encoder(*table.shape)
-        _run(coder, lengths, table, True)
-        for (k, c), payload in zip(group, coder.payloads(), strict=True):
-            out[k].append(_HEADER.pack(MAGIC, len(c), zlib.crc32(c.astype("<u4").tobytes()), len(payload)) + payload)
+        payloads = _coded(table, lengths)
+        for (k, c), payload in zip(group, payloads, strict=True):
+            out[k].append(_HEADER.pack(MAGIC, len(c), zlib.crc32(c.astype("<u4").tobytes()), len(payload) // 4) + payload)
+    return out
+
+
+def _coded(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The payload of each row."""
+    many, distinct, counts, slots = _counted(ids, lengths)
+    order = np.argsort(-many, kind="stable")
+    coder = _Encoder(len(ids), ids.shape[1] * 80 // 32 + 8)
+    coder.step(slice(None), _PLACE_BITS, many[order] - 1, np.ones(len(ids), np.int64))
+    _set_of(coder, many[order], distinct[order], counts[order], True)
+    then = np.argsort(-lengths[order], kind="stable")
+    order = order[then]
+    coder.order(then)
+    _sequence(coder, lengths[order], counts[order], np.ascontiguousarray(slots[order].T), True)
+    out = coder.payloads()
+    return [out[k] for k in np.argsort(order).tolist()]
+
+
+def _decoded(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """Rows of ids of the payloads."""
+    lanes, steps = len(payloads), int(lengths.max())
+    coder = _Decoder(payloads)
+    many = coder.place(slice(None), _PLACE_BITS)
+    coder.step(slice(None), _PLACE_BITS, many, np.ones(lanes, np.int64))
+    many += 1
+    order = np.argsort(-many, kind="stable")
+    coder.order(order)
+    distinct, counts = np.zeros((2, lanes, int(many.max())), np.int64)
+    _set_of(coder, many[order], distinct, counts, False)
+    if distinct.max() > MAX_ID or (counts.sum(axis=1) != lengths[order]).any():
+        raise ValueError("damaged block: its ids are too large, too few or too many")
+    then = np.argsort(-lengths[order], kind="stable")
+    order = order[then]
+    coder.order(then)
+    slots = np.zeros((steps, lanes), np.int32)
+    _sequence(coder, lengths[order], counts[then], slots, False)
+    out = np.empty((lanes, steps), np.int64)
+    out[order] = np.take_along_axis(distinct[then], slots.T, 1)
     return out
 
 
@@ -366,7 +390,7 @@ def split_blocks(data: bytes) -> list[bytes]:
     while at < len(data):
         if len(data) - at < _HEADER.size:
             raise ValueError("not a block, or cut short")
-        end = at + _HEADER.size + _HEADER.unpack_from(data, at)[3]
+        end = at + _HEADER.size + 4 * _HEADER.unpack_from(data, at)[3]
         out.append(data[at:end])
         at = end
     return out
@@ -375,19 +399,19 @@ def split_blocks(data: bytes) -> list[bytes]:
 def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks; ValueError for a block that is damaged."""
     found = []
-    for at in range(0, len(blocks), LANES):
-        group = blocks[at : at + LANES]
+    for at, end in _groups(len(blocks)):
+        group = blocks[at:end]
         if any(len(b) < _HEADER.size for b in group):
             raise ValueError("not a block, or cut short")
         heads = [_HEADER.unpack_from(b) for b in group]
         payloads = [b[_HEADER.size :] for b in group]
         for (magic, _, _, size), p in zip(heads, payloads, strict=True):
-            if magic != MAGIC or size != len(p) or size % 2:
+            if magic != MAGIC or 4 * size != len(p):
                 raise ValueError("not a block, or cut short")
         lengths = np.array([h[1] for h in heads], np.int64)
-        table = np.zeros((len(heads), int(lengths.max(initial=0))), np.int64)
-        with np.errstate(over="ignore"):
-            _run(_Decoder(payloads), lengths, table, False)
+        if lengths.min() < 1 or lengths.max() > BLOCK:
+            raise ValueError(f"a block has 1 to {BLOCK} ids")
+        table = _decoded(payloads, lengths)
         for k, (_, n, crc, _) in enumerate(heads):
             raw = table[k, :n].astype("<u4")
             if zlib.crc32(raw.tobytes()) != crc:
@@ -402,6 +426,15 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
 _SEGMENTS = "file int, segment int, at long, ids long, doc_ids binary, blocks binary"
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = r"!-&(-/:-@\[-`{-~"  # of ASCII, but for the apostrophe
+_PIECE = re.compile(
+    rf" ?[{_LETTERS}]++(?=[\n -@\[-`{{-~]|\Z)| ?[{_MARKS}]++(?=[\n 0-9{_LETTERS}]|\Z)| ?[0-9]++(?=[\n '{_MARKS}{_LETTERS}]|\Z)"
+    rf"|\n(?=['{_MARKS}0-9{_LETTERS}])|.+?(?:(?<=['{_MARKS}0-9{_LETTERS}])(?= )|\Z)",
+    re.DOTALL,
+)
+
+
 @lru_cache(maxsize=1)
 def _tokenizer(name: str):
     from tokenizers import Tokenizer
@@ -413,9 +446,74 @@ def _tokenizer(name: str):
     return own
 
 
+class _Pieces(dict):
+    """Codes of pieces of text, numbered by first appearance; the library encodes each piece once.
+
+    The library cuts a text into words by a pattern that never looks back, and
+    encodes each word by itself.  So the ids of a text are those of its pieces,
+    if every cut is one that the pattern makes: a run of letters, digits or marks
+    is a piece when what follows it surely ends it, and all else goes on to a
+    space after what is surely no white space.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.fresh = tokenizer, []
+        self.sizes = np.array([len(tokenizer.id_to_token(k) or "") for k in range(tokenizer.get_vocab_size())], np.int64)  # a character stands for a byte
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.start, self.many, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = len(self.start) + len(self.fresh)
+        self.fresh.append(piece)
+        return code
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Encode what is new; words that start with a space are put together, as the pattern cuts there."""
+        worded = np.array([p[0] == " " and p[-1].isalpha() for p in self.fresh], bool)
+        many, found = np.zeros(len(self.fresh), np.int64), [self.ids]
+        words = [self.fresh[k] for k in np.flatnonzero(worded).tolist()]
+        if words:
+            (ids,) = self._library(["".join(words)])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
+            many[worded] = np.diff(ends, prepend=0)
+            found.append(ids)
+        others = [self.fresh[k] for k in np.flatnonzero(~worded).tolist()]
+        if others:
+            coded = self._library(others)
+            many[~worded] = [len(c) for c in coded]
+            found += coded
+        start = np.zeros(len(many), np.int64)
+        placed = np.concatenate([np.flatnonzero(worded), np.flatnonzero(~worded)])
+        start[placed] = len(self.ids) + np.cumsum(many[placed]) - many[placed]
+        self.start, self.many = np.append(self.start, start), np.append(self.many, many)
+        self.ids, self.fresh = np.concatenate(found), []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of each text."""
+        if any(a in t for t in texts for a in self.added):
+            return self._library(texts)
+        cut = [_PIECE.findall(t) for t in texts]
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64)
+        if self.fresh:
+            self._learn()
+        many = self.many[codes]
+        ends = np.cumsum(many)
+        out = self.ids[np.repeat(self.start[codes] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.append(0, ends)[np.cumsum([len(c) for c in cut])]
+        if len(self) > PIECES or len(self.ids) > 8 * PIECES:
+            self.clear()
+            self.start, self.many, self.ids = self.start[:0], self.many[:0], self.ids[:0]
+        return np.split(out, last[:-1])
+
+
 def _encoded(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of rows (doc_id, text), a few texts at a time: the library's encodings are many times a text's size."""
-    tokenizer = _tokenizer(name)
+    pieces = _Pieces(_tokenizer(name))
+    end_id = np.array([END_ID], np.uint32)
     for batch in batches:
         doc_ids, texts = (c.to_pylist() for c in batch.columns)
         at = 0
@@ -424,11 +522,8 @@ def _encoded(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int
             while end < len(texts) and (end == at or size + len(texts[end]) <= ENCODE_CHARS):
                 size += len(texts[end])
                 end += 1
-            coded = tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)
-            for doc_id, e in zip(doc_ids[at:end], coded, strict=True):
-                ids = array("I", e.ids)
-                ids.append(END_ID)
-                yield doc_id, np.frombuffer(ids, np.uint32)
+            for doc_id, ids in zip(doc_ids[at:end], pieces.encode(texts[at:end]), strict=True):
+                yield doc_id, np.concatenate([ids, end_id])
             at = end
 
 
@@ -472,7 +567,7 @@ def _write_segments(name: str):
                 ready.append((doc_ids, parts))
                 held += size
                 doc_ids, parts, size = [], [], 0
-            if held >= BLOCK * LANES:
+            if held + SEGMENT > BLOCK * (LANES - LANES // 16):
                 yield rows()
                 held = 0
         if parts:
@@ -520,11 +615,12 @@ def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for k in range(batch.num_rows):
             file, at, n, index, data = (c[k].as_py() for c in batch.columns)
-            held.append((file, at, n, index, split_blocks(data)))
-            blocks += len(held[-1][4])
-            if blocks >= LANES:
+            parts = split_blocks(data)
+            if held and blocks + len(parts) > LANES:
                 yield rows(held)
                 held, blocks = [], 0
+            held.append((file, at, n, index, parts))
+            blocks += len(parts)
     if held:
         yield rows(held)
 
